@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash
+from . import language, media, mixing, multiset, packing, simhash, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +19,15 @@ def _on_documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_url_temporal_lists": lambda spark, sf_dir: urls.op4(spark.read.parquet(f"{sf_dir}/pages.parquet")),
         "op5_source_mixing": _on_documents(mixing.op5),
         "op6_bin_slack_packing": _on_documents(packing.op6),
+        "op7_language_bitmask_filters": _on_documents(language.op7),
         "op8_simhash_components": _on_documents(simhash.op8),
+        "op9_multiset_fingerprints": _on_documents(multiset.op9),
+        "op10_media_chunk_store": _on_documents(media.op10),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_temporal_lists": urls.ORACLE}
