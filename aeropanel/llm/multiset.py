@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STRONG, WIDE, WINDOW = 8, 256, 16
+STRONG, WIDE, WINDOW, SHORT, SMALL = 8, 256, 16, 48, 4
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -30,8 +30,8 @@ class MultisetHash:
     """The sum of the vectors of a multiset of paragraphs; order never counts.
 
     A paragraph's vector: STRONG lanes of 64 bits, its BLAKE2b digest, summed modulo 2^64, for equality; and WIDE lanes
-    modulo 2^16, where each of its WINDOW-byte windows (all of it, if shorter) adds or takes 1 in one lane, for
-    likeness. ``add`` and ``remove`` are inverse, ``+`` unites multisets, and no paragraphs are the zero vector.
+    modulo 2^16, where each of its WINDOW-byte windows adds or takes 1 in one lane, for likeness (SMALL-byte windows, or
+    all of it, in a paragraph of under SHORT bytes). ``add`` and ``remove`` are inverse, ``+`` unites multisets, and no paragraphs are the zero vector.
     """
 
     __slots__ = ("strong", "wide")
@@ -49,19 +49,21 @@ class MultisetHash:
         parts = raw.split(b"\n")
         digests = [hashlib.blake2b(p, digest_size=8 * STRONG).digest() for p in parts]
         strong = np.frombuffer(b"".join(digests), "<u8").reshape(-1, STRONG).sum(axis=0, dtype=np.uint64)
-        wide = np.zeros(WIDE, np.int64)
-        if len(raw) >= WINDOW:
+        wide, short = np.zeros(WIDE, np.int64), [p for p in parts if 0 < len(p) < SHORT]
+        if len(raw) >= SHORT:
             eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
             words = eight[:-8] * _M1 + eight[8:] * _M2
             if len(parts) > 1:
-                whole, at = np.ones(len(words), bool), -1
-                for p in parts[:-1]:
-                    at += len(p) + 1
-                    whole[max(0, at - WINDOW + 1) : at + 1] = False
+                whole, at = np.ones(len(words), bool), 0
+                for p in parts:
+                    end = at + len(p)
+                    whole[at if len(p) < SHORT else end - WINDOW + 1 : end + 1] = False
+                    at = end + 1
                 words = words[whole]
             wide += _sketch(_mix(words))
-        if short := [d[:8] for p, d in zip(parts, digests, strict=True) if 0 < len(p) < WINDOW]:
-            wide += _sketch(np.frombuffer(b"".join(short), "<u8"))
+        if short:
+            small = [int.from_bytes(p[i : i + SMALL], "little") for p in short for i in range(max(1, len(p) - SMALL + 1))]
+            wide += _sketch(_mix((np.array(small, np.uint64) + np.uint64(1)) * _M1))
         return cls(strong, wide.astype(np.uint16))
 
     def __add__(self, other: MultisetHash) -> MultisetHash:

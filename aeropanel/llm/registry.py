@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, mixing, multiset, packing, simhash, urls
+from . import language, lines, media, mixing, multiset, packing, simhash, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,7 @@ def _on_documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_line_template_dedup": _on_documents(lines.op3),
         "op4_url_temporal_lists": lambda spark, sf_dir: urls.op4(spark.read.parquet(f"{sf_dir}/pages.parquet")),
         "op5_source_mixing": _on_documents(mixing.op5),
         "op6_bin_slack_packing": _on_documents(packing.op6),
