@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm, language, lines, media, mixing, multiset, packing, simhash, urls
+from . import hmm, language, lines, media, mixing, multiset, packing, quality, simhash, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def _on_documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hmm_scoring": _on_documents(hmm.op1),
+        "op2_byte_cnn_quality": lambda spark, sf_dir: quality.op2(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
         "op3_line_template_dedup": _on_documents(lines.op3),
         "op4_url_temporal_lists": lambda spark, sf_dir: urls.op4(spark.read.parquet(f"{sf_dir}/pages.parquet")),
         "op5_source_mixing": _on_documents(mixing.op5),
