@@ -1,3 +1,4 @@
+import functools
 import zlib
 from collections import defaultdict
 
@@ -10,22 +11,45 @@ from aeropanel.llm import packing
 from .fixtures import documents, frame
 
 
-def whole(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
     t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return t
+
+
+def whole(text):
+    return tokenizer().encode(text, add_special_tokens=False).ids
+
+
+@functools.cache
+def known_words():
+    return packing._Words(packing.default_tokenizer())
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aAé'sStTΣς 1 \t\n\x0b\x1c\x85 　́.!|<>endofxтİß"), max_size=40))
 def test_words_give_the_ids_of_whole_texts(text):
-    words = packing._Words(packing.default_tokenizer())
-    ids = b"".join(words[w] for w in text.encode().split())
+    words = known_words()
+    ids = b"".join(words[w] for w in text.encode().translate(packing._LOWER).split())
     assert np.frombuffer(ids, "<u4").tolist() == whole(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abcdefghiéèñüßtheingon.,!'ɏłŉ"), min_size=1, max_size=14))
+def test_end_marked_words(text):
+    words = known_words()
+    assert np.frombuffer(words[text.encode()], "<u4").tolist() == whole(text)
+
+
+def test_every_merged_token_is_what_its_bytes_merge_to():
+    fast, ids = packing._end_marked(packing.default_tokenizer())
+    assert len(ids) == len(set(ids)) > 49_000
+    assert all(fast._core_bpe.encode_single_piece(k) == [r] for k, r in fast._mergeable_ranks.items())
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 24), st.integers(1, 6), min_size=1, max_size=6))
 def test_window_is_as_full_as_any_with_the_longest(counts):
