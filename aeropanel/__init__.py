@@ -1,0 +1 @@
+"""Forecast-evaluation analytics as Spark DataFrame operators over long, keyed relations."""
