@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,23 +103,30 @@ class MultisetHash:
 
 
 def with_neighbours(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(dest, copy, doc_id, text), each ``dest`` a range of doc_ids with a copy of the row after its last one.
+    """(dest, copy, doc_id, text), each ``dest`` a partition: a range of doc_ids with a copy of the row after its last one.
 
-    Ranges come from approximate percentiles (at most 512), so texts are shuffled once. Null ids come last; repeated
-    ids follow each other by their texts. The last range's copy is the first row of all.
+    Ranges, twice as many as shuffle partitions unless ``buckets`` says otherwise, come from approximate percentiles, so
+    texts are shuffled once and a task's share stays the same as partitions grow with the input; ranges alone reach
+    the driver. Null ids come last; repeated ids follow each other by their texts. The last range's copy is the first
+    row of all.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = min(512, buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
-    splits = sorted(set(found or []))
-    bucket = F.when(F.col("doc_id").isNull(), len(splits) + 1).otherwise(F.size(F.filter(F.array(*map(F.lit, splits)).cast("array<bigint>"), lambda s: s <= F.col("doc_id"))) if splits else F.lit(0))
+    splits = np.array(sorted(set(found or [])), np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(splits, ids.to_numpy(), "right"))
+
+    bucket = F.when(F.col("doc_id").isNull(), len(splits) + 1).otherwise(range_of(F.coalesce("doc_id", F.lit(0))))
     heads = sorted(docs.select("doc_id").groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("head")).collect())
     before = [(head, heads[i - 1]["bucket"]) for i, (_, head) in enumerate(heads)]
     table = spark.createDataFrame(before, "head long, into int")  # one row a range
     rows = docs.withColumn("dest", bucket).join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("head")), "left")
     places = F.when(F.col("into").isNull(), F.array(F.struct(F.col("dest"), F.lit(0).alias("copy")))).otherwise(F.array(F.struct(F.col("dest"), F.lit(0).alias("copy")), F.struct(F.col("into").alias("dest"), F.lit(1).alias("copy"))))
-    return rows.select(F.explode(places).alias("p"), "doc_id", "text").select("p.dest", "p.copy", "doc_id", "text")
+    return rows.select(F.explode(places).alias("p"), "doc_id", "text").select("p.dest", "p.copy", "doc_id", "text").repartitionById(len(splits) + 2, F.col("dest"))
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -131,7 +139,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     the last, the first). Null texts are empty; null ids come last, equal ids by text; a single row follows itself;
     no rows give no rows. Columns: see ``_OUT``.
     """
-    rows = with_neighbours(docs).repartition("dest").sortWithinPartitions("dest", "copy", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
+    rows = with_neighbours(docs).sortWithinPartitions("dest", "copy", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending = None
