@@ -23,6 +23,14 @@ def tokens_of(line: str) -> list[str]:
     return [FIELD if _VARIABLE.search(t) else t for t in line.split()]
 
 
+def template_of(line: str, depth: int = 2) -> tuple[list[str], int]:
+    """(tokens, leading tokens that choose the leaf); lines of under 3 tokens have a leaf a text, and such lines of fields alone keep their raw tokens."""
+    tokens = tokens_of(line)
+    if len(tokens) >= 3:
+        return tokens, depth
+    return line.split() if tokens.count(FIELD) == len(tokens) else tokens, len(tokens)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -60,9 +68,9 @@ def parse(docs: DataFrame, depth: int = 2, min_tokens: int = 3) -> DataFrame:
             out: list[tuple] = []
             for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for i, line in enumerate((text or "").split("\n")):
-                    tokens = tokens_of(line)
+                    tokens, leading = template_of(line, depth)
                     if len(tokens) >= min_tokens:
-                        out.append((doc_id, key, i, len(tokens), *place_in_tree(tokens, depth)))
+                        out.append((doc_id, key, i, len(tokens), *place_in_tree(tokens, leading)))
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, types, strict=True)], [x.split()[0] for x in _LINES.split(", ")])
 
@@ -125,7 +133,7 @@ def drop_repeated(docs: DataFrame, **settings) -> DataFrame:
     """All rows and columns of ``docs``, the text without the lines of recurring templates, and how many went (lines_dropped).
 
     Null and empty texts stay as they are; a text all of whose lines go is empty; rows that are equal in doc_id and text are
-    one document; null ids come last; lines of under ``min_tokens`` tokens and blank lines stay; no rows give no rows.
+    one document; null ids come last; blank lines, and lines of under ``min_tokens`` tokens, stay; no rows give no rows.
     """
     keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     own = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_key").alias("key"), F.col("text").cast("string").alias("text")).where("text is not null and text <> ''")
@@ -138,8 +146,8 @@ def drop_repeated(docs: DataFrame, **settings) -> DataFrame:
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    """doc_id, the text that stays, and the number of lines dropped, of every document."""
-    return drop_repeated(docs.select("doc_id", "text"))
+    """doc_id, the text that stays, and the number of lines dropped, of every document; every line that is not blank takes part."""
+    return drop_repeated(docs.select("doc_id", "text"), min_tokens=1)
 
 
 def dedup_documents(docs: DataFrame, **settings) -> DataFrame:
