@@ -48,16 +48,43 @@ def alike(a: bytes, b: bytes, least: float) -> bool:
     return len(x) == len(y) and int((x == y).sum()) >= least * len(x) - 1e-9
 
 
-def blocks_of(sig: bytes, least: float, depth: int = 0) -> list[tuple[int, int]]:
-    """(number, hash) of one block more than the positions in which alike lines may differ: they share one at least.
+def blocks_of(sig: bytes, least: float, depth: int = 0) -> list[tuple[int, bytes]]:
+    """(number, tokens) of blocks of which alike lines share one at least; none where only equal lines are alike.
 
-    The ``depth`` leading tokens, which all lines of a leaf have, are in no block.
+    Where one token may differ: all tokens but one, for each, so lines that share a block are alike. Else one block
+    more than the positions that may differ. The ``depth`` leading tokens, which all lines of a leaf have, are in no block.
     """
     n = len(sig) // 2
-    parts = int((1 - least) * n + 1e-9) + 1
-    free = max(0, n - depth)
-    ends = [n - free + free * (i + 1) // parts for i in range(parts)]
-    return [(i, _signed(xxhash.xxh64_intdigest(sig[2 * a : 2 * b]))) for i, (a, b) in enumerate(zip([n - free, *ends[:-1]], ends, strict=True))]
+    free, differ = max(0, n - depth), may_differ(n, least)
+    if differ <= 1:
+        return [(i, sig[: 2 * i] + sig[2 * i + 2 :]) for i in range(n - free, n)] if differ else []
+    ends = [n - free + free * (i + 1) // (differ + 1) for i in range(differ + 1)]
+    return [(i, sig[2 * a : 2 * b]) for i, (a, b) in enumerate(zip([n - free, *ends[:-1]], ends, strict=True))]
+
+
+def may_differ(n: int, least: float) -> int:
+    return int((1 - least) * n + 1e-9)
+
+
+def cross_links(sigs: list[bytes], label: np.ndarray, left: np.ndarray, right: np.ndarray, least: float, cells: int = 4_000_000) -> set[tuple[int, int]]:
+    """Pairs of unlike labels that an alike pair of lines, one of ``left`` and one of ``right`` (indices), has."""
+    found: set[tuple[int, int]] = set()
+    sizes = np.fromiter(map(len, sigs), np.int64, len(sigs))
+    for size in np.unique(sizes).tolist():  # one, but for colliding hashes
+        a, b = left[sizes[left] == size], right[sizes[right] == size]
+        if not len(a) or not len(b):
+            continue
+        x, y = (np.frombuffer(b"".join(sigs[i] for i in own.tolist()), "<u2").reshape(len(own), -1) for own in (a, b))
+        y, step = np.ascontiguousarray(y.T), max(1, cells // len(b))
+        for at in range(0, len(a), step):
+            same = np.zeros((len(x[at : at + step]), len(b)), np.int32)
+            for place, tokens in enumerate(y):
+                same += x[at : at + step, place, None] == tokens
+            i, j = np.nonzero((same >= least * x.shape[1] - 1e-9) & (label[a[at : at + step], None] != label[b]))
+            if len(i):
+                pairs = np.unique(np.sort(np.stack([label[a[at + i]], label[b[j]]], axis=1), axis=1), axis=0)
+                found.update(map(tuple, pairs.tolist()))
+    return found
 
 
 def parse(docs: DataFrame, depth: int = 2, min_tokens: int = 3) -> DataFrame:
@@ -82,22 +109,28 @@ def template_groups(lines: DataFrame, least: float = 0.8, depth: int = 2) -> Dat
 
     Within a leaf, lines with ``least`` of their tokens equal, place by place, belong together. Lines of equal text
     count once. As alike lines share a block, each distinct line is held against the smallest line of each of its
-    blocks' groups (never all pairs); groups grow along such matches. So two alike lines whose common blocks all have
-    a smallest line unlike them stay apart, unless other matches join them. Leaves of one text take no part.
+    blocks' groups, and groups grow along such matches. Blocks whose lines are of several groups by then are
+    searched whole (``across``), so no link is missed. Leaves of one text take no part.
     """
     # written, here and below, so that joins have shuffles of their own on both sides, which adaptive execution can split where a key is common
+    lines = lines.where(F.floor(F.lit(1 - least) * F.col("n") + 1e-9) >= 1)  # others are alike only where they are equal
     several = materialize(lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("leaf"), "leaves")
     # distinct lines come first, so repeated ones are not shuffled again; the hint keeps one plan at every size
     texts = materialize(lines.groupBy("leaf", "line").agg(F.first("sig").alias("sig")).join(several.hint("merge"), "leaf", "left_semi"), "leaf-lines")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(leaf, line, i, h) for leaf, line, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True) for i, h in blocks_of(sig, least, depth)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, [pa.int64(), pa.int64(), pa.int32(), pa.int64()], strict=True)], ["leaf", "line", "part", "block"])
-
-    keyed = materialize(texts.select("leaf", "line", "sig").mapInArrow(blocks, "leaf long, line long, part int, block long"), "blocks")
-    heads = materialize(keyed.groupBy("leaf", "part", "block").agg(F.min("line").alias("head"), F.max("line").alias("last")).where("head <> last").drop("last"), "heads")
-    pairs = keyed.join(heads, ["leaf", "part", "block"]).where("line <> head").select("line", "head").distinct()
+            rows = [
+                (_signed(xxhash.xxh64_intdigest(b"%d %d " % (leaf, i) + tokens)), line, may_differ(len(sig) // 2, least) > 1)
+                for leaf, line, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for i, tokens in blocks_of(sig, least, depth)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, [pa.int64(), pa.int64(), pa.bool_()], strict=True)], ["block", "line", "loose"])
+
+    keyed = materialize(texts.select("leaf", "line", "sig").mapInArrow(blocks, "block long, line long, loose boolean"), "blocks")
+    heads = materialize(keyed.groupBy("block").agg(F.min("line").alias("head"), F.max("line").alias("last")).where("head <> last").drop("last"), "heads")
+    members = materialize(keyed.join(heads, "block").select("block", "line", "head", "loose"), "members")
+    pairs = members.where("line <> head").select("line", "head").distinct()
     sig = texts.select("line", "sig")
     both = pairs.join(sig, "line").join(sig.select(F.col("line").alias("head"), F.col("sig").alias("other")), "head").select("line", "head", "sig", "other")
 
@@ -108,7 +141,29 @@ def template_groups(lines: DataFrame, least: float = 0.8, depth: int = 2) -> Dat
             yield pa.RecordBatch.from_arrays([found.column(0), found.column(1)], ["a", "b"])
 
     edges = materialize(both.mapInArrow(match, "a long, b long"), "alike")
-    return components(edges).select(F.col("node").alias("line"), F.col("label").alias("template"))
+    labels = components(edges)
+    more = materialize(across(members.where("loose").select("block", "line"), labels, sig, least), "across")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    return labels.select(F.col("node").alias("line"), F.col("label").alias("template"))
+
+
+def across(members: DataFrame, labels: DataFrame, sig: DataFrame, least: float, rows: int = 2048) -> DataFrame:
+    """(a, b): labels joined by alike lines of one block; blocks of over ``rows`` lines are cut, and each pair of pieces is a group of its own."""
+    own = materialize(members.join(labels.withColumnRenamed("node", "line"), "line", "left").select("block", "line", F.coalesce("label", "line").alias("label")), "labelled")
+    mixed = own.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("pieces")).where("a <> b")
+    mixed = materialize(mixed.select("block", "pieces"), "mixed")
+    piece = F.pmod(F.xxhash64("line"), F.col("pieces").cast("long")).cast("int")
+    cut = own.join(mixed, "block").join(sig, "line").withColumn("piece", piece)
+    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    dealt = cut.select("block", "label", "sig", "piece", other.alias("other")).withColumn("one", F.least("piece", "other")).withColumn("two", F.greatest("piece", "other"))
+
+    def search(table: pa.Table) -> pa.Table:
+        piece, one, two = (table.column(c).to_numpy() for c in ("piece", "one", "two"))
+        found = cross_links(table.column("sig").to_pylist(), table.column("label").to_numpy(), np.flatnonzero(piece == one), np.flatnonzero(piece == two), least)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return dealt.drop("other").groupBy("block", "one", "two").applyInArrow(search, "a long, b long")
 
 
 def repeated_lines(docs: DataFrame, least: float = 0.8, depth: int = 2, min_tokens: int = 3, min_docs: int = 2) -> DataFrame:

@@ -1,5 +1,7 @@
 """The whole job of the line dedup: short lines, busy leaves, lines of fields."""
 
+import random
+
 from aeropanel.llm import lines
 
 from .fixtures import frame
@@ -13,3 +15,50 @@ def op3(spark, texts):
 def test_short_lines_that_recur_go(spark):
     texts = ["Les.\nof the first text alone here", "Les.\nAnd ornd.\nTo see\n12", "And ornd.\n\nLes.\nTo see\n13\n全文是一行", "12\n\n全文是一行\nLes"]
     assert op3(spark, texts) == [texts[0], "And ornd.\nTo see\n12", "\n13\n全文是一行", "\nLes"]
+
+
+def groups_of(own, least=0.8):
+    of = list(range(len(own)))
+
+    def root(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for i, a in enumerate(own):
+        for j, b in enumerate(own[:i]):
+            if len(a) == len(b) and a[:2] == b[:2] and sum(x == y for x, y in zip(a, b)) >= least * len(a):
+                of[root(i)] = root(j)
+    return [root(i) for i in range(len(own))]
+
+
+def test_no_link_of_a_busy_leaf_is_missed(spark):
+    rng = random.Random(5)
+    words = [a + b for a in "bcdfgh" for b in ("a", "ee", "ou")]
+    own = []
+    for n, lines_of in ((5, 350), (7, 250), (10, 350), (16, 150)):
+        some = [["from", "the", *rng.choices(words, range(len(words), 0, -1), k=n - 2)] for _ in range(lines_of)]
+        for line in some[: lines_of // 2]:
+            line = list(line)
+            for at in rng.sample(range(2, n), n // 5):
+                line[at] = rng.choice(words)
+            some.append(line)
+        own += some
+    rng.shuffle(own)
+    want = groups_of(own)
+    got = op3(spark, [" ".join(line) for line in own])
+    seen = set()
+    for line, group, text in zip(own, want, got, strict=True):
+        assert text == ("" if group in seen else " ".join(line))
+        seen.add(group)
+
+
+def test_blocks_cut_in_pieces_give_the_same_links(spark):
+    rng = random.Random(9)
+    own = ["from the old town " + " ".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    tokens = {line: sig for line, sig in ((x[1], x[2]) for x in (lines.place_in_tree(t.split(), 2) for t in own))}
+    members = spark.createDataFrame([(1, k) for k in tokens], "block long, line long")
+    sig = spark.createDataFrame([(k, bytearray(v)) for k, v in tokens.items()], "line long, sig binary")
+    labels = spark.createDataFrame([], "node long, label long")
+    whole, cut = ({tuple(r) for r in lines.across(members, labels, sig, 0.8, rows).collect()} for rows in (2048, 40))
+    assert whole == cut == {(a, b) for a, x in tokens.items() for b, y in tokens.items() if a < b and lines.alike(x, y, 0.8)}
