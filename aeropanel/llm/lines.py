@@ -24,11 +24,12 @@ def tokens_of(line: str) -> list[str]:
 
 
 def template_of(line: str, depth: int = 2) -> tuple[list[str], int]:
-    """(tokens, leading tokens that choose the leaf); lines of under 3 tokens have a leaf a text, and such lines of fields alone keep their raw tokens."""
+    """(tokens, leading tokens that choose the leaf); a template is two constant tokens at least, and half of the line: others join as raw text, in a leaf a text."""
     tokens = tokens_of(line)
-    if len(tokens) >= 3:
-        return tokens, depth
-    return line.split() if tokens.count(FIELD) == len(tokens) else tokens, len(tokens)
+    fields = tokens.count(FIELD)
+    if fields and len(tokens) - fields < max(2, len(tokens) / 2):
+        return line.split(), len(tokens)
+    return tokens, depth if len(tokens) >= 3 else len(tokens)
 
 
 def _signed(x: int) -> int:

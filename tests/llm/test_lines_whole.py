@@ -62,3 +62,8 @@ def test_blocks_cut_in_pieces_give_the_same_links(spark):
     labels = spark.createDataFrame([], "node long, label long")
     whole, cut = ({tuple(r) for r in lines.across(members, labels, sig, 0.8, rows).collect()} for rows in (2048, 40))
     assert whole == cut == {(a, b) for a, x in tokens.items() for b, y in tokens.items() if a < b and lines.alike(x, y, 0.8)}
+
+
+def test_rows_of_fields_join_by_their_text_alone(spark):
+    texts = ["12 45 7\n2024-01-01 3.4 5.6\n13 45 8\nhttps://a.b/1\nPage 3", "1 2 3\n2024-01-02 3.5 5.6\n4 5 6 7 8\n4 5 6 7 9\nhttps://a.b/2\nPage 4", "12 45 7\n2024-01-03 1 1 x\nhttps://a.b/1\nthe pump 3 was on at 7", "the pump 4 was on at 8"]
+    assert op3(spark, texts) == [*texts[:2], "2024-01-03 1 1 x\nthe pump 3 was on at 7", ""]
