@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 HASHES = 3
+CELLS_A_GRAM = 16  # of the language with most, up to MOST_CELLS
+MOST_CELLS = 1 << 24  # 128 MB a word of 64 languages in every task
+FULL = 0.9  # a language's share of set cells beyond which its hits tell too little
 _CHARS = 2_000_000  # handled at a time
 
 
@@ -100,11 +104,20 @@ class LanguageFilter:
         return [self.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
 
 
+def cells_for(grams: int, least: int = 1 << 20, most: int = MOST_CELLS) -> int:
+    """CELLS_A_GRAM cells for each of ``grams`` trigrams, as a power of two from ``least`` to ``most``; an error where more than FULL of them would be set."""
+    cells = max(least, min(most, 1 << max(0, CELLS_A_GRAM * grams - 1).bit_length()))
+    if (fill := 1 - math.exp(-HASHES * grams / cells)) > FULL:
+        raise ValueError(f"{grams} trigrams of one language would set {fill:.3f} of {cells} cells, more than {FULL}")
+    return cells
+
+
 def learn(docs: DataFrame, cells: int = 1 << 20, share: float = 0.5) -> LanguageFilter:
     """From all rows of ``docs`` that have text and lang.
 
     Trigrams are counted by language over whole texts; a language's filter gets those whose frequency there is at least
-    ``share`` of the highest in any language. Only cells that are set, ``cells`` at most, reach the driver.
+    ``share`` of the highest in any language. ``cells`` is the least size: the filter grows with the trigrams of the
+    language that has most (``cells_for``). Only cells that are set reach the driver.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +159,8 @@ def learn(docs: DataFrame, cells: int = 1 << 20, share: float = 0.5) -> Language
     often = counts.join(F.broadcast(weights), "lang").withColumn("f", F.col("n") / F.col("total"))
     top = often.groupBy("gram").agg(F.max("f").alias("top"), F.collect_list(F.struct("bit", "f")).alias("by"))
     chosen = top.select("gram", F.transform(F.filter("by", lambda x: x["f"] >= share * F.col("top")), lambda x: x["bit"]).alias("bits"))
+    chosen = materialize(chosen, "chosen")
+    cells = cells_for(chosen.select(F.explode("bits").alias("bit")).groupBy("bit").count().agg(F.max("count")).first()[0], cells)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
