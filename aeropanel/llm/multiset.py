@@ -31,7 +31,7 @@ class MultisetHash:
     """The sum of the vectors of a multiset of paragraphs; order never counts.
 
     A paragraph's vector: STRONG lanes of 64 bits, its BLAKE2b digest, summed modulo 2^64, for equality; and WIDE lanes
-    modulo 2^16, where each of its WINDOW-byte windows adds or takes 1 in one lane, for likeness (SMALL-byte windows, or
+    modulo 2^32, where each of its WINDOW-byte windows adds or takes 1 in one lane, for likeness (SMALL-byte windows, or
     all of it, in a paragraph of under SHORT bytes). ``add`` and ``remove`` are inverse, ``+`` unites multisets, and no paragraphs are the zero vector.
     """
 
@@ -39,7 +39,7 @@ class MultisetHash:
 
     def __init__(self, strong: np.ndarray | None = None, wide: np.ndarray | None = None):
         self.strong = np.zeros(STRONG, np.uint64) if strong is None else strong
-        self.wide = np.zeros(WIDE, np.uint16) if wide is None else wide
+        self.wide = np.zeros(WIDE, np.uint32) if wide is None else wide
 
     @classmethod
     def of(cls, text: str) -> MultisetHash:
@@ -65,7 +65,7 @@ class MultisetHash:
         if short:
             small = [int.from_bytes(p[i : i + SMALL], "little") for p in short for i in range(max(1, len(p) - SMALL + 1))]
             wide += _sketch(_mix((np.array(small, np.uint64) + np.uint64(1)) * _M1))
-        return cls(strong, wide.astype(np.uint16))
+        return cls(strong, wide.astype(np.uint32))
 
     def __add__(self, other: MultisetHash) -> MultisetHash:
         return MultisetHash(self.strong + other.strong, self.wide + other.wide)
@@ -86,18 +86,18 @@ class MultisetHash:
         return cls.of(paragraph) if paragraph else cls(np.frombuffer(hashlib.blake2b(b"", digest_size=8 * STRONG).digest(), "<u8").astype(np.uint64))
 
     def __str__(self) -> str:
-        return base64.b64encode(self.strong.astype("<u8").tobytes() + self.wide.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.strong.astype("<u8").tobytes() + self.wide.astype("<u4").tobytes()).decode()
 
     @classmethod
     def parse(cls, text: str) -> MultisetHash:
         raw = base64.b64decode(text)
-        return cls(np.frombuffer(raw, "<u8", STRONG).astype(np.uint64), np.frombuffer(raw, "<u2", WIDE, 8 * STRONG).astype(np.uint16))
+        return cls(np.frombuffer(raw, "<u8", STRONG).astype(np.uint64), np.frombuffer(raw, "<u4", WIDE, 8 * STRONG).astype(np.uint32))
 
     def likeness(self, other: MultisetHash) -> float:
         """1 for equal sums, else the cosine of the wide lanes, 0 where it is under 0 or one has none."""
         if (self.strong == other.strong).all() and (self.wide == other.wide).all():
             return 1.0
-        a, b = self.wide.view(np.int16).astype(np.float64), other.wide.view(np.int16).astype(np.float64)
+        a, b = self.wide.view(np.int32).astype(np.float64), other.wide.view(np.int32).astype(np.float64)
         norm = float(np.sqrt((a @ a) * (b @ b)))
         return min(1.0, max(0.0, float(a @ b) / norm)) if norm else 0.0
 
