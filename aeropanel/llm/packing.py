@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -26,70 +24,51 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_PLAIN = re.compile(rb"((?:[a-z]|[\xc3-\xc8][\x80-\xbf])+)([!-&(-/:-@\[-`{-~]*)")  # lower-case letters below U+0240, ASCII signs but the apostrophe
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-def _end_marked(path: str) -> tuple[object, list[bytes]] | None:
-    """For a lower-casing byte BPE with word ends, an equal BPE on bytes for single words of letters, and each of its ranks' id as bytes.
-
-    A word's end becomes a space after it, merged with the last byte first of all; the merges then follow in the
-    file's order. Choosing the lowest rank of a joined pair gives what the merge list gives, as every merged token is
-    what its own bytes merge to. None for any other kind of tokenizer.
-    """
-    spec = json.loads(Path(path).read_text())
-    model, normal, split = spec["model"], spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
-    kinds = [x["type"] for x in normal.get("normalizers", [])], [x["type"] for x in split.get("pretokenizers", [])]
-    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or model.get("dropout") or kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
-        return None
-    import tiktoken
-
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE writes the other bytes as the code points from 256 on
-    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    raw = lambda t: bytes(byte_of[c] for c in t.removesuffix("</w>")) + b" " * t.endswith("</w>")
-    merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-    single, last = list(byte_of), [c + "</w>" for c in byte_of]
-    ranks, ids = {}, []
-    for token in [*last, *merges, *single]:
-        if (own := raw(token)) not in ranks:
-            ranks[own] = len(ids)
-            ids.append(int(model["vocab"][token]).to_bytes(4, "little"))
-    ranks.setdefault(b" ", len(ids))
-    return tiktoken.Encoding("end-marked", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={}), ids
-
-
 class _Words(dict):
-    """Bytes of a word's ids (unsigned 32-bit, little endian) by the word's bytes; emptied when ``most`` are kept."""
+    """Bytes of a word's ids (unsigned 32-bit, little endian) by the word's bytes; ``forget`` empties it beyond ``most``."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 300_000, together: int = 512):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.most, self.tokenizer = most, Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.fast = _end_marked(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        if self.fast and (m := _PLAIN.fullmatch(word)) and (text := m[1].decode()).isalpha() and text.lower() == text:
-            fast, ids = self.fast
-            found = b"".join([ids[r] for r in fast._core_bpe.encode_single_piece(m[1] + b" ")])
-            if m[2]:
-                found += self[m[2]]
-        else:
-            found = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = found
-        return found
+        self.most, self.together, self.tokenizer = most, together, Tokenizer.from_file(path)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encode those not known yet, many in one string; token offsets say which word an id is of.
+
+        Words that normalisation may change in length, or that may hold a special token's mark, are encoded alone.
+        """
+        plain, lengths = [], []
+        for word in words - self.keys():
+            text = word.decode()
+            if text.isascii() or (is_normalized("NFC", text) and len(text.lower()) == len(text)):
+                if "<|" not in text:
+                    plain.append((word, text))
+                    lengths.append(len(text) + 1)
+                    continue
+            self[word] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        for at in range(0, len(plain), self.together):
+            part = plain[at : at + self.together]
+            found = self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False)
+            ids, first = np.array(found.ids, "<u4").tobytes(), np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            ends = 4 * np.searchsorted(first, np.cumsum(lengths[at : at + self.together]))
+            begin = 0
+            for (word, _), end in zip(part, ends.tolist(), strict=True):
+                self[word] = ids[begin:end]
+                begin = end
+
+    def forget(self) -> None:
+        if len(self) > self.most:
+            self.clear()
 
 
 def tokenize(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
     """The pieces of every document (null text: empty): its ids and ``end_id``, cut at each ``capacity`` ids.
 
-    The tokenizer drops white space and merges nothing across it, so words between ASCII spaces are encoded one by
-    one and remembered; a test holds that against whole texts. Columns: doc_id, start, length, ids_crc32,
-    doc_tokens, ids (unsigned 32-bit little endian; null unless ``keep_ids``).
+    The tokenizer drops white space and merges nothing across it, so words between ASCII spaces are encoded once and
+    remembered; a test holds that against whole texts, marks of special tokens included (they give their one id, as
+    ``tokenizers`` does by default). Columns: doc_id, start, length, ids_crc32, doc_tokens, ids (unsigned 32-bit little
+    endian; null unless ``keep_ids``). A very long text is held whole, with its ids, by one task.
     """
     path = path or default_tokenizer()
 
@@ -98,13 +77,16 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = 2048, end
         get, step = words.__getitem__, 4 * capacity
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                ids = b"".join(map(get, (raw.translate(_LOWER) if words.fast else raw).split())) + end
-                for at in range(0, len(ids), step):
-                    piece = ids[at : at + step]
-                    for to, x in zip(out, (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece if keep_ids else None), strict=True):
-                        to.append(x)
+            for lo in range(0, batch.num_rows, 500):
+                split = [t.as_buffer().to_pybytes().split() if t.is_valid else [] for t in batch.column(1).slice(lo, 500)]
+                words.learn(set().union(*split))
+                for doc_id, own in zip(batch.column(0).slice(lo, 500).to_pylist(), split, strict=True):
+                    ids = b"".join(map(get, own)) + end
+                    for at in range(0, len(ids), step):
+                        piece = ids[at : at + step]
+                        for to, x in zip(out, (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece if keep_ids else None), strict=True):
+                            to.append(x)
+                words.forget()
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:5]), pa.array(out[5], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _PIECES)
