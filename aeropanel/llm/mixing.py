@@ -2,59 +2,98 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, hot_safe_rank, materialize
+from .common import WORD, hot_safe_rank, materialize, unused
 
 _FIT = "source_key string, size long, picks long"
 
 
-def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = 65_536) -> np.ndarray:
+def _with_copies(reach: int, size: int, n: int, mask: int) -> int:
+    """The sums of ``reach`` (a bit each) with up to ``n`` copies of ``size`` more, by powers of two."""
+    part = 1
+    while n:
+        k = min(part, n)
+        reach |= (reach << (k * size)) & mask
+        n, part = n - k, part * 2
+    return reach
+
+
+def closest_sum(items: list[tuple[int, int]], goal: int) -> list[int]:
+    """How many of each (size, copies) make the sum closest to ``goal``: a bounded knapsack over a bit for every sum.
+
+    Sums up to twice the goal count, as one above may be closer than all below. Bitsets are kept at every sqrt(n)-th
+    size alone and made again between them when the counts are found by going back.
+    """
+    picks, every, most = [0] * len(items), max(1, math.isqrt(len(items))), 2 * goal
+    reach, marks, used, mask = 1, [], 0, (1 << (most + 1)) - 1
+    for used, (size, n) in enumerate(items, 1):
+        if (used - 1) % every == 0:
+            marks.append(reach)
+        reach = _with_copies(reach, size, min(n, most // size), mask)
+        if reach >> goal & 1:
+            break
+    at = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    if above := reach >> (goal + 1):
+        over = goal + (above & -above).bit_length()
+        at = over if over - goal < goal - at else at
+    for m in range(len(marks) - 1, -1, -1):
+        first, last = m * every, min((m + 1) * every, used)
+        own = [marks[m]]
+        for size, n in items[first : last - 1]:
+            own.append(_with_copies(own[-1], size, min(n, most // size), mask))
+        for j in range(last - 1, first - 1, -1):
+            bits = own.pop().to_bytes(most // 8 + 1, "little")
+            while not bits[at >> 3] >> (at & 7) & 1:
+                at -= items[j][0]
+                picks[j] += 1
+    return picks
+
+
+def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = 65_536) -> np.ndarray:
     """How many of ``counts[i]`` documents of ``sizes[i]`` words (all over 0) to take to come closest to ``budget``.
 
-    The budget's share of every length goes first (the mix keeps its source's lengths), then the longest that fit
-    until ``dp_budget`` or less remains; a bounded-knapsack DP over the remaining lengths fits that: a bit of an
-    integer for each reachable sum, copies in powers of two, counts found by going back.
+    First the budget's share of every length goes (the mix keeps its source's lengths), then the longest that fit until
+    about ``window`` words remain, which ``closest_sum`` fits. A result is taken if no sum could be closer, by the
+    sizes' greatest common divisor; else the window grows to all that the shares leave, then the shares give back
+    1, 8, 64, ... documents a length, until nothing is fixed and the sum is the closest of all.
     """
     sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
-    total = int((sizes * counts).sum())
+    sizes_of, counts_of = sizes.tolist(), counts.tolist()
+    total = sum(s * c for s, c in zip(sizes_of, counts_of, strict=True))
     if budget <= 0 or not total:
         return np.zeros(len(sizes), np.int64)
     if budget >= total:
         return counts.copy()
-    picks = np.array([int(c) * budget // total for c in counts.tolist()], np.int64)
-    rest = budget - int((picks * sizes).sum())
-    order = np.argsort(-sizes, kind="stable")
-    for i in order:
-        if rest <= dp_budget:
-            break
-        k = min(int(counts[i] - picks[i]), max(1, (rest - dp_budget) // int(sizes[i])), rest // int(sizes[i]))
-        picks[i] += k
-        rest -= k * int(sizes[i])
-    most = 2 * rest  # a sum above the budget may be nearer than the best below
-    items = [(int(i), int(sizes[i]), int(counts[i] - picks[i])) for i in order if sizes[i] <= most and counts[i] > picks[i]]
-    mask, reach, before = (1 << (most + 1)) - 1, 1, []
-    for i, size, left in items:
-        before.append(reach)
-        left, part = min(left, most // size), 1
-        while left:
-            k = min(part, left)
-            reach |= (reach << (k * size)) & mask
-            left, part = left - k, part * 2
-        if reach >> rest & 1:
-            break
-    at = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
-    if above := reach >> (rest + 1):
-        over = rest + (above & -above).bit_length()
-        at = over if over - rest < rest - at else at
-    for (i, size, _), was in zip(reversed(items[: len(before)]), reversed(before), strict=True):
-        while not was >> at & 1:
-            at -= size
-            picks[i] += 1
-    return picks
+    share, order = [c * budget // total for c in counts_of], sorted(range(len(sizes)), key=lambda i: -sizes_of[i])
+    divisor = math.gcd(*sizes_of)
+    best, least, free = None, min(budget % divisor, -budget % divisor), 0
+    while True:
+        picks = [max(0, x - free) for x in share]
+        rest = left = budget - sum(p * s for p, s in zip(picks, sizes_of, strict=True))
+        for i in order:
+            if rest <= window:
+                break
+            k = min(counts_of[i] - picks[i], max(1, (rest - window) // sizes_of[i]), rest // sizes_of[i])
+            picks[i] += k
+            rest -= k * sizes_of[i]
+        own = [i for i in order if sizes_of[i] <= 2 * rest and counts_of[i] > picks[i]]
+        for i, k in zip(own, closest_sum([(sizes_of[i], counts_of[i] - picks[i]) for i in own], rest), strict=True):
+            picks[i] += k
+        off = abs(budget - sum(p * s for p, s in zip(picks, sizes_of, strict=True)))
+        if best is None or off < best[0]:
+            best = off, picks
+        if best[0] <= least or (window >= left and free >= max(share)):
+            return np.array(best[1], np.int64)
+        if window < left:
+            window *= 8
+        else:
+            free, window = max(1, 8 * free), 1 << 62
 
 
 def source_targets(sizes: DataFrame, most: float = 3.0) -> DataFrame:
@@ -74,14 +113,15 @@ def source_targets(sizes: DataFrame, most: float = 3.0) -> DataFrame:
     return ranked.withColumn("at", level).withColumn("level", F.max("at").over(all_rows)).select("source_key", F.col("s").cast("long").alias("source_size"), F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
-def mix_plan(docs: DataFrame, most: int = 3, dp_budget: int = 65_536, seed: int = 42) -> DataFrame:
+def mix_plan(docs: DataFrame, most: int = 3, seed: int = 42) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies.
 
     size: words ``[^\\x20\\x09-\\x0D]+`` of the whole text (null or empty: 0). Every source's words times copies come
-    to within a word or so of its target: whole repeats of all its documents (at most ``most``), then one more of
+    as close to its target as they can: whole repeats of all its documents (at most ``most``), then one more of
     some. Documents are counted by exact length; ``fit_budget`` says how many of each length go; which ones, the
     lowest ``xxhash64(doc_id, seed)`` say, so reruns agree. Null sources are a source of their own; a null doc_id and
-    repeated rows are documents like others; documents of no words take part with 0; no rows give no rows.
+    repeated rows are documents like others; documents of no words take part with 0; very long texts count whole; no
+    rows give no rows.
     """
     source = F.col("source").cast("string")
     key = F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
@@ -92,11 +132,11 @@ def mix_plan(docs: DataFrame, most: int = 3, dp_budget: int = 65_536, seed: int
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part[part["size"] > 0]
-        return pd.DataFrame({"source_key": part["source_key"], "size": part["size"], "picks": fit_budget(part["size"].to_numpy(), part["n"].to_numpy(), int(part["budget"].iloc[0]) if len(part) else 0, dp_budget)})
+        return pd.DataFrame({"source_key": part["source_key"], "size": part["size"], "picks": fit_budget(part["size"].to_numpy(), part["n"].to_numpy(), int(part["budget"].iloc[0]) if len(part) else 0)})
 
     picks = materialize(lengths.groupBy("source_key").applyInPandas(fit, _FIT), "picks")
     ranked, before = hot_safe_rank(sizes.withColumn("h", F.xxhash64("doc_id", F.lit(seed))), ["source_key", "size"], "h")
-    quota = before.join(picks, ["source_key", "size"], "left").join(targets, "source_key")
+    quota = before.join(picks, ["source_key", "size"], "left").join(targets, "source_key").hint("merge")  # a row a length and bucket: it grows with the input
     more = (F.col("before") + F.col("in_bucket") < F.coalesce("picks", F.lit(0))).cast("long")
     return ranked.join(quota, ["source_key", "size", "bucket"]).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + more).cast("long").alias("copies"))
 
@@ -106,14 +146,16 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 
     Rows that share a doc_id, source and size are taken as often in all as their plan rows say together.
     """
-    plan = mix_plan(docs, **settings).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    same = Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
-    own = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    plan = plan.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_n"), "_copies", "_rows")
-    found = own.join(plan, own["doc_id"].eqNullSafe(plan["_doc"]) & own["source"].cast("string").eqNullSafe(plan["_source"]) & (own["_size"] == plan["_n"]))
-    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.row_number().over(same) <= F.col("_copies") % F.col("_rows")).cast("long")
-    found = found.withColumn("_take", share.cast("int")).where("_take > 0")
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_take")))).select(*docs.columns)
+    size, take, copy = unused(docs, "size", "take", "copy")
+    plan = mix_plan(docs, **settings).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    p_id, p_source, p_size, copies, rows = unused(docs, "p_id", "p_source", "p_size", "copies", "rows")
+    plan = plan.toDF(p_id, p_source, p_size, copies, rows)
+    same = Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))
+    own = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    found = own.join(plan, F.col("doc_id").eqNullSafe(F.col(p_id)) & F.col("source").cast("string").eqNullSafe(F.col(p_source)) & (F.col(size) == F.col(p_size)))
+    share = F.floor(F.col(copies) / F.col(rows)) + (F.row_number().over(same) <= F.col(copies) % F.col(rows)).cast("long")
+    found = found.withColumn(take, share.cast("int")).where(F.col(take) > 0)
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(take)))).select(*docs.columns)
 
 
 def op5(docs: DataFrame) -> DataFrame:
