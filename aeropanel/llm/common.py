@@ -5,7 +5,10 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +58,22 @@ def hot_safe_rank(df: DataFrame, keys: list[str], h: str, rows_in_bucket: int =
     return ranked, before
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, keys: int = 1024) -> DataFrame:
+    """``rows`` joined with ``table(key, n, ...)``, one row a key, ``n`` the rows that have it (or about).
+
+    A key of over 1/``keys`` of all rows is cut into salts of that share: at most ``keys`` keys, so their table is
+    broadcast, whatever the input's size. No task gets a whole hot key, at any setting of adaptive execution.
+    """
+    share = max(1, (table.agg(F.sum("n")).first()[0] or 0) // keys)
+    salts, salt = "_salts", "_salt"  # ``rows`` and ``table`` are the operators' own
+    hot = F.broadcast(table.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("long").alias(salts)))
+    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.col(salts))
+    left = rows.join(hot, key, "left").withColumn(salt, F.coalesce(spread, F.lit(0))).drop(salts)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(salts) - 1, F.lit(0))))
+    right = table.join(hot, key, "left").withColumn(salt, each).drop(salts)
+    return left.join(right.hint("merge"), [key, salt]).drop(salt)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of ``edges(a, b)``, BIGINT and not null.
 
@@ -73,3 +92,68 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not moved:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+Alike = Callable[[list[bytes], list[bytes]], np.ndarray]
+Cross = Callable[[list[bytes], np.ndarray, list[bytes], np.ndarray], set[tuple[int, int]]]
+
+
+def components_of_blocks(keyed: DataFrame, sig: DataFrame, alike: Alike, cross: Cross, tag: str, rows: int = 2048) -> DataFrame:
+    """(node, label): components of the links between alike nodes that share a block; nodes without a link may lack.
+
+    ``keyed(block, node, loose)``, distinct; ``sig(node, sig binary)``, one row a node. Every node is held against the
+    smallest of each of its blocks (``alike``, of pairs), and components follow. Blocks whose nodes are of several
+    components by then, where they are ``loose`` (not all alike), are searched whole (``across``), so no link is lost
+    and no list of all pairs is made.
+    """
+    heads = keyed.groupBy("block").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("head <> last").drop("last")
+    members = materialize(join_hot(keyed, materialize(heads, f"{tag}-heads"), "block").select("block", "node", "head", "loose"), f"{tag}-members")
+    pairs = members.where("node <> head").select("node", "head").distinct()
+    both = pairs.join(sig, "node").join(sig.select(F.col("node").alias("head"), F.col("sig").alias("other")), "head").select("node", "head", "sig", "other")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.filter(pa.array(alike(batch.column(2).to_pylist(), batch.column(3).to_pylist()), pa.bool_()))
+            yield pa.RecordBatch.from_arrays([found.column(0), found.column(1)], ["a", "b"])
+
+    labels = components(materialize(both.mapInArrow(match, "a long, b long"), f"{tag}-alike"))
+    more = materialize(across(members.where("loose").select("block", "node"), labels, sig, cross, rows), f"{tag}-across")
+    if not more.isEmpty():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    return labels
+
+
+def across(members: DataFrame, labels: DataFrame, sig: DataFrame, cross: Cross, rows: int = 2048) -> DataFrame:
+    """(a, b): labels joined by alike nodes of one block; blocks of over ``rows`` nodes are cut, and each pair of pieces is a group of its own."""
+    own = materialize(members.join(labels, "node", "left").select("block", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    mixed = own.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("block", "n")
+    mixed = materialize(mixed.withColumn("pieces", F.ceil(F.col("n") / rows).cast("int")), "mixed")
+    piece = F.pmod(F.xxhash64("node"), F.col("pieces").cast("long")).cast("int")
+    cut = join_hot(own, mixed, "block").join(sig, "node").withColumn("piece", piece)
+
+    def search(table: pa.Table) -> pa.Table:
+        piece, one, two, label = (table.column(c).to_numpy() for c in ("piece", "one", "two", "label"))
+        sigs, found = table.column("sig").to_pylist(), set()
+        left, right = np.flatnonzero(piece == one), np.flatnonzero(piece == two)
+        names, n = np.unique(label, return_counts=True)
+        most = names[n.argmax()]  # nodes of the commonest label need not meet each other
+        for a, b in ((left[label[left] != most], right), (left[label[left] == most], right[label[right] != most])):
+            if len(a) and len(b):
+                found |= cross([sigs[i] for i in a.tolist()], label[a], [sigs[i] for i in b.tolist()], label[b])
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return in_piece_pairs(cut.select("block", "label", "sig", "piece", "pieces")).groupBy("block", "one", "two").applyInArrow(search, "a long, b long")
+
+
+def in_piece_pairs(cut: DataFrame) -> DataFrame:
+    """Rows with ``piece`` of ``pieces``, once for each pair of pieces (one <= two) that theirs is in."""
+    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    return cut.select("*", other.alias("other")).withColumn("one", F.least("piece", "other")).withColumn("two", F.greatest("piece", "other")).drop("other", "pieces")
+
+
+def label_pairs(i: np.ndarray, j: np.ndarray) -> set[tuple[int, int]]:
+    """Distinct unordered pairs of unlike labels."""
+    some = i != j
+    if not some.any():
+        return set()
+    return set(map(tuple, np.unique(np.sort(np.stack([i[some], j[some]], axis=1), axis=1), axis=0).tolist()))

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from .common import components, materialize
+from .common import Alike, Cross, components, components_of_blocks, in_piece_pairs, join_hot, label_pairs, materialize, unused
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -51,6 +52,12 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
+def part_of(fps: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """The bits of ``part`` of ``parts`` of each fingerprint."""
+    lo, hi = 64 * part // parts, 64 * (part + 1) // parts
+    return (fps >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
+
+
 def _split(fps: np.ndarray, reach: int, rng: np.random.Generator, tries: int = 8) -> tuple[np.uint64, int, float]:
     """A vantage point and radius that copy the fewest points over the boundary; the share that the larger side gets."""
     best = (np.uint64(0), 0, 2.0)
@@ -67,10 +74,10 @@ def _split(fps: np.ndarray, reach: int, rng: np.random.Generator, tries: int = 8
 def build_tree(sample: np.ndarray, leaves: int, reach: int, seed: int = 7) -> list[tuple[int, int, int, int]]:
     """Nodes (vantage point, radius, inner child, outer child), children under 0 being shard -1-x; [] is one shard."""
     rng, nodes, shards = np.random.default_rng(seed), [], [0]
-    depth = max(0, math.ceil(math.log2(max(1, leaves))))
+    depth = 1 + math.ceil(math.log2(leaves)) if leaves > 1 else 0
 
     def grow(fps: np.ndarray, level: int) -> int:
-        if level < depth and len(fps) >= 32:
+        if level < depth and len(fps) >= 16:
             point, radius, share = _split(fps, reach, rng)
             if share < 0.9:
                 at = len(nodes)
@@ -126,90 +133,169 @@ class _Sets:
             self.of[max(i, j)] = min(i, j)
 
 
-def link(fps: np.ndarray, reach: int, small: int = 768, seed: int = 11) -> np.ndarray:
-    """For distinct ``fps``, the index of each one's component root under links of ``reach`` differing bits or fewer.
+def link(left: np.ndarray, right: np.ndarray | None, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fps, root of each): components under links of ``reach`` differing bits or fewer, within ``left`` or between it and ``right``.
 
-    A vantage-point tree again, within the shard; parts of ``small`` points, and parts that no vantage point
-    divides (dense clusters), are compared in blocks, in which a row goes to the components that it touches: no list
-    of pairs is made.
+    Rows are compared in blocks, and a row goes to the components that it touches: no list of pairs is made.
     """
-    rng, sets, stack = np.random.default_rng(seed), _Sets(len(fps)), [np.arange(len(fps))]
-    while stack:
-        own = stack.pop()
-        if len(own) < 2:
-            continue
-        if len(own) > small:
-            some = fps[own] if len(own) <= 4096 else fps[rng.choice(own, 4096, replace=False)]
-            point, radius, share = _split(some, reach, rng)
-            if share < 0.95:
-                d = np.bitwise_count(fps[own] ^ point).astype(np.int64)
-                stack += [own[d <= radius], own[d > radius - reach]]
-                continue
-        values = fps[own]
-        for at in range(0, len(own), 512):
-            near = np.bitwise_count(values[at : at + 512, None] ^ values[None, at:]) <= reach
-            for row in np.nonzero(near.sum(axis=1) > 1)[0].tolist():
-                other = np.nonzero(near[row])[0]
-                if len(other) > 64:  # the touched components, not the points
-                    other = _one_of_each(sets, own, at, other)
-                for j in other.tolist():
-                    sets.join(int(own[at + row]), int(own[at + j]))
-    return np.array([sets.find(i) for i in range(len(fps))], np.int64)
-
-
-def _one_of_each(sets: _Sets, own: np.ndarray, at: int, other: np.ndarray) -> np.ndarray:
-    roots = np.fromiter((sets.find(i) for i in own[at + other].tolist()), np.int64, len(other))
-    return other[np.unique(roots, return_index=True)[1]]
-
-
-def near_duplicates(docs: DataFrame, reach: int = 4, width: int = 4, shard_rows: int = 8192, sample_rows: int = 16_384) -> DataFrame:
+    fps = left if right is None else np.concatenate((left, right))
+    sets, start = _Sets(len(fps)), 0 if right is None else len(left)
+    for at in range(0, len(left), 512):
+        first = at if right is None else start
+        near = np.bitwise_count(left[at : at + 512, None] ^ fps[None, first:]) <= reach
+        for row in np.nonzero(near.sum(axis=1) > (right is None))[0].tolist():
+            other = first + np.nonzero(near[row])[0]
+            if len(other) > 64:  # the touched components, not the points
+                roots = np.fromiter((sets.find(i) for i in other.tolist()), np.int64, len(other))
+                other = other[np.unique(roots, return_index=True)[1]]
+            for j in other.tolist():
+                sets.join(at + row, j)
+    return fps, fps[np.array([sets.find(i) for i in range(len(fps))], np.int64)] if len(fps) else fps
+
+
+def piece_pairs(fps: DataFrame, reach: int, parts: int, shard_rows: int, sample_rows: int) -> DataFrame:
+    """(shard, one, two, piece, fp): groups of two pieces of a shard (or one with itself) in which every pair within ``reach`` meets.
+
+    A pair within ``reach`` differs in ``reach // parts`` bits or fewer in one of ``parts`` parts of its bits. For each
+    part a tree of vantage points, built from at most ``sample_rows`` fingerprints, deals fingerprints out to shards
+    by their part's Hamming distance from vantage points, with copies where a boundary is within that smaller reach
+    (``route``); the sample changes shards' sizes, never a result. Shards of over ``shard_rows`` are cut into pieces.
+    """
+    leaves, near = max(1, math.ceil(fps.count() / shard_rows)), reach // parts
+    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(sample_rows).collect()] if leaves > 1 else [], np.int64).view(np.uint64)
+    trees = [build_tree(part_of(sample, p, parts), leaves, near) for p in range(parts if leaves > 1 else 1)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            for p, tree in enumerate(trees):
+                index, shard = route(part_of(own.view(np.uint64), p, parts), tree, near)
+                yield pa.RecordBatch.from_arrays([pa.array(shard + (p << 32)), pa.array(own[index])], ["shard", "fp"])
+
+    dealt = materialize(fps.select("fp").mapInArrow(deal, "shard long, fp long"), "shards")
+    sizes = dealt.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("pieces"))
+    cut = dealt.join(F.broadcast(sizes), "shard")  # a row a shard: at most sample_rows / 16 a part
+    return in_piece_pairs(cut.withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces").cast("long")).cast("int")))
+
+
+def near_links(fps: DataFrame, reach: int = 4, parts: int | None = None, shard_rows: int = 8192, sample_rows: int = 65_536) -> DataFrame:
+    """(a, b) BIGINT: links that join the distinct fingerprints ``fps(fp)`` of every component; each group of ``piece_pairs`` is searched on its own.
+
+    With the whole fingerprint as one part, boundaries copy 84 % of random ones at each level; with ``reach + 1`` parts
+    (the default) the smaller reach is 0 and nothing is copied over a boundary, so a fingerprint lies in that many shards.
+    """
+
+    def search(table: pa.Table) -> pa.Table:
+        own, piece, one, two = (table.column(c).to_numpy() for c in ("fp", "piece", "one", "two"))
+        left, right = (own[piece == x].view(np.uint64) for x in (one, two))
+        left, root = link(left, None if one[0] == two[0] else right, reach)
+        some = root != left
+        return pa.table({"a": left[some].view(np.int64), "b": root[some].view(np.int64)})
+
+    groups = piece_pairs(fps, reach, parts or reach + 1, shard_rows, sample_rows)
+    return groups.groupBy("shard", "one", "two").applyInArrow(search, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, reach: int = 4, width: int = 4, **settings) -> DataFrame:
     """(doc_id, fp, component_id): fingerprints link at ``reach`` or fewer differing bits; the smallest doc_id reachable.
 
-    Equal fingerprints become one node before any search. A tree of vantage points, built from at most
-    ``sample_rows`` fingerprints, deals nodes out to shards of about ``shard_rows``, with copies at the boundaries, so
-    that every pair meets (``route``); the sample changes the shards' sizes, never a result. Shards give one edge a
-    linked node, to the root of its component there; components over shards follow by label rounds in Spark.
-    Null texts are empty; texts of no words share fingerprint 0; a null doc_id is never a component's id unless all
-    its ids are null; repeated rows are rows of one component; no rows give no rows.
+    Equal fingerprints become one node before any search (``near_links``, which takes the ``settings``); components over
+    shards follow by label rounds in Spark. Null texts are empty; texts of no words share fingerprint 0; a very long
+    text is read whole by one task, in blocks; a null doc_id is never a component's id unless all its ids are null;
+    repeated rows are rows of one component; other columns play no part; no rows give no rows.
     """
     own = materialize(fingerprints(docs, width), "fingerprints")
     nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
-    n = nodes.count()
-    leaves = max(1, math.ceil(n / shard_rows))
-    sample = [r[0] for r in nodes.orderBy(F.xxhash64("fp")).limit(sample_rows).select("fp").collect()] if leaves > 1 else []
-    tree = build_tree(np.array(sample, np.int64).view(np.uint64), leaves, reach)
+    labels = components(materialize(near_links(nodes.select("fp"), reach, **settings), "links"))
+    of = nodes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label"))
+    named = of.join(of.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("fp", "n", "component_id")
+    return join_hot(own, materialize(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).to_numpy()
-            index, shard = route(fps.view(np.uint64), tree, reach)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fps[index])], ["shard", "fp"])
 
-    def search(table: pa.Table) -> pa.Table:
-        fps = table.column("fp").to_numpy()
-        fps = np.sort(fps)
-        root = fps[link(fps.view(np.uint64), reach)]
-        some = root != fps
-        return pa.table({"a": fps[some], "b": root[some]})
+MIXERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]
+
+
+def wide_fingerprint(text: bytes, width: int = 5, block: int = 1 << 13) -> tuple[bytes, list[int]]:
+    """(512 bits of SimHash over the text's distinct shingles, the smallest of each of the 8 words' hashes)."""
+    hashes = np.unique(np.array(shingle_hashes(text, width), np.uint64))
+    ones, least = np.zeros((len(MIXERS), 64), np.int64), np.full(len(MIXERS), (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), block):
+        for i, m in enumerate(MIXERS):
+            x = (hashes[at : at + block] ^ (hashes[at : at + block] >> np.uint64(31))) * np.uint64(m)
+            x ^= x >> np.uint64(29)
+            ones[i] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+            least[i] = min(least[i], x.min())
+    return np.packbits((2 * ones > len(hashes)).ravel(), bitorder="little").tobytes(), least.view(np.int64).tolist()
+
+
+def reach_for(similarity: float, bits: int = 512) -> int:
+    """Differing bits of texts of that Jaccard similarity: their mean, by the cosine 2s / (1 + s), and two deviations more."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+
+
+def alike_within(reach: int) -> tuple[Alike, Cross]:
+    """The tests of ``components_of_blocks`` for binary fingerprints of equal length."""
+
+    def words(sigs: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(sigs), np.uint64).reshape(len(sigs), -1)
+
+    def alike(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        return np.bitwise_count(words(a) ^ words(b)).sum(axis=1) <= reach if a else np.zeros(0, bool)
+
+    def cross(a: list[bytes], label_a: np.ndarray, b: list[bytes], label_b: np.ndarray) -> set[tuple[int, int]]:
+        found, x, y = set(), words(a), np.ascontiguousarray(words(b).T)
+        for at in range(0, len(x), 512):
+            differ = np.zeros((len(x[at : at + 512]), y.shape[1]), np.uint16)
+            for i, own in enumerate(y):
+                differ += np.bitwise_count(x[at : at + 512, i, None] ^ own)
+            i, j = np.nonzero((differ <= reach) & (label_a[at : at + 512, None] != label_b))
+            found |= label_pairs(label_a[at + i], label_b[j])
+        return found
+
+    return alike, cross
+
+
+def similar_groups(rows: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """(the columns of ``rows`` but text, group BIGINT): texts of ``similarity`` or more, by Jaccard, over shingles of ``width`` words share a group.
+
+    At this similarity fingerprints of 64 bits differ in 10 bits and more, and no vantage point divides them: random
+    ones lie within a few bits of the same distance, so a boundary's copies are the whole shard. Hence the fingerprint
+    has 512 bits, of which such texts differ in ``reach_for``, and those meet that share the smallest shingle hash of
+    one of 8 orders, by which a linked pair is missed once in (1 - similarity)^-8, 400,000 times. Common hashes are
+    searched in pieces (``components_of_blocks``).
+    """
+    others = [c for c in rows.columns if c != "text"]
+    schema = StructType([*rows.select(*others).schema.fields, StructField("sig", BinaryType()), StructField("least", ArrayType(LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array([f for f, _ in found], pa.binary()), pa.array([k for _, k in found], pa.list_(pa.int64()))], schema.names)
 
-    edges = nodes.select("fp").mapInArrow(deal, "shard long, fp long").groupBy("shard").applyInArrow(search, "a long, b long")
-    labels = components(materialize(edges, "links"))
-    of = nodes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    named = of.join(of.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    own = rows.withColumn("text", F.col("text").cast("string")).mapInArrow(run, schema).withColumn("node", F.xxhash64("sig"))
+    own = materialize(own, "wide-fingerprints")
+    sig = materialize(own.groupBy("node").agg(F.first("sig").alias("sig"), F.first("least").alias("least"), F.count(F.lit(1)).alias("n")), "wide-nodes")
+    keyed = sig.select("node", F.posexplode("least").alias("i", "h")).select(F.xxhash64("i", "h").alias("block"), "node", F.lit(True).alias("loose")).distinct()
+    labels = components_of_blocks(materialize(keyed, "wide-blocks"), sig.select("node", "sig"), *alike_within(reach_for(similarity)), "wide")
+    of = sig.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("group"))
+    return join_hot(own.drop("sig", "least"), materialize(of, "wide-groups"), "node").select(*others, "group")
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """One document of each component, the one of the smallest doc_id; all its columns.
+def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """One document of each group of ``similar_groups``, the one of the smallest doc_id; all its columns.
 
-    Rows without a doc_id stay where no row of their component has one. Rows that share the kept doc_id give one row.
+    Rows without a doc_id stay where no row of their group has one, then the one of the smallest hash of its text. Of
+    rows equal in doc_id and text one stays, any. Null texts are empty, and texts of no words one group. Very long texts
+    are read whole. No rows give no rows.
     """
-    groups = near_duplicates(docs, **settings)
-    kept = groups.where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    kept = kept.select(F.col("doc_id").alias("_kept"))
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    found = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
-    return found.withColumn("_nth", F.row_number().over(one)).where("_nth = 1 or doc_id is null").drop("_nth")
+    none, at, key = unused(docs, "none", "at", "key")
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.withColumns({none: doc_id.isNull(), at: F.coalesce(doc_id, F.lit(0)), key: F.xxhash64(doc_id, text)})
+    groups = similar_groups(named.select(F.col(none).alias("none"), F.col(at).alias("at"), F.col(key).alias("key"), "text"), similarity, width)
+    kept = groups.groupBy("group").agg(F.min(F.struct("none", "at", "key")).alias("first")).select("first.*").toDF(none, at, key)
+    found = named.join(kept.hint("merge"), [none, at, key], "left_semi")
+    return found.dropDuplicates([none, at, key]).select(*docs.columns)
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,24 +48,66 @@ def clustered(n, seed):
     return np.array(sorted(fps), np.uint64)
 
 
-def test_tree_and_shards_lose_no_link():
+@pytest.mark.parametrize("parts", [1, 2, 3, 5])
+def test_trees_lose_no_link(parts):
     fps = clustered(1500, 1)
-    want = brute_labels([int(x) for x in fps], 4)
-    assert simhash.link(fps, 4, small=40).tolist() == want
-    tree = simhash.build_tree(fps[::3], 16, 4)
-    index, shard = simhash.route(fps, tree, 4)
-    held = [set() for _ in fps]
-    for i, s in zip(index.tolist(), shard.tolist()):
-        held[i].add(s)
-    assert len(set(shard.tolist())) > 4
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
-    assert all(held[i] & held[j] for i, j in np.argwhere(near).tolist())
+    near = np.argwhere(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)
+    together = np.zeros(len(near), bool)
+    for p in range(parts):
+        own = simhash.part_of(fps, p, parts)
+        index, shard = simhash.route(own, simhash.build_tree(own[::3], 16, 4 // parts), 4 // parts)
+        held = np.zeros((len(fps), shard.max() + 1), bool)
+        held[index, shard] = True
+        assert held.shape[1] > 4
+        together |= (held[near[:, 0]] & held[near[:, 1]]).any(axis=1)
+    assert together.all()
+
+
+def roots(pairs):
+    of = {}
+
+    def find(x):
+        while of.setdefault(x, x) != x:
+            x = of[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        of[b] = a
+    return {x: find(x) for x in of}
+
+
+@pytest.mark.parametrize(("parts", "rows"), [(1, 64), (3, 64), (5, 64), (5, 8192)])
+def test_links_join_what_brute_force_joins(spark, parts, rows):
+    fps = clustered(1200, 2)
+    signed = fps.view(np.int64).tolist()
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
+    got = roots((r["a"], r["b"]) for r in simhash.near_links(frame, 4, parts, rows, 400).collect())
+    labels = brute_labels([int(x) for x in fps], 4)
+    by = {}
+    for x, k in zip(signed, labels):
+        by.setdefault(k, set()).add(x)
+    mine = {}
+    for x, k in got.items():
+        mine.setdefault(k, set()).add(x)
+    assert sorted(map(sorted, mine.values())) == sorted(sorted(v) for v in by.values() if len(v) > 1)
+
+
+def test_no_group_outgrows_two_pieces(spark):
+    from pyspark.sql import functions as F
+
+    frame = spark.range(300_000).select(F.xxhash64("id").alias("fp"))
+    frame = frame.union(spark.range(60_000).select((F.col("id") * 2 + 1).alias("fp"))).distinct()  # a third alike in most bits
+    groups = simhash.piece_pairs(frame, 4, 5, 4096, 16_384).groupBy("shard", "one", "two").count()
+    assert groups.agg(F.max("count")).first()[0] < 2 * 4096 * 1.25
 
 
 def test_dense_cluster():
     base = np.uint64(123456789)
     fps = np.unique(np.array([base ^ np.uint64(1 << a) ^ np.uint64(1 << b) for a in range(64) for b in range(64)], np.uint64))
-    assert set(simhash.link(fps, 4, small=100).tolist()) == {0}
+    assert len(set(simhash.link(fps, None, 4)[1].tolist())) == 1
+    both, root = simhash.link(fps[:700], fps[700:], 4)
+    assert len(set(root.tolist())) == 1 and len(both) == len(fps)
 
 
 def test_components(spark):
@@ -83,9 +126,61 @@ def test_components(spark):
     assert want == sorted((str(r["doc_id"]), r["fp"] & (1 << 64) - 1, str(r["component_id"])) for r in got)
     digest = {r["doc_id"]: r["fingerprint"] for r in simhash.op8(docs).collect()}
     assert digest[2001] == "0" * 16 and all(digest[r[0]] == f"{f:016x}" for r, f in zip(rows, fps) if r[0] is not None)
+
+
+def shingles(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else {""}
+
+
+def varied(seed=5, groups=14, own=60):
+    """Texts with edited copies, and how alike they are."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(30, 400))) for _ in range(own)]
+    for i in range(groups):
+        base = texts[i].split()
+        for k in range(4):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), max(1, len(base) * k // 160)):
+                copy[at] = f"new{rng.random()}"
+            texts.append(" ".join(copy if k % 2 else [*copy, "and", "more", f"end{k}"]))
+    return texts
+
+
+def test_similar_groups_hold_all_alike_texts_and_no_others(spark):
+    texts = varied()
+    rows = [(i, t, "en", "a", 1, "x", "y", "z") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["group"] for r in simhash.similar_groups(frame(spark, rows).select("doc_id", "text")).collect()}
+    sets = [shingles(t) for t in texts]
+    likeness = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets[:i])}
+    sure = [(i, j) for (i, j), x in likeness.items() if x >= 0.8]
+    assert len(sure) > 40 and sum(got[i] == got[j] for i, j in sure) >= 0.97 * len(sure)
+    loose = roots([(i, j) for (i, j), x in likeness.items() if x >= 0.6])
+    assert all(loose.get(i) is not None and loose.get(i) == loose.get(j) for i, j in likeness if got[i] == got[j])
+
+
+def test_keep_one_of_each_group(spark):
+    rows = documents() + [(3000 + i, t, "en", "a", 1, "x", "y", "z") for i, t in enumerate(varied(groups=5, own=20))]
+    rows += [(1, "A a", "en", "a", 1, "x", "y", "z"), (None, "a A", "en", "a", 2, "x", "y", "z"), (None, "b b b", "en", "a", 3, "x", "y", "z"), (None, "B b b", "en", "a", 4, "x", "y", "z")]
+    docs = frame(spark, rows)
     kept = simhash.keep_one(docs)
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert kept.columns == docs.columns and sorted(x for x in ids if x is not None) == sorted(set(first.values()))
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    key = docs.select("doc_id", "text").distinct()
+    groups = {(r["doc_id"], r["text"]): r["group"] for r in simhash.similar_groups(key.withColumn("own", key["text"])).withColumnRenamed("own", "text").collect()}
+    first = {}
+    for (doc_id, text), k in groups.items():
+        first.setdefault(k, []).append(((doc_id is None, doc_id or 0), doc_id, text))
+    assert len(got) == len(first) and len(set(got)) == len(got)
+    for (doc_id, text) in got:
+        assert (doc_id is None, doc_id or 0) == min(x for x, *_ in first[groups[doc_id, text]])
+    assert sum(d is None for d, _ in got) == 1  # "b b b" alone: the other texts have ids
+
+
+def test_clashing_columns(spark):
+    docs = frame(spark, documents(6)).withColumnRenamed("bucket", "_none").withColumnRenamed("h", "_KEY").withColumnRenamed("size", "group")
+    assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(docs).count() == simhash.keep_one(frame(spark, documents(6))).count()
 
 
 def test_empty(spark):
