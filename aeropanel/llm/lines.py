@@ -3,29 +3,50 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from .common import Alike, Cross, components_of_blocks, join_hot, label_pairs, materialize, unused
 
 FIELD = "<*>"
 _VARIABLE = re.compile(r"[0-9@]|://")
 _LINES = "doc_id long, key long, line_no int, n int, leaf long, line long, sig binary"
 
 
-def tokens_of(line: str) -> list[str]:
+class _Remembered(dict):
+    """``f`` of each key, emptied when ``most`` are kept."""
+
+    def __init__(self, f: Callable[[str], object], most: int = 300_000):
+        self.f, self.most = f, most
+
+    def __missing__(self, key: str):
+        if len(self) >= self.most:
+            self.clear()
+        found = self[key] = self.f(key)
+        return found
+
+
+def _as_token(t: str) -> str:
+    return FIELD if _VARIABLE.search(t) else t
+
+
+def _as_mark(t: str) -> bytes:
+    return (xxhash.xxh32_intdigest(t) & 0xFFFF).to_bytes(2, "little")
+
+
+def tokens_of(line: str, known: Mapping[str, str] | None = None) -> list[str]:
     """A line's tokens; those with a digit, an at sign or "://" are variable fields."""
-    return [FIELD if _VARIABLE.search(t) else t for t in line.split()]
+    return list(map(_as_token if known is None else known.__getitem__, line.split()))
 
 
-def template_of(line: str, depth: int = 2) -> tuple[list[str], int]:
+def template_of(line: str, depth: int = 2, known: Mapping[str, str] | None = None) -> tuple[list[str], int]:
     """(tokens, leading tokens that choose the leaf); a template is two constant tokens at least, and half of the line: others join as raw text, in a leaf a text."""
-    tokens = tokens_of(line)
+    tokens = tokens_of(line, known)
     fields = tokens.count(FIELD)
     if fields and len(tokens) - fields < max(2, len(tokens) / 2):
         return line.split(), len(tokens)
@@ -36,12 +57,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def place_in_tree(tokens: list[str], depth: int) -> tuple[int, int, bytes]:
+def place_in_tree(tokens: list[str], depth: int, marks: Mapping[str, bytes] | None = None) -> tuple[int, int, bytes]:
     """(leaf, line, signature): hashes of the count with the ``depth`` leading tokens and of all tokens, and 16 bits a token."""
-    text = " ".join(tokens)
     leaf = _signed(xxhash.xxh64_intdigest(f"{len(tokens)} {' '.join(tokens[:depth])}"))
-    sig = np.fromiter((xxhash.xxh32_intdigest(t) & 0xFFFF for t in tokens), "<u2", len(tokens))
-    return leaf, _signed(xxhash.xxh64_intdigest(text, 1)), sig.tobytes()
+    sig = b"".join(map(_as_mark if marks is None else marks.__getitem__, tokens))
+    return leaf, _signed(xxhash.xxh64_intdigest(" ".join(tokens), 1)), sig
 
 
 def alike(a: bytes, b: bytes, least: float) -> bool:
@@ -67,38 +87,42 @@ def may_differ(n: int, least: float) -> int:
     return int((1 - least) * n + 1e-9)
 
 
-def cross_links(sigs: list[bytes], label: np.ndarray, left: np.ndarray, right: np.ndarray, least: float, cells: int = 4_000_000) -> set[tuple[int, int]]:
-    """Pairs of unlike labels that an alike pair of lines, one of ``left`` and one of ``right`` (indices), has."""
-    found: set[tuple[int, int]] = set()
-    sizes = np.fromiter(map(len, sigs), np.int64, len(sigs))
-    for size in np.unique(sizes).tolist():  # one, but for colliding hashes
-        a, b = left[sizes[left] == size], right[sizes[right] == size]
-        if not len(a) or not len(b):
-            continue
-        x, y = (np.frombuffer(b"".join(sigs[i] for i in own.tolist()), "<u2").reshape(len(own), -1) for own in (a, b))
-        y, step = np.ascontiguousarray(y.T), max(1, cells // len(b))
-        for at in range(0, len(a), step):
-            same = np.zeros((len(x[at : at + step]), len(b)), np.int32)
-            for place, tokens in enumerate(y):
-                same += x[at : at + step, place, None] == tokens
-            i, j = np.nonzero((same >= least * x.shape[1] - 1e-9) & (label[a[at : at + step], None] != label[b]))
-            if len(i):
-                pairs = np.unique(np.sort(np.stack([label[a[at + i]], label[b[j]]], axis=1), axis=1), axis=0)
-                found.update(map(tuple, pairs.tolist()))
-    return found
+def alike_lines(least: float) -> tuple[Alike, Cross]:
+    """The tests of ``components_of_blocks`` for signatures."""
+
+    def pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        return np.array([alike(x, y, least) for x, y in zip(a, b, strict=True)], bool)
+
+    def cross(a: list[bytes], label_a: np.ndarray, b: list[bytes], label_b: np.ndarray, cells: int = 4_000_000) -> set[tuple[int, int]]:
+        found: set[tuple[int, int]] = set()
+        size_a, size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        for size in np.intersect1d(size_a, size_b).tolist():  # one, but for colliding hashes
+            left, right = np.flatnonzero(size_a == size), np.flatnonzero(size_b == size)
+            x, y = (np.frombuffer(b"".join(sigs[i] for i in own.tolist()), "<u2").reshape(len(own), -1) for sigs, own in ((a, left), (b, right)))
+            y, step = np.ascontiguousarray(y.T), max(1, cells // len(right))
+            for at in range(0, len(left), step):
+                same = np.zeros((len(x[at : at + step]), len(right)), np.int32)
+                for place, tokens in enumerate(y):
+                    same += x[at : at + step, place, None] == tokens
+                i, j = np.nonzero((same >= least * x.shape[1] - 1e-9) & (label_a[left[at : at + step], None] != label_b[right]))
+                found |= label_pairs(label_a[left[at + i]], label_b[right[j]])
+        return found
+
+    return pairs, cross
 
 
 def parse(docs: DataFrame, depth: int = 2, min_tokens: int = 3) -> DataFrame:
     """``_LINES`` of every line of ``min_tokens`` tokens or more; key: a hash of doc_id and text, so equal rows are one document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, marks = _Remembered(_as_token), _Remembered(_as_mark)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for i, line in enumerate((text or "").split("\n")):
-                    tokens, leading = template_of(line, depth)
+                    tokens, leading = template_of(line, depth, known)
                     if len(tokens) >= min_tokens:
-                        out.append((doc_id, key, i, len(tokens), *place_in_tree(tokens, leading)))
+                        out.append((doc_id, key, i, len(tokens), *place_in_tree(tokens, leading, marks)))
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, types, strict=True)], [x.split()[0] for x in _LINES.split(", ")])
 
@@ -109,15 +133,14 @@ def template_groups(lines: DataFrame, least: float = 0.8, depth: int = 2) -> Dat
     """(line, template): lines that share a template with another text; template is the group's smallest line hash.
 
     Within a leaf, lines with ``least`` of their tokens equal, place by place, belong together. Lines of equal text
-    count once. As alike lines share a block, each distinct line is held against the smallest line of each of its
-    blocks' groups, and groups grow along such matches. Blocks whose lines are of several groups by then are
-    searched whole (``across``), so no link is missed. Leaves of one text take no part.
+    count once. Alike lines share a block, and ``components_of_blocks`` links the lines of blocks, so no link is
+    missed. Leaves of one text take no part.
     """
-    # written, here and below, so that joins have shuffles of their own on both sides, which adaptive execution can split where a key is common
     lines = lines.where(F.floor(F.lit(1 - least) * F.col("n") + 1e-9) >= 1)  # others are alike only where they are equal
-    several = materialize(lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("leaf"), "leaves")
-    # distinct lines come first, so repeated ones are not shuffled again; the hint keeps one plan at every size
-    texts = materialize(lines.groupBy("leaf", "line").agg(F.first("sig").alias("sig")).join(several.hint("merge"), "leaf", "left_semi"), "leaf-lines")
+    # distinct lines come first, so repeated ones are not shuffled again
+    texts = materialize(lines.groupBy("leaf", "line").agg(F.first("sig").alias("sig")), "distinct-lines")
+    several = materialize(texts.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "leaves")
+    texts = materialize(join_hot(texts, several, "leaf").drop("n"), "leaf-lines")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,47 +149,13 @@ def template_groups(lines: DataFrame, least: float = 0.8, depth: int = 2) -> Dat
                 for leaf, line, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True)
                 for i, tokens in blocks_of(sig, least, depth)
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, [pa.int64(), pa.int64(), pa.bool_()], strict=True)], ["block", "line", "loose"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 3, [pa.int64(), pa.int64(), pa.bool_()], strict=True)], ["block", "node", "loose"])
 
-    keyed = materialize(texts.select("leaf", "line", "sig").mapInArrow(blocks, "block long, line long, loose boolean"), "blocks")
-    heads = materialize(keyed.groupBy("block").agg(F.min("line").alias("head"), F.max("line").alias("last")).where("head <> last").drop("last"), "heads")
-    members = materialize(keyed.join(heads, "block").select("block", "line", "head", "loose"), "members")
-    pairs = members.where("line <> head").select("line", "head").distinct()
-    sig = texts.select("line", "sig")
-    both = pairs.join(sig, "line").join(sig.select(F.col("line").alias("head"), F.col("sig").alias("other")), "head").select("line", "head", "sig", "other")
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = pa.array([alike(a, b, least) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
-            found = batch.filter(keep)
-            yield pa.RecordBatch.from_arrays([found.column(0), found.column(1)], ["a", "b"])
-
-    edges = materialize(both.mapInArrow(match, "a long, b long"), "alike")
-    labels = components(edges)
-    more = materialize(across(members.where("loose").select("block", "line"), labels, sig, least), "across")
-    if not more.isEmpty():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
+    keyed = materialize(texts.select("leaf", "line", "sig").mapInArrow(blocks, "block long, node long, loose boolean"), "blocks")
+    labels = components_of_blocks(keyed, texts.select(F.col("line").alias("node"), "sig"), *alike_lines(least), "line")
     return labels.select(F.col("node").alias("line"), F.col("label").alias("template"))
 
 
-def across(members: DataFrame, labels: DataFrame, sig: DataFrame, least: float, rows: int = 2048) -> DataFrame:
-    """(a, b): labels joined by alike lines of one block; blocks of over ``rows`` lines are cut, and each pair of pieces is a group of its own."""
-    own = materialize(members.join(labels.withColumnRenamed("node", "line"), "line", "left").select("block", "line", F.coalesce("label", "line").alias("label")), "labelled")
-    mixed = own.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("pieces")).where("a <> b")
-    mixed = materialize(mixed.select("block", "pieces"), "mixed")
-    piece = F.pmod(F.xxhash64("line"), F.col("pieces").cast("long")).cast("int")
-    cut = own.join(mixed, "block").join(sig, "line").withColumn("piece", piece)
-    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    dealt = cut.select("block", "label", "sig", "piece", other.alias("other")).withColumn("one", F.least("piece", "other")).withColumn("two", F.greatest("piece", "other"))
-
-    def search(table: pa.Table) -> pa.Table:
-        piece, one, two = (table.column(c).to_numpy() for c in ("piece", "one", "two"))
-        found = cross_links(table.column("sig").to_pylist(), table.column("label").to_numpy(), np.flatnonzero(piece == one), np.flatnonzero(piece == two), least)
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return dealt.drop("other").groupBy("block", "one", "two").applyInArrow(search, "a long, b long")
-
-
 def repeated_lines(docs: DataFrame, least: float = 0.8, depth: int = 2, min_tokens: int = 3, min_docs: int = 2) -> DataFrame:
     """(key, doc_id, gone array<int>): of every document with some, the numbers of the lines to drop.
 
@@ -178,27 +167,43 @@ def repeated_lines(docs: DataFrame, least: float = 0.8, depth: int = 2, min_toke
     slim = lines.select("doc_id", "key", "line_no", "line").join(groups, "line", "left").select("doc_id", "key", "line_no", F.coalesce("template", "line").alias("template"))
     slim = materialize(slim, "templates")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line_no")
-    by_doc = slim.groupBy("template", "doc_id", "key").agg(F.min(place).alias("place"))
-    # written for the same reason: a template of many lines is split
-    often = materialize(by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where(F.col("n") >= min_docs), "often")
-    gone = slim.join(often, "template").where((F.col("key") != F.col("first.key")) | (F.col("line_no") != F.col("first.line_no")) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
-    return gone.groupBy("key", "doc_id").agg(F.collect_set("line_no").alias("gone"))
+    by_doc = slim.groupBy("template", "doc_id", "key").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
+    often = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.min("place").alias("first")).where(F.col("docs") >= min_docs)
+    found = join_hot(slim, materialize(often.drop("docs"), "often"), "template")
+    gone = found.where((F.col("key") != F.col("first.key")) | (F.col("line_no") != F.col("first.line_no")) | ~F.col("doc_id").eqNullSafe(F.col("first.doc_id")))
+    return gone.groupBy("key", "doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+
+
+def without(text: str, gone: str) -> Column:
+    """The text without the lines whose numbers the sorted array ``gone`` has, in time that grows with the lines.
+
+    The numbers become a flag a line (the gap before each, then true), read by place.
+    """
+    gap = lambda x, i: x - F.when(i == 0, 0).otherwise(F.get(F.col(gone), i - 1) + 1)
+    flags = F.flatten(F.transform(gone, lambda x, i: F.concat(F.array_repeat(F.lit(False), gap(x, i)), F.array(F.lit(True)))))
+    # the flags come in by a one-element array, so that they are made once a text
+    rest = F.transform(F.array(flags), lambda f: F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.coalesce(F.get(f, i), F.lit(False))), "\n"))
+    return rest[0]
 
 
 def drop_repeated(docs: DataFrame, **settings) -> DataFrame:
     """All rows and columns of ``docs``, the text without the lines of recurring templates, and how many went (lines_dropped).
 
     Null and empty texts stay as they are; a text all of whose lines go is empty; rows that are equal in doc_id and text are
-    one document; null ids come last; blank lines, and lines of under ``min_tokens`` tokens, stay; no rows give no rows.
+    one document; null ids come last; blank lines, and lines of under ``min_tokens`` tokens, stay; a very long text is
+    read whole by one task; no rows give no rows. Where ``docs`` has a column lines_dropped, it stays, and the count is
+    ``_lines_dropped`` (or with as many underscores as set it apart).
     """
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    own = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_key").alias("key"), F.col("text").cast("string").alias("text")).where("text is not null and text <> ''")
-    gone = repeated_lines(own, **settings).select(F.col("key").alias("_gone_key"), F.col("doc_id").alias("_gone_id"), "gone")
-    found = keyed.join(gone, (F.col("_key") == F.col("_gone_key")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_gone_id")), "left")
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest)
-    dropped = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
-    return found.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], dropped.alias("_dropped")).withColumnRenamed("_dropped", "lines_dropped")
+    key, at, gone, again = unused(docs, "key", "at", "gone", "again")
+    counted = "lines_dropped" if "lines_dropped" not in map(str.lower, docs.columns) else unused(docs, "lines_dropped")[0]
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    keyed = docs.withColumns({key: F.xxhash64(doc_id, text), at: doc_id})
+    own = keyed.select(F.col(at).alias("doc_id"), F.col(key).alias("key"), text.alias("text")).where("text is not null and text <> ''")
+    rows = repeated_lines(own, **settings).toDF(again, f"{again}_id", gone)
+    found = keyed.join(rows, (F.col(key) == F.col(again)) & F.col(at).eqNullSafe(F.col(f"{again}_id")), "left")
+    left = F.when(F.col(gone).isNull(), F.col("text")).otherwise(without("text", gone))
+    dropped = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long")
+    return found.select(*[left.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], dropped.alias(counted))
 
 
 def op3(docs: DataFrame) -> DataFrame:
@@ -210,5 +215,5 @@ def dedup_documents(docs: DataFrame, **settings) -> DataFrame:
     """``drop_repeated`` with the columns of ``docs`` alone; where lines went, n_chars is the new text's."""
     out = drop_repeated(docs, **settings)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(out.columns[-1]) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

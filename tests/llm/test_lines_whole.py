@@ -2,7 +2,7 @@
 
 import random
 
-from aeropanel.llm import lines
+from aeropanel.llm import common, lines
 
 from .fixtures import frame
 
@@ -57,13 +57,48 @@ def test_blocks_cut_in_pieces_give_the_same_links(spark):
     rng = random.Random(9)
     own = ["from the old town " + " ".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
     tokens = {line: sig for line, sig in ((x[1], x[2]) for x in (lines.place_in_tree(t.split(), 2) for t in own))}
-    members = spark.createDataFrame([(1, k) for k in tokens], "block long, line long")
-    sig = spark.createDataFrame([(k, bytearray(v)) for k, v in tokens.items()], "line long, sig binary")
+    members = spark.createDataFrame([(1, k) for k in tokens], "block long, node long")
+    sig = spark.createDataFrame([(k, bytearray(v)) for k, v in tokens.items()], "node long, sig binary")
     labels = spark.createDataFrame([], "node long, label long")
-    whole, cut = ({tuple(r) for r in lines.across(members, labels, sig, 0.8, rows).collect()} for rows in (2048, 40))
+    whole, cut = ({tuple(r) for r in common.across(members, labels, sig, lines.alike_lines(0.8)[1], rows).collect()} for rows in (2048, 40))
     assert whole == cut == {(a, b) for a, x in tokens.items() for b, y in tokens.items() if a < b and lines.alike(x, y, 0.8)}
 
 
 def test_rows_of_fields_join_by_their_text_alone(spark):
     texts = ["12 45 7\n2024-01-01 3.4 5.6\n13 45 8\nhttps://a.b/1\nPage 3", "1 2 3\n2024-01-02 3.5 5.6\n4 5 6 7 8\n4 5 6 7 9\nhttps://a.b/2\nPage 4", "12 45 7\n2024-01-03 1 1 x\nhttps://a.b/1\nthe pump 3 was on at 7", "the pump 4 was on at 8"]
     assert op3(spark, texts) == [*texts[:2], "2024-01-03 1 1 x\nthe pump 3 was on at 7", ""]
+
+
+def test_a_long_text_of_repeated_lines_takes_linear_time(spark):
+    import time
+
+    body = "\n".join(f"the line number x{'abcdefgh'[i % 8]} of the same old text" for i in range(120_000))
+    began = time.time()
+    got = op3(spark, [body, "alone\n" + body, ""])
+    assert time.time() - began < 120
+    assert got == ["the line number xa of the same old text", "alone", ""]
+
+
+def test_flags_by_gaps(spark):
+    rows = [("a\nb\nc\nd", [0]), ("a\nb\nc\nd", [1, 3]), ("a", [0]), ("\n\n", [1]), ("a\nb\nc\nd", [0, 1, 2, 3])]
+    out = spark.createDataFrame(rows, "text string, gone array<int>").select(lines.without("text", "gone").alias("t")).collect()
+    assert [r["t"] for r in out] == ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, g in rows]
+
+
+def test_clashing_columns(spark):
+    rows = [(i, f"one two three four five\nown{i} a b c d", "en", "a", 4, "x", "y", "z") for i in range(4)]
+    docs = frame(spark, rows).withColumnRenamed("bucket", "lines_dropped").withColumnRenamed("h", "_key").withColumnRenamed("size", "_GONE")
+    out = lines.drop_repeated(docs)
+    assert out.columns[:-1] == docs.columns and sorted(r[-1] for r in out.collect()) == [0, 2, 2, 2]
+    kept = lines.dedup_documents(docs)
+    assert kept.columns == docs.columns and {r["lines_dropped"] for r in kept.collect()} == {"x"}
+
+
+def test_join_hot_keeps_every_row(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).cast("long").alias("k"), "id")
+    table = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    for keys in (2, 64, 100_000):
+        out = common.join_hot(rows, table, "k", keys)
+        assert out.columns == ["k", "id", "n"] and out.count() == 5000 and out.select("id").distinct().count() == 5000
