@@ -104,6 +104,7 @@ class HMM:
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
+    history: tuple[float, ...] = ()  # the training texts' log10 likelihood by the model that each round began with
 
 
 class _Steps:
@@ -137,40 +138,76 @@ def likelihoods(model: HMM, sequences: list[np.ndarray]) -> np.ndarray:
     return back
 
 
-def expected_counts(model: HMM, sequences: list[np.ndarray], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch's sums over sequences (single precision inside): starts (of those marked ``first``), moves, emissions [K, symbols], log10 likelihood."""
-    steps, emit, move = _Steps(sequences), np.ascontiguousarray(model.emit.T, np.float32), model.move.astype(np.float32)
+def expected_counts(model: HMM, sequences: list[np.ndarray], span: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch's sums over whole sequences (single precision inside): starts, moves, emissions [K, symbols], log10 likelihood.
+
+    Memory is bounded by ``span`` steps: the forward recursion keeps its state at every ``span``-th step, and the
+    backward one makes the steps between anew.
+    """
+    steps, emit, move, first = _Steps(sequences), np.ascontiguousarray(model.emit.T, np.float32), model.move.astype(np.float32), model.start.astype(np.float32)
     k, at, active = len(move), steps.at, steps.active.tolist()
-    alpha, scales = np.empty((len(steps.symbols), k), np.float32), np.empty(len(steps.symbols), np.float32)
-    begin = np.where(first[steps.order][:, None], model.start, model.start @ np.linalg.matrix_power(model.move, 64)).astype(np.float32)
-    for t, n in enumerate(active):
-        e = emit[steps.symbols[at[t] : at[t + 1]]]
-        a = begin * e if t == 0 else (alpha[at[t - 1] : at[t - 1] + n] @ move) * e
-        s = a.sum(axis=1)
-        scales[at[t] : at[t + 1]] = s
-        np.divide(a, s[:, None], out=alpha[at[t] : at[t + 1]])
-    moves, beta = np.zeros((k, k)), np.ones((0, k), np.float32)
-    for t in range(len(active) - 1, -1, -1):
-        own = alpha[at[t] : at[t + 1]]
-        full = np.ones((active[t], k), np.float32)
-        if t + 1 < len(active):
-            n = active[t + 1]
-            ahead = emit[steps.symbols[at[t + 1] : at[t + 2]]] * beta / scales[at[t + 1] : at[t + 2], None]
-            moves += own[:n].T @ ahead
+
+    def forward(a: np.ndarray | None, lo: int, hi: int, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None, float]:
+        """From the state before step ``lo``: that after step ``hi - 1`` and, to keep, all states and scales."""
+        base, log = at[lo], 0.0
+        states = np.empty((at[hi] - base, k), np.float32) if keep else None
+        scales = np.empty(at[hi] - base, np.float32) if keep else None
+        for t in range(lo, hi):
+            e = emit[steps.symbols[at[t] : at[t + 1]]]
+            a = first * e if a is None else (a[: active[t]] @ move) * e
+            s = a.sum(axis=1)
+            a = a / s[:, None]
+            if keep:
+                states[at[t] - base : at[t + 1] - base], scales[at[t] - base : at[t + 1] - base] = a, s
+                log += float(np.log10(s, dtype=np.float64).sum())
+        return a, states, scales, log
+
+    begins = list(range(0, len(active), span))
+    entry, a = [], None
+    for lo in begins:
+        entry.append(a)
+        if lo != begins[-1]:
+            a = forward(a, lo, lo + span, False)[0]
+    moves, emitted, starts, log, ahead = np.zeros((k, k)), np.zeros((model.emit.shape[1], k)), np.zeros(k), 0.0, np.zeros((0, k), np.float32)
+    for lo, a in zip(reversed(begins), reversed(entry), strict=True):
+        hi = min(lo + span, len(active))
+        last, states, scales, own_log = forward(a, lo, hi, True)
+        log += own_log
+        for t in range(hi - 1, lo - 1, -1):
+            own = slice(at[t] - at[lo], at[t + 1] - at[lo])
+            n, full = len(ahead), np.ones((active[t], k), np.float32)
+            moves += states[own][:n].T @ ahead
             full[:n] = ahead @ move.T
-        beta = full
-        own *= beta  # alpha turns into the posterior
-    alpha /= alpha.sum(axis=1, keepdims=True)
-    emitted = np.stack([np.bincount(steps.symbols, alpha[:, i], model.emit.shape[1]) for i in range(k)])
-    starts = alpha[: at[1]][first[steps.order]].sum(axis=0, dtype=float)
-    return starts, moves * model.move, emitted, float(np.log10(scales, dtype=np.float64).sum())
+            ahead = emit[steps.symbols[at[t] : at[t + 1]]] * full / scales[own, None]
+            states[own] *= full  # turns into the posterior
+        states /= states.sum(axis=1, keepdims=True)
+        symbols = steps.symbols[at[lo] : at[hi]]
+        for i in range(k):
+            emitted[:, i] += np.bincount(symbols, states[:, i], model.emit.shape[1])
+        if lo == 0:
+            starts = states[: at[1]].sum(axis=0, dtype=float)
+    return starts, moves * model.move, emitted.T, log
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[list[np.ndarray]]:
+    """Sequences of about ``most`` symbols at a time, over batches, so that long ones are handled side by side."""
+    own, n = [], 0
+    for batch in batches:
+        for row in batch.column(0):
+            own.append(np.frombuffer(row.as_buffer(), np.int32))
+            n += len(own[-1])
+            if n > most:
+                yield own
+                own, n = [], 0
+    if own:
+        yield own
 
 
-def _groups(sequences: list[np.ndarray], most: int = 400_000) -> Iterator[list[int]]:
-    """Indexes of sequences of alike lengths, of about ``most`` symbols."""
+def _groups(sequences: list[np.ndarray], most: int = 400_000, long: int = 2048) -> Iterator[list[int]]:
+    """Indexes of sequences of alike lengths, of about ``most`` symbols; those of over ``long`` symbols are one group, as each step costs the same for few and many."""
     order, own, n = sorted(range(len(sequences)), key=lambda i: -len(sequences[i])), [], 0
     for i in order:
-        if own and n + len(sequences[i]) > most:
+        if own and n + len(sequences[i]) > most and len(sequences[i]) <= long:
             yield own
             own, n = [], 0
         own.append(i)
@@ -199,13 +236,13 @@ def encode(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
     return texts.select(F.col("text").cast("string")).mapInArrow(run, "ids binary")
 
 
-def train(texts: DataFrame, vocab: Vocabulary, states: int = 12, rounds: int = 4, segment: int = 1024, prior: float = 50.0) -> HMM:
-    """Baum-Welch over all rows of ``texts(text, doc_id)``.
+def train(texts: DataFrame, vocab: Vocabulary, states: int = 12, rounds: int = 4, prior: float = 50.0) -> HMM:
+    """Baum-Welch over all rows of ``texts(text, doc_id)``, whole sequences each.
 
     States begin as the smoothed words of the ``states`` documents of the lowest hashes, moves as staying 9 times of 10.
-    In each round tasks sum expected counts over their documents, cut into ``segment`` symbols for this alone (later
-    segments begin from where a chain settles and don't count as starts); Spark sums tasks' counts by symbol.
-    Emissions are smoothed by ``prior`` words of the overall frequencies.
+    In each of ``rounds`` tasks sum expected counts over their documents; Spark sums tasks' counts by symbol.
+    Emissions are smoothed by ``prior`` words of the overall frequencies. The model's ``history`` has the texts'
+    likelihood before each round, which rises.
     """
     unigram = (vocab.symbol_n() + 0.5) / (vocab.symbol_n() + 0.5).sum()
     move = np.full((states, states), 0.1 / max(1, states - 1))
@@ -216,42 +253,37 @@ def train(texts: DataFrame, vocab: Vocabulary, states: int = 12, rounds: int = 4
     ids = materialize(encode(texts, vocab), "symbols")
     few = encode(texts.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(states), vocab).collect()
     for k, row in enumerate(few):
-        own = np.bincount(np.frombuffer(row["ids"], np.int32)[:4096], minlength=vocab.size)
+        own = np.bincount(np.frombuffer(row["ids"], np.int32), minlength=vocab.size)
         emit[k] = (own + prior * unigram) / (own.sum() + prior)
     model = HMM(np.full(states, 1 / states), move, emit)
     columns = [f"k{i}" for i in range(states)]
     for _ in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], model: HMM = model) -> Iterator[pa.RecordBatch]:
-            starts, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((states, vocab.size))
-            for batch in batches:
-                parts, first = [], []
-                for row in batch.column(0):
-                    own = np.frombuffer(row.as_buffer(), np.int32)
-                    for at in range(0, len(own), segment):
-                        parts.append(own[at : at + segment])
-                        first.append(at == 0)
-                marks = np.array(first)
-                for group in _groups(parts):
-                    a, b, c, _ = expected_counts(model, [parts[i] for i in group], marks[group])
+            starts, moves, emitted, log = np.zeros(states), np.zeros((states, states)), np.zeros((states, vocab.size)), 0.0
+            for sequences in _gathered(batches):
+                for group in _groups(sequences):
+                    a, b, c, d = expected_counts(model, [sequences[i] for i in group])
                     starts += a
                     moves += b
                     emitted += c
+                    log += d
             some = np.flatnonzero(emitted.sum(axis=0) > 0)
-            rows = np.concatenate((starts[:, None], moves.T, emitted[:, some]), axis=1)
-            index = np.concatenate((np.arange(-1 - states, 0), some))
+            rows = np.concatenate((np.full((states, 1), log), starts[:, None], moves.T, emitted[:, some]), axis=1)
+            index = np.concatenate((np.arange(-2 - states, 0), some))
             yield pa.RecordBatch.from_arrays([pa.array(index), *(pa.array(r) for r in rows)], ["symbol", *columns])
 
         sums = ids.mapInArrow(run, "symbol long, " + ", ".join(f"{c} double" for c in columns)).groupBy("symbol").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
-        symbol = sums.column("symbol").to_numpy() + states + 1
-        table = np.zeros((states + 1 + vocab.size, states))
+        symbol = sums.column("symbol").to_numpy() + states + 2
+        table = np.zeros((states + 2 + vocab.size, states))
         table[symbol] = np.stack([sums.column(c).to_numpy() for c in columns], axis=1)
         # sums in another order differ in the last bits
-        starts, moves, emitted = table[0], table[1 : states + 1].T, table[states + 1 :].T
+        starts, moves, emitted = table[1], table[2 : states + 2].T, table[states + 2 :].T
         model = HMM(
             (starts + 1 / states) / (starts.sum() + 1),
             (moves + 1 / states) / (moves.sum(axis=1, keepdims=True) + 1),
             (emitted + prior * unigram) / (emitted.sum(axis=1, keepdims=True) + prior),
+            (*model.history, float(table[0, 0])),
         )
     return model
 
@@ -318,7 +350,8 @@ def fold(parts: int):
 def op1(docs: DataFrame, states: int = 12, rounds: int = 4) -> DataFrame:
     """Learns from rows whose fold of 5 is not 1 and scores all; the contract's columns.
 
-    Null texts are empty: their end alone. A null doc_id is neither learned from nor held out; repeated rows count each
+    Null texts are empty: their end alone; a very long text is one sequence, in memory that grows with its tokens alone.
+    Other columns play no part. A null doc_id is neither learned from nor held out; repeated rows count each
     time; with nothing to learn from all tokens are unknown; no rows give no rows.
     """
     learned = docs.where(fold(5) != 1).select("doc_id", F.col("text").cast("string").alias("text"))

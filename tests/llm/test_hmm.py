@@ -27,7 +27,8 @@ def paths(model, seq):
         yield path, p
 
 
-def test_forward_and_counts_are_sums_over_all_paths():
+@pytest.mark.parametrize("span", [1, 2, 3, 1024])
+def test_forward_and_counts_are_sums_over_all_paths(span):
     model, rng = some_model(), random.Random(2)
     seqs = [np.array([rng.randrange(5) for _ in range(n)]) for n in (1, 4, 2, 6, 3)]
     logs = hmm.likelihoods(model, seqs)
@@ -41,11 +42,24 @@ def test_forward_and_counts_are_sums_over_all_paths():
                 emitted[z, x] += p / total
                 if t:
                     moves[path[t - 1], z] += p / total
-    got = hmm.expected_counts(model, seqs, np.ones(5, bool))
+    got = hmm.expected_counts(model, seqs, span)
     assert np.allclose(got[0], starts, atol=1e-4) and np.allclose(got[1], moves, atol=1e-4) and np.allclose(got[2], emitted, atol=1e-4)
     assert got[3] == pytest.approx(logs.sum(), rel=1e-5)
 
 
+def test_long_and_short_sequences_together():
+    model, rng = some_model(4, 30, 5), np.random.default_rng(1)
+    seqs = [rng.integers(0, 30, n) for n in (5000, 1, 2500, 40, 40, 3)]
+    whole, cut = hmm.expected_counts(model, seqs, 1 << 20), hmm.expected_counts(model, seqs, 700)
+    each = [hmm.expected_counts(model, [s]) for s in seqs]
+    for i in range(3):
+        assert np.allclose(whole[i], cut[i], rtol=1e-3) and np.allclose(whole[i], sum(x[i] for x in each), rtol=1e-3)
+    assert whole[3] == pytest.approx(cut[3]) == pytest.approx(float(hmm.likelihoods(model, seqs).sum()), rel=1e-5)
+    assert whole[1].sum() == pytest.approx(sum(len(s) - 1 for s in seqs), rel=1e-4)
+    groups = list(hmm._groups(seqs, 50))
+    assert sorted(i for g in groups for i in g) == list(range(6)) and groups[0] == [0, 2]
+
+
 def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), "\n"]
 
@@ -89,6 +103,13 @@ def test_classes_sum_to_one(spark):
     assert np.allclose(model.emit.sum(axis=1), 1) and np.allclose(model.move.sum(axis=1), 1) and model.start.sum() == pytest.approx(1)
 
 
+def test_training_raises_the_likelihood(spark):
+    docs = frame(spark, corpus(80))
+    vocab = hmm.vocabulary(hmm.count_tokens(docs))
+    model = hmm.train(docs, vocab, states=4, rounds=5, prior=0.01)
+    assert len(model.history) == 5 and all(b > a for a, b in zip(model.history, model.history[1:]))
+
+
 def test_nothing_to_learn_from(spark):
     assert hmm.op1(frame(spark, [])).collect() == []
     got = hmm.op1(frame(spark, [(None, "a b", None, None, None, None, None, None)])).collect()
