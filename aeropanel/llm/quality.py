@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import unused
+
 WIDTH, BLOCK, BLOCKS = 6, 32, 8  # a filter's bytes; positions of a block; a chunk is 8 blocks and shares one with the next
 STEP = BLOCK * (BLOCKS - 1)
 
@@ -95,13 +97,16 @@ def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(([0], np.cumsum(counts)))
 
 
-def _gradients(model: ByteCNN, chunks: np.ndarray, bounds: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> list[np.ndarray]:
+def _gradients(model: ByteCNN, chunks: np.ndarray, bounds: np.ndarray, labels: np.ndarray, weights: np.ndarray, rows: int = 2048) -> list[np.ndarray]:
     span, n_filters = BLOCK * BLOCKS, model.filters.shape[2]
-    x = model.filters[0][chunks[:, :span]]
-    for i in range(1, WIDTH):
-        x += model.filters[i][chunks[:, i : span + i]]
-    best = x.argmax(axis=1)
-    pooled = np.take_along_axis(x, best[:, None], 1)[:, 0]
+    best, pooled = np.empty((len(chunks), n_filters), np.int64), np.empty((len(chunks), n_filters), model.filters.dtype)
+    for at in range(0, len(chunks), rows):  # a long text's chunks, some at a time
+        part = chunks[at : at + rows]
+        x = model.filters[0][part[:, :span]]
+        for i in range(1, WIDTH):
+            x += model.filters[i][part[:, i : span + i]]
+        best[at : at + rows] = x.argmax(axis=1)
+        pooled[at : at + rows] = np.take_along_axis(x, best[at : at + rows, None], 1)[:, 0]
     p, doc, u, v = model.head(pooled, bounds)
     h, size = u.shape[1], np.diff(bounds)
     g = ((p - labels) * weights / weights.sum()).astype(np.float32)
@@ -126,10 +131,10 @@ def _slice(text: bytes, rng: np.random.Generator) -> bytes:
     return text[at : at + n]
 
 
-def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 8, least_steps: int = 300, batch: int = 32, rate: float = 0.01, seed: int = 1) -> ByteCNN:
+def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int = 8, least_steps: int = 300, batch: int = 32, rate: float = 0.01, sliced: float = 0.25, seed: int = 1) -> ByteCNN:
     """Weighted logistic loss, Adam, a falling rate, more epochs where few texts give few steps; the given order and seed make it repeatable.
 
-    In one of four visits a text of label 1 gives way to a slice of it: short good texts are rare, and good.
+    In a share ``sliced`` of the visits a text, of either label, gives way to a slice of it, so that length tells little.
     """
     model, rng = ByteCNN.new(seed=seed), np.random.default_rng(seed)
     share = float((labels * weights).sum() / weights.sum()) if len(labels) else 0.5
@@ -145,7 +150,7 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
             own = order[at : at + batch]
-            chunks, bounds = _windows([_slice(texts[i], rng) if labels[i] == 1 and rng.random() < 0.25 else texts[i] for i in own])
+            chunks, bounds = _windows([_slice(texts[i], rng) if rng.random() < sliced else texts[i] for i in own])
             step += 1
             now = rate * (1 - 0.95 * step / steps)
             for x, g, m, s in zip(model.parts(), _gradients(model, chunks, bounds, labels[own], weights[own]), first, second, strict=True):
@@ -155,20 +160,22 @@ def fit(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, epochs: int
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1200, most_bytes: int = 16_384) -> ByteCNN:
-    """Fit on a bounded sample: at most ``rows_per_label`` whole documents of each label, those of the lowest hashes (a 16th of them in each of 16 parts) among documents of at most ``most_bytes`` bytes.
+def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1200) -> ByteCNN:
+    """Fit on a bounded sample: at most ``rows_per_label`` whole documents of each label, of any length, those of the lowest hashes (a 16th of them in each of 16 parts).
 
-    ``docs(doc_id, text)``, ``labels(doc_id, quality)`` with quality 0 or 1; other qualities and null texts are not
-    learned from. Labels weigh as often as they occur among all labelled rows.
+    ``docs(doc_id, text)``, ``labels(doc_id, quality)`` with quality 0 or 1; other qualities, doc_ids with both and null
+    texts are not learned from; of several texts of one doc_id the one of the lowest hash is. Labels weigh as often as
+    they occur among all labelled rows.
     """
-    known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
+    known = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= most_bytes)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     parts = 16
     by = Window.partitionBy("quality", "part").orderBy("h", "doc_id")
     there = known.join(texts.select("doc_id"), "doc_id", "left_semi").withColumn("h", F.xxhash64("doc_id", F.lit(5))).withColumn("part", F.pmod("h", F.lit(parts)))
     sample = there.withColumn("n", F.row_number().over(by)).where(F.col("n") <= max(1, rows_per_label // parts)).select("doc_id", "quality", "h")
-    rows = texts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect()  # 2 * rows_per_label rows at most
+    found = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality", "h").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
+    rows = found.select("doc_id", "quality", "h", "t.text").collect()  # 2 * rows_per_label rows at most
     rows.sort(key=lambda r: (r["h"], r["doc_id"]))
     y = np.array([r["quality"] for r in rows], np.float32)
     weights = np.array([counts[r["quality"]] / max(1, int((y == r["quality"]).sum())) for r in rows], np.float32)
@@ -176,23 +183,22 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = 1200, most_b
 
 
 def classify(docs: DataFrame, model: ByteCNN) -> DataFrame:
-    """All columns of ``docs`` and score, from the whole text alone (null: empty)."""
-    schema = StructType([f for f in docs.schema.fields if f.name != "score"] + [StructField("score", DoubleType())])
-    names = [f.name for f in schema.fields]
+    """All columns of ``docs`` and, last, score, from the whole text alone (null: empty); where ``docs`` has a score, it stays and ours is ``_score`` (or with as many underscores as set it apart)."""
+    score = "score" if "score" not in map(str.lower, docs.columns) else unused(docs, "score")[0]
+    raw = unused(docs, "raw")[0]
+    schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables()
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_text"))
-            scores = []
+            texts, scores = batch.column(len(names)), []
             for at in range(0, len(texts), 256):
                 scores.append(model.predict([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in texts.slice(at, 256)], tables))
-            own = {n: batch.column(batch.schema.get_field_index(n)) for n in names if n != "score"}
-            own["score"] = pa.array((np.concatenate(scores) if scores else np.zeros(0)).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([own[n] for n in names], names)
+            found = pa.array((np.concatenate(scores) if scores else np.zeros(0)).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], found], [*names, score])
 
-    own = docs.drop("score") if "score" in docs.columns else docs
-    return own.withColumn("_text", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.withColumn(raw, F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def fold(parts: int):
@@ -207,14 +213,15 @@ def learned(docs: DataFrame, labels: DataFrame, **settings) -> ByteCNN:
 
 def good_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more, with all their columns."""
-    return classify(docs, learned(docs, labels)).where(F.col("score") >= least).select(*docs.columns)
+    found = classify(docs, learned(docs, labels))
+    return found.where(F.col(f"`{found.columns[-1]}`") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The contract's columns.
 
     Null and empty texts are scored as a chunk of zero bytes; a null doc_id is never learned from nor held out;
-    repeated rows are scored each; without labels of both kinds all get the share of label 1, or 0.5.
+    repeated rows are scored each; a very long text is read whole, some positions at a time; no rows give no rows; without labels of both kinds all get the share of label 1, or 0.5.
     """
     out = classify(docs.select("doc_id", "text"), learned(docs, labels))
     return out.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -55,6 +55,47 @@ def test_gradients_are_slopes():
             assert slopes[i] == pytest.approx((up - down) / 2e-5, rel=0.02, abs=1e-5)
 
 
+def test_gradients_of_some_chunks_at_a_time_are_those_of_all():
+    rng = random.Random(2)
+    model, texts = ByteCNN.new(4, 3), [rng.randbytes(n) for n in (4000, 10, 900)]
+    chunks, bounds = quality._windows(texts)
+    a, b = (quality._gradients(model, chunks, bounds, np.array([0, 1, 1.0], np.float32), np.ones(3, np.float32), rows) for rows in (3, 2048))
+    assert all(np.allclose(x, y, atol=1e-6) for x, y in zip(a, b))
+
+
+def slow_score(model, raw):
+    """The score of one whole text, step by step."""
+    v = np.maximum(slow_pool(model, raw) + model.bias, 0)
+    u = np.maximum(v @ model.w1 + model.b1, 0)
+    return 1 / (1 + np.exp(-(np.concatenate((u.mean(axis=0), u.max(axis=0), u.min(axis=0))) @ model.w2 + model.b2[0])))
+
+
+def test_scores_of_documents_are_those_of_brute_force(spark):
+    rows = [r for r in documents(20) if r[1] is None or len(r[1]) < 5000] + [(9000, "long text " * 900, "en", "a", 1, "x", "y", "z")]
+    model = ByteCNN.new(4, 3, seed=2)
+    got = quality.classify(frame(spark, rows).select("doc_id", "text"), model).collect()
+    want = sorted((str(r[0]), round(float(slow_score(model, (r[1] or "").encode())), 4)) for r in rows)
+    assert want == sorted((str(r["doc_id"]), round(r["score"], 4)) for r in got)
+
+
+def test_clashing_columns(spark):
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    plain = frame(spark, corpus())
+    docs = plain.withColumnRenamed("bucket", "score").withColumnRenamed("h", "_text").withColumnRenamed("size", "_RAW")
+    kept = quality.good_documents(docs, labels)
+    assert kept.columns == docs.columns and {(r["score"], r["_text"]) for r in kept.collect()} == {("x", "y")}
+    assert sorted(r[0] for r in kept.collect()) == sorted(r[0] for r in quality.good_documents(plain, labels).collect())
+
+
+def test_repeated_labels_and_texts_give_one_model(spark):
+    rows = corpus(60) + [(i, "another text, quite good", "en", "a", 1, "x", "y", "z") for i in range(0, 60, 7)]
+    known = [(i, int(i % 3 > 0), 0) for i in range(60)] + [(3, 1, 0), (4, 1, 0), (4, 1, 0)]
+    labels = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    docs = frame(spark, rows)
+    a, b = quality.train(docs, labels), quality.train(docs.repartition(7), labels.repartition(5))
+    assert all((x == y).all() for x, y in zip(a.parts(), b.parts()))
+
+
 def corpus(n=200):
     rng = random.Random(4)
     good = lambda: " ".join(rng.choice(["the", "sea", "was", "cold.", "And", "we", "went", "home,"]) for _ in range(rng.randint(5, 200)))
