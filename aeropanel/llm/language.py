@@ -17,6 +17,7 @@ from .common import materialize
 HASHES = 3
 CELLS_A_GRAM = 16  # of the language with most, up to MOST_CELLS
 MOST_CELLS = 1 << 24  # 128 MB a word of 64 languages in every task
+RARE = 1 << 22  # a trigram is kept from one in so many of its language's on: so many trigrams a language at most, at any size of the input
 FULL = 0.9  # a language's share of set cells beyond which its hits tell too little
 _CHARS = 2_000_000  # handled at a time
 
@@ -112,12 +113,13 @@ def cells_for(grams: int, least: int = 1 << 20, most: int = MOST_CELLS) -> int:
     return cells
 
 
-def learn(docs: DataFrame, cells: int = 1 << 20, share: float = 0.5) -> LanguageFilter:
+def learn(docs: DataFrame, cells: int = 1 << 20, share: float = 0.5, rare: int = RARE) -> LanguageFilter:
     """From all rows of ``docs`` that have text and lang.
 
     Trigrams are counted by language over whole texts; a language's filter gets those whose frequency there is at least
-    ``share`` of the highest in any language. ``cells`` is the least size: the filter grows with the trigrams of the
-    language that has most (``cells_for``). Only cells that are set reach the driver.
+    1/``rare``, and ``share`` of the highest in any language. So a language has ``rare`` trigrams at most, however much
+    noise the input holds, and the filter stays under FULL: it grows from ``cells`` with the trigrams of the language
+    that has most (``cells_for``). Only cells that are set reach the driver. A very long text is read whole by one task.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,11 +158,11 @@ def learn(docs: DataFrame, cells: int = 1 << 20, share: float = 0.5) -> Language
         return LanguageFilter([], cells, np.zeros(0, np.int64), np.zeros((0, 1), np.uint64))
     rank = {k: i for i, k in enumerate(languages)}
     weights = docs.sparkSession.createDataFrame([(k, i, float(totals[k])) for k, i in rank.items()], "lang string, bit int, total double")
-    often = counts.join(F.broadcast(weights), "lang").withColumn("f", F.col("n") / F.col("total"))
+    often = counts.join(F.broadcast(weights), "lang").withColumn("f", F.col("n") / F.col("total")).where(F.col("n") * rare >= F.col("total"))
     top = often.groupBy("gram").agg(F.max("f").alias("top"), F.collect_list(F.struct("bit", "f")).alias("by"))
     chosen = top.select("gram", F.transform(F.filter("by", lambda x: x["f"] >= share * F.col("top")), lambda x: x["bit"]).alias("bits"))
     chosen = materialize(chosen, "chosen")
-    cells = cells_for(chosen.select(F.explode("bits").alias("bit")).groupBy("bit").count().agg(F.max("count")).first()[0], cells)
+    cells = cells_for(chosen.select(F.explode("bits").alias("bit")).groupBy("bit").count().agg(F.max("count")).first()[0] or 0, cells)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

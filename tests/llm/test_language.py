@@ -46,6 +46,54 @@ def test_held_out_accuracy_and_no_lost_gram(spark):
             assert (found >> np.uint64(model.languages.index(lang)) & np.uint64(1)).all()
 
 
+def slow_cells(key, cells):
+    """The cells of one trigram, by whole numbers."""
+    word = (1 << 64) - 1
+    x = (key ^ (key >> 31)) * 0x9E3779B97F4A7C15 & word
+    x ^= x >> 29
+    return [(x * m & word) >> (64 - cells.bit_length() + 1) for m in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD)]
+
+
+def slow_predictions(rows, cells, share=0.5, rare=1 << 22):
+    """From counts to scores, a trigram at a time."""
+    counts = {}
+    for doc_id, text, lang, *_ in rows:
+        if text is not None and lang is not None and doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5:
+            for g in slow_trigrams(text):
+                counts.setdefault(lang, {}).setdefault(g, 0)
+                counts[lang][g] += 1
+    total = {k: sum(v.values()) for k, v in counts.items()}
+    languages = sorted(total, key=lambda k: (-total[k], k))
+    often = {k: {g: n / total[k] for g, n in v.items() if n * rare >= total[k]} for k, v in counts.items()}
+    set_cells = {k: set() for k in languages}
+    for k in languages:
+        for g, f in often[k].items():
+            if f >= share * max(often[o].get(g, 0) for o in languages):
+                set_cells[k].update(slow_cells(g, cells))
+    out = []
+    for doc_id, text, *_ in rows:
+        grams = slow_trigrams(text or "")
+        hits = []
+        for k in languages:
+            wrong = (len(set_cells[k]) / cells) ** 3
+            hits.append(max(0.0, (sum(all(c in set_cells[k] for c in slow_cells(g, cells)) for g in grams) - len(grams) * wrong) / max(1e-9, 1 - wrong)))
+        best = max(range(len(languages)), key=lambda i: hits[i])
+        out.append((str(doc_id), languages[best] if grams else "und", round(hits[best] / max(sum(hits), 1e-9), 6) if grams else 0.0))
+    return sorted(out)
+
+
+def test_predictions_are_those_of_brute_force(spark):
+    rows = corpus(90) + [(900, None, "en", None, None, None, None, None), (901, "12 !", "en", "a", 1, "x", "y", "z"), (None, "thing", None, "a", 1, "x", "y", "z"), (902, "zz qq xx", None, "a", 1, "x", "y", "z"), (902, "zz qq xx", None, "a", 1, "x", "y", "z")]
+    docs = frame(spark, rows)
+    own = docs.where(language.fold("doc_id", 5) != 0)
+    for rare in (1 << 22, 150):
+        model = language.learn(own, rare=rare)
+        assert model.cells == 1 << 20
+        got = sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 6)) for r in language.identify(docs, model).collect())
+        assert got == slow_predictions(rows, 1 << 20, rare=rare)
+    assert sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 6)) for r in language.op7(docs).collect()) == slow_predictions(rows, 1 << 20)
+
+
 def test_many_languages_use_more_words(spark):
     rows = [(i, chr(0x4E00 + 40 * (i % 70)) * 6, f"l{i % 70:02}", "a", 1, "x", "y", "z") for i in range(700)]
     got = language.op7(frame(spark, rows)).collect()

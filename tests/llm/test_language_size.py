@@ -25,3 +25,12 @@ def test_size_of_many_trigrams():
     assert language.cells_for(1) == 1 << 20 and language.cells_for(1_000_000) == language.cells_for(12_000_000) == 1 << 24
     with pytest.raises(ValueError, match="cells"):
         language.cells_for(20_000_000)
+
+
+def test_rare_trigrams_leave_room_at_any_size(spark):
+    assert 1 - math.exp(-language.HASHES * language.RARE / language.cells_for(language.RARE)) < 0.6
+    rng = random.Random(5)
+    noise = " ".join("".join(chr(0x4E00 + rng.randrange(9000)) for _ in range(8)) for _ in range(1500))
+    rows = [(i, "the same words again and again " * 60, "en", "a", 1, "x", "y", "z") for i in range(20)] + [(50, noise, "en", "a", 1, "x", "y", "z")]
+    few, all_grams = (language.learn(frame(spark, rows), rare=n) for n in (3000, 1 << 22))
+    assert len(few.cell) < 200 < 5000 < len(all_grams.cell)
