@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from unicodedata import is_normalized
@@ -24,42 +26,41 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_SIMPLE = re.compile(rb"((?:[A-Za-z]|[\xc3-\xc8][\x80-\xbf])+)([!-&(-/:-@\[-`{-~]*)")  # letters below U+0240, then ASCII signs but the apostrophe
+
+
 class _Words(dict):
-    """Bytes of a word's ids (unsigned 32-bit, little endian) by the word's bytes; ``forget`` empties it beyond ``most``."""
+    """Bytes of a word's ids (unsigned 32-bit, little endian) by the word's bytes; emptied when ``most`` are kept.
+
+    A word of letters, with or without signs after them, is lower-cased and goes to the tokenizer's model as the one
+    piece that its splitting would make of it, signs apart; all other words go through the whole tokenizer.
+    """
 
-    def __init__(self, path: str, most: int = 300_000, together: int = 512):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.most, self.together, self.tokenizer = most, together, Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode those not known yet, many in one string; token offsets say which word an id is of.
-
-        Words that normalisation may change in length, or that may hold a special token's mark, are encoded alone.
-        """
-        plain, lengths = [], []
-        for word in words - self.keys():
-            text = word.decode()
-            if text.isascii() or (is_normalized("NFC", text) and len(text.lower()) == len(text)):
-                if "<|" not in text:
-                    plain.append((word, text))
-                    lengths.append(len(text) + 1)
-                    continue
-            self[word] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        for at in range(0, len(plain), self.together):
-            part = plain[at : at + self.together]
-            found = self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False)
-            ids, first = np.array(found.ids, "<u4").tobytes(), np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
-            ends = 4 * np.searchsorted(first, np.cumsum(lengths[at : at + self.together]))
-            begin = 0
-            for (word, _), end in zip(part, ends.tolist(), strict=True):
-                self[word] = ids[begin:end]
-                begin = end
-
-    def forget(self) -> None:
-        if len(self) > self.most:
-            self.clear()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.most, self.tokenizer = most, Tokenizer.from_file(path)
+        self.model, self.byte_level = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        spec = json.loads(self.tokenizer.to_str())
+        kinds = [[x["type"] for x in (spec[k] or {}).get(k.replace("_", "") + "s", [])] for k in ("normalizer", "pre_tokenizer")]
+        self.simple = kinds == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and not spec["model"].get("dropout")
+
+    def __missing__(self, word: bytes) -> bytes:
+        m = _SIMPLE.fullmatch(word) if self.simple else None
+        if m and (text := m[1].decode()).isalpha() and is_normalized("NFC", text) and len(low := text.lower()) == len(text):
+            if m[2] or low != text:
+                found = self[low.encode()] + (self[m[2]] if m[2] else b"")
+            else:
+                piece = text if text.isascii() else self.byte_level.pre_tokenize_str(text)[0][0]
+                found = np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        else:
+            found = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
+        return found
 
 
 def tokenize(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
@@ -77,16 +78,12 @@ def tokenize(docs: DataFrame, path: str | None = None, capacity: int = 2048, end
         get, step = words.__getitem__, 4 * capacity
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
-            for lo in range(0, batch.num_rows, 500):
-                split = [t.as_buffer().to_pybytes().split() if t.is_valid else [] for t in batch.column(1).slice(lo, 500)]
-                words.learn(set().union(*split))
-                for doc_id, own in zip(batch.column(0).slice(lo, 500).to_pylist(), split, strict=True):
-                    ids = b"".join(map(get, own)) + end
-                    for at in range(0, len(ids), step):
-                        piece = ids[at : at + step]
-                        for to, x in zip(out, (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece if keep_ids else None), strict=True):
-                            to.append(x)
-                words.forget()
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = b"".join(map(get, text.as_buffer().to_pybytes().split() if text.is_valid else ())) + end
+                for at in range(0, len(ids), step):
+                    piece = ids[at : at + step]
+                    for to, x in zip(out, (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece if keep_ids else None), strict=True):
+                        to.append(x)
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:5]), pa.array(out[5], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _PIECES)
