@@ -9,10 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 
 def numbered_units(rows: DataFrame, by: list[str], unit: list[str]) -> DataFrame:
-    """(by, unit, unit_id): units counted from 0 in order within ``by``."""
-    return rows.select(*by, *unit).distinct().withColumn("unit_id", (F.dense_rank().over(Window.partitionBy(*by).orderBy(*unit)) - 1).cast("long"))
+    """(by, unit, unit_id): units counted from 0 in order within ``by``.
+
+    Ranks within the first column of ``unit``, plus the units of its smaller values: no task orders all units.
+    """
+    found, first = rows.select(*by, *unit).distinct(), [*by, unit[0]]
+    before = Window.partitionBy(*by).orderBy(unit[0]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = found.groupBy(*first).agg(F.count(F.lit(1)).alias("_n")).select(*first, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    ranked = found.withColumn("_rank", F.row_number().over(Window.partitionBy(*first).orderBy(*(unit[1:] or unit))) - 1)
+    return ranked.join(starts, first).select(*by, *unit, (F.col("_start") + F.col("_rank")).cast("long").alias("unit_id"))
 
 
 def unit_sums(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -27,6 +36,7 @@ def draws(units: DataFrame, by: list[str], n_boot: int) -> DataFrame:
     """
     sizes = units.groupBy(*by).agg(F.count(F.lit(1)).alias("n_unit"))
     boots = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_boot - 1).cast("long"))).alias("boot_id"))
+    boots = boots.repartition(*by, "boot_id")  # a row a resample: each task makes the draws of some
     each = boots.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_unit") - 1)).alias("k"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("boot_id").cast("string"), F.col("k").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n_unit")
     return each.withColumn("unit_id", drawn).groupBy(*by, "boot_id", "unit_id").agg(F.count(F.lit(1)).alias("mult"))
@@ -69,7 +79,7 @@ def significant(lo: Column, hi: Column) -> Column:
 def mae_intervals(rows: DataFrame, units: DataFrame, n_boot: int, value: Column | None = None) -> DataFrame:
     """(pollutant, model, point, lo, hi) with the same resamples for all models; ``units`` are all that are drawn from, also those without a value."""
     by = ["pollutant"]
-    sums = unit_sums(rows.join(units, ["pollutant", "station", "origin_pos"]), ["pollutant", "model", "unit_id"], F.col("ae") if value is None else value)
+    sums = materialize(unit_sums(rows.join(units, ["pollutant", "station", "origin_pos"]), ["pollutant", "model", "unit_id"], F.col("ae") if value is None else value), "unit-sums")
     point = sums.groupBy("pollutant", "model").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("point"))
     d = draws(units, by, n_boot).join(sums, ["pollutant", "unit_id"]).groupBy("pollutant", "model", "boot_id").agg(F.try_divide(F.sum(F.col("mult") * F.col("s")), F.sum(F.col("mult") * F.col("n"))).alias("d"))
     lo, hi = interval(F.col("d"))
@@ -78,7 +88,7 @@ def mae_intervals(rows: DataFrame, units: DataFrame, n_boot: int, value: Column
 
 def mae_differences(rows: DataFrame, units: DataFrame, pairs: DataFrame, n_boot: int, value: Column | None = None) -> DataFrame:
     """(pollutant, a, b, diff, lo, hi, significant) of the errors of a less those of b, paired by resample; over 0: b is better."""
-    sums = unit_sums(rows.join(units, ["pollutant", "station", "origin_pos"]), ["pollutant", "model", "unit_id"], F.col("ae") if value is None else value)
+    sums = materialize(unit_sums(rows.join(units, ["pollutant", "station", "origin_pos"]), ["pollutant", "model", "unit_id"], F.col("ae") if value is None else value), "unit-sums")
     d = draws(units, ["pollutant"], n_boot).join(sums, ["pollutant", "unit_id"]).groupBy("pollutant", "model", "boot_id").agg(F.try_divide(F.sum(F.col("mult") * F.col("s")), F.sum(F.col("mult") * F.col("n"))).alias("d"))
     point = sums.groupBy("pollutant", "model").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("p"))
     side = lambda df, m, x: df.select("pollutant", F.col("model").alias(m), *[c for c in df.columns if c == "boot_id"], F.col(x).alias(f"{x}_{m}"))
@@ -92,8 +102,10 @@ def mae_differences(rows: DataFrame, units: DataFrame, pairs: DataFrame, n_boot:
 def paired_coverage(rows: DataFrame, n_boot: int, by: list[str]) -> DataFrame:
     """Rows (by, unit_id, cov_a, cov_b as 0/1 or null for no y): coverages, their difference, its interval; units without a y aren't drawn."""
     sums = rows.groupBy(*by, "unit_id").agg(F.sum("cov_a").alias("sa"), F.sum("cov_b").alias("sb"), F.count("cov_a").alias("n")).where("n > 0")
-    units = sums.select(*by, "unit_id").withColumn("old", F.col("unit_id")).withColumn("unit_id", (F.dense_rank().over(Window.partitionBy(*by).orderBy("old")) - 1).cast("long"))
-    own = sums.withColumnRenamed("unit_id", "old").join(units, [*by, "old"])
+    sums = materialize(sums, "coverage-sums")  # three branches read it
+    old = sums.withColumnRenamed("unit_id", "old").withColumn("thousand", F.floor(F.col("old") / 1000))
+    units = numbered_units(old, by, ["thousand", "old"])
+    own = old.join(units, [*by, "thousand", "old"])
     d = distribution(own, draws(units, by, n_boot), by, {"a": ("sa", "n"), "b": ("sb", "n")})
     lo, hi = interval(F.col("a") - F.col("b"))
     point = sums.groupBy(*by).agg((F.sum("sa") / F.sum("n")).alias("coverage_a"), (F.sum("sb") / F.sum("n")).alias("coverage_b"))

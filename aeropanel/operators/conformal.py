@@ -19,12 +19,25 @@ def rank_of(n: Column, alpha: float) -> Column:
     return (F.ceil(level * (n - 1)) + 1).cast("long")
 
 
-def quantiles(residuals: DataFrame, keys: list[str], alpha: float, value: str = "res") -> DataFrame:
-    """(keys, n, q) of the absolute values; nulls don't count."""
-    by = Window.partitionBy(*keys)
-    own = residuals.where(F.col(value).isNotNull()).select(*keys, F.abs(value).alias("size"))
-    ranked = own.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("i", F.row_number().over(by.orderBy("size")).cast("long"))
-    return ranked.where(F.col("i") == rank_of(F.col("n"), alpha)).select(*keys, "n", F.col("size").alias("q"))
+def quantiles(residuals: DataFrame, keys: list[str], alpha: float, value: str = "res", buckets: int = 256) -> DataFrame:
+    """(keys, n, q) of the absolute values; nulls don't count.
+
+    The exact order statistic of groups of any size: approximate percentiles cut a group into ``buckets``, their counts
+    say which one holds the rank, and that one's distinct sizes are counted up to it. No task ranks a whole group.
+    """
+    own = residuals.where(F.col(value).isNotNull()).select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}") for k in keys], *keys, F.abs(value).alias("size"))
+    by = [f"_{k}" for k in keys]  # without nulls, so that they join
+    share = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    groups = own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("size", share, 10 * buckets).alias("cut"), *[F.first(k).alias(k) for k in keys])
+    groups = groups.withColumn("rank", rank_of(F.col("n"), alpha))
+    at = F.size(F.filter("cut", lambda c: c < F.col("size")))
+    placed = own.drop(*keys).join(groups.select(*by, "cut"), by).select(*by, "size", at.alias("bucket")).groupBy(*by, "bucket", "size").agg(F.count(F.lit(1)).alias("k"))
+    up = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    counts = placed.groupBy(*by, "bucket").agg(F.sum("k").alias("k")).withColumn("until", F.sum("k").over(up))
+    hit = counts.join(groups.drop("cut"), by).withColumn("before", F.col("until") - F.col("k")).where("before < rank and rank <= until").drop("k", "until")
+    inside = Window.partitionBy(*by).orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
+    found = placed.join(hit, [*by, "bucket"]).withColumn("until", F.col("before") + F.sum("k").over(inside)).where("until >= rank")
+    return found.groupBy(*by).agg(*[F.first(k).alias(k) for k in keys], F.first("n").alias("n"), F.min("size").alias("q")).select(*keys, "n", "q")
 
 
 def terciles(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,18 +66,37 @@ def fit(rows: DataFrame, keys: list[str], levels: dict[str, list[str]], alpha: f
     return quantiles(each, [*keys, "level", *cell], alpha).where((F.col("level") == "global") | (F.col("n") >= n_min))
 
 
-def apply(rows: DataFrame, model: DataFrame, keys: list[str], levels: dict[str, list[str]], name: str = "q") -> DataFrame:
-    """``rows`` with the quantile of the finest level that has their cell."""
-    out = rows
+BINS = {"w": 3, "b": 3, "h4": 4, "h2": 2, "r": 2}
+
+
+def with_cells(groups: DataFrame, cells: list[str]) -> DataFrame:
+    """Every cell of the given axes for each row of ``groups``."""
+    axis = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BINS[c] - 1).cast("long"))).alias(c)
+    return reduce(lambda d, c: d.select("*", axis(c)), cells, groups)
+
+
+def resolve(model: DataFrame, keys: list[str], levels: dict[str, list[str]], name: str = "q") -> DataFrame:
+    """(keys, the finest level's columns, name): every cell with the quantile of the finest level that has it; a row a cell."""
+    cells = next(iter(levels.values()))
+    out = with_cells(model.select(*keys).distinct(), cells)
     for level, cs in levels.items():
-        out = out.join(F.broadcast(model.where(F.col("level") == level).select(*keys, *cs, F.col("q").alias(f"_{level}"))), [*keys, *cs], "left")
-    return out.withColumn(name, F.coalesce(*[F.col(f"_{level}") for level in levels])).drop(*[f"_{level}" for level in levels])
+        out = out.join(model.where(F.col("level") == level).select(*keys, *cs, F.col("q").alias(f"_{level}")), [*keys, *cs], "left")
+    return out.select(*keys, *cells, F.coalesce(*[F.col(f"_{level}") for level in levels]).alias(name))
+
+
+def apply(rows: DataFrame, cells: DataFrame, keys: list[str], levels: dict[str, list[str]]) -> DataFrame:
+    """``rows`` with the quantile that ``resolve`` found for their cell: one join, with as many rows as there are cells."""
+    return rows.join(F.broadcast(cells), [*keys, *next(iter(levels.values()))], "left")
+
+
+def cell_summary(counts: DataFrame, keys: list[str], n_min: int) -> DataFrame:
+    """(keys, cells, lo, median, enough): how the cells of ``cell_counts`` are filled, and how many have ``n_min`` or more."""
+    return counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("cells"), F.min("n").alias("lo"), F.median("n").alias("median"), F.count_if(F.col("n") >= n_min).alias("enough"))
 
 
 def cell_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Residuals in each of the 3 x 3 x 2 x 2 cells, empty ones too."""
-    axis = lambda n, c: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(c)
-    full = reduce(lambda d, a: d.select("*", axis(*a)), [(3, "w"), (3, "b"), (2, "h2"), (2, "r")], rows.select(*keys).distinct())
+    full = with_cells(rows.select(*keys).distinct(), ["w", "b", "h2", "r"])
     n = rows.where("res is not null").groupBy(*keys, "w", "b", "h2", "r").agg(F.count(F.lit(1)).alias("n"))
     return full.join(n, [*keys, "w", "b", "h2", "r"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
 
@@ -93,4 +125,4 @@ def regimes(panel: DataFrame, means: DataFrame, origins: DataFrame, cuts: DataFr
     return n.join(means, [*KEY, "origin_pos"]).select(*KEY, "phase", "origin_pos", "cbar", "nstag", F.when((F.col("cbar") >= F.col("c3")) | (F.col("nstag") >= least), 1).otherwise(0).cast("long").alias("r"))
 
 
-__all__ = ["apply", "binned", "cell_counts", "episode_cuts", "fit", "lookback", "quantiles", "rank_of", "regimes", "stagnation", "terciles"]
+__all__ = ["apply", "binned", "cell_counts", "cell_summary", "episode_cuts", "fit", "lookback", "quantiles", "rank_of", "regimes", "resolve", "stagnation", "terciles", "with_cells"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from ..operators import bootstrap, compare, conformal, forecast, metrics, origin
 from ..operators.grid import series
 from ..schema import EVENTS, Protocol
 from ..sources import events
+from ..sources.shared import materialize
 
 PERIODS = [24, 72]
 MODELS = ["persistence", "seasonal_naive_24", "seasonal_naive_72"]
@@ -28,8 +29,8 @@ class Evaluation:
 
     @classmethod
     def of_events(cls, spark: SparkSession, sf_dir: str) -> Evaluation:
-        """The panel (stations times steps, whatever the events' number) is kept, so the events are scanned once."""
-        return cls(events.panel(spark, sf_dir).persist())
+        """The panel (stations times steps, whatever the events' number) is written, so the events are scanned once."""
+        return cls(materialize(events.panel(spark, sf_dir), "panel"))
 
     @property
     def series(self) -> DataFrame:
@@ -56,8 +57,12 @@ class Evaluation:
         rows = self.tail_errors().select("*", F.explode(F.array(*map(F.lit, horizons))).alias("horizon")).where("lead <= horizon")
         return metrics.cells(rows, ["station", "pollutant", "horizon", "model"])
 
+    @cached_property
+    def _units(self) -> DataFrame:
+        return materialize(bootstrap.numbered_units(self.origins("test"), ["pollutant"], ["station", "origin_pos"]), "units")
+
     def units(self) -> DataFrame:
-        return bootstrap.numbered_units(self.origins("test"), ["pollutant"], ["station", "origin_pos"])
+        return self._units
 
     def comparisons(self) -> DataFrame:
         models = forecast_names(self.periods)
@@ -89,34 +94,45 @@ class Evaluation:
         rows = rows.join(y, [*origins.KEY, "origin_pos", "lead"], "left").join(self.predictions(phase), [*origins.KEY, "phase", "origin_pos", "lead"])
         return rows.join(self.regimes(phase), [*origins.KEY, "phase", "origin_pos"]).withColumn("res", F.col("y") - F.col("yhat"))
 
-    @property
+    @cached_property
     def means(self) -> DataFrame:
-        return conformal.lookback(self.panel, self.series)
+        return materialize(conformal.lookback(self.panel, self.series), "means")
+
+    @cached_property
+    def _cuts(self) -> DataFrame:
+        return materialize(conformal.episode_cuts(self.panel, self.means, self.origins("cal")), "cuts")
 
     def cuts(self) -> DataFrame:
-        return conformal.episode_cuts(self.panel, self.means, self.origins("cal"))
+        return self._cuts
 
     def regimes(self, phase: str) -> DataFrame:
         return conformal.regimes(self.panel, self.means, self.origins(phase), self.cuts())
 
+    @cached_property
+    def _calibration(self) -> tuple[DataFrame, DataFrame]:
+        rows = materialize(self.strata("cal"), "strata")
+        edges = materialize(conformal.terciles(rows, ALPHA_KEYS), "edges")
+        return materialize(conformal.binned(rows, edges, ALPHA_KEYS), "calibration"), edges
+
     def calibration(self) -> tuple[DataFrame, DataFrame]:
-        """(binned calibration rows, edges)."""
-        rows = self.strata("cal")
-        edges = conformal.terciles(rows, ALPHA_KEYS)
-        return conformal.binned(rows, edges, ALPHA_KEYS), edges
+        """(binned calibration rows, edges), written once."""
+        return self._calibration
 
     def fitted(self, levels: dict[str, list[str]]) -> DataFrame:
         return conformal.fit(self.calibration()[0], ALPHA_KEYS, levels, self.protocol.alpha, self.protocol.n_min)
 
+    @cached_property
+    def _intervals(self) -> DataFrame:
+        rows = conformal.binned(self.strata("test"), self.calibration()[1], ALPHA_KEYS)
+        three, four = (materialize(self.fitted(levels), "fitted") for levels in (conformal.LEVELS_3D, conformal.LEVELS_4D))  # hundreds of rows
+        for model, levels, name in ((three, conformal.LEVELS_3D, "q3"), (four, conformal.LEVELS_4D, "q4")):
+            rows = conformal.apply(rows, materialize(conformal.resolve(model, ALPHA_KEYS, levels, name), "cells"), ALPHA_KEYS, levels)
+        whole = three.where("level = 'global'").select(*ALPHA_KEYS, F.col("q").alias("q1"))
+        return materialize(rows.join(F.broadcast(whole), ALPHA_KEYS), "intervals")
+
     def intervals(self) -> DataFrame:
-        """Test targets with the half-widths of split (q1), three-way (q3) and regime-aware (q4) intervals."""
-        binned, edges = self.calibration()
-        p = self.protocol
-        rows = conformal.binned(self.strata("test"), edges, ALPHA_KEYS)
-        three = conformal.fit(binned, ALPHA_KEYS, conformal.LEVELS_3D, p.alpha, p.n_min)
-        four = conformal.fit(binned, ALPHA_KEYS, conformal.LEVELS_4D, p.alpha, p.n_min)
-        rows = conformal.apply(conformal.apply(rows, three, ALPHA_KEYS, conformal.LEVELS_3D, "q3"), four, ALPHA_KEYS, conformal.LEVELS_4D, "q4")
-        return rows.join(F.broadcast(three.where("level = 'global'").select(*ALPHA_KEYS, F.col("q").alias("q1"))), ALPHA_KEYS)
+        """Test targets with the half-widths of split (q1), three-way (q3) and regime-aware (q4) intervals, written once."""
+        return self._intervals
 
     def tail_intervals(self) -> DataFrame:
         return metrics.with_tail(self.intervals(), metrics.tail_threshold(self.actuals("test"))).where("is_tail")

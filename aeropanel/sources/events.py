@@ -17,7 +17,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def places(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(_PLACES, "station string, city string, env_type string"))
+    return spark.createDataFrame(_PLACES, "station string, city string, env_type string")
 
 
 def observations(rows: DataFrame) -> DataFrame:
