@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, materialize
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -23,22 +23,6 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return [mark + n for n in names]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="aeropanel-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def hot_safe_rank(df: DataFrame, keys: list[str], h: str, rows_in_bucket: int = 512) -> tuple[DataFrame, DataFrame]:
     """Exact ranks within groups of which one may hold most of the rows.
 
@@ -59,16 +43,17 @@ def hot_safe_rank(df: DataFrame, keys: list[str], h: str, rows_in_bucket: int =
 
 
 def join_hot(rows: DataFrame, table: DataFrame, key: str, keys: int = 1024) -> DataFrame:
-    """``rows`` joined with ``table(key, n, ...)``, one row a key, ``n`` the rows that have it (or about).
+    """``rows``, a written table, joined with ``table(key, n, ...)``, one row a key, ``n`` the rows that have it (or about).
 
     A key of over 1/``keys`` of all rows is cut into salts of that share: at most ``keys`` keys, so their table is
-    broadcast, whatever the input's size. No task gets a whole hot key, at any setting of adaptive execution.
+    broadcast, whatever the input's size. Salts follow the rows' places in the written table, so that equal rows part
+    and a task that runs again gives the same. No task gets a whole hot key, at any setting of adaptive execution.
     """
     share = max(1, (table.agg(F.sum("n")).first()[0] or 0) // keys)
     salts, salt = "_salts", "_salt"  # ``rows`` and ``table`` are the operators' own
     hot = F.broadcast(table.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("long").alias(salts)))
-    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.col(salts))
-    left = rows.join(hot, key, "left").withColumn(salt, F.coalesce(spread, F.lit(0))).drop(salts)
+    place = rows.withColumn(salt, F.monotonically_increasing_id())
+    left = place.join(hot, key, "left").withColumn(salt, F.coalesce(F.pmod(F.col(salt), F.col(salts)), F.lit(0))).drop(salts)
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(salts) - 1, F.lit(0))))
     right = table.join(hot, key, "left").withColumn(salt, each).drop(salts)
     return left.join(right.hint("merge"), [key, salt]).drop(salt)
@@ -77,19 +62,21 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, keys: int = 1024) -> D
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of ``edges(a, b)``, BIGINT and not null.
 
-    Minimum labels go over the edges and jump to their label's label; every round is a written table. An empty table
-    gives an empty one.
+    Minimum labels go over the edges and jump to their label's label; every round is a written table, deleted after the
+    next one. An empty table gives an empty one.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    labels = written = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     for _ in range(max_rounds):
         seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         lower = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = materialize(lower.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        moved = new.where("label <> was").limit(1).count()
+        discard(written)
+        written, moved = new, new.where("label <> was").limit(1).count()
         labels = new.select("node", "label")
         if not moved:
+            discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
