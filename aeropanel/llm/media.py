@@ -20,7 +20,7 @@ _GEAR = np.random.default_rng(2048).integers(0, 1 << 16, 256).astype(np.uint16)
 _MASK = np.uint16(0x7FF << 5)  # 11 bits: a cut every 2048 bytes beyond the least, on average
 
 _RECIPE = "array<struct<digest binary, length int, loose boolean>>"
-_STORED = f"doc_id long, n_bytes long, media_id binary, header binary, recipe {_RECIPE}, inline binary, loose array<struct<digest binary, bytes binary>>"
+_STORED = f"doc_id long, n_bytes long, media_id binary, header binary, recipe {_RECIPE}, pack binary, loose array<struct<digest binary, bytes binary>>"
 _READ = "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -105,12 +105,13 @@ def _bits(shared: DataFrame, most_bits: int) -> np.ndarray:
     return out
 
 
-def store(docs: DataFrame, most_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
+def store(docs: DataFrame, earlier: tuple[DataFrame, DataFrame] | None = None, most_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
     """Write the payloads of all texts as media; (media table, chunk store).
 
-    Digests alone are counted first. A chunk whose digest occurs once lies in its media's row, behind the ordered
-    list of digests; one that may occur more often (a Bloom filter says so, its errors only move more bytes) goes to
-    the chunk store, once. So only such chunks are shuffled.
+    Digests alone are counted first. A chunk whose digest occurs once lies in the pack of its media's row; one that may
+    occur more often (a Bloom filter says so, its errors only move more bytes), or that the batches stored ``earlier``
+    have, goes to the chunk store, once over all batches. So only such chunks are shuffled. Every media has its
+    ordered list of chunk digests, and ``all_chunks`` finds any chunk, packed or not, by its digest.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
@@ -123,18 +124,24 @@ def store(docs: DataFrame, most_bits: int = 1 << 27) -> tuple[DataFrame, DataFra
         for batch in batches:
             yield _batch([(digest_of(c),) for t in batch.column(1) for c in chunks(t)[2]], ["digest"], [pa.binary()])
 
-    shared = texts.mapInArrow(digests, "digest binary").groupBy("digest").count().where("count > 1").select("digest")
+    found = texts.mapInArrow(digests, "digest binary").groupBy("digest").count()
+    known = None if earlier is None else all_chunks(*earlier)
+    if known is None:
+        shared = found.where("count > 1").select("digest")
+    else:
+        there = known.select("digest", F.lit(True).alias("there"))
+        shared = found.join(there, "digest", "left").where("count > 1 or there").select("digest")
     bits = _bits(materialize(shared, "shared"), most_bits)
     last = len(bits) * 64 - 1
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_id", pa.binary()), ("header", pa.binary()), ("recipe", pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("loose", pa.bool_())]))), ("inline", pa.binary()), ("loose", pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())])))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_id", pa.binary()), ("header", pa.binary()), ("recipe", pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("loose", pa.bool_())]))), ("pack", pa.binary()), ("loose", pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())])))])
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part, rows = batch.slice(at, 1000), []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     n, payload, parts = chunks(text)
-                    header, recipe, inline, loose = wav_header(len(payload)), [], [], []
+                    header, recipe, pack, loose = wav_header(len(payload)), [], [], []
                     for c in parts:
                         d = digest_of(c)
                         p = int.from_bytes(d[:7], "big") & last
@@ -143,42 +150,71 @@ def store(docs: DataFrame, most_bits: int = 1 << 27) -> tuple[DataFrame, DataFra
                         if some:
                             loose.append({"digest": d, "bytes": c})
                         else:
-                            inline.append(c)
-                    rows.append((doc_id, n, hashlib.sha256(header + payload).digest(), header, recipe, b"".join(inline), loose))
+                            pack.append(c)
+                    rows.append((doc_id, n, hashlib.sha256(header + payload).digest(), header, recipe, b"".join(pack), loose))
                 yield _batch(rows, schema.names, schema.types)
 
     media = materialize(texts.mapInArrow(write, _STORED), "media")
-    loose = media.where(F.size("loose") > 0).select(F.explode("loose").alias("c")).select("c.digest", "c.bytes")
-    return media.drop("loose"), materialize(loose.groupBy("digest").agg(F.first("bytes").alias("bytes")), "chunks")
+    loose = media.where(F.size("loose") > 0).select(F.explode("loose").alias("c")).select("c.digest", "c.bytes").groupBy("digest").agg(F.first("bytes").alias("bytes"))
+    if known is not None:
+        loose = loose.join(known.select("digest"), "digest", "left_anti")
+    return media.drop("loose"), materialize(loose, "chunks")
+
+
+def all_chunks(media: DataFrame, chunk_store: DataFrame) -> DataFrame:
+    """(digest, bytes) of every distinct chunk: the chunk store's, and those in the packs of ``media``."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for recipe, pack in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = 0
+                for c in recipe:
+                    if not c["loose"]:
+                        rows.append((c["digest"], pack[at : at + c["length"]]))
+                        at += c["length"]
+            yield _batch(rows, ["digest", "bytes"], [pa.binary(), pa.binary()])
+
+    return media.select("recipe", "pack").mapInArrow(packed, "digest binary, bytes binary").unionByName(chunk_store.select("digest", "bytes"))
+
+
+def rebuild(header: bytes, recipe: list[dict], pack: bytes, known: dict[bytes, bytes]) -> bytes:
+    """A media from its ordered chunk list: packed chunks in their order, others by digest; every chunk's digest is verified."""
+    parts, at = [header], 0
+    for c in recipe:
+        if c["loose"]:
+            part = known[c["digest"]]
+        else:
+            part = pack[at : at + c["length"]]
+            at += c["length"]
+        if digest_of(part) != c["digest"]:
+            raise ValueError(f"chunk {c['digest'].hex()} isn't what was stored")
+        parts.append(part)
+    return b"".join(parts)
 
 
 def read_back(media: DataFrame, chunk_store: DataFrame) -> DataFrame:
-    """Rebuild every media from its chunk list, verify it, and compute what is asked of its samples: doc_id, n_bytes and _READ."""
+    """Rebuild every media from its chunk list, verify it, and compute what is asked of its samples: doc_id, n_bytes and _READ.
+
+    Rows whose chunks are all in their own pack need no other row; those that list chunks of the chunk store (to which
+    ``all_chunks`` of earlier batches may be added) meet them in a join by digest, a media once however many rows have it.
+    """
     some = F.exists("recipe", lambda c: c["loose"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, n, *_facts(m, h + b)) for d, n, m, h, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            rows = [(d, n, *_facts(m, rebuild(h, r, p, {}))) for d, n, m, h, r, p in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield _batch(rows, ["doc_id", "n_bytes", *_READ_NAMES], [pa.int64(), pa.int64(), *_READ_TYPES])
 
-    alone = media.where(~some).select("doc_id", "n_bytes", "media_id", "header", "inline").mapInArrow(own, f"doc_id long, n_bytes long, {_READ}")
+    alone = media.where(~some).select("doc_id", "n_bytes", "media_id", "header", "recipe", "pack").mapInArrow(own, f"doc_id long, n_bytes long, {_READ}")
     mixed = media.where(some)
-    each = mixed.groupBy("media_id").agg(F.first(F.struct("header", "recipe", "inline")).alias("m"))
+    each = mixed.groupBy("media_id").agg(F.first(F.struct("header", "recipe", "pack")).alias("m"))
     refs = mixed.select("media_id", F.explode("recipe").alias("c")).where("c.loose").select("media_id", "c.digest").distinct()
     found = refs.join(chunk_store, "digest").groupBy("media_id").agg(F.collect_list(F.struct("digest", "bytes")).alias("chunks"))
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for media_id, m, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                known, inline, at, parts = {c["digest"]: c["bytes"] for c in chunks}, m["inline"], 0, [m["header"]]
-                for c in m["recipe"]:
-                    if c["loose"]:
-                        parts.append(known[c["digest"]])
-                    else:
-                        parts.append(inline[at : at + c["length"]])
-                        at += c["length"]
-                rows.append(_facts(media_id, b"".join(parts)))
+            rows = [_facts(i, rebuild(m["header"], m["recipe"], m["pack"], {c["digest"]: c["bytes"] for c in chunks})) for i, m, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield _batch(rows, _READ_NAMES, _READ_TYPES)
 
     facts = each.join(found, "media_id").select("media_id", "m", "chunks").mapInArrow(rebuilt, _READ)
@@ -189,7 +225,8 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """``store`` and ``read_back`` of every whole text (null: empty), UTF-8, padded with zeros to a multiple of 64.
 
     One row a document: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
-    Equal texts have equal values; a null doc_id and repeated rows are documents of their own; no rows give no rows.
+    Equal texts have equal values; a null doc_id and repeated rows are documents of their own; a very long text is one
+    media, held whole by one task; other columns play no part; no rows give no rows.
     """
     return read_back(*store(docs)).drop("media_id")
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -61,5 +62,29 @@ def test_store_keeps_a_shared_chunk_once(spark):
     assert len({r["digest"] for r in kept}) == len(kept) and sum(len(r["bytes"]) for r in kept) < 1.2 * len(body)
 
 
+def test_a_second_batch_is_deduplicated_against_the_first(spark):
+    body = random.Random(3).randbytes(25_000).hex()
+    first = media.store(frame(spark, [(1, body, "en", "a", 1, "x", "y", "z"), (2, "short", "en", "a", 1, "x", "y", "z")]))
+    assert first[1].count() == 0  # every chunk is in a pack
+    rows = [(3, body + "more of it", "en", "a", 1, "x", "y", "z"), (4, body[:30_000], "en", "a", 1, "x", "y", "z"), (5, "new", "en", "a", 1, "x", "y", "z")]
+    second = media.store(frame(spark, rows), first)
+    stored = sum(len(r["bytes"]) for r in media.all_chunks(*second).collect())
+    assert stored < 20_000 < len(body)
+    old = {r["digest"] for r in media.all_chunks(*first).collect()}
+    assert not old & {r["digest"] for r in media.all_chunks(*second).collect()}
+    got = {r["doc_id"]: r["payload_sha256"] for r in media.read_back(second[0], media.all_chunks(*first).unionByName(second[1])).collect()}
+    assert got == {r[0]: hashlib.sha256(media.payload_of(r[1].encode())).hexdigest() for r in rows}
+
+
+def test_every_media_follows_its_chunk_list(spark):
+    rows = [(1, random.Random(4).randbytes(9000).hex(), "en", "a", 1, "x", "y", "z")]
+    table, chunks = media.store(frame(spark, rows))
+    row = table.collect()[0]
+    recipe = [r.asDict() for r in row["recipe"]]
+    assert len(recipe) > 2 and media.rebuild(bytes(row["header"]), recipe, bytes(row["pack"]), {})[44:] == media.payload_of(rows[0][1].encode())
+    with pytest.raises(ValueError):
+        media.rebuild(bytes(row["header"]), recipe[::-1], bytes(row["pack"]), {})
+
+
 def test_empty(spark):
     assert media.op10(frame(spark, [])).collect() == []
