@@ -58,6 +58,20 @@ def winkler(y: Column, lo: Column, hi: Column, alpha: float) -> Column:
     return hi - lo + F.lit(2 / alpha) * F.greatest(lo - y, F.lit(0.0)) + F.lit(2 / alpha) * F.greatest(y - hi, F.lit(0.0))
 
 
+_LABELS = {"persistence": "Persistence", "ridge": "Ridge", "ridge_nowx": "Ridge, no weather ahead", "gbt": "Boosted trees", "gbt_nowx": "Boosted trees, no weather ahead"}
+
+
+def display_label(model: Column) -> Column:
+    """A model's name for readers: looked up, else made of its own name."""
+    known = F.create_map(*[F.lit(x) for pair in _LABELS.items() for x in pair])
+    naive = F.concat(F.lit("Seasonal naive, "), F.regexp_extract(model, r"([0-9]+)$", 1), F.lit(" steps"))
+    return F.coalesce(F.try_element_at(known, model), F.when(model.startswith("seasonal_naive_"), naive), model)
+
+
+def model_class(model: Column) -> Column:
+    return F.when((model == "persistence") | model.startswith("seasonal_naive"), "baseline").when(model.startswith("ridge") | model.startswith("gbt"), "trained").otherwise("other")
+
+
 def student_tail(x: float, df: float) -> float:
     """P(T > x) for x >= 0: half the regularised incomplete beta at df / (df + x^2), by its continued fraction (Lentz)."""
     if x != x or df <= 0:

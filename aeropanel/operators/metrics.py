@@ -51,3 +51,12 @@ def best_model(board: DataFrame, metric: str = "mae") -> DataFrame:
     """The model of the lowest median at each horizon (the first by name of equals)."""
     med = board.groupBy("horizon", "model").agg(F.median(metric).alias("m"))
     return med.groupBy("horizon").agg(F.min(F.struct("m", "model")).alias("b")).select("horizon", F.col("b.model").alias("model"), F.col("b.m").alias(metric))
+
+
+ORDER = ["persistence", "seasonal_naive_24", "seasonal_naive_72", "seasonal_naive_168", "ridge", "ridge_nowx", "gbt", "gbt_nowx"]
+
+
+def fixed_place(model: Column) -> Column:
+    """The model's place in the tables' fixed order; others after all of these."""
+    at = F.array_position(F.array(*map(F.lit, ORDER)), model)
+    return F.when(at > 0, at).otherwise(len(ORDER) + 1).cast("long")

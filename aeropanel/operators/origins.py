@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Protocol
@@ -53,3 +53,16 @@ def contexts(series: DataFrame, origins: DataFrame, length: int) -> DataFrame:
     filled = series.withColumn("ff", F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     packed = filled.withColumn("ctx", F.collect_list("ff").over(w.rowsBetween(1 - length, 0))).select(*KEY, F.col("pos").alias("origin_pos"), "ctx")
     return origins.join(packed, [*KEY, "origin_pos"])
+
+
+def covariates(panel: DataFrame, origins: DataFrame, context: int, horizon: int, columns: list[str]) -> DataFrame:
+    """(origin, an array for each of ``columns``): the panel from the context's first step to the horizon's last, in order."""
+    steps = origins.select(*KEY, "origin_pos", F.explode(F.sequence(F.col("origin_pos") - (context - 1), F.col("origin_pos") + horizon)).alias("pos"))
+    rows = steps.join(panel.select("station", "pos", *columns), ["station", "pos"])
+    packed = rows.groupBy(*KEY, "origin_pos").agg(F.array_sort(F.collect_list(F.struct("pos", *columns))).alias("x"))
+    return packed.select(*KEY, "origin_pos", *[F.col("x")[c].alias(c) for c in columns])
+
+
+def first_meeting(rows: DataFrame, keys: list[str], wanted: Column, order: str) -> DataFrame:
+    """(keys, order): the first row of each group that is ``wanted``, else its first."""
+    return rows.groupBy(*keys).agg(F.min(F.struct((~F.coalesce(wanted, F.lit(False))).alias("not"), order)).alias("m")).select(*keys, F.col(f"m.{order}").alias(order))

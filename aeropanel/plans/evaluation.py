@@ -8,7 +8,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bootstrap, compare, conformal, forecast, metrics, origins
+from ..operators import bootstrap, compare, conformal, forecast, metrics, origins, series_models
 from ..operators.grid import series
 from ..schema import EVENTS, Protocol
 from ..sources import events
@@ -142,13 +142,29 @@ class Evaluation:
         rows = self.tail_intervals().join(self.units(), ["pollutant", "station", "origin_pos"]).select(*ALPHA_KEYS, "unit_id", inside(a).alias("cov_a"), inside(b).alias("cov_b"))
         return bootstrap.paired_coverage(rows, self.protocol.n_boot, ALPHA_KEYS)
 
-    def trained(self, kind: str, future_weather: bool = True, **settings) -> DataFrame:
-        """Ridge or boosted trees for each pollutant, over all stations, on the training origins: predictions of the test origins."""
+    def trained(self, kind: str, future_weather: bool = True) -> DataFrame:
+        """Ridge or boosted trees of each (station, pollutant), on its training origins: predictions of the test origins."""
         train = forecast.features(self.panel, self.series, origins.train_origins(self.series, self.protocol), self.protocol.horizon, future_weather)
         test = forecast.features(self.panel, self.series, self.origins("test"), self.protocol.horizon, future_weather)
-        model = {"ridge": forecast.ridge, "gbt": forecast.boosted}[kind]
-        parts = [model(train.where(F.col("pollutant") == p), test.where(F.col("pollutant") == p), kind, **settings) for p in ("no2", "pm25")]
-        return reduce(DataFrame.unionByName, parts)
+        fit = {"ridge": series_models.ridge, "gbt": series_models.Boosting()}[kind]
+        return series_models.each_series(train, test, fit, f"{kind}{'' if future_weather else '_nowx'}")
+
+    @cached_property
+    def _all_trained(self) -> DataFrame:
+        parts = [self.trained(kind, wx) for kind in ("ridge", "gbt") for wx in (True, False)]
+        return materialize(reduce(DataFrame.unionByName, parts), "trained")
+
+    def trained_errors(self) -> DataFrame:
+        """Errors of the baselines and of the trained models, with and without the weather ahead, and their tail."""
+        rows = metrics.errors(self._all_trained, self.actuals("test")).unionByName(self.errors("test"))
+        return metrics.with_tail(rows, metrics.tail_threshold(self.actuals("test")))
+
+    def tail_differences(self, pollutant: str = "pm25") -> DataFrame:
+        """Each model's tail error against persistence, resampling only units that have a tail hour."""
+        rows = self.tail_errors().where(F.col("is_tail") & (F.col("pollutant") == pollutant))
+        units = bootstrap.numbered_units(rows, ["pollutant"], ["station", "origin_pos"])
+        pairs = self.comparisons().where((F.col("pollutant") == pollutant) & (F.col("a") == "persistence"))
+        return bootstrap.mae_differences(rows, materialize(units, "tail-units"), pairs, self.protocol.n_boot)
 
 
 def forecast_names(periods: tuple[int, ...]) -> list[str]:

@@ -36,7 +36,7 @@ unit AS (SELECT pollutant, station, origin_pos, dense_rank() OVER (PARTITION BY
 usum AS (SELECT pollutant, model, unit_id, coalesce(sum(ae), 0) AS s, count(ae) AS n, coalesce(sum(CASE WHEN is_tail THEN ae END), 0) AS ts, count(CASE WHEN is_tail THEN ae END) AS tn FROM terr JOIN unit USING (pollutant, station, origin_pos) GROUP BY 1, 2, 3),
 draw AS (
   SELECT pollutant, CAST(b AS BIGINT) AS boot_id, CAST('0x' || substr(md5(b || '-' || k), 1, 8) AS BIGINT) % n_unit AS unit_id, count(*) AS mult
-  FROM (SELECT pollutant, count(*) AS n_unit FROM unit GROUP BY 1) u, range(0, 200) x(b), range(0, 10000) y(k) WHERE k < n_unit GROUP BY 1, 2, 3),
+  FROM (SELECT pollutant, count(*) AS n_unit FROM unit GROUP BY 1) u, range(0, 2000) x(b), range(0, 10000) y(k) WHERE k < n_unit GROUP BY 1, 2, 3),
 dist AS (SELECT pollutant, model, boot_id, sum(mult * s) / nullif(sum(mult * n), 0) AS d, sum(mult * ts) / nullif(sum(mult * tn), 0) AS td FROM draw JOIN usum USING (pollutant, unit_id) GROUP BY 1, 2, 3),
 pair(pollutant, a, b) AS (SELECT p, a, b FROM (VALUES ('no2'), ('pm25')) x(p), (VALUES ('persistence', 'seasonal_naive_24'), ('persistence', 'seasonal_naive_72'), ('seasonal_naive_24', 'seasonal_naive_72')) y(a, b)),
 loss AS (SELECT pollutant, model, station, origin_pos, avg(ae) AS loss FROM err WHERE phase = 'test' GROUP BY 1, 2, 3, 4),
@@ -79,7 +79,7 @@ tint AS (SELECT i.*, abs(res) <= q1 AS in1, abs(res) <= q3 AS in3, abs(res) <= q
 cvu AS (SELECT pollutant, model, unit_id, sum(CAST(in4 AS BIGINT)) AS sa, sum(CAST(in1 AS BIGINT)) AS sb, count(*) AS n, dense_rank() OVER (PARTITION BY pollutant, model ORDER BY unit_id) - 1 AS u FROM tint JOIN unit USING (pollutant, station, origin_pos) GROUP BY 1, 2, 3),
 cvd AS (
   SELECT c.pollutant, c.model, CAST(x.b AS BIGINT) AS boot_id, sum(sa) / sum(n) - sum(sb) / sum(n) AS d
-  FROM (SELECT pollutant, model, count(*) AS n_unit FROM cvu GROUP BY 1, 2) c, range(0, 200) x(b), range(0, 10000) y(k), cvu v
+  FROM (SELECT pollutant, model, count(*) AS n_unit FROM cvu GROUP BY 1, 2) c, range(0, 2000) x(b), range(0, 10000) y(k), cvu v
   WHERE k < n_unit AND v.pollutant = c.pollutant AND v.model = c.model AND v.u = CAST('0x' || substr(md5(x.b || '-' || k), 1, 8) AS BIGINT) % n_unit GROUP BY 1, 2, 3)
 """
 
@@ -110,6 +110,13 @@ def _fit(levels: list[tuple[str, str]], cells: str) -> str:
     return f"SELECT pollutant, model, CASE level {name} END AS level, {cells}, n, round(size, 6) AS q FROM quant WHERE level IN ({', '.join(repr(a) for a, _ in levels)})"
 
 
+# Student's t, both tails, by its finite series for whole degrees of freedom
+_SERIES = "list_sum(list_transform(range(0, {m}), lambda k: pow(c, 2 * k) * coalesce(list_product(list_transform(range(1, k + 1), lambda j: {r})), 1)))"
+_ODD, _EVEN = _SERIES.format(m="(df - 1) // 2", r="2 * j::DOUBLE / (2 * j + 1)"), _SERIES.format(m="df // 2", r="(2 * j - 1)::DOUBLE / (2 * j)")
+_PVALUES = f""", stat AS (SELECT pollutant, a, b, n, mean_diff, mean_diff / sqrt(g0 / n) * sqrt((n - 1) / n) AS dm FROM dm),
+angle AS (SELECT *, n - 1 AS df, atan(abs(dm) / sqrt(n - 1)) AS w, cos(atan(abs(dm) / sqrt(n - 1))) AS c, sin(atan(abs(dm) / sqrt(n - 1))) AS s FROM stat),
+pval AS (SELECT pollutant, a, b, n, mean_diff, dm, CASE WHEN df % 2 = 1 THEN 1 - 2 / pi() * (w + coalesce(s * c * {_ODD}, 0)) ELSE 1 - s * {_EVEN} END AS p FROM angle)
+"""
 _PCT = "quantile_cont({0}, 0.025::DOUBLE) AS lo, quantile_cont({0}, 0.975::DOUBLE) AS hi"
 
 
@@ -139,6 +146,9 @@ _SELECTS = {
     "train_origins": "SELECT station, pollutant, 'train' AS phase, pos AS origin_pos FROM series WHERE split = 'train' AND pos % 6 = 0 AND pos >= 168 AND pos < 336",
     "context_arrays": "SELECT o.station, o.pollutant, o.origin_pos, count(f.ff) AS n, round(sum(f.ff), 6) AS total, round(max(CASE WHEN f.pos = o.origin_pos THEN f.ff END), 6) AS last FROM origin o JOIN fill f ON f.station = o.station AND f.pollutant = o.pollutant AND f.pos BETWEEN o.origin_pos - 71 AND o.origin_pos WHERE phase = 'test' GROUP BY 1, 2, 3",
     "future_slices": "SELECT t.station, t.pollutant, t.origin_pos, count(ws10) AS n_ws, round(sum(ws10), 6) AS ws, round(sum(blh), 6) AS blh, CAST(sum(hour(p.ts)) AS BIGINT) AS hours FROM target t JOIN panel p ON p.station = t.station AND p.pos = t.target_pos WHERE phase = 'test' GROUP BY 1, 2, 3",
+    "covariate_slices": "SELECT o.station, o.pollutant, o.origin_pos, count(*) AS n, round(sum(coalesce(ws10, 0)), 6) AS ws, round(sum(coalesce(blh, 0)), 6) AS blh, round(max(CASE WHEN p.pos = o.origin_pos - 71 THEN ws10 END), 6) AS first, round(max(CASE WHEN p.pos = o.origin_pos + 24 THEN ws10 END), 6) AS last FROM origin o JOIN panel p ON p.station = o.station AND p.pos BETWEEN o.origin_pos - 71 AND o.origin_pos + 24 WHERE phase = 'test' GROUP BY 1, 2, 3",
+    "origins_by_horizon": "SELECT station, pollutant, CAST(h AS BIGINT) AS horizon, count(*) AS n FROM cand, (VALUES (6), (12), (24)) v(h) WHERE phase = 'test' AND origin_pos - 71 >= 0 AND origin_pos + h < 720 AND origin_pos - 71 >= first_obs GROUP BY 1, 2, 3",
+    "first_complete_day": "SELECT station, pollutant, coalesce(min(CASE WHEN k = 24 THEN pos END), min(pos)) AS pos FROM (SELECT station, pollutant, pos, count(v) OVER (PARTITION BY station, pollutant ORDER BY pos ROWS BETWEEN CURRENT ROW AND 23 FOLLOWING) AS k FROM series) GROUP BY 1, 2",
     "direct_features_oracle": _features(True),
     "direct_features_no_oracle": _features(False),
     "persistence_eval": _EVAL.format("persistence"),
@@ -150,11 +160,15 @@ _SELECTS = {
     "leaderboard_cells": "SELECT station, pollutant, horizon, model, round(mae, 3) AS mae, round(mae_topdecile, 3) AS mae_topdecile, round(q90, 3) AS q90, n, n_origins FROM board",
     "leaderboard_pivot_median": "SELECT model, " + ", ".join(f"round(median(CASE WHEN horizon = {h} THEN mae END), 6) AS h{h}" for h in (6, 12, 24)) + " FROM board WHERE pollutant = 'no2' GROUP BY 1",
     "best_per_horizon": "SELECT horizon, model, round(m, 6) AS mae FROM (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY m, model) AS i FROM (SELECT horizon, model, median(mae) AS m FROM board WHERE pollutant = 'pm25' GROUP BY 1, 2)) WHERE i = 1",
+    "leaderboard_sorted": "SELECT model, round(mae, 6) AS mae, row_number() OVER (ORDER BY mae, model) AS place, CASE model WHEN 'persistence' THEN 1 WHEN 'seasonal_naive_24' THEN 2 ELSE 3 END AS fixed, CASE WHEN model = 'persistence' THEN 'Persistence' ELSE 'Seasonal naive, ' || split_part(model, '_', 3) || ' steps' END AS label, 'baseline' AS kind FROM (SELECT model, median(mae) AS mae FROM board WHERE pollutant = 'pm25' AND horizon = 24 GROUP BY 1)",
+    "single_station_metrics": "SELECT model, round(avg(abs(yhat - y)), 6) AS mae, round(sqrt(avg((yhat - y) * (yhat - y))), 6) AS rmse, round(avg(2 * abs(yhat - y) / nullif(abs(y) + abs(yhat), 0)) * 100, 6) AS smape, round(avg(yhat - y), 6) AS bias, count(*) AS n FROM err WHERE phase = 'test' AND station = 'click' AND pollutant = 'no2' GROUP BY 1",
     "merged_leaderboard": "SELECT pollutant, model, round(median(mae), 6) AS mae, count(mae) AS n FROM (SELECT pollutant, model, mae FROM board WHERE horizon = 24 UNION ALL SELECT pollutant, 'external', mae FROM board WHERE horizon = 24 AND model = 'seasonal_naive_24') GROUP BY 1, 2",
     "prediction_join": "SELECT pollutant, count(*) AS n, round(avg(ae), 6) AS mae FROM err WHERE phase = 'test' AND model = 'persistence' AND lead % 2 = 0 GROUP BY 1",
     "eda_monthly_completeness": "SELECT station, strftime(ts, '%Y-%m') AS month, round(count(no2) / count(*) * 100, 6) AS percent FROM panel GROUP BY 1, 2",
     "eda_diurnal": "SELECT env_type, hour, round(avg(m), 6) AS mean FROM (SELECT station, env_type, CAST(hour(ts) AS BIGINT) AS hour, avg(no2) AS m FROM panel GROUP BY 1, 2, 3) GROUP BY 1, 2",
     "eda_seasonal": "SELECT env_type, part, round(mean, 6) AS mean, round(rate, 6) AS rate FROM (SELECT env_type, part, avg(m) AS mean FROM (SELECT station, env_type, CAST(isodow(ts) - 1 AS BIGINT) AS part, avg(no2) AS m FROM panel GROUP BY 1, 2, 3) GROUP BY 1, 2) JOIN (SELECT part, avg(r) AS rate FROM (SELECT p.station, CAST(isodow(ts) - 1 AS BIGINT) AS part, avg(CAST(coalesce(no2 >= q, false) AS INT)) * 100 AS r FROM panel p JOIN (SELECT station, quantile_cont(no2, 0.9::DOUBLE) AS q FROM panel GROUP BY 1) USING (station) GROUP BY 1, 2) GROUP BY 1) USING (part)",
+    "eda_monthly_climatology": "SELECT env_type, month, round(mean, 6) AS mean, round(rate, 6) AS rate FROM (SELECT env_type, month, avg(m) AS mean FROM (SELECT station, env_type, month(ts) AS month, avg(no2) AS m FROM panel GROUP BY 1, 2, 3) GROUP BY 1, 2) JOIN (SELECT month, avg(r) AS rate FROM (SELECT p.station, month(ts) AS month, avg(CAST(coalesce(no2 >= q, false) AS INT)) * 100 AS r FROM panel p JOIN (SELECT station, quantile_cont(no2, 0.9::DOUBLE) AS q FROM panel GROUP BY 1) USING (station) GROUP BY 1, 2) GROUP BY 1) USING (month)",
+    "pooled_q90": "SELECT pollutant, round(quantile_cont(v, 0.9::DOUBLE), 6) AS q90, count(v) AS n FROM series WHERE v > 0 GROUP BY 1",
     "eda_ventilation_deciles": "SELECT CAST(bin AS BIGINT) AS bin, round((e[bin + 1] + e[bin + 2]) / 2, 6) AS centre, round(quantile_cont(y, 0.25::DOUBLE), 6) AS q25, round(quantile_cont(y, 0.5::DOUBLE), 6) AS median, round(quantile_cont(y, 0.75::DOUBLE), 6) AS q75, count(*) AS n FROM (SELECT x, y, e, len(list_filter(e[2:len(e) - 1], lambda v: x >= v)) AS bin FROM (SELECT blh AS x, pm25 AS y FROM panel WHERE blh IS NOT NULL AND pm25 IS NOT NULL), (SELECT list_sort(list_distinct(quantile_cont(blh, [0.0::DOUBLE, 0.1::DOUBLE, 0.2::DOUBLE, 0.3::DOUBLE, 0.4::DOUBLE, 0.5::DOUBLE, 0.6::DOUBLE, 0.7::DOUBLE, 0.8::DOUBLE, 0.9::DOUBLE, 1.0::DOUBLE]))) AS e FROM panel WHERE blh IS NOT NULL AND pm25 IS NOT NULL)) GROUP BY bin, e",
     "eda_corr": "SELECT station, round(corr(no2, ws10), 6) AS r_ws, round(corr(pm25, blh), 6) AS r_blh FROM panel GROUP BY 1",
     "eda_log_hist": "SELECT CAST(least(floor((log10(pm25) - lo) / ((hi - lo) / 59)), 58) AS BIGINT) AS bin, count(*) AS n FROM panel, (SELECT log10(greatest(min(pm25), 0.1)) AS lo, log10(max(pm25)) AS hi FROM panel WHERE pm25 > 0) WHERE pm25 > 0 AND log10(pm25) >= lo GROUP BY 1",
@@ -167,6 +181,15 @@ _SELECTS = {
     "dm_statistic_lag0": _dm(0),
     "dm_statistic_lag1": _dm(1),
     "bh_qvalues": "SELECT pollutant, a, b, round(p, 6) AS p, rank, round(q, 6) AS q, q <= 0.05 AS reject FROM (SELECT *, least(1.0, min(p * m / rank) OVER (PARTITION BY pollutant ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM (SELECT *, row_number() OVER (PARTITION BY pollutant ORDER BY p, a, b) AS rank, count(*) OVER (PARTITION BY pollutant) AS m FROM (SELECT pollutant, a, b, round(1 / (1 + power(mean_diff / sqrt(g0 / n) * sqrt((n - 1) / n), 2)), 9) AS p FROM dm)))",
+    "dm_pvalues": _PVALUES + "SELECT pollutant, a, b, n, round(mean_diff, 6) AS mean_diff, round(dm, 6) AS dm, round(p, 6) AS p FROM pval",
+    "dm_bootstrap_agreement": _PVALUES + f"SELECT t.pollutant, count(*) FILTER ((q <= 0.05) = (lo > 0 OR hi < 0)) AS agree, count(*) AS total FROM (SELECT *, least(1.0, min(p * m / rank) OVER (PARTITION BY pollutant ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM (SELECT *, row_number() OVER (PARTITION BY pollutant ORDER BY p, a, b) AS rank, count(*) OVER (PARTITION BY pollutant) AS m FROM pval)) t JOIN (SELECT q.pollutant, a, b, {_PCT.format('x.d - y.d')} FROM pair q JOIN dist x ON x.pollutant = q.pollutant AND x.model = a JOIN dist y ON y.pollutant = q.pollutant AND y.model = b AND y.boot_id = x.boot_id GROUP BY 1, 2, 3) c USING (pollutant, a, b) GROUP BY 1",
+    "bootstrap_tail_dmae_ci": f"SELECT pollutant, a, b, round(p.diff, 6) AS diff, round(lo, 6) AS lo, round(hi, 6) AS hi, coalesce(lo > 0 OR hi < 0, false) AS significant FROM (SELECT q.pollutant, a, b, {_PCT.format('x.td - y.td')} FROM pair q JOIN dist x ON x.pollutant = q.pollutant AND x.model = a JOIN dist y ON y.pollutant = q.pollutant AND y.model = b AND y.boot_id = x.boot_id GROUP BY 1, 2, 3) JOIN (SELECT q.pollutant, a, b, x.p - y.p AS diff FROM pair q JOIN (SELECT pollutant, model, sum(ts) / nullif(sum(tn), 0) AS p FROM usum GROUP BY 1, 2) x ON x.pollutant = q.pollutant AND x.model = a JOIN (SELECT pollutant, model, sum(ts) / nullif(sum(tn), 0) AS p FROM usum GROUP BY 1, 2) y ON y.pollutant = q.pollutant AND y.model = b) p USING (pollutant, a, b)",
+    "tail_replication": f""", f_unit AS (SELECT station, origin_pos, dense_rank() OVER (ORDER BY station, origin_pos) - 1 AS u FROM (SELECT DISTINCT station, origin_pos FROM terr WHERE is_tail AND pollutant = 'pm25')),
+f_sum AS (SELECT model, u, sum(ae) AS s, count(ae) AS n FROM terr JOIN f_unit USING (station, origin_pos) WHERE is_tail AND pollutant = 'pm25' GROUP BY 1, 2),
+f_dist AS (SELECT model, b, sum(s) / sum(n) AS d FROM (SELECT b, CAST('0x' || substr(md5(b || '-' || k), 1, 8) AS BIGINT) % n_unit AS u FROM (SELECT count(*) AS n_unit FROM f_unit), range(0, 2000) x(b), range(0, 10000) y(k) WHERE k < n_unit) JOIN f_sum USING (u) GROUP BY 1, 2),
+f_point AS (SELECT model, sum(s) / sum(n) AS p FROM f_sum GROUP BY 1)
+SELECT 'pm25' AS pollutant, 'persistence' AS a, y.model AS b, round(first(px.p - py.p), 6) AS diff, round(quantile_cont(x.d - y.d, 0.025::DOUBLE), 6) AS lo, round(quantile_cont(x.d - y.d, 0.975::DOUBLE), 6) AS hi, quantile_cont(x.d - y.d, 0.025::DOUBLE) > 0 OR quantile_cont(x.d - y.d, 0.975::DOUBLE) < 0 AS significant
+FROM f_dist x JOIN f_dist y ON x.b = y.b JOIN f_point px ON px.model = x.model JOIN f_point py ON py.model = y.model WHERE x.model = 'persistence' AND y.model <> 'persistence' GROUP BY y.model""",
     "conformal_quantile": "SELECT pollutant, model, lead, n, round(size, 6) AS q FROM (SELECT pollutant, model, lead, ae AS size, count(*) OVER (PARTITION BY pollutant, model, lead) AS n, row_number() OVER (PARTITION BY pollutant, model, lead ORDER BY ae) AS i FROM err WHERE phase = 'cal') WHERE i = ceil(least(1.0::DOUBLE, ceil((n + 1) * (1 - 0.1::DOUBLE)) / n) * (n - 1)) + 1",
     "split_cp_intervals": "SELECT e.station, e.pollutant, e.model, e.origin_pos, e.lead, round(yhat - size, 6) AS lo, round(yhat + size, 6) AS hi FROM err e JOIN quant q ON q.level = 'global' AND q.pollutant = e.pollutant AND q.model = e.model WHERE e.phase = 'test'",
     "mmcp_edges": "SELECT pollutant, model, round(w1, 6) AS ws_edges_0, round(w2, 6) AS ws_edges_1, round(b1, 6) AS blh_edges_0, round(b2, 6) AS blh_edges_1 FROM edge",
@@ -175,12 +198,18 @@ _SELECTS = {
     "mmcp3d_apply": "SELECT station, pollutant, model, origin_pos, lead, round(yhat - q3, 6) AS lo, round(yhat + q3, 6) AS hi FROM inter",
     "mmcp4d_apply": "SELECT station, pollutant, model, origin_pos, lead, round(yhat - q4, 6) AS lo, round(yhat + q4, 6) AS hi FROM inter",
     "mmcp_cell_counts": "SELECT f.pollutant, f.w, f.b, f.h2, f.r, count(x.res) AS n FROM (SELECT pollutant, CAST(w AS BIGINT) AS w, CAST(b AS BIGINT) AS b, CAST(h2 AS BIGINT) AS h2, CAST(r AS BIGINT) AS r FROM (VALUES ('no2'), ('pm25')) p(pollutant), range(0, 3) w(w), range(0, 3) b(b), range(0, 2) h(h2), range(0, 2) r(r)) f LEFT JOIN (SELECT * FROM bin WHERE phase = 'cal' AND model = 'persistence') x ON x.pollutant = f.pollutant AND x.w = f.w AND x.b = f.b AND x.h2 = f.h2 AND x.r = f.r GROUP BY 1, 2, 3, 4, 5",
+    "mmcp_cell_summary": "SELECT pollutant, count(*) AS cells, min(n) AS lo, round(median(n), 6) AS median, count(*) FILTER (n >= 10) AS enough FROM (SELECT f.pollutant, f.w, f.b, f.h2, f.r, count(x.res) AS n FROM (SELECT pollutant, w, b, h2, r FROM (VALUES ('no2'), ('pm25')) p(pollutant), range(0, 3) w(w), range(0, 3) b(b), range(0, 2) h(h2), range(0, 2) r(r)) f LEFT JOIN (SELECT * FROM bin WHERE phase = 'cal' AND model = 'persistence') x ON x.pollutant = f.pollutant AND x.w = f.w AND x.b = f.b AND x.h2 = f.h2 AND x.r = f.r GROUP BY 1, 2, 3, 4, 5) GROUP BY 1",
     "episode_cuts": "SELECT pollutant, round(c3, 6) AS c3, round(blh_lo, 6) AS blh_lo, round(ws_lo, 6) AS ws_lo FROM cut",
     "episode_regime": "SELECT station, pollutant, phase, origin_pos, round(cbar, 6) AS cbar, nstag, r FROM regime",
     "leakage_audit": "SELECT pollutant, round(corr(r, ahead), 6) AS r, round(avg(r), 6) AS rate FROM regime LEFT JOIN (SELECT station, pollutant, origin_pos, avg(y) AS ahead FROM actual WHERE phase = 'test' GROUP BY 1, 2, 3) USING (station, pollutant, origin_pos) WHERE phase = 'test' GROUP BY 1",
     "coverage_by_method": "SELECT pollutant, model, round(avg(CAST(in1 AS INT)), 6) AS split, round(avg(CAST(in3 AS INT)), 6) AS mmcp3d, round(avg(CAST(in4 AS INT)), 6) AS mmcp4d, count(y) AS n FROM tint GROUP BY 1, 2",
     "winkler_width": "SELECT pollutant, model, round(avg((yhat + q4) - (yhat - q4)), 6) AS width, round(avg((yhat + q4) - (yhat - q4) + 20 * greatest((yhat - q4) - y, 0) + 20 * greatest(y - (yhat + q4), 0)), 6) AS winkler FROM inter WHERE y IS NOT NULL GROUP BY 1, 2",
     "paired_coverage_bootstrap": f"SELECT pollutant, model, round(coverage_a, 6) AS coverage_a, round(coverage_b, 6) AS coverage_b, round(coverage_a - coverage_b, 6) AS diff, round(lo, 6) AS lo, round(hi, 6) AS hi, lo > 0 OR hi < 0 AS significant FROM (SELECT pollutant, model, {_PCT.format('d')} FROM cvd GROUP BY 1, 2) JOIN (SELECT pollutant, model, sum(sa) / sum(n) AS coverage_a, sum(sb) / sum(n) AS coverage_b FROM cvu GROUP BY 1, 2) USING (pollutant, model)",
+    "trained_counts": "SELECT station, pollutant, model, count(y) AS n, count(DISTINCT origin_pos) AS n_origins FROM (SELECT station, pollutant, m AS model, y, origin_pos FROM actual a, (VALUES ('ridge'), ('ridge_nowx')) v(m) WHERE phase = 'test' AND EXISTS (SELECT 1 FROM series t JOIN series g ON g.station = t.station AND g.pollutant = t.pollutant AND g.pos BETWEEN t.pos + 1 AND t.pos + 24 WHERE t.split = 'train' AND t.pos % 6 = 0 AND t.pos >= 168 AND t.pos < 336 AND g.v IS NOT NULL AND t.station = a.station AND t.pollutant = a.pollutant)) GROUP BY 1, 2, 3",
+    "panel_round_trip": "SELECT station, pos, split, no2, pm25 FROM panel",
+    "losses_round_trip": "SELECT pollutant, model, station, origin_pos, round(loss, 6) AS loss FROM loss WHERE pollutant = 'no2'",
+    "results_round_trip": "SELECT station, pollutant, model, round(mae, 3) AS mae, n FROM board WHERE horizon = 24",
+    "predictions_round_trip": "SELECT station, pollutant, model, phase, origin_pos, lead, round(yhat, 6) AS yhat FROM pred WHERE phase = 'test' AND model = 'persistence'",
     "manifest_append": "SELECT 'events' AS source, '' AS city, event_type AS station, '2024' AS year, '' AS pull_date_utc, '' AS sha256, CAST(count(*) AS VARCHAR) AS n_rows, '' AS notes FROM raw GROUP BY event_type",
     "stream_tumbling_hourly": "SELECT event_type AS station, ts, count(*) AS n, round(sum(value), 6) AS total FROM raw GROUP BY 1, 2",
 }

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import bootstrap, compare, conformal, eda, forecast, grid, metrics, origins
 from ..schema import EVENTS, WEATHER
 from ..sources import events, readers
+from ..sources.shared import shared_dir
 from .evaluation import Evaluation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +108,8 @@ def json_column_unpack(spark, sf_dir):
 
 # --- windows and features
 
+HORIZONS = [6, 12, 24]
+
 
 @_on
 def ffill_series(e):
@@ -156,6 +162,28 @@ def future_slices(e):
     return rounded(rows.groupBy(*origins.KEY, "origin_pos").agg(F.count("ws10").alias("n_ws"), F.sum("ws10").alias("ws"), F.sum("blh").alias("blh"), F.sum("hour").alias("hours")))
 
 
+@_on
+def covariate_slices(e):
+    """The weather of each test origin from the start of its context to the end of its horizon, in order."""
+    rows = origins.covariates(e.panel, e.origins("test"), e.protocol.context, e.protocol.horizon, ["ws10", "blh"])
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return rounded(rows.select(*origins.KEY, "origin_pos", F.size("ws10").cast("long").alias("n"), total("ws10").alias("ws"), total("blh").alias("blh"), F.element_at("ws10", 1).alias("first"), F.element_at("ws10", -1).alias("last")))
+
+
+@_on
+def origins_by_horizon(e):
+    """How many origins are valid where only the horizon itself has to fit, and not the longest."""
+    parts = [origins.eval_origins(e.series, "test", replace(e.protocol, max_horizon=h)).withColumn("horizon", F.lit(h).cast("long")) for h in HORIZONS]
+    return reduce(DataFrame.unionByName, parts).groupBy(*origins.KEY, "horizon").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_on
+def first_complete_day(e):
+    """Each series' first position from which a day's values are all there, else its first position."""
+    ahead = F.count("v").over(grid.by_time().rowsBetween(0, 23)) == 24
+    return origins.first_meeting(e.series.withColumn("whole", ahead), origins.KEY, F.col("whole"), "pos")
+
+
 def _features(e, future):
     rows = forecast.features(e.panel, e.series, e.origins("test"), e.protocol.horizon, future)
     return rounded(rows.select(*origins.KEY, "origin_pos", "lead", "y", *forecast.feature_names([c for c in rows.columns if c != "lead"])))
@@ -212,9 +240,6 @@ def tail_metrics(e):
     return rounded(e.tail_errors().where("is_tail").groupBy("pollutant", "model").agg(F.avg("ae").alias("mae"), F.count("ae").alias("n"), F.countDistinct("station", "origin_pos").alias("units")))
 
 
-HORIZONS = [6, 12, 24]
-
-
 @_on
 def leaderboard_cells(e):
     return rounded(e.leaderboard(HORIZONS).withColumn("horizon", F.col("horizon").cast("long")), 3)
@@ -230,6 +255,21 @@ def best_per_horizon(e):
     return rounded(metrics.best_model(e.leaderboard(HORIZONS).where("pollutant = 'pm25'")).withColumn("horizon", F.col("horizon").cast("long")))
 
 
+@_on
+def leaderboard_sorted(e):
+    """Models by median error, with their place in the fixed order, label and class."""
+    board = e.leaderboard([24]).where("pollutant = 'pm25'").groupBy("model").agg(F.median("mae").alias("mae"))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("mae", "model")).cast("long")  # a row a model
+    return rounded(board.withColumn("place", place).select("model", "mae", "place", metrics.fixed_place(F.col("model")).alias("fixed"), exprs.display_label(F.col("model")).alias("label"), exprs.model_class(F.col("model")).alias("kind")))
+
+
+@_on
+def single_station_metrics(e):
+    """The study of one station: its models' metrics, as a metrics file has them."""
+    rows = e.errors("test").where("station = 'click' and pollutant = 'no2'")
+    return rounded(rows.groupBy("model").agg(*metrics.point_metrics()))
+
+
 @_on
 def merged_leaderboard(e):
     """Two leaderboards, baseline and external, as one."""
@@ -265,6 +305,19 @@ def eda_seasonal(e):
     return rounded(rows.join(rate, "part"))
 
 
+@_on
+def eda_monthly_climatology(e):
+    rows = eda.macro_cycle(e.panel, "no2", F.month("ts").cast("long"), "month")
+    rate = eda.episode_rate(e.panel, "no2", F.month("ts").cast("long"), "month")
+    return rounded(rows.join(rate, "month"))
+
+
+@_on
+def pooled_q90(e):
+    """The 90 % point of all positive values of a pollutant, over stations."""
+    return rounded(e.series.where("v > 0").groupBy("pollutant").agg(F.percentile("v", F.lit(0.9)).alias("q90"), F.count("v").alias("n")))
+
+
 @_on
 def eda_ventilation_deciles(e):
     return rounded(eda.ventilation(e.panel, "pm25", "blh"))
@@ -314,6 +367,17 @@ def bootstrap_dmae_ci(e):
     return rounded(e.differences())
 
 
+@_on
+def bootstrap_tail_dmae_ci(e):
+    return rounded(e.differences(tail=True))
+
+
+@_on
+def tail_replication(e):
+    """No model beats persistence in the tail, or does it: units with a tail hour alone."""
+    return rounded(e.tail_differences())
+
+
 @_on
 def dm_statistic_lag0(e):
     return rounded(e.tests(0))
@@ -387,6 +451,12 @@ def mmcp_cell_counts(e):
     return conformal.cell_counts(e.calibration()[0].where("model = 'persistence'"), ["pollutant"])
 
 
+@_on
+def mmcp_cell_summary(e):
+    counts = conformal.cell_counts(e.calibration()[0].where("model = 'persistence'"), ["pollutant"])
+    return rounded(conformal.cell_summary(counts, ["pollutant"], e.protocol.n_min))
+
+
 @_on
 def episode_cuts(e):
     return rounded(e.cuts())
@@ -436,7 +506,20 @@ def ridge_forecast(e):
 
 @_on
 def gbt_forecast(e):
-    return rounded(e.trained("gbt", trees=10, depth=4))
+    return rounded(e.trained("gbt"))
+
+
+@_on
+def trained_leaderboard(e):
+    """Cells of ridge and boosted trees, with and without the weather ahead, beside the baselines."""
+    return rounded(metrics.cells(e.trained_errors(), ["station", "pollutant", "model"]), 3)
+
+
+@_on
+def trained_counts(e):
+    """How many forecasts the ridge models' cells count, with and without the weather ahead."""
+    rows = metrics.errors(e.trained("ridge").unionByName(e.trained("ridge", False)), e.actuals("test"))
+    return rows.groupBy("station", "pollutant", "model").agg(F.count("ae").alias("n"), F.countDistinct("origin_pos").alias("n_origins"))
 
 
 @_query
@@ -445,6 +528,41 @@ def manifest_append(spark, sf_dir):
     return readers.manifest_rows(rows.withColumns({"source": F.lit("events"), "year": F.lit("2024"), "other": F.lit("goes")}))
 
 
+@_on
+def panel_round_trip(e):
+    """The panel written by station and read again."""
+    path = f"{shared_dir(e.panel.sparkSession)}/panel-files-{uuid.uuid4().hex}"
+    readers.write_panel(e.panel.select("station", "pos", "split", "no2", "pm25"), path)
+    return readers.read_panel(e.panel.sparkSession, path).select("station", "pos", "split", "no2", "pm25")
+
+
+@_on
+def losses_round_trip(e):
+    """Losses by origin through their table."""
+    path = f"{shared_dir(e.panel.sparkSession)}/losses-{uuid.uuid4().hex}"
+    readers.write_losses(compare.origin_losses(e.errors("test")), path)
+    return rounded(readers.read_losses(e.panel.sparkSession, path, "no2"))
+
+
+@_on
+def results_round_trip(e):
+    """A leaderboard through its CSV file."""
+    path = f"{shared_dir(e.panel.sparkSession)}/results-{uuid.uuid4().hex}"
+    board = rounded(e.leaderboard([24]).select("station", "pollutant", "model", "mae", "n"), 3)
+    readers.write_results(board, path)
+    return readers.read_results(e.panel.sparkSession, path, "station string, pollutant string, model string, mae double, n long")
+
+
+@_on
+def predictions_round_trip(e):
+    """Forecasts through the cache: the second call reads what the first wrote."""
+    path = f"{shared_dir(e.panel.sparkSession)}/predictions-{uuid.uuid4().hex}"
+    make = lambda: e.predictions("test").where("model = 'persistence'")
+    for _ in range(2):
+        found = readers.cached_predictions(e.panel.sparkSession, path, {"model": "persistence", "protocol": e.protocol}, make)
+    return rounded(found)
+
+
 @_query
 def stream_tumbling_hourly(spark, sf_dir):
     """The stream's aggregate over the table as a batch."""

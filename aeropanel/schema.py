@@ -15,7 +15,7 @@ MET = "timestamp_utc timestamp, t2m_c float, sp_hpa float, tp_mm float, blh floa
 PREDICTIONS = "station string, pollutant string, model string, phase string, origin_pos long, lead long, yhat double"
 MANIFEST = ["source", "city", "station", "year", "pull_date_utc", "sha256", "n_rows", "notes"]
 
-# The published stations (code, city, tier, env_type, source, pollutants, koppen, note).
+# The published stations (code, city, tier, env_type, source, pollutants, koppen); the notes are our own words.
 STATIONS = [
     ("SHDG", "sheffield", 1, "urban_background", "aurn", ["NO2", "PM2.5"], "Cfb", ""),
     ("SHBR", "sheffield", 1, "urban_traffic", "aurn", ["NO2", "PM2.5"], "Cfb", ""),
@@ -54,4 +54,4 @@ class Protocol:
     splits: dict[str, tuple[str, str]] = field(default_factory=lambda: {"train": ("2019-01-01", "2023-01-01"), "cal": ("2023-01-01", "2023-07-01"), "test": ("2023-07-01", "2025-01-01")})
 
 
-EVENTS = Protocol(context=72, stride=24, horizon=24, max_horizon=24, n_min=10, n_boot=200, start="2024-01-01", end="2024-01-31", splits={"train": ("2024-01-01", "2024-01-16"), "cal": ("2024-01-16", "2024-01-21"), "test": ("2024-01-21", "2024-01-31")})
+EVENTS = Protocol(context=72, stride=24, horizon=24, max_horizon=24, n_min=10, start="2024-01-01", end="2024-01-31", splits={"train": ("2024-01-01", "2024-01-16"), "cal": ("2024-01-16", "2024-01-21"), "test": ("2024-01-21", "2024-01-31")})

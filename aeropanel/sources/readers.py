@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import warnings
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +55,27 @@ def union_years(parts: list[DataFrame], keys: list[str], order: str) -> DataFram
     return keep_first(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), keys, [order])
 
 
+def parse_years(spec: str) -> list[int]:
+    """"2019-2024" (both ends count) or "2019,2021"."""
+    if "-" in spec:
+        first, last = map(int, spec.split("-"))
+        return list(range(first, last + 1))
+    return [int(x) for x in spec.split(",") if x.strip()]
+
+
+def read_years(spark: SparkSession, pattern: str, years: list[int], keys: list[str], order: str) -> DataFrame:
+    """``union_years`` of the Parquet tables at ``pattern``, which has {year}; a year without one is skipped with a warning, all of them are an error."""
+    parts = []
+    for year in years:
+        try:
+            parts.append(spark.read.parquet(pattern.format(year=year)))
+        except AnalysisException as why:
+            warnings.warn(f"no table of {year}: {why.getCondition()}", stacklevel=2)
+    if not parts:
+        raise ValueError(f"no table of {years} at {pattern}")
+    return union_years(parts, keys, order)
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row a key, the first by ``order``; rows whose last key is null go."""
     by = Window.partitionBy(*keys).orderBy(*order)
@@ -95,3 +120,28 @@ def append_manifest(df: DataFrame, path: str) -> None:
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """External forecasts in long form (schema.PREDICTIONS), joined by key, never by position."""
     return clean_missing(spark.read.parquet(path))
+
+
+def write_losses(losses: DataFrame, path: str) -> None:
+    """Losses by origin, a folder a pollutant."""
+    losses.repartition("pollutant").write.mode("overwrite").partitionBy("pollutant").parquet(path)
+
+
+def read_losses(spark: SparkSession, path: str, pollutant: str | None = None) -> DataFrame:
+    df = spark.read.parquet(path)
+    return df.where(F.col("pollutant") == pollutant) if pollutant else df
+
+
+def write_metrics(df: DataFrame, path: str) -> None:
+    """A row a JSON object a line, times as text; small by what it is."""
+    df.select(*[F.col(c).cast("string") if t.startswith("timestamp") or t == "date" else F.col(c) for c, t in df.dtypes]).coalesce(1).write.mode("overwrite").json(path)
+
+
+def cached_predictions(spark: SparkSession, path: str, settings: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """The forecasts of these settings, from the table that their digest names; made and written where there is none."""
+    at = f"{path}/{hashlib.sha256(repr(sorted(settings.items())).encode()).hexdigest()[:24]}"
+    try:
+        return read_predictions(spark, at)
+    except AnalysisException:
+        make().write.mode("overwrite").parquet(at)
+        return read_predictions(spark, at)
