@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator, Mapping
+import functools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,60 +13,91 @@ from pyspark.sql import functions as F
 
 from .common import Alike, Cross, components_of_blocks, join_hot, label_pairs, materialize, unused
 
-FIELD = "<*>"
-_VARIABLE = re.compile(r"[0-9@]|://")
 _LINES = "doc_id long, key long, line_no int, n int, leaf long, line long, sig binary"
+_SPACE = np.array([i in (9, 10, 11, 12, 13, 32) for i in range(256)])
+_VARIABLE = np.array([chr(i) in "0123456789@" for i in range(256)])
+_BASE, _TOKENS, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC2B2AE3D27D4EB4F))
 
 
-class _Remembered(dict):
-    """``f`` of each key, emptied when ``most`` are kept."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _M1
+    x = (x ^ (x >> np.uint64(29))) * _M2
+    return x ^ (x >> np.uint64(32))
 
-    def __init__(self, f: Callable[[str], object], most: int = 300_000):
-        self.f, self.most = f, most
-
-    def __missing__(self, key: str):
-        if len(self) >= self.most:
-            self.clear()
-        found = self[key] = self.f(key)
-        return found
 
+FIELD = int(_mix(np.array([1], np.uint64))[0])  # a variable field's hash
 
-def _as_token(t: str) -> str:
-    return FIELD if _VARIABLE.search(t) else t
 
+@functools.lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number and of its inverse, modulo 2^64."""
+    out = []
+    for x in (base, pow(base, -1, 1 << 64)):
+        steps = np.full(n, x, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps))
+    return out[0], out[1]
 
-def _as_mark(t: str) -> bytes:
-    return (xxhash.xxh32_intdigest(t) & 0xFFFF).to_bytes(2, "little")
 
+def _spans(values: np.ndarray, base: np.uint64, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each values[start:end], by differences of one running sum."""
+    up, down = _powers(int(base), 1 << max(16, len(values).bit_length()))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
+    return (sums[end] - sums[start]) * down[start]
 
-def tokens_of(line: str, known: Mapping[str, str] | None = None) -> list[str]:
-    """A line's tokens; those with a digit, an at sign or "://" are variable fields."""
-    return list(map(_as_token if known is None else known.__getitem__, line.split()))
 
+def parse_lines(raw: bytes, depth: int = 2) -> tuple[np.ndarray, ...]:
+    """(n, leaf, line, marks, bounds) of the lines of ``raw``: tokens, hashes of the leaf and the whole line, and 16 bits for each token, line i's being marks[bounds[i]:bounds[i + 1]].
 
-def template_of(line: str, depth: int = 2, known: Mapping[str, str] | None = None) -> tuple[list[str], int]:
-    """(tokens, leading tokens that choose the leaf); a template is two constant tokens at least, and half of the line: others join as raw text, in a leaf a text."""
-    tokens = tokens_of(line, known)
-    fields = tokens.count(FIELD)
-    if fields and len(tokens) - fields < max(2, len(tokens) / 2):
-        return line.split(), len(tokens)
-    return tokens, depth if len(tokens) >= 3 else len(tokens)
+    Tokens lie between ASCII white space; those with a digit, an at sign or "://" are variable fields, which hash alike.
+    The leaf is the number of tokens with the ``depth`` leading ones, or all of fewer than three. A template is two
+    constant tokens at least, and half of the line: others join as raw text, in a leaf a text.
+    """
+    data = np.frombuffer(raw + b"\n", np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data])).astype(np.int8)))
+    starts, ends = edges[0::2], edges[1::2]
+    token = _mix(_spans(data.astype(np.uint64) + np.uint64(1), _BASE, starts, ends))
+    marked = _VARIABLE[data]
+    if b"://" in raw:
+        marked[:-2] |= (data[:-2] == 58) & (data[1:-1] == 47) & (data[2:] == 47)
+    seen = np.concatenate(([0], np.cumsum(marked, dtype=np.int64)))
+    field = seen[ends] > seen[starts]
+    bounds = np.searchsorted(starts, np.concatenate(([0], np.flatnonzero(data == 10) + 1)))
+    n = np.diff(bounds)
+    fields = np.diff(np.concatenate(([0], np.cumsum(field)))[bounds])
+    plain = (fields > 0) & (n - fields < np.maximum(2, n / 2))
+    of = np.repeat(np.arange(len(n)), n)
+    token = np.where(field & ~plain[of], np.uint64(FIELD), token)
+    leading = np.where((n < 3) | plain, n, np.minimum(n, depth))
+    count = n.astype(np.uint64)
+    line = _mix(_spans(token, _TOKENS, bounds[:-1], bounds[1:]) + count)
+    leaf = _mix(_spans(token, _TOKENS, bounds[:-1], bounds[:-1] + leading) * _M1 + count)
+    return n, leaf.view(np.int64), line.view(np.int64), (token >> np.uint64(48)).astype("<u2"), bounds
+
+
+def _pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """A text in pieces of whole lines, of about ``most`` bytes but for longer lines."""
+    at = 0
+    while len(text) - at > most and (end := text.find(b"\n", at + most)) >= 0:
+        yield text[at:end]
+        at = end + 1
+    yield text[at:]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def place_in_tree(tokens: list[str], depth: int, marks: Mapping[str, bytes] | None = None) -> tuple[int, int, bytes]:
-    """(leaf, line, signature): hashes of the count with the ``depth`` leading tokens and of all tokens, and 16 bits a token."""
-    leaf = _signed(xxhash.xxh64_intdigest(f"{len(tokens)} {' '.join(tokens[:depth])}"))
-    sig = b"".join(map(_as_mark if marks is None else marks.__getitem__, tokens))
-    return leaf, _signed(xxhash.xxh64_intdigest(" ".join(tokens), 1)), sig
-
-
-def alike(a: bytes, b: bytes, least: float) -> bool:
-    x, y = np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2")
-    return len(x) == len(y) and int((x == y).sum()) >= least * len(x) - 1e-9
+def alike_all(a: list[bytes], b: list[bytes], least: float) -> np.ndarray:
+    """Of pairs of signatures, whether ``least`` of their tokens are equal, place by place."""
+    size, other = (np.fromiter(map(len, x), np.int64, len(x)) // 2 for x in (a, b))
+    out, same = np.zeros(len(a), bool), np.flatnonzero((size == other) & (size > 0))
+    if len(same):
+        x, y = (np.frombuffer(b"".join([sigs[i] for i in same.tolist()]), "<u2") for sigs in (a, b))
+        size = size[same]
+        equal = np.add.reduceat(x == y, np.concatenate(([0], np.cumsum(size)[:-1])), dtype=np.int64)
+        out[same] = equal >= least * size - 1e-9
+    return out
 
 
 def blocks_of(sig: bytes, least: float, depth: int = 0) -> list[tuple[int, bytes]]:
@@ -90,10 +121,7 @@ def may_differ(n: int, least: float) -> int:
 def alike_lines(least: float) -> tuple[Alike, Cross]:
     """The tests of ``components_of_blocks`` for signatures."""
 
-    def pairs(a: list[bytes], b: list[bytes]) -> np.ndarray:
-        return np.array([alike(x, y, least) for x, y in zip(a, b, strict=True)], bool)
-
-    def cross(a: list[bytes], label_a: np.ndarray, b: list[bytes], label_b: np.ndarray, cells: int = 4_000_000) -> set[tuple[int, int]]:
+    def cross(a: list[bytes], label_a: np.ndarray, b: list[bytes], label_b: np.ndarray, cells: int = 1_000_000) -> set[tuple[int, int]]:
         found: set[tuple[int, int]] = set()
         size_a, size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
         for size in np.intersect1d(size_a, size_b).tolist():  # one, but for colliding hashes
@@ -101,30 +129,45 @@ def alike_lines(least: float) -> tuple[Alike, Cross]:
             x, y = (np.frombuffer(b"".join(sigs[i] for i in own.tolist()), "<u2").reshape(len(own), -1) for sigs, own in ((a, left), (b, right)))
             y, step = np.ascontiguousarray(y.T), max(1, cells // len(right))
             for at in range(0, len(left), step):
-                same = np.zeros((len(x[at : at + step]), len(right)), np.int32)
+                same = np.zeros((len(x[at : at + step]), len(right)), np.uint8 if size < 500 else np.uint32)
                 for place, tokens in enumerate(y):
-                    same += x[at : at + step, place, None] == tokens
+                    same += (x[at : at + step, place, None] == tokens).view(np.uint8)
                 i, j = np.nonzero((same >= least * x.shape[1] - 1e-9) & (label_a[left[at : at + step], None] != label_b[right]))
                 found |= label_pairs(label_a[left[at + i]], label_b[right[j]])
         return found
 
-    return pairs, cross
+    return lambda a, b: alike_all(a, b, least), cross
 
 
 def parse(docs: DataFrame, depth: int = 2, min_tokens: int = 3) -> DataFrame:
     """``_LINES`` of every line of ``min_tokens`` tokens or more; key: a hash of doc_id and text, so equal rows are one document."""
 
+    def groups(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
+        """(bytes, [(row, number of its first line here)]): pieces of texts, put together up to about ``most`` bytes."""
+        parts, rows, size = [], [], 0
+        for row, text in enumerate(texts):
+            first = 0
+            for piece in _pieces(text.as_buffer().to_pybytes() if text.is_valid else b""):
+                if parts and size + len(piece) > most:
+                    yield b"\n".join(parts), rows
+                    parts, rows, size = [], [], 0
+                lines = piece.count(b"\n") + 1
+                parts.append(piece)
+                rows.append((row, first, lines))
+                first, size = first + lines, size + len(piece)
+        if parts:
+            yield b"\n".join(parts), rows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, marks = _Remembered(_as_token), _Remembered(_as_mark)
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for i, line in enumerate((text or "").split("\n")):
-                    tokens, leading = template_of(line, depth, known)
-                    if len(tokens) >= min_tokens:
-                        out.append((doc_id, key, i, len(tokens), *place_in_tree(tokens, leading, marks)))
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, types, strict=True)], [x.split()[0] for x in _LINES.split(", ")])
+            for raw, rows in groups(batch.column(2)):
+                n, leaf, line, marks, bounds = parse_lines(raw, depth)
+                row, first, lines = np.array(rows, np.int64).T
+                place = np.repeat(row, lines)
+                number = np.arange(len(n)) - np.repeat(np.cumsum(lines) - lines - first, lines)
+                sig = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * bounds).astype(np.int32).tobytes()), pa.py_buffer(marks.tobytes())])
+                out = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place)), batch.column(1).take(pa.array(place)), pa.array(number.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(leaf), pa.array(line), sig], [x.split()[0] for x in _LINES.split(", ")])
+                yield out.filter(pa.array(n >= max(1, min_tokens)))
 
     return docs.select("doc_id", "key", "text").mapInArrow(run, _LINES)
 

@@ -1,6 +1,10 @@
 import random
+import re
 from collections import defaultdict
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from aeropanel.llm import lines
 
 from .fixtures import documents, frame
@@ -23,12 +27,16 @@ def corpus():
     return rows
 
 
+def tokens_of(line):
+    return ["<*>" if re.search("[0-9@]|://", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", line)]
+
+
 def brute(rows, least=0.8):
     docs = {(r[0], r[1]): r for r in rows if r[1]}
     found = []
     for doc_id, text in sorted(docs, key=lambda k: (k[0] is None, k[0] or 0)):
         for i, line in enumerate(text.split("\n")):
-            t = lines.tokens_of(line)
+            t = tokens_of(line)
             if len(t) >= 3:
                 found.append((doc_id, text, i, t))
     texts = sorted({tuple(f[3]) for f in found})
@@ -75,6 +83,37 @@ def test_alike_lines_of_a_busy_leaf_meet(spark):
     assert sum(not t for t in got.values()) == 40
 
 
+def template(line):
+    """(tokens, leaf) of a line, a token at a time."""
+    tokens, raw = tokens_of(line), re.findall(r"[^\x20\x09-\x0D]+", line)
+    fields = tokens.count("<*>")
+    if fields and len(tokens) - fields < max(2, len(tokens) / 2):
+        return (*raw,), (len(raw), *raw, None)
+    return (*tokens,), (len(tokens), *tokens[: 2 if len(tokens) >= 3 else len(tokens)])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "ab", "é", "12", "x1", "@", "a://b", ":", "//", " ", "  ", "\t", "\n", "\x0b", "\x1c", "\xa0", "全文"]), max_size=40))
+def test_parsed_lines_are_those_of_tokens(parts):
+    text = "".join(parts)
+    n, leaf, line, marks, bounds = lines.parse_lines(text.encode())
+    own = [template(x) for x in text.split("\n")]
+    assert n.tolist() == [len(t) for t, _ in own] and bounds[-1] == len(marks)
+    for i, (t, k) in enumerate(own):
+        for j, (u, m) in enumerate(own[:i]):
+            assert (line[i] == line[j]) == (t == u) and (not t or not u or (leaf[i] == leaf[j]) == (k == m or (t == u)))
+            if len(t) == len(u):
+                same = marks[bounds[i] : bounds[i + 1]] == marks[bounds[j] : bounds[j + 1]]
+                assert same.tolist() == [x == y for x, y in zip(t, u)]
+
+
+def test_long_texts_are_parsed_in_pieces():
+    text = b"\n".join(b"line %d of many" % i for i in range(500)) + b"\n" + b"x" * 3000 + b"\n\nend"
+    for most in (1, 100, 2000, 1 << 20):
+        pieces = list(lines._pieces(text, most))
+        assert b"\n".join(pieces) == text and (most > 2000 or len(pieces) > 5)
+
+
 def test_hard_rows(spark):
     rows = documents()
     out = lines.drop_repeated(frame(spark, rows))

@@ -56,12 +56,13 @@ def test_no_link_of_a_busy_leaf_is_missed(spark):
 def test_blocks_cut_in_pieces_give_the_same_links(spark):
     rng = random.Random(9)
     own = ["from the old town " + " ".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
-    tokens = {line: sig for line, sig in ((x[1], x[2]) for x in (lines.place_in_tree(t.split(), 2) for t in own))}
+    _, _, line, marks, bounds = lines.parse_lines("\n".join(own).encode())
+    tokens = {k: marks[a:b].tobytes() for k, a, b in zip(line.tolist(), bounds, bounds[1:])}
     members = spark.createDataFrame([(1, k) for k in tokens], "block long, node long")
     sig = spark.createDataFrame([(k, bytearray(v)) for k, v in tokens.items()], "node long, sig binary")
     labels = spark.createDataFrame([], "node long, label long")
     whole, cut = ({tuple(r) for r in common.across(members, labels, sig, lines.alike_lines(0.8)[1], rows).collect()} for rows in (2048, 40))
-    assert whole == cut == {(a, b) for a, x in tokens.items() for b, y in tokens.items() if a < b and lines.alike(x, y, 0.8)}
+    assert whole == cut == {(a, b) for a, x in tokens.items() for b, y in tokens.items() if a < b and lines.alike_all([x], [y], 0.8)[0]}
 
 
 def test_rows_of_fields_join_by_their_text_alone(spark):
