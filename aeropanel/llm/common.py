@@ -94,7 +94,9 @@ def components_of_blocks(keyed: DataFrame, sig: DataFrame, alike: Alike, cross:
     and no list of all pairs is made.
     """
     heads = keyed.groupBy("block").agg(F.min("node").alias("head"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("head <> last").drop("last")
-    members = materialize(join_hot(keyed, materialize(heads, f"{tag}-heads"), "block").select("block", "node", "head", "loose"), f"{tag}-members")
+    heads = materialize(heads, f"{tag}-heads")
+    members = materialize(join_hot(keyed, heads, "block").select("block", "node", "head", "loose"), f"{tag}-members")
+    discard(heads)
     pairs = members.where("node <> head").select("node", "head").distinct()
     both = pairs.join(sig, "node").join(sig.select(F.col("node").alias("head"), F.col("sig").alias("other")), "head").select("node", "head", "sig", "other")
 
@@ -103,15 +105,18 @@ def components_of_blocks(keyed: DataFrame, sig: DataFrame, alike: Alike, cross:
             found = batch.filter(pa.array(alike(batch.column(2).to_pylist(), batch.column(3).to_pylist()), pa.bool_()))
             yield pa.RecordBatch.from_arrays([found.column(0), found.column(1)], ["a", "b"])
 
-    labels = components(materialize(both.mapInArrow(match, "a long, b long"), f"{tag}-alike"))
-    more = materialize(across(members.where("loose").select("block", "node"), labels, sig, cross, rows), f"{tag}-across")
+    edges = materialize(both.mapInArrow(match, "a long, b long"), f"{tag}-alike")
+    labels = components(edges)
+    more = across(members.where("loose").select("block", "node"), labels, sig, cross, rows)
+    discard(members)
+    discard(edges)
     if not more.isEmpty():
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
     return labels
 
 
 def across(members: DataFrame, labels: DataFrame, sig: DataFrame, cross: Cross, rows: int = 2048) -> DataFrame:
-    """(a, b): labels joined by alike nodes of one block; blocks of over ``rows`` nodes are cut, and each pair of pieces is a group of its own."""
+    """(a, b), a written table: labels joined by alike nodes of one block; blocks of over ``rows`` nodes are cut, and each pair of pieces is a group of its own."""
     own = materialize(members.join(labels, "node", "left").select("block", "node", F.coalesce("label", "node").alias("label")), "labelled")
     mixed = own.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("block", "n")
     mixed = materialize(mixed.withColumn("pieces", F.ceil(F.col("n") / rows).cast("int")), "mixed")
@@ -129,7 +134,10 @@ def across(members: DataFrame, labels: DataFrame, sig: DataFrame, cross: Cross,
                 found |= cross([sigs[i] for i in a.tolist()], label[a], [sigs[i] for i in b.tolist()], label[b])
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return in_piece_pairs(cut.select("block", "label", "sig", "piece", "pieces")).groupBy("block", "one", "two").applyInArrow(search, "a long, b long")
+    found = materialize(in_piece_pairs(cut.select("block", "label", "sig", "piece", "pieces")).groupBy("block", "one", "two").applyInArrow(search, "a long, b long"), "across")
+    discard(own)
+    discard(mixed)
+    return found
 
 
 def in_piece_pairs(cut: DataFrame) -> DataFrame:

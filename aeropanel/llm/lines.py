@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard
 from .common import Alike, Cross, components_of_blocks, join_hot, label_pairs, materialize, unused
 
 _LINES = "doc_id long, key long, line_no int, n int, leaf long, line long, sig binary"
@@ -181,9 +182,10 @@ def template_groups(lines: DataFrame, least: float = 0.8, depth: int = 2) -> Dat
     """
     lines = lines.where(F.floor(F.lit(1 - least) * F.col("n") + 1e-9) >= 1)  # others are alike only where they are equal
     # distinct lines come first, so repeated ones are not shuffled again
-    texts = materialize(lines.groupBy("leaf", "line").agg(F.first("sig").alias("sig")), "distinct-lines")
-    several = materialize(texts.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "leaves")
-    texts = materialize(join_hot(texts, several, "leaf").drop("n"), "leaf-lines")
+    distinct = materialize(lines.groupBy("leaf", "line").agg(F.first("sig").alias("sig")), "distinct-lines")
+    several = materialize(distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "leaves")
+    texts = materialize(join_hot(distinct, several, "leaf").drop("n"), "leaf-lines")
+    discard(distinct)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,6 +198,8 @@ def template_groups(lines: DataFrame, least: float = 0.8, depth: int = 2) -> Dat
 
     keyed = materialize(texts.select("leaf", "line", "sig").mapInArrow(blocks, "block long, node long, loose boolean"), "blocks")
     labels = components_of_blocks(keyed, texts.select(F.col("line").alias("node"), "sig"), *alike_lines(least), "line")
+    for written in (several, texts, keyed):
+        discard(written)
     return labels.select(F.col("node").alias("line"), F.col("label").alias("template"))
 
 
@@ -209,6 +213,7 @@ def repeated_lines(docs: DataFrame, least: float = 0.8, depth: int = 2, min_toke
     groups = template_groups(lines, least, depth)
     slim = lines.select("doc_id", "key", "line_no", "line").join(groups, "line", "left").select("doc_id", "key", "line_no", F.coalesce("template", "line").alias("template"))
     slim = materialize(slim, "templates")
+    discard(lines)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line_no")
     by_doc = slim.groupBy("template", "doc_id", "key").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
     often = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.min("place").alias("first")).where(F.col("docs") >= min_docs)

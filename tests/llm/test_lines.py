@@ -31,29 +31,32 @@ def tokens_of(line):
     return ["<*>" if re.search("[0-9@]|://", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", line)]
 
 
-def brute(rows, least=0.8):
+def brute(rows, least=0.8, min_tokens=3):
     docs = {(r[0], r[1]): r for r in rows if r[1]}
     found = []
     for doc_id, text in sorted(docs, key=lambda k: (k[0] is None, k[0] or 0)):
         for i, line in enumerate(text.split("\n")):
-            t = tokens_of(line)
-            if len(t) >= 3:
-                found.append((doc_id, text, i, t))
-    texts = sorted({tuple(f[3]) for f in found})
-    of = {t: t for t in texts}
+            t, leaf = template(line)
+            if len(t) >= min_tokens:
+                found.append((doc_id, text, i, t, leaf))
+    leaves = defaultdict(set)
+    for f in found:
+        leaves[f[4]].add(f[3])
+    of = {t: t for f in found for t in [f[3]]}
 
     def root(t):
         while of[t] != t:
             t = of[t]
         return t
 
-    for a in texts:
-        for b in texts:
-            if a < b and len(a) == len(b) and a[:2] == b[:2] and sum(x == y for x, y in zip(a, b)) >= least * len(a):
-                of[root(b)] = root(a)
+    for texts in leaves.values():
+        for a in texts:
+            for b in texts:
+                if a < b and sum(x == y for x, y in zip(a, b)) >= least * len(a) - 1e-9:
+                    of[root(b)] = root(a)
     groups = defaultdict(list)
     for f in found:
-        groups[root(tuple(f[3]))].append(f)
+        groups[root(f[3])].append(f)
     gone = defaultdict(set)
     for own in groups.values():
         if len({f[:2] for f in own}) > 1:
