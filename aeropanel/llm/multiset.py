@@ -102,31 +102,60 @@ class MultisetHash:
         return min(1.0, max(0.0, float(a @ b) / norm)) if norm else 0.0
 
 
+class _Ranges:
+    """Ranges of doc_ids in order, null last: ids that fill several ranges by themselves, and null, have as many, by the hash of the text."""
+
+    def __init__(self, percentiles: list[int], null_ranges: int):
+        splits, times = np.unique(np.array(percentiles, np.int64), return_counts=True)
+        self.splits, self.pieces = splits, np.concatenate(([0], np.where(times > 1, times, 0)))
+        self.offset = np.concatenate(([0], np.cumsum(self.pieces + 1)))
+        self.null_ranges, self.n = null_ranges, int(self.offset[-1]) + null_ranges
+
+    def of(self, ids: np.ndarray, none: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The range of each row; ``h`` counts by its signed order."""
+        high = (h.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(33)
+        i = np.searchsorted(self.splits, ids, "right")
+        pieces = self.pieces[i]
+        alone = (pieces > 0) & (ids == self.splits[np.maximum(i - 1, 0)]) if len(self.splits) else np.zeros(len(ids), bool)
+        part = lambda n: (high * n.astype(np.uint64) >> np.uint64(31)).astype(np.int64)
+        own = self.offset[i] + np.where(alone, part(pieces), pieces)
+        return np.where(none, self.offset[-1] + part(np.full(len(ids), self.null_ranges)), own).astype(np.int32)
+
+
 def with_neighbours(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(dest, copy, doc_id, text), each ``dest`` a partition: a range of doc_ids with a copy of the row after its last one.
+    """(dest, copy, doc_id, text, h), each ``dest`` a partition: a range of doc_ids with a copy of the row after its last one.
 
     Ranges, twice as many as shuffle partitions unless ``buckets`` says otherwise, come from approximate percentiles, so
-    texts are shuffled once and a task's share stays the same as partitions grow with the input; ranges alone reach
-    the driver. Null ids come last; repeated ids follow each other by their texts. The last range's copy is the first
-    row of all.
+    texts are shuffled once and a task's share stays the same as partitions grow with the input; ranges and their first
+    keys alone reach the driver. Null ids come last; repeated ids follow each other by their texts' hashes, and an id that fills more
+    than a range, or null, has several (rows equal in text too share one). The last range's copy is the first row of all.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     parts = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
-    splits = np.array(sorted(set(found or [])), np.int64)
+    cuts = F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts) if parts > 1 else F.lit(None)
+    found, nulls, n = docs.agg(cuts, F.count_if(F.col("doc_id").isNull()), F.count(F.lit(1))).first()
+    ranges = _Ranges(found or [], max(1, -(-parts * nulls // max(1, n))))
 
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(splits, ids.to_numpy(), "right"))
+    def range_of(ids: pd.Series, none: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(ranges.of(ids.to_numpy(np.int64), none.to_numpy(bool), h.to_numpy(np.int64)))
+
+    rows = docs.withColumn("dest", range_of(F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.col("h")))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = batch.to_pandas().sort_values(["dest", "doc_id", "h"])
+            yield pa.RecordBatch.from_pandas(table.drop_duplicates("dest")[["dest", "doc_id", "h"]], preserve_index=False)
 
-    bucket = F.when(F.col("doc_id").isNull(), len(splits) + 1).otherwise(range_of(F.coalesce("doc_id", F.lit(0))))
-    heads = sorted(docs.select("doc_id").groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("head")).collect())
-    before = [(head, heads[i - 1]["bucket"]) for i, (_, head) in enumerate(heads)]
-    table = spark.createDataFrame(before, "head long, into int")  # one row a range
-    rows = docs.withColumn("dest", bucket).join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("head")), "left")
-    places = F.when(F.col("into").isNull(), F.array(F.struct(F.col("dest"), F.lit(0).alias("copy")))).otherwise(F.array(F.struct(F.col("dest"), F.lit(0).alias("copy")), F.struct(F.col("into").alias("dest"), F.lit(1).alias("copy"))))
-    return rows.select(F.explode(places).alias("p"), "doc_id", "text").select("p.dest", "p.copy", "doc_id", "text").repartitionById(len(splits) + 2, F.col("dest"))
+    keys = rows.select("dest", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "h").mapInArrow(firsts, "dest int, doc_id long, h long")
+    heads = sorted(keys.groupBy("dest").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("dest", "first.*").collect())
+    before = [(r["dest"], r["h"], r["doc_id"], heads[i - 1]["dest"]) for i, r in enumerate(heads)]
+    table = spark.createDataFrame(before, "dest int, h long, head long, into int")  # one row a range
+    copies = rows.join(F.broadcast(table), ["dest", "h"]).where(F.coalesce("doc_id", F.lit(0)) == F.col("head")).dropDuplicates(["into"])
+    copies = copies.select(F.col("into").alias("dest"), F.lit(1).alias("copy"), "doc_id", "text", "h")
+    return rows.select("dest", F.lit(0).alias("copy"), "doc_id", "text", "h").unionByName(copies).repartitionById(ranges.n, F.col("dest"))
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -136,10 +165,11 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every whole text, of its edited text, and their likeness.
 
     Edited: the last floor(n/2) code points give way to as many first ones (or all) of the next document by doc_id (after
-    the last, the first). Null texts are empty; null ids come last, equal ids by text; a single row follows itself;
-    no rows give no rows. Columns: see ``_OUT``.
+    the last, the first). Null texts are empty; null ids come last, equal ids by the hash of their texts; a single row
+    follows itself; a very long text is held whole with its neighbour; other columns play no part; no rows give no
+    rows. Columns: see ``_OUT``.
     """
-    rows = with_neighbours(docs).sortWithinPartitions("dest", "copy", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text")
+    rows = with_neighbours(docs).sortWithinPartitions("dest", "copy", F.col("doc_id").asc_nulls_last(), "h", "text").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending = None

@@ -67,5 +67,26 @@ def test_edits(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1.0
 
 
+def test_hot_ids_and_nulls_are_spread_in_order(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    ids = [5] * 300 + [None] * 200 + [rng.randrange(100) for _ in range(150)] + [-3, 2**62]
+    rng.shuffle(ids)
+    rows = [(d, f"text {rng.random()}\nof row {i}", "en", "a", 1, "x", "y", "z") for i, d in enumerate(ids)]
+    rows += [rows[0], rows[0], (None, None, "en", "a", 1, "x", "y", "z")]
+    docs = frame(spark, rows)
+    dealt = multiset.with_neighbours(docs, 16)
+    assert dealt.where("copy = 0").groupBy("dest").count().agg(F.max("count")).first()[0] < 130
+    h = {r["t"]: r["h"] for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, r[0] or 0, h[r[1]], r[1]))
+    want = []
+    for i, (doc_id, text) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
+        half = len(text) // 2
+        want.append((str(doc_id), len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted(want) == sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in multiset.op9(docs).collect())
+
+
 def test_empty(spark):
     assert multiset.op9(frame(spark, [])).collect() == []
