@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -112,3 +112,13 @@ def student_tail_of(x: Column, df: Column) -> Column:
         return pd.Series([student_tail(a, b) for a, b in zip(x, df, strict=True)])
 
     return tail(x, df)
+
+
+def register(spark: SparkSession) -> None:
+    """``student_tail(x, df)`` for SQL."""
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([student_tail(a, b) for a, b in zip(x, df, strict=True)])
+
+    spark.udf.register("student_tail", tail)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import student_tail_of
@@ -13,6 +13,12 @@ def origin_losses(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pollutant", "model", "station", "origin_pos").agg(F.avg("ae").alias("loss"))
 
 
+def families(spark: SparkSession, models: list[str], named: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """(pollutant, a, b): every model against the first, and each pollutant's named pairs; no pair twice."""
+    pairs = [(p, a, b) for p, own in named.items() for a, b in dict.fromkeys([(models[0], m) for m in models[1:]] + own)]
+    return spark.createDataFrame(pairs, "pollutant string, a string, b string")
+
+
 def paired(losses: DataFrame, pairs: DataFrame) -> DataFrame:
     """(pollutant, a, b, station, origin_pos, d): losses of a less those of b over origins that both have."""
     unit = ["pollutant", "station", "origin_pos"]

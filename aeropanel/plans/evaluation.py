@@ -52,9 +52,10 @@ class Evaluation:
     def tail_errors(self, phase: str = "test") -> DataFrame:
         return metrics.with_tail(self.errors(phase), metrics.tail_threshold(self.actuals(phase)))
 
-    def leaderboard(self, horizons: list[int]) -> DataFrame:
-        """Cells of all horizons from one run of the longest."""
-        rows = self.tail_errors().select("*", F.explode(F.array(*map(F.lit, horizons))).alias("horizon")).where("lead <= horizon")
+    def leaderboard(self, horizons: list[int], rows: DataFrame | None = None) -> DataFrame:
+        """Cells of all horizons from one run of the longest; of the baselines, or of ``rows`` with ``is_tail``."""
+        rows = self.tail_errors() if rows is None else rows
+        rows = rows.select("*", F.explode(F.array(*map(F.lit, horizons))).alias("horizon")).where("lead <= horizon")
         return metrics.cells(rows, ["station", "pollutant", "horizon", "model"])
 
     @cached_property
@@ -66,8 +67,7 @@ class Evaluation:
 
     def comparisons(self) -> DataFrame:
         models = forecast_names(self.periods)
-        pairs = [(p, "persistence", m) for p in ("no2", "pm25") for m in models[1:]] + [(p, models[1], models[-1]) for p in ("no2", "pm25")]
-        return self.panel.sparkSession.createDataFrame(pairs, "pollutant string, a string, b string")
+        return compare.families(self.panel.sparkSession, models, {p: [(models[1], models[-1])] for p in ("no2", "pm25")})
 
     def significance(self, tail: bool = False) -> DataFrame:
         value = F.when(F.col("is_tail"), F.col("ae")) if tail else F.col("ae")

@@ -511,8 +511,8 @@ def gbt_forecast(e):
 
 @_on
 def trained_leaderboard(e):
-    """Cells of ridge and boosted trees, with and without the weather ahead, beside the baselines."""
-    return rounded(metrics.cells(e.trained_errors(), ["station", "pollutant", "model"]), 3)
+    """Cells of ridge and boosted trees, with and without the weather ahead, beside the baselines, at all horizons."""
+    return rounded(e.leaderboard(HORIZONS, e.trained_errors()).withColumn("horizon", F.col("horizon").cast("long")), 3)
 
 
 @_on

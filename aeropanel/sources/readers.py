@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import warnings
 from collections.abc import Callable
 from functools import reduce
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clean
-from ..schema import MANIFEST
+from ..schema import MANIFEST, stations
 
 _HOURLY = "hourly struct<time: array<string>, temperature_2m: array<double>, surface_pressure: array<double>, wind_speed_10m: array<double>, wind_direction_10m: array<double>, precipitation: array<double>, boundary_layer_height: array<double>>"
 
@@ -145,3 +146,23 @@ def cached_predictions(spark: SparkSession, path: str, settings: dict, make: Cal
     except AnalysisException:
         make().write.mode("overwrite").parquet(at)
         return read_predictions(spark, at)
+
+
+def with_retries(call: Callable[[], str], retries: int = 4, wait: Callable[[int], float] = lambda attempt: 2 + 3 * attempt) -> str:
+    """What a remote source gives, tried ``retries`` times with a growing wait; the last error is raised."""
+    for attempt in range(retries):
+        try:
+            return call()
+        except OSError:
+            if attempt == retries - 1:
+                raise
+            time.sleep(wait(attempt))
+    raise ValueError("retries has to be 1 or more")
+
+
+def station_series(spark: SparkSession, path: str, code: str, column: str) -> DataFrame:
+    """(pos, v) of one registered station from the panel at ``path``; a station of another source, or of none, is an error."""
+    found = stations(spark).where(F.col("code") == code).select("source").first()
+    if found is None or found["source"] != "aurn":
+        raise NotImplementedError(f"no reader for station {code}, of source {found['source'] if found else 'none'}")
+    return read_panel(spark, path, code).select("pos", F.col(column).cast("double").alias("v"))

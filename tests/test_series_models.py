@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aeropanel.functions import exprs
-from aeropanel.operators import bootstrap, conformal, forecast, metrics, series_models
+from aeropanel.operators import bootstrap, compare, conformal, forecast, metrics, series_models
 from aeropanel.schema import Protocol
 from aeropanel.sources import readers, shared
 
@@ -143,3 +143,29 @@ def test_written_tables_can_be_discarded(spark):
     assert df.count() == 3 and os.path.isdir(at)
     shared.discard(df)
     assert not os.path.isdir(at)
+
+
+def test_retries_and_stations(spark, tmp_path):
+    tries = []
+
+    def call():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("busy")
+        return "{}"
+
+    assert readers.with_retries(call, 4, lambda _: 0) == "{}" and len(tries) == 3
+    with pytest.raises(OSError):
+        readers.with_retries(lambda: open("/no/such/file").read(), 2, lambda _: 0)
+    panel = spark.createDataFrame([("KC1", 0, 1.5), ("KC1", 1, float("nan")), ("MY1", 0, 3.0)], "station string, pos long, no2 double")
+    readers.write_panel(panel, f"{tmp_path}/panel")
+    assert sorted(tuple(r) for r in readers.station_series(spark, f"{tmp_path}/panel", "KC1", "no2").collect()) == [(0, 1.5), (1, None)]
+    with pytest.raises(NotImplementedError):
+        readers.station_series(spark, f"{tmp_path}/panel", "nowhere", "no2")
+
+
+def test_families_and_sql_function(spark):
+    got = [tuple(r) for r in compare.families(spark, ["p", "q", "r"], {"no2": [("q", "r"), ("p", "q")], "pm25": []}).collect()]
+    assert got == [("no2", "p", "q"), ("no2", "p", "r"), ("no2", "q", "r"), ("pm25", "p", "q"), ("pm25", "p", "r")]
+    exprs.register(spark)
+    assert spark.sql("select student_tail(1.0D, 1.0D) p").first()["p"] == pytest.approx(0.25)
