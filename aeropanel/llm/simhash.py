@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
+from ..sources.shared import discard
 from .common import Alike, Cross, components, components_of_blocks, in_piece_pairs, join_hot, label_pairs, materialize, unused
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -157,12 +158,14 @@ def piece_pairs(fps: DataFrame, reach: int, parts: int, shard_rows: int, sample_
     """(shard, one, two, piece, fp): groups of two pieces of a shard (or one with itself) in which every pair within ``reach`` meets.
 
     A pair within ``reach`` differs in ``reach // parts`` bits or fewer in one of ``parts`` parts of its bits. For each
-    part a tree of vantage points, built from at most ``sample_rows`` fingerprints, deals fingerprints out to shards
+    part a tree of vantage points, built from about ``sample_rows`` fingerprints at most, deals fingerprints out to shards
     by their part's Hamming distance from vantage points, with copies where a boundary is within that smaller reach
     (``route``); the sample changes shards' sizes, never a result. Shards of over ``shard_rows`` are cut into pieces.
     """
-    leaves, near = max(1, math.ceil(fps.count() / shard_rows)), reach // parts
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(sample_rows).collect()] if leaves > 1 else [], np.int64).view(np.uint64)
+    n = fps.count()
+    leaves, near, one_in = max(1, math.ceil(n / shard_rows)), reach // parts, math.ceil(n / sample_rows)
+    some = fps.where(F.pmod(F.xxhash64("fp"), F.lit(one_in)) == 0).collect() if leaves > 1 else []
+    sample = np.sort(np.array([r[0] for r in some], np.int64)).view(np.uint64)
     trees = [build_tree(part_of(sample, p, parts), leaves, near) for p in range(parts if leaves > 1 else 1)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +181,7 @@ def piece_pairs(fps: DataFrame, reach: int, parts: int, shard_rows: int, sample_
     return in_piece_pairs(cut.withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces").cast("long")).cast("int")))
 
 
-def near_links(fps: DataFrame, reach: int = 4, parts: int | None = None, shard_rows: int = 8192, sample_rows: int = 65_536) -> DataFrame:
+def near_links(fps: DataFrame, reach: int = 4, parts: int | None = None, shard_rows: int = 8192, sample_rows: int = 32_768) -> DataFrame:
     """(a, b) BIGINT: links that join the distinct fingerprints ``fps(fp)`` of every component; each group of ``piece_pairs`` is searched on its own.
 
     With the whole fingerprint as one part, boundaries copy 84 % of random ones at each level; with ``reach + 1`` parts
@@ -277,7 +280,9 @@ def similar_groups(rows: DataFrame, similarity: float = 0.8, width: int = 5) ->
     own = materialize(own, "wide-fingerprints")
     sig = materialize(own.groupBy("node").agg(F.first("sig").alias("sig"), F.first("least").alias("least"), F.count(F.lit(1)).alias("n")), "wide-nodes")
     keyed = sig.select("node", F.posexplode("least").alias("i", "h")).select(F.xxhash64("i", "h").alias("block"), "node", F.lit(True).alias("loose")).distinct()
-    labels = components_of_blocks(materialize(keyed, "wide-blocks"), sig.select("node", "sig"), *alike_within(reach_for(similarity)), "wide")
+    keyed = materialize(keyed, "wide-blocks")
+    labels = components_of_blocks(keyed, sig.select("node", "sig"), *alike_within(reach_for(similarity)), "wide")
+    discard(keyed)
     of = sig.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("group"))
     return join_hot(own.drop("sig", "least"), materialize(of, "wide-groups"), "node").select(*others, "group")
 
