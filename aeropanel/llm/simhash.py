@@ -32,13 +32,20 @@ def shingle_hashes(text: bytes, width: int = 4, seed: int = 42) -> list[int]:
     return [digest(joined[a:b], seed) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)]
 
 
+def bit_counts(words: np.ndarray) -> np.ndarray:
+    """In how many rows of ``words`` [n, k] (64-bit) each of the 64 k bits is set."""
+    bits, out = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little"), np.zeros(64 * words.shape[1], np.int64)
+    for at in range(0, len(bits), 255):  # as many as a byte counts
+        out += bits[at : at + 255].sum(axis=0, dtype=np.uint8)
+    return out
+
+
 def simhash(text: bytes, width: int = 4, seed: int = 42, block: int = 1 << 16) -> int:
     """64 bits, each set if it is set in over half of the shingles' hashes; 0 for no words."""
     hashes = np.array(shingle_hashes(text, width, seed), np.uint64)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), block):
-        bits = np.unpackbits(hashes[at : at + block].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int32)
+        ones += bit_counts(hashes[at : at + block, None])
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
@@ -215,20 +222,20 @@ def near_duplicates(docs: DataFrame, reach: int = 4, width: int = 4, **settings)
     return join_hot(own, materialize(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
-MIXERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3]
+MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
 
-def wide_fingerprint(text: bytes, width: int = 5, block: int = 1 << 13) -> tuple[bytes, list[int]]:
+def wide_fingerprint(text: bytes, width: int = 5, block: int = 1 << 12) -> tuple[bytes, list[int]]:
     """(512 bits of SimHash over the text's distinct shingles, the smallest of each of the 8 words' hashes)."""
     hashes = np.unique(np.array(shingle_hashes(text, width), np.uint64))
-    ones, least = np.zeros((len(MIXERS), 64), np.int64), np.full(len(MIXERS), (1 << 64) - 1, np.uint64)
+    ones, least = np.zeros(64 * len(MIXERS), np.int64), np.full(len(MIXERS), (1 << 64) - 1, np.uint64)
     for at in range(0, len(hashes), block):
-        for i, m in enumerate(MIXERS):
-            x = (hashes[at : at + block] ^ (hashes[at : at + block] >> np.uint64(31))) * np.uint64(m)
-            x ^= x >> np.uint64(29)
-            ones[i] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-            least[i] = min(least[i], x.min())
-    return np.packbits((2 * ones > len(hashes)).ravel(), bitorder="little").tobytes(), least.view(np.int64).tolist()
+        x = hashes[at : at + block]
+        x = (x ^ (x >> np.uint64(31)))[:, None] * MIXERS
+        x ^= x >> np.uint64(29)
+        ones += bit_counts(x)
+        least = np.minimum(least, x.min(axis=0))
+    return np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), least.view(np.int64).tolist()
 
 
 def reach_for(similarity: float, bits: int = 512) -> int:
