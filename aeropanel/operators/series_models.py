@@ -43,7 +43,7 @@ class Boosting:
     rows: float = 0.8
     columns: float = 0.8
     penalty: float = 1.0
-    bins: int = 64
+    bins: int = 32
     seed: int = 42
 
     def __call__(self, x: np.ndarray, y: np.ndarray, ahead: np.ndarray) -> np.ndarray:
@@ -55,21 +55,24 @@ class Boosting:
         for _ in range(self.trees):
             rest = y - fitted
             use, cols = rng.random(n) < self.rows, np.sort(rng.choice(m, max(1, int(self.columns * m)), replace=False))
-            node, node_out = np.zeros(n, np.int64), np.zeros(len(ahead), np.int64)
+            node, node_out, rest_used = np.zeros(n, np.int64), np.zeros(len(ahead), np.int64), np.repeat(rest[use], len(cols))
+            at = own[use][:, cols] + np.arange(len(cols)) * width
             for level in range(self.depth):
                 k = 1 << level
-                flat = ((node[use, None] * len(cols) + np.arange(len(cols))) * width + own[use][:, cols]).ravel()
                 size = k * len(cols) * width
-                g = np.bincount(flat, np.repeat(rest[use], len(cols)), size).reshape(k, len(cols), width)
-                c = np.bincount(flat, minlength=size).reshape(k, len(cols), width)
-                left_g, left_c = g[..., :-1].cumsum(axis=2), c[..., :-1].cumsum(axis=2)
-                all_g, all_c = g.sum(axis=2, keepdims=True), c.sum(axis=2, keepdims=True)
-                score = lambda a, b: a * a / (b + self.penalty)
-                gain = score(left_g, left_c) + score(all_g - left_g, all_c - left_c) - score(all_g, all_c)
-                gain[(left_c == 0) | (left_c == all_c)] = 0
-                best = gain.reshape(k, -1).argmax(axis=1)
+                flat = (node[use, None] * (len(cols) * width) + at).ravel()
+                g = np.bincount(flat, rest_used, size).astype(np.float32).reshape(k, len(cols), width)
+                c = np.bincount(flat, minlength=size).astype(np.float32).reshape(k, len(cols), width)
+                g, c = g.cumsum(axis=2), c.cumsum(axis=2)
+                left_g, left_c, all_g, all_c = g[..., :-1], c[..., :-1], g[..., -1:], c[..., -1:]
+                right_c = all_c - left_c
+                gain = left_g * left_g / (left_c + self.penalty) + (all_g - left_g) ** 2 / (right_c + self.penalty)
+                gain[(left_c == 0) | (right_c == 0)] = 0
+                gain = gain.reshape(k, -1)
+                best = gain.argmax(axis=1)
                 feature, cut = cols[best // (width - 1)], best % (width - 1)
-                cut = np.where(gain.reshape(k, -1).max(axis=1) > 1e-12, cut, width)  # no gain: all stay left
+                whole = (all_g[:, 0, 0] ** 2 / (all_c[:, 0, 0] + self.penalty)).astype(np.float64)
+                cut = np.where(gain[np.arange(k), best] > whole * (1 + 1e-6) + 1e-12, cut, width)  # no gain: all stay left
                 node = 2 * node + (own[np.arange(n), feature[node]] > cut[node])
                 node_out = 2 * node_out + (other[np.arange(len(ahead)), feature[node_out]] > cut[node_out])
             leaves = 1 << self.depth
