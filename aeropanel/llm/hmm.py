@@ -122,64 +122,65 @@ class _Steps:
         self.symbols = np.empty(len(flat), np.int64)
         self.symbols[self.at[within] + np.repeat(np.arange(len(lengths)), lengths)] = flat
 
+    def row(self) -> np.ndarray:
+        """Of each place of ``symbols`` its sequence's in ``order``."""
+        return np.arange(len(self.symbols)) - np.repeat(self.at[:-1], self.active)
+
 
 def likelihoods(model: HMM, sequences: list[np.ndarray]) -> np.ndarray:
     """log10 probabilities of whole sequences of symbols (one at least each), by the scaled forward recursion."""
-    steps, emit = _Steps(sequences), np.ascontiguousarray(model.emit.T)
-    out, a = np.zeros(len(sequences)), None
-    for t, n in enumerate(steps.active.tolist()):
-        e = emit[steps.symbols[steps.at[t] : steps.at[t + 1]]]
-        a = (model.start * e) if a is None else (a[:n] @ model.move) * e
-        scale = a.sum(axis=1)
+    steps = _Steps(sequences)
+    e, scales, a = np.ascontiguousarray(model.emit.T)[steps.symbols], np.empty(len(steps.symbols)), None
+    for lo, hi in zip(steps.at[:-1].tolist(), steps.at[1:].tolist(), strict=True):
+        a = (model.start if a is None else a[: hi - lo] @ model.move) * e[lo:hi]
+        scale = scales[lo:hi] = a.sum(axis=1)
         a /= scale[:, None]
-        out[:n] += np.log10(scale)
-    back = np.empty_like(out)
-    back[steps.order] = out
+    back = np.empty(len(sequences))
+    back[steps.order] = np.bincount(steps.row(), np.log10(scales), len(sequences))
     return back
 
 
-def expected_counts(model: HMM, sequences: list[np.ndarray], span: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expected_counts(model: HMM, sequences: list[np.ndarray], span: int = 1024, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch's sums over whole sequences (single precision inside): starts, moves, emissions [K, symbols], log10 likelihood.
 
-    Memory is bounded by ``span`` steps: the forward recursion keeps its state at every ``span``-th step, and the
-    backward one makes the steps between anew.
+    Memory is bounded: where there are over ``most`` symbols, the forward recursion keeps its state at every ``span``-th
+    step, and the backward one makes the steps between anew.
     """
     steps, emit, move, first = _Steps(sequences), np.ascontiguousarray(model.emit.T, np.float32), model.move.astype(np.float32), model.start.astype(np.float32)
-    k, at, active = len(move), steps.at, steps.active.tolist()
+    k, at, last = len(move), steps.at.tolist(), len(steps.active)
+    span = span if len(steps.symbols) > most else last
 
-    def forward(a: np.ndarray | None, lo: int, hi: int, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None, float]:
-        """From the state before step ``lo``: that after step ``hi - 1`` and, to keep, all states and scales."""
-        base, log = at[lo], 0.0
-        states = np.empty((at[hi] - base, k), np.float32) if keep else None
-        scales = np.empty(at[hi] - base, np.float32) if keep else None
+    def forward(a: np.ndarray | None, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From the state before step ``lo``: emissions, states and scales up to step ``hi``."""
+        e, base = emit[steps.symbols[at[lo] : at[hi]]], at[lo]
+        states, scales = np.empty_like(e), np.empty(len(e), np.float32)
         for t in range(lo, hi):
-            e = emit[steps.symbols[at[t] : at[t + 1]]]
-            a = first * e if a is None else (a[: active[t]] @ move) * e
-            s = a.sum(axis=1)
-            a = a / s[:, None]
-            if keep:
-                states[at[t] - base : at[t + 1] - base], scales[at[t] - base : at[t + 1] - base] = a, s
-                log += float(np.log10(s, dtype=np.float64).sum())
-        return a, states, scales, log
-
-    begins = list(range(0, len(active), span))
-    entry, a = [], None
-    for lo in begins:
-        entry.append(a)
-        if lo != begins[-1]:
-            a = forward(a, lo, lo + span, False)[0]
+            i, j = at[t] - base, at[t + 1] - base
+            a = np.multiply(first if a is None else a[: j - i] @ move, e[i:j], out=states[i:j])
+            s = scales[i:j] = a.sum(axis=1)
+            a /= s[:, None]
+        return e, states, scales
+
+    begins, entry = list(range(0, last, span)), [None]
+    for lo in begins[:-1]:
+        _, states, _ = forward(entry[-1], lo, lo + span)
+        entry.append(states[at[lo + span - 1] - at[lo] :].copy())
     moves, emitted, starts, log, ahead = np.zeros((k, k)), np.zeros((model.emit.shape[1], k)), np.zeros(k), 0.0, np.zeros((0, k), np.float32)
     for lo, a in zip(reversed(begins), reversed(entry), strict=True):
-        hi = min(lo + span, len(active))
-        last, states, scales, own_log = forward(a, lo, hi, True)
-        log += own_log
+        hi = min(lo + span, last)
+        e, states, scales = forward(a, lo, hi)
+        log += float(np.log10(scales, dtype=np.float64).sum())
+        e /= scales[:, None]
         for t in range(hi - 1, lo - 1, -1):
-            own = slice(at[t] - at[lo], at[t + 1] - at[lo])
-            n, full = len(ahead), np.ones((active[t], k), np.float32)
-            moves += states[own][:n].T @ ahead
-            full[:n] = ahead @ move.T
-            ahead = emit[steps.symbols[at[t] : at[t + 1]]] * full / scales[own, None]
-            states[own] *= full  # turns into the posterior
+            i, j = at[t] - at[lo], at[t + 1] - at[lo]
+            n = len(ahead)
+            own = states[i:j]
+            moves += own[:n].T @ ahead
+            full = ahead @ move.T
+            if n < j - i:  # sequences that end here
+                full = np.concatenate((full, np.ones((j - i - n, k), np.float32)))
+            ahead = e[i:j] * full
+            own *= full  # turns into the posterior
         states /= states.sum(axis=1, keepdims=True)
         symbols = steps.symbols[at[lo] : at[hi]]
         for i in range(k):
@@ -323,7 +324,7 @@ def score(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: HMM) ->
                         to.append(x)
                     row_id += 1
                 logs = np.zeros(len(sequences))
-                for group in _groups(sequences, 2_000_000):
+                for group in _groups(sequences, 500_000):
                     logs[group] = likelihoods(model, [sequences[i] for i in group])
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array(logs)], ["doc_id", "row", "n", "known", "log_known", "log_shared", "rest", "logs"])

@@ -42,7 +42,7 @@ def test_forward_and_counts_are_sums_over_all_paths(span):
                 emitted[z, x] += p / total
                 if t:
                     moves[path[t - 1], z] += p / total
-    got = hmm.expected_counts(model, seqs, span)
+    got = hmm.expected_counts(model, seqs, span, 0)
     assert np.allclose(got[0], starts, atol=1e-4) and np.allclose(got[1], moves, atol=1e-4) and np.allclose(got[2], emitted, atol=1e-4)
     assert got[3] == pytest.approx(logs.sum(), rel=1e-5)
 
@@ -50,7 +50,7 @@ def test_forward_and_counts_are_sums_over_all_paths(span):
 def test_long_and_short_sequences_together():
     model, rng = some_model(4, 30, 5), np.random.default_rng(1)
     seqs = [rng.integers(0, 30, n) for n in (5000, 1, 2500, 40, 40, 3)]
-    whole, cut = hmm.expected_counts(model, seqs, 1 << 20), hmm.expected_counts(model, seqs, 700)
+    whole, cut = hmm.expected_counts(model, seqs), hmm.expected_counts(model, seqs, 700, 0)
     each = [hmm.expected_counts(model, [s]) for s in seqs]
     for i in range(3):
         assert np.allclose(whole[i], cut[i], rtol=1e-3) and np.allclose(whole[i], sum(x[i] for x in each), rtol=1e-3)
