@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hmm, language, lines, media, mixing, multiset, packing, quality, simhash, urls
+from . import extract, hmm, language, lines, media, mixing, multiset, packing, quality, simhash, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +29,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_components": _on_documents(simhash.op8),
         "op9_multiset_fingerprints": _on_documents(multiset.op9),
         "op10_media_chunk_store": _on_documents(media.op10),
+        "op11_tag_path_extraction": lambda spark, sf_dir: extract.op11(spark.read.parquet(f"{sf_dir}/pages.parquet")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_temporal_lists": urls.ORACLE}
+    return {"op4_url_temporal_lists": urls.ORACLE, "op11_tag_path_extraction": extract.ORACLE}
