@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codes, extract, hmm, language, lines, media, mixing, multiset, packing, quality, simhash, urls
+from . import codes, extract, hmm, language, lines, media, mixing, multiset, packing, quality, simhash, trie, urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_media_chunk_store": _on_documents(media.op10),
         "op11_tag_path_extraction": lambda spark, sf_dir: extract.op11(spark.read.parquet(f"{sf_dir}/pages.parquet")),
         "op12_exponion_codes": lambda spark, sf_dir: codes.op12(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+        "op13_conversation_trie": lambda spark, sf_dir: trie.op13(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_temporal_lists": urls.ORACLE, "op11_tag_path_extraction": extract.ORACLE, "op12_exponion_codes": codes.ORACLE}
+    return {"op4_url_temporal_lists": urls.ORACLE, "op11_tag_path_extraction": extract.ORACLE, "op12_exponion_codes": codes.ORACLE, "op13_conversation_trie": trie.ORACLE}
