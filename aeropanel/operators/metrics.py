@@ -41,6 +41,11 @@ def cells(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg("ae").alias("mae"), F.avg(F.when(F.col("is_tail"), F.col("ae"))).alias("mae_topdecile"), F.first("q90").alias("q90"), F.count("ae").alias("n"), F.countDistinct("origin_pos").alias("n_origins"))
 
 
+def totals(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Errors over every subset of ``by``: (by, grouping, mae, rmse, bias, n); a column that a total sums over is null and its bit in ``grouping`` (the first of ``by`` is the highest) is 1."""
+    return rows.cube(*by).agg(F.grouping_id().cast("long").alias("grouping"), *[m for m, name in zip(point_metrics(), ("mae", "rmse", "smape", "bias", "n")) if name != "smape"])
+
+
 def pivot_median(board: DataFrame, metric: str, horizons: list[int]) -> DataFrame:
     """Median over stations: a row a model, a column a horizon."""
     out = board.groupBy("model").pivot("horizon", horizons).agg(F.median(metric))

@@ -210,6 +210,8 @@ FROM f_dist x JOIN f_dist y ON x.b = y.b JOIN f_point px ON px.model = x.model J
     "losses_round_trip": "SELECT pollutant, model, station, origin_pos, round(loss, 6) AS loss FROM loss WHERE pollutant = 'no2'",
     "results_round_trip": "SELECT station, pollutant, model, round(mae, 3) AS mae, n FROM board WHERE horizon = 24",
     "predictions_round_trip": "SELECT station, pollutant, model, phase, origin_pos, lead, round(yhat, 6) AS yhat FROM pred WHERE phase = 'test' AND model = 'persistence'",
+    "cache_by_content": "SELECT c AS \"case\", c NOT IN ('other order', 'first again') AS made, station, round(sum(yhat * CASE WHEN c = 'other values' AND station = 'view' THEN 2 ELSE 1 END), 6) AS total, count(yhat) AS n FROM pred, (VALUES ('first'), ('other order'), ('other values'), ('a row more'), ('first again')) v(c) WHERE phase = 'test' AND model = 'persistence' AND pollutant = 'no2' GROUP BY 1, 2, 3",
+    "error_totals": "SELECT pollutant, model, quarter, CAST(grouping(pollutant, model, quarter) AS BIGINT) AS grouping, round(avg(ae), 6) AS mae, round(sqrt(avg(ae * ae)), 6) AS rmse, round(avg(yhat - y), 6) AS bias, count(ae) AS n FROM (SELECT *, (lead - 1) // 6 AS quarter FROM err WHERE phase = 'test') GROUP BY CUBE (pollutant, model, quarter)",
     "manifest_append": "SELECT 'events' AS source, '' AS city, event_type AS station, '2024' AS year, '' AS pull_date_utc, '' AS sha256, CAST(count(*) AS VARCHAR) AS n_rows, '' AS notes FROM raw GROUP BY event_type",
     "stream_tumbling_hourly": "SELECT event_type AS station, ts, count(*) AS n, round(sum(value), 6) AS total FROM raw GROUP BY 1, 2",
 }

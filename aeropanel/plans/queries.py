@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 from ..operators import bootstrap, compare, conformal, eda, forecast, grid, metrics, origins
 from ..schema import EVENTS, WEATHER
-from ..sources import events, readers
+from ..sources import cache, events, readers
 from ..sources.shared import shared_dir
 from .evaluation import Evaluation
 
@@ -270,6 +270,13 @@ def single_station_metrics(e):
     return rounded(rows.groupBy("model").agg(*metrics.point_metrics()))
 
 
+@_on
+def error_totals(e):
+    """Errors by pollutant, model and quarter of the horizon, and all their subtotals."""
+    rows = e.errors("test").withColumn("quarter", F.floor((F.col("lead") - 1) / 6).cast("long"))
+    return rounded(metrics.totals(rows, ["pollutant", "model", "quarter"]))
+
+
 @_on
 def merged_leaderboard(e):
     """Two leaderboards, baseline and external, as one."""
@@ -559,10 +566,30 @@ def predictions_round_trip(e):
     path = f"{shared_dir(e.panel.sparkSession)}/predictions-{uuid.uuid4().hex}"
     make = lambda: e.predictions("test").where("model = 'persistence'")
     for _ in range(2):
-        found = readers.cached_predictions(e.panel.sparkSession, path, {"model": "persistence", "protocol": e.protocol}, make)
+        found = readers.cached_predictions(e.panel.sparkSession, path, {"model": "persistence", "protocol": e.protocol}, {"panel": e.panel}, make)
     return rounded(found)
 
 
+@_on
+def cache_by_content(e):
+    """Forecasts of a panel, of the same in another order, of one with other values, and of one with a row more: which were made anew, and what they say."""
+    spark = e.panel.sparkSession
+    path, panel = f"{shared_dir(spark)}/by-content-{uuid.uuid4().hex}", e.panel
+    cases = {
+        "first": panel,
+        "other order": panel.repartition(7, "pos").sortWithinPartitions(F.desc("pos")),
+        "other values": panel.withColumn("no2", F.when(F.col("station") == "view", 2 * F.col("no2")).otherwise(F.col("no2"))),
+        "a row more": panel.union(panel.where("pos = 719 and station = 'view'")),
+        "first again": panel,
+    }
+    parts = []
+    for case, rows in cases.items():
+        own = Evaluation(rows.dropDuplicates(["station", "pos"]) if case == "a row more" else rows, e.protocol)
+        found, made = cache.cached(spark, path, {"model": "persistence"}, {"panel": rows}, lambda own=own: own.predictions("test").where("model = 'persistence' and pollutant = 'no2'"))
+        parts.append(found.groupBy("station").agg(F.sum("yhat").alias("total"), F.count("yhat").alias("n")).select(F.lit(case).alias("case"), F.lit(made).alias("made"), "*"))
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
 @_query
 def stream_tumbling_hourly(spark, sf_dir):
     """The stream's aggregate over the table as a batch."""

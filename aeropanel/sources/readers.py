@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import time
 import warnings
 from collections.abc import Callable
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import clean
 from ..schema import MANIFEST, stations
+from .cache import cached
 
 _HOURLY = "hourly struct<time: array<string>, temperature_2m: array<double>, surface_pressure: array<double>, wind_speed_10m: array<double>, wind_direction_10m: array<double>, precipitation: array<double>, boundary_layer_height: array<double>>"
 
@@ -138,14 +138,9 @@ def write_metrics(df: DataFrame, path: str) -> None:
     df.select(*[F.col(c).cast("string") if t.startswith("timestamp") or t == "date" else F.col(c) for c, t in df.dtypes]).coalesce(1).write.mode("overwrite").json(path)
 
 
-def cached_predictions(spark: SparkSession, path: str, settings: dict, make: Callable[[], DataFrame]) -> DataFrame:
-    """The forecasts of these settings, from the table that their digest names; made and written where there is none."""
-    at = f"{path}/{hashlib.sha256(repr(sorted(settings.items())).encode()).hexdigest()[:24]}"
-    try:
-        return read_predictions(spark, at)
-    except AnalysisException:
-        make().write.mode("overwrite").parquet(at)
-        return read_predictions(spark, at)
+def cached_predictions(spark: SparkSession, path: str, settings: dict, inputs: dict[str, DataFrame], make: Callable[[], DataFrame]) -> DataFrame:
+    """The forecasts of these settings over these tables, made and written where there are none; changed data are never served old forecasts."""
+    return clean_missing(cached(spark, path, settings, inputs, make)[0])
 
 
 def with_retries(call: Callable[[], str], retries: int = 4, wait: Callable[[int], float] = lambda attempt: 2 + 3 * attempt) -> str:

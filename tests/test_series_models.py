@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from aeropanel.functions import exprs
 from aeropanel.operators import bootstrap, compare, conformal, forecast, metrics, series_models
 from aeropanel.schema import Protocol
-from aeropanel.sources import readers, shared
+from aeropanel.sources import cache, readers, shared
 
 
 def test_ridge_of_each_series_is_the_closed_form(spark):
@@ -121,9 +121,34 @@ def test_metrics_file_and_prediction_cache(spark, tmp_path):
         calls.append(1)
         return spark.createDataFrame([("s", "no2", "m", "test", 1, 1, 2.0)], "station string, pollutant string, model string, phase string, origin_pos long, lead long, yhat double")
 
-    for settings in ({"a": 1}, {"a": 1}, {"a": 2}):
-        assert readers.cached_predictions(spark, f"{tmp_path}/cache", settings, make).first()["yhat"] == 2.0
-    assert len(calls) == 2
+    panel = spark.createDataFrame([(1, 1.0), (2, None), (2, None), (3, 4.0)], "pos long, v double")
+    other = [panel.repartition(3).orderBy("v"), panel.withColumn("v", F.coalesce("v", F.lit(5.0))), panel.union(panel.limit(1)), panel.distinct(), panel.withColumn("pos", F.col("pos").cast("int")), panel.withColumnRenamed("v", "w")]
+    for settings, rows, n in (({"a": 1}, panel, 1), ({"a": 1}, panel, 1), ({"a": 2}, panel, 2), *[({"a": 1}, rows, n) for rows, n in zip(other, (2, 3, 4, 5, 6, 7))]):
+        assert readers.cached_predictions(spark, f"{tmp_path}/cache", settings, {"panel": rows}, make).first()["yhat"] == 2.0
+        assert len(calls) == n
+    assert not [p for p in os.listdir(f"{tmp_path}/cache") if "." in p]  # nothing half-written stays
+
+
+@pytest.mark.parametrize("kind, values", [("array<int>", [[None, 1], [1, None], [], None, [1]]), ("struct<a:int,b:int>", [(None, 1), (1, None), (None, None), None]), ("map<string,int>", [{"a": 1, "b": 2}, {"a": 2, "b": 1}, {}, None]), ("string", ["", None, "a"])])
+def test_digest_tells_unlike_values_apart(spark, kind, values):
+    seen = {cache.table_digest(spark.createDataFrame([(v,)], f"x {kind}")) for v in values}
+    assert len(seen) == len(values)
+    a, b = (spark.createDataFrame(rows, "x int, y int") for rows in ([(None, 1)], [(1, None)]))
+    assert cache.table_digest(a) != cache.table_digest(b)
+    twice = spark.createDataFrame([(values[0],)] * 2, f"x {kind}")
+    assert cache.table_digest(twice) not in {*seen, cache.table_digest(twice.limit(0))}
+    if kind.startswith("map"):
+        assert cache.table_digest(spark.createDataFrame([({"b": 2, "a": 1},)], f"x {kind}")) in seen
+
+
+def test_cache_is_whole_or_absent(spark, tmp_path):
+    def broken():
+        return spark.range(4).select(F.when(F.col("id") < 3, F.col("id")).otherwise(F.raise_error(F.lit("lost"))).cast("long").alias("id"))
+
+    with pytest.raises(Exception, match="lost"):
+        cache.cached(spark, f"{tmp_path}/c", {}, {}, broken)
+    found, made = cache.cached(spark, f"{tmp_path}/c", {}, {}, lambda: spark.range(4))
+    assert made and found.count() == 4 and not cache.commit(spark.range(9), f"{tmp_path}/c/{cache.content_key({}, {})}")
 
 
 def test_manifest_digests_and_coordinates(spark, tmp_path):
