@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import student_tail_of
+from ..sources.shared import materialize
+from . import ordered
+from .grid import lagged
 
 
 def origin_losses(rows: DataFrame) -> DataFrame:
@@ -31,14 +34,16 @@ def diebold_mariano(differences: DataFrame, lag: int = 0) -> DataFrame:
     """(pollutant, a, b, n, mean_diff, dm) with the small-sample correction; dm is 0 for under 3 origins or no variance.
 
     Origins follow each other by station and position, over station borders too. The autocovariance at k is the mean
-    over the n - k overlapping pairs.
+    over the n - k overlapping pairs. Origins are dealt out in sorted blocks; no task holds a comparison.
     """
     key = ["pollutant", "a", "b"]
-    whole = Window.partitionBy(*key)
-    order = whole.orderBy("station", "origin_pos")
-    dev = differences.withColumn("dev", F.col("d") - F.avg("d").over(whole))
-    lags = [F.lag("dev", k).over(order).alias(f"dev{k}") for k in range(1, lag + 1)]
-    by = dev.select(*key, "d", "dev", *lags).groupBy(*key).agg(
+    rows, past = differences, {f"dev{k}": lagged(F.col("dev"), k) for k in range(1, lag + 1)}
+    if lag:  # places by sorted blocks, over which lags reach
+        placed = ordered.scan(ordered.laid_out(differences, key, ["station", "origin_pos"], "differences"), key, ["station", "origin_pos"], add={"place": F.lit(1).cast("long")})
+        rows = materialize(placed.select(*key, "d", "place"), "placed")
+    dev = rows.join(rows.groupBy(*key).agg(F.avg("d").alias("mean")).hint("broadcast"), key).withColumn("dev", F.col("d") - F.col("mean"))  # a row a comparison
+    dev = ordered.framed(dev, key, past, before=lag, place="place", size=max(8192, lag)) if lag else dev
+    by = dev.groupBy(*key).agg(
         F.count("d").alias("n"),
         F.avg("d").alias("mean_diff"),
         F.avg(F.col("dev") * F.col("dev")).alias("g0"),

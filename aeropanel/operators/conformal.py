@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import day_night, hour_bucket, tercile
-from .forecast import stagnation
-from .grid import forward_fill
+from . import ordered
+from .grid import forward_filled
 from .origins import KEY
 
 
@@ -103,9 +103,9 @@ def cell_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def lookback(panel: DataFrame, series: DataFrame, hours: int = 24) -> DataFrame:
     """(station, pollutant, origin_pos, cbar): the mean of the forward-filled values of the last ``hours``."""
-    w = Window.partitionBy(*KEY).orderBy("pos")
-    ff = series.select(*KEY, "pos", forward_fill(F.col("v"), w).alias("ff"))
-    return ff.select(*KEY, F.col("pos").alias("origin_pos"), F.avg("ff").over(w.rowsBetween(1 - hours, 0)).alias("cbar"))
+    ff = forward_filled(series, {"v": "ff"}).select(*KEY, "pos", "ff")
+    mean = ordered.framed(ff, KEY, {"cbar": lambda w: F.avg("ff").over(w.rowsBetween(1 - hours, 0))}, before=hours - 1)
+    return mean.select(*KEY, F.col("pos").alias("origin_pos"), "cbar")
 
 
 def episode_cuts(panel: DataFrame, means: DataFrame, origins: DataFrame, hours: int = 24) -> DataFrame:
@@ -123,6 +123,3 @@ def regimes(panel: DataFrame, means: DataFrame, origins: DataFrame, cuts: DataFr
     still = F.coalesce((F.col("blh") < F.col("blh_lo")) & (F.col("ws10") < F.col("ws_lo")), F.lit(False)).cast("long")
     n = steps.join(panel.select("station", "pos", "blh", "ws10"), ["station", "pos"]).join(F.broadcast(cuts), "pollutant").groupBy(*KEY, "phase", "origin_pos", "c3").agg(F.sum(still).alias("nstag"))
     return n.join(means, [*KEY, "origin_pos"]).select(*KEY, "phase", "origin_pos", "cbar", "nstag", F.when((F.col("cbar") >= F.col("c3")) | (F.col("nstag") >= least), 1).otherwise(0).cast("long").alias("r"))
-
-
-__all__ = ["apply", "binned", "cell_counts", "cell_summary", "episode_cuts", "fit", "lookback", "quantiles", "rank_of", "regimes", "resolve", "stagnation", "terciles", "with_cells"]

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import WEATHER
-from .grid import by_time, forward_fill, strict_mean, strict_std
+from . import ordered
+from .grid import forward_filled, lagged, strict_mean, strict_std
 from .origins import KEY, with_leads
 
 LAGS = [1, 3, 6, 24, 168]
@@ -20,7 +21,7 @@ OUT = [*KEY, "model", "phase", "origin_pos", "lead", "yhat"]
 
 
 def filled(series: DataFrame) -> DataFrame:
-    return series.select(*KEY, "pos", forward_fill(F.col("v")).alias("ff"))
+    return forward_filled(series, {"v": "ff"}).select(*KEY, "pos", "ff")
 
 
 def persistence(series: DataFrame, origins: DataFrame, horizon: int) -> DataFrame:
@@ -43,12 +44,12 @@ def baselines(series: DataFrame, origins: DataFrame, horizon: int, periods: list
 def features(panel: DataFrame, series: DataFrame, origins: DataFrame, horizon: int, future_weather: bool = True, lags: list[int] = LAGS) -> DataFrame:
     """One row an (origin, lead): y0, lags, rolling statistics and weather at the origin, lead, calendar (and weather) at the target, and y.
 
-    Values at the origin are the raw ones: gaps stay null. Origin features are windows over the series, the rest one
-    equi-join with the panel at the target.
+    Values at the origin are the raw ones: gaps stay null. Origin features are windows over blocks of the series, the rest
+    one equi-join with the panel at the target.
     """
-    w = by_time()
     v = F.col("v")
-    at_origin = series.select(*KEY, F.col("pos").alias("origin_pos"), v.alias("y0"), *[F.lag(v, k).over(w).alias(f"lag{k}") for k in lags], strict_mean(v, 3).alias("rm3"), strict_mean(v, 24).alias("rm24"), strict_std(v, 24).alias("rs24"))
+    past = {**{f"lag{k}": lagged(v, k) for k in lags}, "rm3": strict_mean(v, 3), "rm24": strict_mean(v, 24), "rs24": strict_std(v, 24)}
+    at_origin = ordered.framed(series, KEY, past, before=max(24, *lags)).select(*KEY, F.col("pos").alias("origin_pos"), v.alias("y0"), *past)
     met = panel.select("station", F.col("pos").alias("origin_pos"), *[F.col(c).cast("double").alias(f"{c}_o") for c in WEATHER])
     target = panel.select("station", F.col("pos").alias("target_pos"), *calendar(F.col("ts")), *([F.col(c).cast("double").alias(f"{c}_t") for c in WEATHER] if future_weather else []))
     y = series.select(*KEY, F.col("pos").alias("target_pos"), v.alias("y"))
@@ -112,6 +113,7 @@ def batched(contexts: DataFrame, predict: Callable[[list, int], list], horizon:
     return rows.select(*KEY, "model", "phase", "origin_pos", (F.col("i") + 1).cast("long").alias("lead"), "yhat")
 
 
-def stagnation(panel: DataFrame, blh_lo: float, ws_lo: float, hours: int = 24):
-    w = Window.partitionBy("station").orderBy("pos").rowsBetween(1 - hours, 0)
-    return panel.select("station", "pos", F.sum(F.coalesce((F.col("blh") < blh_lo) & (F.col("ws10") < ws_lo), F.lit(False)).cast("long")).over(w).alias("nstag"))
+def stagnation(panel: DataFrame, blh_lo: float, ws_lo: float, hours: int = 24) -> DataFrame:
+    """(station, pos, nstag): the stagnant ones of the last ``hours``; a missing hour isn't stagnant."""
+    still = F.coalesce((F.col("blh") < blh_lo) & (F.col("ws10") < ws_lo), F.lit(False)).cast("long")
+    return ordered.framed(panel, ["station"], {"nstag": lambda w: F.sum(still).over(w.rowsBetween(1 - hours, 0))}, before=hours - 1).select("station", "pos", "nstag")

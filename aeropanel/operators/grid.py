@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import POLLUTANTS, Protocol
+from . import ordered
 
 
 def grid(stations: DataFrame, protocol: Protocol) -> DataFrame:
@@ -32,25 +35,29 @@ def completeness(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return rows.groupBy(*keys).agg((F.count(value) / F.count(F.lit(1))).alias("completeness"))
 
 
-def by_time(*keys: str) -> Window:
-    return Window.partitionBy(*(keys or ("station", "pollutant"))).orderBy("pos")
+def forward_filled(rows: DataFrame, values: dict[str, str], keys: tuple[str, ...] = ("station", "pollutant")) -> DataFrame:
+    """Each of ``values`` (column to result) as its last value so far; a gap before the first stays. A series is scanned in blocks."""
+    return ordered.filled(rows, keys, values)
+
+
+def back_filled(rows: DataFrame, values: dict[str, str], keys: tuple[str, ...] = ("station", "pollutant")) -> DataFrame:
+    """The next value from here on; a gap after the last stays."""
+    return ordered.filled(rows, keys, values, back=True)
 
 
-def forward_fill(v: Column, by=None) -> Column:
-    """The last value so far; a gap before the first stays."""
-    return F.last(v, ignorenulls=True).over((by or by_time()).rowsBetween(Window.unboundedPreceding, 0))
+def _whole(v: Column, k: int, w: WindowSpec, aggregate: Callable[[Column], Column]) -> Column:
+    rows = w.rowsBetween(1 - k, 0)
+    return F.when(F.count(v).over(rows) == k, aggregate(v).over(rows))
 
 
-def back_fill(v: Column, by=None) -> Column:
-    return F.first(v, ignorenulls=True).over((by or by_time()).rowsBetween(0, Window.unboundedFollowing))
+def strict_mean(v: Column, k: int) -> Callable[[WindowSpec], Column]:
+    """Mean of the last k values, null unless all are there; for ``ordered.framed``, which has to look back k - 1 rows."""
+    return lambda w: _whole(v, k, w, F.avg)
 
 
-def strict_mean(v: Column, k: int, by=None) -> Column:
-    """Mean of the last k values, null unless all are there."""
-    w = (by or by_time()).rowsBetween(1 - k, 0)
-    return F.when(F.count(v).over(w) == k, F.avg(v).over(w))
+def strict_std(v: Column, k: int) -> Callable[[WindowSpec], Column]:
+    return lambda w: _whole(v, k, w, F.stddev_samp)
 
 
-def strict_std(v: Column, k: int, by=None) -> Column:
-    w = (by or by_time()).rowsBetween(1 - k, 0)
-    return F.when(F.count(v).over(w) == k, F.stddev_samp(v).over(w))
+def lagged(v: Column, k: int) -> Callable[[WindowSpec], Column]:
+    return lambda w: F.lag(v, k).over(w)

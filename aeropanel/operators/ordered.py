@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
@@ -42,3 +42,31 @@ def scan(blocks: DataFrame, keys: Sequence[str], order: Sequence[str], add: Mapp
     if ends:
         out.append((F.col("_in_end") & F.col("_end")).alias(ends))
     return joined.select(*[F.col(f"`{c}`") for c in blocks.columns], *out)
+
+
+def by_place(df: DataFrame, place: str = "pos", size: int = 8192) -> DataFrame:
+    """``block`` of rows that have their place in the series already (a grid's step, a rank): ranges of ``size`` places, so nothing is sorted to find it."""
+    return df.withColumn("block", F.floor(F.col(place) / size))
+
+
+def filled(series: DataFrame, keys: Sequence[str], values: Mapping[str, str], place: str = "pos", size: int = 8192, back: bool = False) -> DataFrame:
+    """``series`` with each of ``values`` (column to result) filled by its last value before (``back``: after) a gap."""
+    if back:
+        rows = by_place(series.withColumn("_back", -F.col(place)), "_back", size)
+        return scan(rows, keys, ["_back"], last={n: F.col(c) for c, n in values.items()}).drop("_back", "block")
+    return scan(by_place(series, place, size), keys, [place], last={n: F.col(c) for c, n in values.items()}).drop("block")
+
+
+def framed(series: DataFrame, keys: Sequence[str], columns: Mapping[str, Callable[[WindowSpec], Column]], before: int, after: int = 0, place: str = "pos", size: int = 8192) -> DataFrame:
+    """``series`` with window columns that look at most ``before`` rows back and ``after`` ahead; ``columns``: name to what is made of the window.
+
+    Rows have consecutive places. Blocks of ``size`` places are windows of their own; each takes along the last
+    ``before`` rows of the block before and the first ``after`` of the next, a share of (before + after) / size of all.
+    """
+    if max(before, after) > size:
+        raise ValueError(f"blocks of {size} rows can't hold a frame of {before} before and {after} after")
+    at, own = F.pmod(F.col(place), F.lit(size)), F.floor(F.col(place) / size)
+    blocks = F.array_compact(F.array(own, F.when(at >= size - before, own + 1) if before else F.lit(None).cast("long"), F.when(at < after, own - 1) if after else F.lit(None).cast("long")))
+    rows = series.withColumn("_block", F.explode(blocks))
+    window = Window.partitionBy(*keys, "_block").orderBy(place)
+    return rows.select("*", *[f(window).alias(n) for n, f in columns.items()]).where(F.col("_block") == own).drop("_block")

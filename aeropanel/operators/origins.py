@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Protocol
+from . import ordered
 
 KEY = ["station", "pollutant"]
 
 
 def candidates(series: DataFrame, split: str, stride: int) -> DataFrame:
     """Every ``stride``-th position of the split, with the series' first observed position and length."""
-    whole = Window.partitionBy(*KEY)
-    rows = series.withColumn("n", F.max("pos").over(whole) + 1).withColumn("first_obs", F.min(F.when(F.col("v").isNotNull(), F.col("pos"))).over(whole))
-    own = rows.where(F.col("split") == split).withColumn("first_pos", F.min("pos").over(whole))
+    of_split = F.col("split") == split
+    each = series.groupBy(*KEY).agg((F.max("pos") + 1).alias("n"), F.min(F.when(F.col("v").isNotNull(), F.col("pos"))).alias("first_obs"), F.min(F.when(of_split, F.col("pos"))).alias("first_pos"))
+    own = series.where(of_split).select(*KEY, "pos").join(each, KEY)
     return own.where((F.col("pos") - F.col("first_pos")) % stride == 0).select(*KEY, F.col("pos").alias("origin_pos"), "n", "first_obs")
 
 
@@ -49,9 +50,8 @@ def actuals(origins: DataFrame, series: DataFrame, horizon: int) -> DataFrame:
 
 def contexts(series: DataFrame, origins: DataFrame, length: int) -> DataFrame:
     """The ``length`` forward-filled values up to each origin, in order, as one array (for models that want a vector)."""
-    w = Window.partitionBy(*KEY).orderBy("pos")
-    filled = series.withColumn("ff", F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    packed = filled.withColumn("ctx", F.collect_list("ff").over(w.rowsBetween(1 - length, 0))).select(*KEY, F.col("pos").alias("origin_pos"), "ctx")
+    filled = ordered.filled(series, KEY, {"v": "ff"}).select(*KEY, "pos", "ff")
+    packed = ordered.framed(filled, KEY, {"ctx": lambda w: F.collect_list("ff").over(w.rowsBetween(1 - length, 0))}, before=length - 1).select(*KEY, F.col("pos").alias("origin_pos"), "ctx")
     return origins.join(packed, [*KEY, "origin_pos"])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import bootstrap, compare, conformal, eda, forecast, grid, metrics, origins
+from ..operators import bootstrap, compare, conformal, eda, forecast, grid, metrics, ordered, origins
 from ..schema import EVENTS, WEATHER
 from ..sources import cache, events, readers
 from ..sources.shared import shared_dir
@@ -113,26 +113,27 @@ HORIZONS = [6, 12, 24]
 
 @_on
 def ffill_series(e):
-    return e.series.select(*origins.KEY, "pos", grid.forward_fill(F.col("v")).alias("ff"))
+    return grid.forward_filled(e.series, {"v": "ff"}).select(*origins.KEY, "pos", "ff")
 
 
 @_on
 def ffill_bfill_covariates(e):
-    w = grid.by_time("station")
-    both = lambda c: F.coalesce(grid.forward_fill(F.col(c), w), grid.back_fill(F.col(c), w)).alias(c)
-    return e.panel.select("station", "pos", *[both(c) for c in WEATHER])
+    rows = e.panel.select("station", "pos", *WEATHER)
+    both = grid.back_filled(grid.forward_filled(rows, {c: f"{c}_f" for c in WEATHER}, ("station",)), {c: f"{c}_b" for c in WEATHER}, ("station",))
+    return both.select("station", "pos", *[F.coalesce(f"{c}_f", f"{c}_b").alias(c) for c in WEATHER])
 
 
 @_on
 def rolling_stats_strict(e):
     v = F.col("v")
-    return rounded(e.series.select(*origins.KEY, "pos", grid.strict_mean(v, 3).alias("rm3"), grid.strict_mean(v, 24).alias("rm24"), grid.strict_std(v, 24).alias("rs24")))
+    past = {"rm3": grid.strict_mean(v, 3), "rm24": grid.strict_mean(v, 24), "rs24": grid.strict_std(v, 24)}
+    return rounded(ordered.framed(e.series, origins.KEY, past, before=23).select(*origins.KEY, "pos", *past))
 
 
 @_on
 def lag_features(e):
-    w = grid.by_time()
-    return e.series.select(*origins.KEY, "pos", *[F.lag("v", k).over(w).alias(f"lag{k}") for k in forecast.LAGS])
+    past = {f"lag{k}": grid.lagged(F.col("v"), k) for k in forecast.LAGS}
+    return ordered.framed(e.series, origins.KEY, past, before=max(forecast.LAGS)).select(*origins.KEY, "pos", *past)
 
 
 @_on
@@ -180,8 +181,8 @@ def origins_by_horizon(e):
 @_on
 def first_complete_day(e):
     """Each series' first position from which a day's values are all there, else its first position."""
-    ahead = F.count("v").over(grid.by_time().rowsBetween(0, 23)) == 24
-    return origins.first_meeting(e.series.withColumn("whole", ahead), origins.KEY, F.col("whole"), "pos")
+    rows = ordered.framed(e.series, origins.KEY, {"whole": lambda w: F.count("v").over(w.rowsBetween(0, 23)) == 24}, before=0, after=23)
+    return origins.first_meeting(rows, origins.KEY, F.col("whole"), "pos")
 
 
 def _features(e, future):
