@@ -60,6 +60,20 @@ def run(spark, rows):
     return sorted((tuple(r) for r in trie.op13(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
 
 
+@pytest.fixture
+def many_blocks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_series_over_many_blocks(spark, many_blocks):
+    rows = negative(fixture(3, n=10))
+    assert run(spark, rows) == brute(rows)
+
+
 def negative(rows):  # Python's % differs below 0: -5 % 100 is 95 there
     return [r for r in rows if r[0] is None or r[0] >= 0]
 
