@@ -11,6 +11,7 @@ from ..functions.exprs import day_night, hour_bucket, tercile
 from . import ordered
 from .grid import forward_filled
 from .origins import KEY
+from .quantiles import interpolated
 
 
 def rank_of(n: Column, alpha: float) -> Column:
@@ -42,8 +43,8 @@ def quantiles(residuals: DataFrame, keys: list[str], alpha: float, value: str =
 
 def terciles(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ws_edges, blh_edges) over all calibration rows, with or without a residual."""
-    thirds = F.array(F.lit(1 / 3), F.lit(2 / 3))
-    return rows.groupBy(*keys).agg(F.percentile("ws10", thirds).alias("ws_edges"), F.percentile("blh", thirds).alias("blh_edges"))
+    each = lambda c, name: interpolated(rows, keys, c, {"a": 1 / 3, "b": 2 / 3}).select(*keys, F.array("a", "b").alias(f"{name}_edges"))
+    return each("ws10", "ws").join(each("blh", "blh"), keys)
 
 
 def binned(rows: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,10 +112,11 @@ def lookback(panel: DataFrame, series: DataFrame, hours: int = 24) -> DataFrame:
 def episode_cuts(panel: DataFrame, means: DataFrame, origins: DataFrame, hours: int = 24) -> DataFrame:
     """(pollutant, c3, blh_lo, ws_lo): upper third of lookback means, lower thirds of the lookback hours' blh and wind."""
     own = origins.join(means, [*KEY, "origin_pos"])
-    c3 = own.groupBy("pollutant").agg(F.percentile("cbar", F.lit(2 / 3)).alias("c3"))
+    c3 = interpolated(own, ["pollutant"], "cbar", {"c3": 2 / 3})
     steps = origins.select(*KEY, F.explode(F.sequence(F.col("origin_pos") - (hours - 1), F.col("origin_pos"))).alias("pos"))
     met = steps.join(panel.select("station", "pos", "blh", "ws10"), ["station", "pos"])
-    return c3.join(met.groupBy("pollutant").agg(F.percentile("blh", F.lit(1 / 3)).alias("blh_lo"), F.percentile("ws10", F.lit(1 / 3)).alias("ws_lo")), "pollutant")
+    low = [interpolated(met, ["pollutant"], c, {name: 1 / 3}) for c, name in (("blh", "blh_lo"), ("ws10", "ws_lo"))]
+    return c3.join(low[0], "pollutant").join(low[1], "pollutant")
 
 
 def regimes(panel: DataFrame, means: DataFrame, origins: DataFrame, cuts: DataFrame, hours: int = 24, least: int = 6) -> DataFrame:

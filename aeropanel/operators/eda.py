@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import interpolated
+
 
 def monthly_completeness(panel: DataFrame, value: str) -> DataFrame:
     return panel.groupBy("station", F.date_format("ts", "yyyy-MM").alias("month")).agg((F.count(value) / F.count(F.lit(1)) * 100).alias("percent"))
@@ -18,7 +20,7 @@ def macro_cycle(panel: DataFrame, value: str, part: Column, name: str) -> DataFr
 
 def episode_rate(panel: DataFrame, value: str, part: Column, name: str) -> DataFrame:
     """Percent of hours at or over the station's q90 (missing hours aren't), then the mean of stations."""
-    q = panel.groupBy("station").agg(F.percentile(value, F.lit(0.9)).alias("q90"))
+    q = interpolated(panel, ["station"], value, {"q90": 0.9})
     each = panel.join(q, "station").groupBy("station", part.alias(name)).agg((F.avg(F.coalesce(F.col(value) >= F.col("q90"), F.lit(False)).cast("int")) * 100).alias("rate"))
     return each.groupBy(name).agg(F.avg("rate").alias("rate"))
 
@@ -26,10 +28,13 @@ def episode_rate(panel: DataFrame, value: str, part: Column, name: str) -> DataF
 def ventilation(panel: DataFrame, value: str, driver: str) -> DataFrame:
     """Quartiles of ``value`` in the decile bins of ``driver``; bins by the inner edges, centre between the outer ones."""
     rows = panel.where(F.col(value).isNotNull() & F.col(driver).isNotNull()).select(F.col(driver).alias("x"), F.col(value).alias("y"))
-    edges = rows.agg(F.array_sort(F.array_distinct(F.percentile("x", F.array(*[F.lit(i / 10) for i in range(11)])))).alias("e"))
+    deciles = {f"e{i}": i / 10 for i in range(11)}
+    edges = interpolated(rows, [], "x", deciles).select(F.array_sort(F.array_distinct(F.array(*deciles))).alias("e"))  # one row
     bins = F.size(F.filter(F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))), lambda v: F.col("x") >= v)).cast("long")
-    by = rows.crossJoin(F.broadcast(edges)).withColumn("bin", bins).groupBy("bin", "e").agg(F.percentile("y", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count(F.lit(1)).alias("n"))
-    return by.select("bin", ((F.element_at("e", (F.col("bin") + 1).cast("int")) + F.element_at("e", (F.col("bin") + 2).cast("int"))) / 2).alias("centre"), F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "n")
+    binned = rows.crossJoin(F.broadcast(edges)).withColumn("bin", bins)
+    quartiles = interpolated(binned, ["bin"], "y", {"q25": 0.25, "median": 0.5, "q75": 0.75})
+    by = binned.groupBy("bin", "e").agg(F.count(F.lit(1)).alias("n")).join(quartiles, "bin")
+    return by.select("bin", ((F.element_at("e", (F.col("bin") + 1).cast("int")) + F.element_at("e", (F.col("bin") + 2).cast("int"))) / 2).alias("centre"), "q25", "median", "q75", "n")
 
 
 def log_histogram(panel: DataFrame, value: str, edges: int = 60) -> DataFrame:

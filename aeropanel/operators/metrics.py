@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .origins import KEY
+from .quantiles import interpolated
 
 
 def errors(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def point_metrics(y: str = "y", yhat: str = "yhat") -> list[Column]:
 
 def tail_threshold(actuals: DataFrame, share: float = 0.9) -> DataFrame:
     """q90 by station and pollutant: the exact, interpolated percentile of the stacked target windows."""
-    return actuals.groupBy(*KEY).agg(F.percentile("y", F.lit(share)).alias("q90"))
+    return interpolated(actuals, KEY, "y", {"q90": share})
 
 
 def with_tail(rows: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import bootstrap, compare, conformal, eda, forecast, grid, metrics, ordered, origins
+from ..operators import bootstrap, compare, conformal, eda, forecast, grid, metrics, ordered, origins, quantiles
 from ..schema import EVENTS, WEATHER
 from ..sources import cache, events, readers
 from ..sources.shared import shared_dir
@@ -323,7 +323,14 @@ def eda_monthly_climatology(e):
 @_on
 def pooled_q90(e):
     """The 90 % point of all positive values of a pollutant, over stations."""
-    return rounded(e.series.where("v > 0").groupBy("pollutant").agg(F.percentile("v", F.lit(0.9)).alias("q90"), F.count("v").alias("n")))
+    rows = e.series.where("v > 0")
+    return rounded(quantiles.interpolated(rows, ["pollutant"], "v", {"q90": 0.9}).join(rows.groupBy("pollutant").agg(F.count("v").alias("n")), "pollutant"))
+
+
+@_on
+def refined_quantiles(e):
+    """Quartiles and q90 of each pollutant by counted buckets, none of which may hold over 64 values in one task."""
+    return rounded(quantiles.interpolated(e.series, ["pollutant"], "v", {"q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9}, most=64))
 
 
 @_on
