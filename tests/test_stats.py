@@ -83,8 +83,57 @@ def test_bootstrap_is_that_of_naive_resampling(spark):
     dist = [np.concatenate([units[u] for u in c]).mean() for c in counts.values()]
     assert r["point"] == pytest.approx(np.concatenate(units).mean())
     assert (r["lo"], r["hi"]) == tuple(pytest.approx(x) for x in np.percentile(dist, [2.5, 97.5]))
-    drawn = bootstrap.numpy_draws(spark, 25, 3).groupBy("boot_id").agg(F.sum("mult").alias("n")).collect()
-    assert [x["n"] for x in drawn] == [25, 25, 25]
+
+
+@pytest.mark.parametrize(("n", "seed"), [(1, 42), (2, 0), (25, 42), (1000, 7), (65_537, 1), ((1 << 31) + 12_345, 3), (3_000_000_000, 5)])
+def test_draws_replay_the_sequential_generator(spark, n, seed):
+    rng = np.random.default_rng(seed)
+    if n > 1 << 20:  # half or a quarter of all numbers are passed over; the first draws of the one call
+        want = rng.integers(0, n, 5000)
+        got = np.concatenate([bootstrap.NumpyDraws.accepted(seed, n, 512, i) for i in range(16)])[:5000]
+        assert (got == want).all()
+        return
+    n_boot = 9
+    want = [rng.integers(0, n, n) for _ in range(n_boot)]
+    found = bootstrap.NumpyDraws.found(spark, n, n_boot, seed, stretch=257)
+    for first in (0, 1, 4, 8):
+        got = list(found.rows(first, n_boot, n))
+        assert len(got) == n_boot - first and all((a == b).all() for a, b in zip(got, want[first:]))
+    if n < 2000:
+        units = spark.range(n).select(F.lit("p").alias("g"), F.col("id").alias("unit_id"))
+        rows = bootstrap.draws(units, ["g"], n_boot, found, block=2).collect()
+        assert {(r["boot_id"], r["unit_id"]): r["mult"] for r in rows} == {(b, u): m for b, w in enumerate(want) for u, m in enumerate(np.bincount(w, minlength=n)) if m}
+
+
+@pytest.mark.parametrize(("boots", "unit_block"), [(64, 1 << 17), (7, 10), (1, 1)])
+def test_blocked_product_is_the_whole_one(spark, boots, unit_block):
+    rng = np.random.default_rng(4)
+    n, n_boot = 23, 30
+    sums = [("a", m, u, float(rng.normal()), int(rng.integers(0, 9))) for m in ("p", "q", None) for u in range(n) if rng.random() < 0.8]
+    sums += [("b", "p", 0, 2.5, 3)]
+    units = spark.createDataFrame([("a", u) for u in range(n)] + [("b", 0)], "g string, unit_id long")
+    frame = spark.createDataFrame(sums, "g string, model string, unit_id long, s double, n long")
+    got = {(r["g"], r["model"], r["boot_id"]): (r["s"], r["n"]) for r in bootstrap.resampled(frame, units, ["g"], n_boot, ["s", "n"], ["model"], boots=boots, unit_block=unit_block).collect()}
+    taken = list(bootstrap.Md5Draws().rows(0, n_boot, n))
+    for m in ("p", "q", None):
+        s, k = np.zeros(n), np.zeros(n)
+        for g, model, u, x, c in sums:
+            if g == "a" and model == m:
+                s[u], k[u] = x, c
+        for b in range(n_boot):
+            assert got["a", m, b] == (pytest.approx(s[taken[b]].sum()), k[taken[b]].sum())
+    assert {b for g, _, b in got if g == "b"} == set(range(n_boot)) and got["b", "p", 3] == (2.5, 3)
+
+
+def test_intervals_of_numpy_draws(spark):
+    rng = np.random.default_rng(9)
+    units = [rng.gamma(2, 3, int(rng.integers(1, 6))) for _ in range(40)]
+    frame = spark.createDataFrame([("no2", "s", i, "m", float(x)) for i, xs in enumerate(units) for x in xs], "pollutant string, station string, origin_pos long, model string, ae double")
+    ids = spark.createDataFrame([("no2", "s", i, i) for i in range(40)], "pollutant string, station string, origin_pos long, unit_id long")
+    r = bootstrap.mae_intervals(frame, ids, 200, drawn=bootstrap.NumpyDraws.found(spark, 40, 200)).first()
+    gen = np.random.default_rng(42)
+    dist = [np.concatenate([units[u] for u in gen.integers(0, 40, 40)]).mean() for _ in range(200)]
+    assert (r["lo"], r["hi"]) == tuple(pytest.approx(x) for x in np.percentile(dist, [2.5, 97.5]))
 
 
 def test_ridge_is_the_closed_form(spark):
