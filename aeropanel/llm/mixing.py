@@ -55,13 +55,46 @@ def closest_sum(items: list[tuple[int, int]], goal: int) -> list[int]:
     return picks
 
 
-def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = 65_536) -> np.ndarray:
+def least_miss(sizes: list[int], counts: list[int], budget: int, work: int = 1 << 32) -> int:
+    """What every choice misses ``budget`` by at least.
+
+    A sum's remainder by m is one that bounded copies of the sizes' remainders reach: a bit each of m, rotated. The
+    distance from the budget's remainder to the next of these is a bound for any m. Those tried are the divisors that
+    all sizes, or all but the lengths of fewest words, share, and the lengths of most words, as far as bits times lengths
+    stay under ``work``.
+    """
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i] * counts[i])
+    moduli, divisor = [], 0
+    for i in order:
+        divisor = math.gcd(divisor, sizes[i])
+        moduli.append(divisor)
+    best = 0
+    for m in sorted({m for m in [*moduli, *[sizes[i] for i in order[:4]]] if m > 1}):
+        if m * len(sizes) > work or m // 2 <= best:
+            continue
+        reach, mask = 1, (1 << m) - 1
+        for size, n in zip(sizes, counts, strict=True):
+            part, n = 1, min(n, m - 1)  # m copies come back to the same remainder
+            while n and size % m and reach != mask:
+                k = min(part, n)
+                by = k * size % m
+                reach |= (reach << by | reach >> (m - by)) & mask
+                n, part = n - k, part * 2
+        at = budget % m
+        turned = (reach >> at | reach << (m - at)) & mask  # bit d: the remainder d above the budget's
+        best = max(best, min((turned & -turned).bit_length() - 1, m - turned.bit_length() + 1))
+    return best
+
+
+def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int = 65_536, work: int = 1 << 35) -> np.ndarray:
     """How many of ``counts[i]`` documents of ``sizes[i]`` words (all over 0) to take to come closest to ``budget``.
 
     First the budget's share of every length goes (the mix keeps its source's lengths), then the longest that fit until
-    about ``window`` words remain, which ``closest_sum`` fits. A result is taken if no sum could be closer, by the
-    sizes' greatest common divisor; else the window grows to all that the shares leave, then the shares give back
-    1, 8, 64, ... documents a length, until nothing is fixed and the sum is the closest of all.
+    about ``window`` words remain, which ``closest_sum`` fits. A result is taken if no sum could be closer, by
+    ``least_miss``; else the window grows to all that the shares leave, then the shares give back 1, 8, 64, ...
+    documents a length, until nothing is fixed and the sum is the closest of all. A step of over ``work`` (bits of the
+    window times lengths; its bitsets take 2 * bits * sqrt(lengths) / 8 bytes, at most 512 MB) isn't begun: then the
+    closest sum so far stands, within the first window of the closest.
     """
     sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
     sizes_of, counts_of = sizes.tolist(), counts.tolist()
@@ -70,6 +103,8 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int =
         return np.zeros(len(sizes), np.int64)
     if budget >= total:
         return counts.copy()
+    if 2 * budget > total:  # the fewer words are chosen: those to leave out
+        return counts - fit_budget(sizes, counts, total - budget, window, work)
     share, order = [c * budget // total for c in counts_of], sorted(range(len(sizes)), key=lambda i: -sizes_of[i])
     divisor = math.gcd(*sizes_of)
     best, least, free = None, min(budget % divisor, -budget % divisor), 0
@@ -83,9 +118,13 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, window: int =
             picks[i] += k
             rest -= k * sizes_of[i]
         own = [i for i in order if sizes_of[i] <= 2 * rest and counts_of[i] > picks[i]]
+        if best is not None and (2 * rest * len(own) > work or rest * math.isqrt(len(own)) > 1 << 30):
+            return np.array(best[1], np.int64)
         for i, k in zip(own, closest_sum([(sizes_of[i], counts_of[i] - picks[i]) for i in own], rest), strict=True):
             picks[i] += k
         off = abs(budget - sum(p * s for p, s in zip(picks, sizes_of, strict=True)))
+        if best is None and off > least:
+            least = max(least, least_miss(sizes_of, counts_of, budget))
         if best is None or off < best[0]:
             best = off, picks
         if best[0] <= least or (window >= left and free >= max(share)):
@@ -155,7 +194,7 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     found = own.join(plan, F.col("doc_id").eqNullSafe(F.col(p_id)) & F.col("source").cast("string").eqNullSafe(F.col(p_source)) & (F.col(size) == F.col(p_size)))
     share = F.floor(F.col(copies) / F.col(rows)) + (F.row_number().over(same) <= F.col(copies) % F.col(rows)).cast("long")
     found = found.withColumn(take, share.cast("int")).where(F.col(take) > 0)
-    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(take)))).select(*docs.columns)
+    return found.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(take)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5(docs: DataFrame) -> DataFrame:
