@@ -122,21 +122,25 @@ class _Steps:
         self.symbols = np.empty(len(flat), np.int64)
         self.symbols[self.at[within] + np.repeat(np.arange(len(lengths)), lengths)] = flat
 
-    def row(self) -> np.ndarray:
-        """Of each place of ``symbols`` its sequence's in ``order``."""
-        return np.arange(len(self.symbols)) - np.repeat(self.at[:-1], self.active)
-
-
-def likelihoods(model: HMM, sequences: list[np.ndarray]) -> np.ndarray:
-    """log10 probabilities of whole sequences of symbols (one at least each), by the scaled forward recursion."""
-    steps = _Steps(sequences)
-    e, scales, a = np.ascontiguousarray(model.emit.T)[steps.symbols], np.empty(len(steps.symbols)), None
-    for lo, hi in zip(steps.at[:-1].tolist(), steps.at[1:].tolist(), strict=True):
-        a = (model.start if a is None else a[: hi - lo] @ model.move) * e[lo:hi]
-        scale = scales[lo:hi] = a.sum(axis=1)
-        a /= scale[:, None]
+
+def likelihoods(model: HMM, sequences: list[np.ndarray], most: int = 1 << 18) -> np.ndarray:
+    """log10 probabilities of whole sequences of symbols (one at least each), by the scaled forward recursion; emissions are looked up for about ``most`` symbols at a time."""
+    steps, emit, a = _Steps(sequences), np.ascontiguousarray(model.emit.T), None
+    at, logs, t = steps.at, np.zeros(len(sequences)), 0
+    while t < len(steps.active):
+        end = max(t + 1, int(np.searchsorted(at, at[t] + most, "right")) - 1)
+        e = emit[steps.symbols[at[t] : at[end]]]
+        scales = np.empty(len(e))
+        bounds = (at[t : end + 1] - at[t]).tolist()
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            a = (model.start if a is None else a[: hi - lo] @ model.move) * e[lo:hi]
+            scale = scales[lo:hi] = a.sum(axis=1)
+            a /= scale[:, None]
+        within = np.arange(len(e)) - np.repeat(at[t:end] - at[t], steps.active[t:end])
+        logs += np.bincount(within, np.log10(scales), len(sequences))
+        t = end
     back = np.empty(len(sequences))
-    back[steps.order] = np.bincount(steps.row(), np.log10(scales), len(sequences))
+    back[steps.order] = logs
     return back
 
 

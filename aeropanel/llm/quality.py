@@ -198,7 +198,8 @@ def classify(docs: DataFrame, model: ByteCNN) -> DataFrame:
             found = pa.array((np.concatenate(scores) if scores else np.zeros(0)).astype(np.float64))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], found], [*names, score])
 
-    return docs.withColumn(raw, F.col("text").cast("string")).mapInArrow(run, schema)
+    plain = [f"c{i}" for i in range(len(names) + 1)]  # whatever is in a name, dots too
+    return docs.withColumn(raw, F.col("text").cast("string")).toDF(*plain).mapInArrow(run, schema)
 
 
 def fold(parts: int):

@@ -307,7 +307,7 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFr
     groups = similar_groups(named.select(F.col(none).alias("none"), F.col(at).alias("at"), F.col(key).alias("key"), "text"), similarity, width)
     kept = groups.groupBy("group").agg(F.min(F.struct("none", "at", "key")).alias("first")).select("first.*").toDF(none, at, key)
     found = named.join(kept.hint("merge"), [none, at, key], "left_semi")
-    return found.dropDuplicates([none, at, key]).select(*docs.columns)
+    return found.dropDuplicates([none, at, key]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
-"""Small documents with the hard cases: nulls, empty, long, repeated rows, ties, clashing extra columns."""
+"""Small documents with the hard cases: nulls, empty, long, repeated rows, ties, clashing extra columns, one of them with a dot."""
 
 import random
 
+from pyspark.sql import functions as F
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket string, h string, size string"
 
 
@@ -19,4 +21,4 @@ def documents(n=60, seed=3):
 
 
 def frame(spark, rows=None):
-    return spark.createDataFrame(documents() if rows is None else rows, SCHEMA)
+    return spark.createDataFrame(documents() if rows is None else rows, SCHEMA).withColumn("meta.len", F.length("lang"))

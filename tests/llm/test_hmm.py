@@ -114,3 +114,18 @@ def test_nothing_to_learn_from(spark):
     assert hmm.op1(frame(spark, [])).collect() == []
     got = hmm.op1(frame(spark, [(None, "a b", None, None, None, None, None, None)])).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got] == [(3, 0, 0, 0.0)]
+
+
+def test_likelihoods_in_spans_are_the_same_and_need_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    model = hmm.HMM(rng.dirichlet(np.ones(12)), rng.dirichlet(np.ones(12), 12), rng.dirichlet(np.ones(500), 12))
+    some = [rng.integers(0, 500, n) for n in (3, 700, 1, 50, 700, 1200)]
+    whole = hmm.likelihoods(model, some, 1 << 40)
+    assert all(np.allclose(hmm.likelihoods(model, some, most), whole) for most in (1, 7, 1000))
+    long = [rng.integers(0, 500, 200_000) for _ in range(5)]
+    tracemalloc.start()
+    hmm.likelihoods(model, long)
+    assert tracemalloc.get_traced_memory()[1] < 120e6  # 96 MB of emissions alone if all were looked up at once
+    tracemalloc.stop()

@@ -110,7 +110,7 @@ def test_hard_rows_and_clashing_columns(spark):
         plain = stage(spark, docs.drop("n_chars"), SF)
         got = stage(spark, clash.drop("lines_dropped").withColumnsRenamed({"score": "lines_dropped"}), SF)
         assert sorted((str(r["doc_id"]), str(r["text"])) for r in plain.collect()) == sorted((str(r["doc_id"]), str(r["text"])) for r in got.collect())
-        assert got.columns == ["doc_id", "text", "_size", "source", "lines_dropped", "_key", "group"]
+        assert got.columns == ["doc_id", "text", "_size", "source", "lines_dropped", "_key", "group", "meta.len"]
     kept = corpus_pipeline.good(spark, clash, SF)
     assert kept.columns == clash.columns and set(rows_of(kept)) <= set(rows_of(clash))
     for name, stage in corpus_pipeline.STAGES:
