@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,13 +144,22 @@ class _Sets:
 def link(left: np.ndarray, right: np.ndarray | None, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """(fps, root of each): components under links of ``reach`` differing bits or fewer, within ``left`` or between it and ``right``.
 
-    Rows are compared in blocks, and a row goes to the components that it touches: no list of pairs is made.
+    Rows are laid out by their distance from a vantage point, the first of ``left``; a block of them is compared with
+    those alone whose distance lies within ``reach`` of the block's (triangle inequality). A row goes to the components
+    that it touches: no list of pairs is made.
     """
+    by = lambda x: np.bitwise_count(x ^ left[0]).astype(np.int64)
+    if len(left):
+        left, right = (None if x is None else x[np.argsort(by(x), kind="stable")] for x in (left, right))
     fps = left if right is None else np.concatenate((left, right))
     sets, start = _Sets(len(fps)), 0 if right is None else len(left)
+    own, other_by = (by(x) if len(left) else np.zeros(0, np.int64) for x in (left, fps[start:]))
     for at in range(0, len(left), 512):
-        first = at if right is None else start
-        near = np.bitwise_count(left[at : at + 512, None] ^ fps[None, first:]) <= reach
+        last = min(at + 512, len(left)) - 1
+        lo = at if right is None else int(np.searchsorted(other_by, own[at] - reach, "left"))
+        hi = int(np.searchsorted(other_by, own[last] + reach, "right"))
+        first = start + lo
+        near = np.bitwise_count(left[at : at + 512, None] ^ fps[None, first : start + hi]) <= reach
         for row in np.nonzero(near.sum(axis=1) > (right is None))[0].tolist():
             other = first + np.nonzero(near[row])[0]
             if len(other) > 64:  # the touched components, not the points
@@ -167,7 +176,8 @@ def piece_pairs(fps: DataFrame, reach: int, parts: int, shard_rows: int, sample_
     A pair within ``reach`` differs in ``reach // parts`` bits or fewer in one of ``parts`` parts of its bits. For each
     part a tree of vantage points, built from about ``sample_rows`` fingerprints at most, deals fingerprints out to shards
     by their part's Hamming distance from vantage points, with copies where a boundary is within that smaller reach
-    (``route``); the sample changes shards' sizes, never a result. Shards of over ``shard_rows`` are cut into pieces.
+    (``route``); the sample changes shards' sizes, never a result. Where that reach is 0, shards of over ``shard_rows`` are
+    dealt again (``finer``). What is over ``shard_rows`` even so is cut into pieces.
     """
     n = fps.count()
     leaves, near, one_in = max(1, math.ceil(n / shard_rows)), reach // parts, math.ceil(n / sample_rows)
@@ -183,11 +193,63 @@ def piece_pairs(fps: DataFrame, reach: int, parts: int, shard_rows: int, sample_
                 yield pa.RecordBatch.from_arrays([pa.array(shard + (p << 32)), pa.array(own[index])], ["shard", "fp"])
 
     dealt = materialize(fps.select("fp").mapInArrow(deal, "shard long, fp long"), "shards")
+    if not near and reach:
+        dealt = finer(dealt, reach, parts, shard_rows)
     sizes = dealt.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("pieces"))
-    cut = dealt.join(F.broadcast(sizes), "shard")  # a row a shard: at most sample_rows / 16 a part
+    cut = join_hot(dealt, materialize(sizes.withColumn("n", F.col("pieces").cast("long") * shard_rows), "pieces"), "shard").drop("n")
     return in_piece_pairs(cut.withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces").cast("long")).cast("int")))
 
 
+def finer(dealt: DataFrame, reach: int, parts: int, shard_rows: int) -> DataFrame:
+    """``dealt(shard, fp)``, written, with shards of over ``shard_rows`` dealt again, twice at most, by exact bits.
+
+    A pair that a shard of part p is to find has that part equal, so the shard is split by the part's value. Its other
+    bits differ in ``reach`` at most, so of ``reach + 1`` runs of them one is equal: where a value holds over
+    ``shard_rows`` still, its fingerprints go to a shard for each run and its value. Of 64 random bits at a reach of 4
+    these are 8,192 values and then 1,024 more: comparisons a fingerprint stay under 25 * ``shard_rows`` up to 10^10 of
+    them, where equal first parts alone would make them grow with the input.
+    """
+
+    def over(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+        return materialize(sizes.withColumn("over", F.col("n") > shard_rows), "sizes")
+
+    def again(rows: DataFrame, split: Callable[[int, np.ndarray], tuple[np.ndarray, np.ndarray]], tag: str) -> DataFrame:
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                shard, fp, part = (batch.column(i).to_numpy() for i in range(3))
+                for p in np.unique(part).tolist():
+                    own = part == p
+                    index, key = split(p, fp[own].view(np.uint64))
+                    mixed = (shard[own][index].view(np.uint64) * MIXERS[0] ^ key * MIXERS[1] ^ key >> np.uint64(29)) * MIXERS[2]
+                    yield pa.RecordBatch.from_arrays([pa.array(mixed.view(np.int64)), pa.array(fp[own][index]), pa.array(np.full(len(index), p, np.int32))], ["shard", "fp", "part"])
+
+        sized = join_hot(rows, over(rows), "shard")
+        small = sized.where("not over").select("shard", "fp", "part")
+        large = sized.where("over").select("shard", "fp", "part").mapInArrow(deal, "shard long, fp long, part int")
+        return materialize(small.union(large), tag)
+
+    def by_value(p: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.arange(len(fps)), part_of(fps, p, parts)
+
+    def by_runs(p: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cuts = [64 * i // parts for i in range(parts + 1)]
+        rest = np.array([b for b in range(64) if not cuts[p] <= b < cuts[p + 1]], np.uint64)
+        keys = []
+        for j, bits in enumerate(np.array_split(rest, reach + 1)):
+            value = np.zeros(len(fps), np.uint64)
+            for i, b in enumerate(bits):
+                value |= (fps >> b & np.uint64(1)) << np.uint64(i)
+            keys.append(value | np.uint64((j + 1) << 56))
+        return np.tile(np.arange(len(fps)), reach + 1), np.concatenate(keys)
+
+    rows = materialize(dealt.withColumn("part", F.shiftright("shard", 32).cast("int")), "parts")
+    for split, tag in ((by_value, "by-value"), (by_runs, "by-runs")):
+        if not rows.groupBy("shard").count().where(F.col("count") > shard_rows).isEmpty():
+            rows = again(rows, split, tag)
+    return rows.select("shard", "fp")
+
+
 def near_links(fps: DataFrame, reach: int = 4, parts: int | None = None, shard_rows: int = 8192, sample_rows: int = 32_768) -> DataFrame:
     """(a, b) BIGINT: links that join the distinct fingerprints ``fps(fp)`` of every component; each group of ``piece_pairs`` is searched on its own.
 

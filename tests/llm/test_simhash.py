@@ -185,3 +185,15 @@ def test_clashing_columns(spark):
 
 def test_empty(spark):
     assert simhash.op8(frame(spark, [])).collect() == [] and simhash.keep_one(frame(spark, [])).collect() == []
+
+
+def test_comparisons_a_row_do_not_grow(spark):
+    """Eight times the random fingerprints in shards of the same bound: shards are dealt again by exact bits, not cut into pairs of pieces."""
+    from pyspark.sql import functions as F
+
+    most, seen = 64, []
+    for n in (50_000, 400_000):  # at 8,192 fingerprints a shard these would be 6 and 51 million
+        frame = spark.range(n).select(F.xxhash64("id").alias("fp"))
+        groups = simhash.piece_pairs(frame, 4, 5, most, 16_384).groupBy("shard", "one", "two").agg(F.count(F.lit(1)).alias("n"))
+        seen.append(groups.agg(F.sum(F.col("n") * F.col("n")) / n).first()[0])
+    assert max(seen) < 30 * most and seen[1] < 2 * seen[0]
