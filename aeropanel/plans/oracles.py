@@ -213,6 +213,9 @@ FROM f_dist x JOIN f_dist y ON x.b = y.b JOIN f_point px ON px.model = x.model J
     "cache_by_content": "SELECT c AS \"case\", c NOT IN ('other order', 'first again') AS made, station, round(sum(yhat * CASE WHEN c = 'other values' AND station = 'view' THEN 2 ELSE 1 END), 6) AS total, count(yhat) AS n FROM pred, (VALUES ('first'), ('other order'), ('other values'), ('a row more'), ('first again')) v(c) WHERE phase = 'test' AND model = 'persistence' AND pollutant = 'no2' GROUP BY 1, 2, 3",
     "error_totals": "SELECT pollutant, model, quarter, CAST(grouping(pollutant, model, quarter) AS BIGINT) AS grouping, round(avg(ae), 6) AS mae, round(sqrt(avg(ae * ae)), 6) AS rmse, round(avg(yhat - y), 6) AS bias, count(ae) AS n FROM (SELECT *, (lead - 1) // 6 AS quarter FROM err WHERE phase = 'test') GROUP BY CUBE (pollutant, model, quarter)",
     "refined_quantiles": "SELECT pollutant, round(quantile_cont(v, 0.25::DOUBLE), 6) AS q25, round(quantile_cont(v, 0.5::DOUBLE), 6) AS median, round(quantile_cont(v, 0.75::DOUBLE), 6) AS q75, round(quantile_cont(v, 0.9::DOUBLE), 6) AS q90 FROM series GROUP BY 1",
+    "stream_sliding_windows": "SELECT event_type AS station, time_bucket(INTERVAL 6 HOURS, moment, TIMESTAMP '1970-01-01') - to_hours(6 * b) AS since, time_bucket(INTERVAL 6 HOURS, moment, TIMESTAMP '1970-01-01') - to_hours(6 * b) + INTERVAL 24 HOURS AS until, count(*) AS n, round(avg(value), 6) AS mean FROM raw, range(0, 4) g(b) GROUP BY 1, 2, 3",
+    "stream_sessions": "SELECT user_id, min(moment) AS since, max(moment) + INTERVAL 2 HOURS AS until, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY moment, event_id) AS run FROM (SELECT *, CASE WHEN moment < lag(moment) OVER (PARTITION BY user_id ORDER BY moment, event_id) + INTERVAL 2 HOURS THEN 0 ELSE 1 END AS begins FROM raw)) GROUP BY user_id, run",
+    "stream_filled_means": "SELECT station, ts, round(v, 6) AS v, round(ff, 6) AS ff, round(mean, 6) AS mean FROM (SELECT station, ts, v, ff, avg(ff) OVER (PARTITION BY station ORDER BY pos ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS mean FROM fill WHERE pollutant = 'no2' AND pos >= first_obs) WHERE ts <= (SELECT max(ts) FROM obs) - INTERVAL 4 HOURS",
     "manifest_append": "SELECT 'events' AS source, '' AS city, event_type AS station, '2024' AS year, '' AS pull_date_utc, '' AS sha256, CAST(count(*) AS VARCHAR) AS n_rows, '' AS notes FROM raw GROUP BY event_type",
     "stream_tumbling_hourly": "SELECT event_type AS station, ts, count(*) AS n, round(sum(value), 6) AS total FROM raw GROUP BY 1, 2",
 }

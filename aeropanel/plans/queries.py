@@ -14,7 +14,7 @@ from ..functions import exprs
 from ..operators import bootstrap, compare, conformal, eda, forecast, grid, metrics, ordered, origins, quantiles
 from ..schema import EVENTS, POLLUTANTS, WEATHER
 from ..sources import cache, events, readers
-from ..sources.shared import shared_dir
+from ..sources.shared import discard, materialize, shared_dir
 from .evaluation import Evaluation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -617,6 +617,41 @@ def stream_tumbling_hourly(spark, sf_dir):
     return rounded(tumbling_hours(events.events(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
+@_query
+def stream_sliding_windows(spark, sf_dir):
+    """As the stream has them when all windows are closed."""
+    from ..streaming.stateful import sliding_means
+
+    ntz = {c: F.col(c).cast("timestamp_ntz") for c in ("since", "until")}
+    return rounded(sliding_means(events.events(spark, sf_dir)).withColumns(ntz))
+
+
+@_query
+def stream_sessions(spark, sf_dir):
+    from ..streaming.stateful import sessions
+
+    ntz = {c: F.col(c).cast("timestamp_ntz") for c in ("since", "until")}
+    return rounded(sessions(events.events(spark, sf_dir)).withColumns(ntz))
+
+
+@_query
+def stream_filled_means(spark, sf_dir):
+    """A stream that runs: the first half of the hourly observations, then, from the checkpoint, the second; hours that the watermark has passed."""
+    from ..streaming import stateful
+
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = materialize(events.observations(events.events(spark, sf_dir)).select("station", "ts", F.col("no2").alias("v")), "observations")
+    half = rows.agg(F.expr("timestampadd(SECOND, CAST(timestampdiff(SECOND, min(ts), max(ts)) / 2 AS INT), min(ts))")).first()[0]
+    if half is None:
+        return stateful.read_batches(spark, f"{at}/out", stateful.FILLED)
+    for part in (F.col("ts") < F.lit(half), F.col("ts") >= F.lit(half)):
+        rows.where(part).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
+        stateful.start(stateful.filled_means(stream), f"{at}/out", f"{at}/state").awaitTermination()
+    discard(rows)
+    return rounded(stateful.read_batches(spark, f"{at}/out", stateful.FILLED).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_FOUND)
 
