@@ -1,14 +1,16 @@
-"""Forecasters: origins to (origin, lead, yhat). Baselines are joins; trained ones use MLlib; others plug in by Arrow batches."""
+"""Forecasters: origins to (origin, lead, yhat). Baselines are joins; others plug in by Arrow batches; ``series_models`` has those that are trained here."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from statistics import NormalDist
+from typing import Protocol
 
-import pandas as pd
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import WEATHER
@@ -71,46 +73,84 @@ def feature_names(columns: list[str]) -> list[str]:
     return [c for c in columns if c not in (*KEY, "phase", "origin_pos", "target_pos", "y")]
 
 
-def ridge(train: DataFrame, test: DataFrame, name: str = "linear", alpha: float = 1.0) -> DataFrame:
-    """Median imputation, standardisation by population deviation, ridge with penalty ``alpha``: predictions for ``test``.
+class Forecaster(Protocol):
+    """What plugs in: contexts and covariates of a batch of origins to point forecasts and quantiles."""
 
-    MLlib divides the loss by n and scales the label by its deviation, so the penalty is alpha / n times the label's
-    population deviation; its scaler uses the sample deviation, hence the factor on the features.
+    def __call__(self, contexts: list[np.ndarray], covariates: dict[str, list[np.ndarray]], horizon: int, quantiles: list[float]) -> tuple[np.ndarray, np.ndarray]:
+        """([n, horizon], [n, quantiles, horizon]) of n contexts; a covariate reaches from the context's first step to the horizon's last, gaps as NaN."""
+
+
+_RESIDENT: dict[str, Forecaster] = {}  # of this worker process
+
+
+def resident(key: str, load: Callable[[], Forecaster]) -> Forecaster:
+    """The model of ``key``, loaded once a worker process, whatever the number of its tasks."""
+    if key not in _RESIDENT:
+        _RESIDENT[key] = load()
+    return _RESIDENT[key]
+
+
+def batched(contexts: DataFrame, load: Callable[[], Forecaster], horizon: int, name: str, *, covariates: Sequence[str] = (), quantiles: Sequence[float] = (), batch: int = 256) -> DataFrame:
+    """Any forecaster on the executors: (origin, lead, yhat, one column q<percent> a quantile, ms).
+
+    ``contexts``: an origin a row with the array ``ctx`` and one of each of ``covariates``. The model is loaded by
+    ``load`` once a worker and gets exactly ``batch`` origins at a time, over the borders of Arrow's batches too, but for
+    a task's last; no more are held. ``ms``: the milliseconds that the origin's batch took, a forecast.
     """
-    names = feature_names(train.columns)
-    rows = train.where("y is not null").withColumns({c: F.col(c).cast("double") for c in names})
-    n, sd = rows.agg(F.count(F.lit(1)), F.stddev_pop("y")).first()
-    factor = ((n - 1) / n) ** 0.5
-    imputer = Imputer(strategy="median", relativeError=1e-6, inputCols=names, outputCols=[f"{c}_i" for c in names]).fit(rows)
-    assemble = VectorAssembler(inputCols=[f"{c}_i" for c in names], outputCol="raw")
-    filled_rows = assemble.transform(imputer.transform(rows))
-    scaler = StandardScaler(withMean=True, withStd=True, inputCol="raw", outputCol="x").fit(filled_rows)
-    model = LinearRegression(featuresCol="x", labelCol="y", solver="normal", elasticNetParam=0.0, standardization=False, regParam=alpha / n * factor**2 * (sd or 1.0)).fit(scaler.transform(filled_rows))
-    got = model.transform(scaler.transform(assemble.transform(imputer.transform(test.withColumns({c: F.col(c).cast("double") for c in names})))))
-    return got.select(*KEY, F.lit(name).alias("model"), "phase", "origin_pos", "lead", F.col("prediction").alias("yhat"))
-
-
-def boosted(train: DataFrame, test: DataFrame, name: str = "gbt", trees: int = 400, depth: int = 7, rate: float = 0.05, seed: int = 42) -> DataFrame:
-    """Boosted trees over all leads at once; missing features become a value below all others and a mark."""
-    names = feature_names(train.columns)
-    marked = lambda d: d.select(*[c for c in d.columns if c not in names], *[F.coalesce(F.col(c).cast("double"), F.lit(-1e6)).alias(c) for c in names])
-    assemble = VectorAssembler(inputCols=names, outputCol="x")
-    model = GBTRegressor(featuresCol="x", labelCol="y", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed).fit(assemble.transform(marked(train.where("y is not null"))))
-    return model.transform(assemble.transform(marked(test))).select(*KEY, F.lit(name).alias("model"), "phase", "origin_pos", "lead", F.col("prediction").alias("yhat"))
-
-
-def batched(contexts: DataFrame, predict: Callable[[list, int], list], horizon: int, name: str) -> DataFrame:
-    """Any forecaster ``predict(contexts, horizon)``, a batch of context arrays at a time, on the executors."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = frame[[*KEY, "phase", "origin_pos"]].copy()
-            out["yhat"] = [list(map(float, y)) for y in predict(list(frame["ctx"]), horizon)]
-            yield out
-
-    packed = contexts.select(*KEY, "phase", "origin_pos", "ctx").mapInPandas(run, "station string, pollutant string, phase string, origin_pos long, yhat array<double>")
-    rows = packed.select(*KEY, F.lit(name).alias("model"), "phase", "origin_pos", F.posexplode("yhat").alias("i", "yhat"))
-    return rows.select(*KEY, "model", "phase", "origin_pos", (F.col("i") + 1).cast("long").alias("lead"), "yhat")
+    keys, columns = [*KEY, "phase", "origin_pos"], ["ctx", *covariates]
+    named = [f"q{q * 100:g}".replace(".", "_") for q in quantiles]
+
+    def predicted(rows: pa.Table, model: Forecaster) -> pa.RecordBatch:
+        arrays = {c: [np.array(x, float) for x in rows.column(c).to_pylist()] for c in columns}
+        began = time.perf_counter()
+        point, spread = model(arrays["ctx"], {c: arrays[c] for c in covariates}, horizon, list(quantiles))
+        ms = (time.perf_counter() - began) * 1000 / len(rows)
+        if np.shape(point) != (len(rows), horizon) or quantiles and np.shape(spread) != (len(rows), len(quantiles), horizon):
+            raise ValueError(f"{name} gave forecasts of shape {np.shape(point)} and quantiles of shape {np.shape(spread)} for {len(rows)} origins")
+        lists = [pa.array(list(np.asarray(x, float)), pa.list_(pa.float64())) for x in (point, *(np.asarray(spread)[:, i] for i in range(len(quantiles))))]
+        return pa.RecordBatch.from_arrays([*(rows.column(k).combine_chunks() for k in keys), *lists, pa.array(np.full(len(rows), ms))], [*keys, "yhat", *named, "ms"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held = None, None
+        for own in batches:
+            model = model or resident(name, load)
+            held = pa.Table.from_batches([own]) if held is None else pa.concat_tables([held, pa.Table.from_batches([own])])
+            whole = len(held) // batch * batch
+            for at in range(0, whole, batch):
+                yield predicted(held.slice(at, batch), model)
+            held = held.slice(whole)
+        if held is not None and len(held):
+            yield predicted(held, model)
+
+    rows = contexts.select(*[F.col(k).cast("long" if k == "origin_pos" else "string").alias(k) for k in keys], *[F.col(c).cast("array<double>").alias(c) for c in columns])
+    lists = "".join(f", {c} array<double>" for c in ("yhat", *named))
+    packed = rows.mapInArrow(run, f"station string, pollutant string, phase string, origin_pos long{lists}, ms double")
+    each = packed.select(*keys, "ms", F.posexplode(F.arrays_zip("yhat", *named)).alias("i", "x"))
+    return each.select(*KEY, F.lit(name).alias("model"), "phase", "origin_pos", (F.col("i") + 1).cast("long").alias("lead"), *[F.col("x")[c].alias(c) for c in ("yhat", *named)], "ms")
+
+
+class Drift:
+    """The context's mean slope carried on, with normal quantiles of its steps' deviation and a pull by the wind to come.
+
+    A forecast of a lead l is last + l * slope - pull * (wind at l - the context's mean wind), a missing wind pulling nothing.
+    """
+
+    def __init__(self, pull: float = 0.1) -> None:
+        self.pull = pull
+
+    def __call__(self, contexts: list[np.ndarray], covariates: dict[str, list[np.ndarray]], horizon: int, quantiles: list[float]) -> tuple[np.ndarray, np.ndarray]:
+        lead = np.arange(1, horizon + 1)
+        point, spread = np.empty((len(contexts), horizon)), np.empty((len(contexts), len(quantiles), horizon))
+        for i, x in enumerate(contexts):
+            point[i] = x[-1] + lead * (x[-1] - x[0]) / (len(x) - 1)
+            for wind in (w[i] for w in covariates.values()):
+                past = wind[: len(x)]
+                mean = past[~np.isnan(past)].mean() if (~np.isnan(past)).any() else np.nan
+                point[i] -= self.pull * np.nan_to_num(wind[len(x) :] - mean)
+            sd = np.diff(x).std()
+            for j, q in enumerate(quantiles):
+                spread[i, j] = point[i] + NormalDist().inv_cdf(q) * sd * np.sqrt(lead)
+        return point, spread
 
 
 def stagnation(panel: DataFrame, blh_lo: float, ws_lo: float, hours: int = 24) -> DataFrame:

@@ -38,8 +38,9 @@ def with_tail(rows: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def cells(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Leaderboard cells of rows with ``is_tail``: overall and tail error, counts."""
-    return rows.groupBy(*keys).agg(F.avg("ae").alias("mae"), F.avg(F.when(F.col("is_tail"), F.col("ae"))).alias("mae_topdecile"), F.first("q90").alias("q90"), F.count("ae").alias("n"), F.countDistinct("origin_pos").alias("n_origins"))
+    """Leaderboard cells of rows with ``is_tail``: overall and tail error, counts; and ``ms_per_forecast`` where rows say what their forecast took."""
+    took = [F.avg("ms").alias("ms_per_forecast")] if "ms" in rows.columns else []
+    return rows.groupBy(*keys).agg(F.avg("ae").alias("mae"), F.avg(F.when(F.col("is_tail"), F.col("ae"))).alias("mae_topdecile"), F.first("q90").alias("q90"), F.count("ae").alias("n"), F.countDistinct("origin_pos").alias("n_origins"), *took)
 
 
 def totals(rows: DataFrame, by: list[str]) -> DataFrame:

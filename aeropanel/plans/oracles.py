@@ -216,6 +216,11 @@ FROM f_dist x JOIN f_dist y ON x.b = y.b JOIN f_point px ON px.model = x.model J
     "stream_sliding_windows": "SELECT event_type AS station, time_bucket(INTERVAL 6 HOURS, moment, TIMESTAMP '1970-01-01') - to_hours(6 * b) AS since, time_bucket(INTERVAL 6 HOURS, moment, TIMESTAMP '1970-01-01') - to_hours(6 * b) + INTERVAL 24 HOURS AS until, count(*) AS n, round(avg(value), 6) AS mean FROM raw, range(0, 4) g(b) GROUP BY 1, 2, 3",
     "stream_sessions": "SELECT user_id, min(moment) AS since, max(moment) + INTERVAL 2 HOURS AS until, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY moment, event_id) AS run FROM (SELECT *, CASE WHEN moment < lag(moment) OVER (PARTITION BY user_id ORDER BY moment, event_id) + INTERVAL 2 HOURS THEN 0 ELSE 1 END AS begins FROM raw)) GROUP BY user_id, run",
     "stream_filled_means": "SELECT station, ts, round(v, 6) AS v, round(ff, 6) AS ff, round(mean, 6) AS mean FROM (SELECT station, ts, v, ff, avg(ff) OVER (PARTITION BY station ORDER BY pos ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS mean FROM fill WHERE pollutant = 'no2' AND pos >= first_obs) WHERE ts <= (SELECT max(ts) FROM obs) - INTERVAL 4 HOURS",
+    "drift_forecast": """, d_ctx AS (SELECT o.station, o.pollutant, o.origin_pos, f.pos - o.origin_pos + 71 AS i, ff, ff - lag(ff) OVER (PARTITION BY o.station, o.pollutant, o.origin_pos ORDER BY f.pos) AS step, ws10 FROM origin o JOIN fill f ON f.station = o.station AND f.pollutant = o.pollutant AND f.pos BETWEEN o.origin_pos - 71 AND o.origin_pos JOIN panel p ON p.station = o.station AND p.pos = f.pos WHERE phase = 'test'),
+d_one AS (SELECT station, pollutant, origin_pos, max(CASE WHEN i = 71 THEN ff END) AS a, (max(CASE WHEN i = 71 THEN ff END) - max(CASE WHEN i = 0 THEN ff END)) / 71 AS slope, stddev_pop(step) AS sd, avg(ws10) AS wind FROM d_ctx GROUP BY 1, 2, 3),
+d_all AS (SELECT t.station, t.pollutant, 'drift' AS model, t.origin_pos, t.lead, a + t.lead * slope - 0.1::DOUBLE * coalesce(p.ws10 - wind, 0) AS yhat, sd * sqrt(t.lead) AS w FROM target t JOIN d_one USING (station, pollutant, origin_pos) JOIN panel p ON p.station = t.station AND p.pos = t.target_pos WHERE phase = 'test')
+SELECT station, pollutant, model, origin_pos, lead, round(yhat, 6) AS yhat, round(yhat - 1.2815515655446004::DOUBLE * w, 6) AS q10, round(yhat, 6) AS q50, round(yhat + 1.2815515655446004::DOUBLE * w, 6) AS q90 FROM d_all""",
+    "resumed_cells": "SELECT station, pollutant, horizon, model, round(mae, 3) AS mae, round(mae_topdecile, 3) AS mae_topdecile, round(q90, 3) AS q90, n, n_origins FROM board",
     "manifest_append": "SELECT 'events' AS source, '' AS city, event_type AS station, '2024' AS year, '' AS pull_date_utc, '' AS sha256, CAST(count(*) AS VARCHAR) AS n_rows, '' AS notes FROM raw GROUP BY event_type",
     "stream_tumbling_hourly": "SELECT event_type AS station, ts, count(*) AS n, round(sum(value), 6) AS total FROM raw GROUP BY 1, 2",
 }

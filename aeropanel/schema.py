@@ -15,16 +15,16 @@ MET = "timestamp_utc timestamp, t2m_c float, sp_hpa float, tp_mm float, blh floa
 PREDICTIONS = "station string, pollutant string, model string, phase string, origin_pos long, lead long, yhat double"
 MANIFEST = ["source", "city", "station", "year", "pull_date_utc", "sha256", "n_rows", "notes"]
 
-# The published stations (code, city, tier, env_type, source, pollutants, koppen); the notes are our own words.
+# The published stations (code, city, tier, env_type, source, pollutants, koppen, note).
 STATIONS = [
     ("SHDG", "sheffield", 1, "urban_background", "aurn", ["NO2", "PM2.5"], "Cfb", ""),
     ("SHBR", "sheffield", 1, "urban_traffic", "aurn", ["NO2", "PM2.5"], "Cfb", ""),
     ("KC1", "london", 1, "urban_background", "aurn", ["NO2", "PM2.5"], "Cfb", ""),
     ("MY1", "london", 1, "urban_traffic", "aurn", ["NO2", "PM2.5"], "Cfb", ""),
     ("BMLD", "birmingham", 1, "urban_background", "aurn", ["NO2", "PM2.5"], "Cfb", ""),
-    ("BIRR", "birmingham", 1, "urban_traffic", "aurn", ["NO2", "PM2.5"], "Cfb", "on a clean-air-zone ring road (regime shift)"),
+    ("BIRR", "birmingham", 1, "urban_traffic", "aurn", ["NO2", "PM2.5"], "Cfb", ""),
     ("MAN3", "manchester", 1, "urban_background", "aurn", ["NO2", "PM2.5"], "Cfb", ""),
-    ("MAHG", "manchester", 1, "suburban_industrial", "aurn", ["NO2"], "Cfb", "PM2.5 6% complete: NO2 alone"),
+    ("MAHG", "manchester", 1, "suburban_industrial", "aurn", ["NO2"], "Cfb", ""),
 ]
 _STATION = "code string, city string, tier int, env_type string, source string, pollutants array<string>, koppen string, note string"
 

@@ -56,11 +56,13 @@ def exists(spark: SparkSession, at: str) -> bool:
     return files.exists(path)
 
 
-def commit(df: DataFrame, at: str) -> bool:
+def commit(df: DataFrame, at: str, form: str = "parquet", **options) -> bool:
     """Writes ``df`` beside ``at`` and renames it there, so that a table at ``at`` is whole; of two writers the first wins. Whether it was ours."""
-    spark, aside = df.sparkSession, f"{at}.{uuid.uuid4().hex}"
-    df.write.parquet(aside)
+    spark, (folder, _, name) = df.sparkSession, at.rpartition("/")
+    aside = f"{folder}/_{name}.{uuid.uuid4().hex}"  # readers pass over names that begin so
+    df.write.format(form).options(**options).save(aside)
     (source, files), (target, _) = _path(spark, aside), _path(spark, at)
+    files.mkdirs(target.getParent())
     won = not files.exists(target) and files.rename(source, target)
     if not won:
         files.delete(source, True)

@@ -39,7 +39,7 @@ def write_panel(panel: DataFrame, path: str) -> None:
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True)
+    return spark.read.schema(schema).csv(path, header=True, recursiveFileLookup=True)
 
 
 def write_results(df: DataFrame, path: str) -> None:
@@ -114,10 +114,6 @@ def manifest_rows(df: DataFrame) -> DataFrame:
     return df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in MANIFEST])
 
 
-def append_manifest(df: DataFrame, path: str) -> None:
-    manifest_rows(df).coalesce(1).write.mode("append").csv(path, header=True)
-
-
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """External forecasts in long form (schema.PREDICTIONS), joined by key, never by position."""
     return clean_missing(spark.read.parquet(path))

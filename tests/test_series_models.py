@@ -2,6 +2,7 @@
 
 import json
 import os
+import uuid
 
 import numpy as np
 import pytest
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from aeropanel.functions import exprs
 from aeropanel.operators import bootstrap, compare, conformal, forecast, metrics, series_models
+from aeropanel.plans import queries
 from aeropanel.schema import Protocol
-from aeropanel.sources import cache, readers, shared
+from aeropanel.sources import cache, readers, shared, sinks
 
 
 def test_ridge_of_each_series_is_the_closed_form(spark):
@@ -153,8 +155,8 @@ def test_cache_is_whole_or_absent(spark, tmp_path):
 
 def test_manifest_digests_and_coordinates(spark, tmp_path):
     row = spark.createDataFrame([("src", "x", 3)], "source string, station string, n_rows int")
-    for _ in range(2):
-        readers.append_manifest(row, f"{tmp_path}/manifest")
+    for run in (None, None, "again", "again"):
+        sinks.append_manifest(row, f"{tmp_path}/manifest", run)
     assert [tuple(r) for r in readers.read_results(spark, f"{tmp_path}/manifest", "source string, city string, station string, year string, pull_date_utc string, sha256 string, n_rows string, notes string").select("source", "station", "n_rows").collect()] == [("src", "x", "3")] * 2
     (tmp_path / "one.bin").write_bytes(b"abc")
     assert readers.file_digests(spark, f"{tmp_path}/one.bin").first()["sha256"].startswith("ba7816bf")
@@ -194,3 +196,68 @@ def test_families_and_sql_function(spark):
     assert got == [("no2", "p", "q"), ("no2", "p", "r"), ("no2", "q", "r"), ("pm25", "p", "q"), ("pm25", "p", "r")]
     exprs.register(spark)
     assert spark.sql("select student_tail(1.0D, 1.0D) p").first()["p"] == pytest.approx(0.25)
+
+
+class Counting:
+    """Leaves a file a load, and gives the number of its batch as forecast."""
+
+    def __init__(self, folder):
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+
+    def __call__(self, contexts, covariates, horizon, quantiles):
+        n = len(contexts)
+        return np.full((n, horizon), float(n)), np.stack([np.array([[q + w[0]] * horizon for w in covariates["wind"]]) for q in quantiles], axis=1)
+
+
+def test_plugged_in_models_are_loaded_once_a_worker_and_get_whole_batches(spark, tmp_path):
+    rows = spark.range(1000).repartition(8).select(F.lit("s").alias("station"), F.lit("no2").alias("pollutant"), F.lit("test").alias("phase"), F.col("id").alias("origin_pos"), F.array(F.col("id").cast("double")).alias("ctx"), F.array(F.col("id").cast("double"), F.lit(None)).alias("wind"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    folder, name = str(tmp_path), f"counting-{uuid.uuid4().hex}"
+    try:
+        for _ in range(2):
+            got = forecast.batched(rows, lambda: Counting(folder), 2, name, covariates=["wind"], quantiles=[0.1, 0.975], batch=50).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 2000 and {r["lead"] for r in got} == {1, 2} and all(r["ms"] > 0 for r in got)
+    assert all(r["q10"] == r["origin_pos"] + 0.1 and r["q97_5"] == r["origin_pos"] + 0.975 for r in got)
+    sizes = [r["yhat"] for r in got]
+    assert max(sizes) == 50 and sizes.count(50.0) >= 2 * (1000 - 8 * 50)  # all but a task's last
+    loads = os.listdir(folder)
+    assert 1 <= len(loads) == len({p.split("-")[0] for p in loads}) <= 8  # 16 tasks
+
+
+def test_shapes_are_checked(spark):
+    rows = spark.createDataFrame([("s", "no2", "test", 1, [1.0])], "station string, pollutant string, phase string, origin_pos long, ctx array<double>")
+    with pytest.raises(Exception, match="gave forecasts of shape"):
+        forecast.batched(rows, lambda: lambda c, w, h, q: (np.zeros((1, 3)), None), 2, f"wrong-{uuid.uuid4().hex}").collect()
+
+
+@pytest.mark.parametrize("form", ["parquet", "csv"])
+def test_a_run_killed_between_cells_gives_each_cell_once(spark, tmp_path, form):
+    path, keys, schema = f"{tmp_path}/cells", ["station", "h"], "station string, h int, mae double"
+    cells = [("a", 6, 1.0), ("a", 12, 2.0), (None, 6, 3.0), ("b", None, 4.0)]
+    done = []
+
+    def compute(rows, fail_at=None):
+        for i, cell in enumerate(rows):
+            if i == fail_at:
+                raise KeyboardInterrupt
+            done.append(cell[:2])
+            sinks.append_new(spark.createDataFrame([cell], schema), path, keys, f"cell-{cell[0]}-{cell[1]}", form)
+
+    with pytest.raises(KeyboardInterrupt):
+        compute(cells, 2)
+    left = sinks.missing(spark.createDataFrame(cells, schema), path, keys, form)
+    compute([tuple(r) for r in left.collect()])
+    assert sorted(map(str, done)) == sorted(str(c[:2]) for c in cells)
+    assert not sinks.append_new(spark.createDataFrame(cells, schema), path, keys, "cell-a-6", form)
+    assert sinks.append_new(spark.createDataFrame([*cells, ("c", 1, 9.0), ("c", 1, 9.0)], schema), path, keys, "more", form)
+    got = sorted(map(str, map(tuple, sinks.read_cells(spark, path, schema, form).collect())))
+    assert got == sorted(map(str, [*cells, ("c", 1, 9.0)]))
+    assert sinks.read_cells(spark, f"{tmp_path}/none", schema, form).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_trained_leaderboard_says_what_a_forecast_takes(spark):
+    rows = queries.queries()["trained_leaderboard"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["model"] for r in rows} >= {"ridge", "gbt", "ridge_nowx", "gbt_nowx", "persistence"} and all(r["ms_per_forecast"] > 0 for r in rows)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aeropanel.functions import exprs
-from aeropanel.operators import bootstrap, compare, conformal, forecast, metrics
+from aeropanel.operators import bootstrap, compare, conformal, metrics
 
 
 @pytest.mark.parametrize(("x", "df", "p"), [(1.0, 1, 0.25), (2.0, 10, 0.03669402), (1.959964, 1e7, 0.025), (12.7062, 1, 0.025), (2.5706, 5, 0.025), (0.0, 3, 0.5), (-1.0, 1, 0.75)])
@@ -136,22 +136,6 @@ def test_intervals_of_numpy_draws(spark):
     assert (r["lo"], r["hi"]) == tuple(pytest.approx(x) for x in np.percentile(dist, [2.5, 97.5]))
 
 
-def test_ridge_is_the_closed_form(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(80, 3)) * [1, 5, 0.1] + [0, 2, 1]
-    y = x @ [1.0, -0.3, 4.0] + rng.normal(size=80)
-    rows = [("s", "no2", "train" if i < 60 else "test", i, 1, i + 1, *map(float, x[i]), float(y[i])) for i in range(80)]
-    frame = spark.createDataFrame(rows, "station string, pollutant string, phase string, origin_pos long, lead long, target_pos long, a double, b double, c double, y double")
-    got = forecast.ridge(frame.where("phase = 'train'"), frame.where("phase = 'test'"))
-    z = np.column_stack([x, np.ones(80)])  # lead is a feature too, and constant
-    z = z[:, :3]
-    mu, sd = z[:60].mean(axis=0), z[:60].std(axis=0)
-    w = (z - mu) / sd
-    beta = np.linalg.solve(w[:60].T @ w[:60] + np.eye(3), w[:60].T @ (y[:60] - y[:60].mean()))
-    want = dict(zip(range(60, 80), w[60:] @ beta + y[:60].mean(), strict=True))
-    assert {r["origin_pos"]: pytest.approx(r["yhat"], abs=1e-6) for r in got.collect()} == want
-
-
 def test_tercile_of_missing_is_the_last_bin(spark):
     rows = spark.createDataFrame([(0.5,), (1.0,), (2.0,), (None,)], "x double")
     edges = F.array(F.lit(1.0), F.lit(2.0))
