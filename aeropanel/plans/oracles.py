@@ -221,6 +221,20 @@ d_one AS (SELECT station, pollutant, origin_pos, max(CASE WHEN i = 71 THEN ff EN
 d_all AS (SELECT t.station, t.pollutant, 'drift' AS model, t.origin_pos, t.lead, a + t.lead * slope - 0.1::DOUBLE * coalesce(p.ws10 - wind, 0) AS yhat, sd * sqrt(t.lead) AS w FROM target t JOIN d_one USING (station, pollutant, origin_pos) JOIN panel p ON p.station = t.station AND p.pos = t.target_pos WHERE phase = 'test')
 SELECT station, pollutant, model, origin_pos, lead, round(yhat, 6) AS yhat, round(yhat - 1.2815515655446004::DOUBLE * w, 6) AS q10, round(yhat, 6) AS q50, round(yhat + 1.2815515655446004::DOUBLE * w, 6) AS q90 FROM d_all""",
     "resumed_cells": "SELECT station, pollutant, horizon, model, round(mae, 3) AS mae, round(mae_topdecile, 3) AS mae_topdecile, round(q90, 3) AS q90, n, n_origins FROM board",
+    "metrics_round_trip": "SELECT model, round(avg(abs(yhat - y)), 6) AS mae, round(sqrt(avg((yhat - y) * (yhat - y))), 6) AS rmse, round(avg(2 * abs(yhat - y) / nullif(abs(y) + abs(yhat), 0)) * 100, 6) AS smape, round(avg(yhat - y), 6) AS bias, count(*) AS n FROM err WHERE phase = 'test' AND station = 'view' AND pollutant = 'pm25' GROUP BY 1",
+    "kept_columns": "SELECT event_id, CAST(user_id AS VARCHAR) AS user_id, value, CAST(NULL AS DOUBLE) AS absent FROM events",
+    "site_coordinates": "SELECT DISTINCT event_type AS site_id, CAST(length(event_type) AS DOUBLE) AS latitude, CAST(ascii(event_type) AS DOUBLE) AS longitude FROM events WHERE event_type IN ('click', 'view')",
+    "registered_series": "SELECT CASE station WHEN 'click' THEN 'KC1' WHEN 'purchase' THEN 'SHDG' WHEN 'signup' THEN 'MAN3' ELSE 'MY1' END AS code, pos, pm25 AS v FROM panel WHERE station <> 'error'",
+    "sql_functions": _PVALUES + "SELECT pollutant, a, b, n, round(dm, 6) AS dm, round(p, 6) AS p FROM pval",
+    "ridge_of_two_features": """, r_raw AS (
+  SELECT o.station, o.pollutant, s.pos, lead, s.v AS y0, t.v AS y, o.phase FROM (SELECT station, pollutant, pos AS origin_pos, 'train' AS phase FROM series WHERE split = 'train' AND pos % 6 = 0 AND pos >= 168 AND pos < 336 UNION ALL SELECT station, pollutant, origin_pos, 'test' FROM origin WHERE phase = 'test') o, lead
+  JOIN series s ON s.station = o.station AND s.pollutant = o.pollutant AND s.pos = o.origin_pos JOIN series t ON t.station = o.station AND t.pollutant = o.pollutant AND t.pos = o.origin_pos + lead),
+r_med AS (SELECT station, pollutant, median(y0) AS med FROM r_raw WHERE phase = 'train' AND y IS NOT NULL GROUP BY 1, 2),
+r_x AS (SELECT r.station, r.pollutant, pos, lead, phase, y, coalesce(y0, med) AS a, CAST(lead AS DOUBLE) AS b FROM r_raw r JOIN r_med USING (station, pollutant)),
+r_s AS (SELECT station, pollutant, count(*) AS n, avg(y) AS my, avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM r_x WHERE phase = 'train' AND y IS NOT NULL GROUP BY 1, 2),
+r_f AS (SELECT station, pollutant, n, my, ma, sa, mb, sb, sum((a - ma) / sa * (b - mb) / sb) AS ab, sum((a - ma) / sa * (y - my)) AS ay, sum((b - mb) / sb * (y - my)) AS sy FROM r_x JOIN r_s USING (station, pollutant) WHERE phase = 'train' AND y IS NOT NULL GROUP BY ALL),
+r_c AS (SELECT *, ((n + 1) * ay - ab * sy) / ((n + 1) * (n + 1) - ab * ab) AS ca, ((n + 1) * sy - ab * ay) / ((n + 1) * (n + 1) - ab * ab) AS cb FROM r_f)
+SELECT x.station, x.pollutant, 'ridge_two' AS model, x.pos AS origin_pos, x.lead, round((x.a - ma) / sa * ca + (x.b - mb) / sb * cb + my, 6) AS yhat FROM r_x x JOIN r_c USING (station, pollutant) WHERE phase = 'test'""",
     "manifest_append": "SELECT 'events' AS source, '' AS city, event_type AS station, '2024' AS year, '' AS pull_date_utc, '' AS sha256, CAST(count(*) AS VARCHAR) AS n_rows, '' AS notes FROM raw GROUP BY event_type",
     "stream_tumbling_hourly": "SELECT event_type AS station, ts, count(*) AS n, round(sum(value), 6) AS total FROM raw GROUP BY 1, 2",
 }

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import bootstrap, compare, conformal, eda, forecast, grid, metrics, ordered, origins, quantiles
-from ..schema import EVENTS, MANIFEST, POLLUTANTS, WEATHER
+from ..operators import bootstrap, compare, conformal, eda, forecast, grid, metrics, ordered, origins, quantiles, series_models
+from ..schema import EVENTS, MANIFEST, POLLUTANTS, WEATHER, stations
 from ..sources import cache, events, readers, sinks
 from ..sources.shared import discard, materialize, shared_dir
 from .evaluation import Evaluation
@@ -548,10 +548,64 @@ def trained_counts(e):
     return rows.groupBy("station", "pollutant", "model").agg(F.count("ae").alias("n"), F.countDistinct("origin_pos").alias("n_origins"))
 
 
+@_on
+def metrics_round_trip(e):
+    """The metrics of one station through their JSON file."""
+    spark = e.panel.sparkSession
+    path = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    rows = rounded(e.errors("test").where("station = 'view' and pollutant = 'pm25'").groupBy("model").agg(*metrics.point_metrics()))
+    readers.write_metrics(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@_query
+def kept_columns(spark, sf_dir):
+    """Events cut down to a list of columns, one of which they don't have."""
+    return readers.ensure_columns(events.events(spark, sf_dir), {"event_id": "long", "user_id": "string", "value": "double", "absent": "double"})
+
+
+@_query
+def site_coordinates(spark, sf_dir):
+    """Coordinates of wanted sites from a catalogue that names each many times; one wanted site isn't in it."""
+    kind = F.col("event_type")
+    catalogue = events.events(spark, sf_dir).select(kind.alias("site_id"), F.length(kind).cast("double").alias("latitude"), F.ascii(kind).cast("double").alias("longitude"))
+    return readers.coordinates(catalogue, ["click", "view", "nowhere"])
+
+
+_CODES = {"click": "KC1", "error": "MAHG", "purchase": "SHDG", "signup": "MAN3", "view": "MY1"}
+
+
+@_on
+def registered_series(e):
+    """PM2.5 of the registered stations that report it, each read from its own part of the written panel."""
+    spark = e.panel.sparkSession
+    path = f"{shared_dir(spark)}/registered-{uuid.uuid4().hex}"
+    codes = spark.createDataFrame(list(_CODES.items()), "station string, code string")
+    readers.write_panel(e.panel.join(F.broadcast(codes), "station").select(F.col("code").alias("station"), "pos", "pm25"), path)
+    eligible = [r["code"] for r in stations(spark, "PM2.5").where(F.col("code").isin(*_CODES.values())).collect()]  # of the registry
+    return reduce(DataFrame.unionByName, [readers.station_series(spark, path, code, "pm25").withColumn("code", F.lit(code)) for code in eligible])
+
+
+@_on
+def sql_functions(e):
+    """The p-values of ``dm_pvalues`` by the function that SQL gets."""
+    spark, view = e.panel.sparkSession, f"tests_{uuid.uuid4().hex}"
+    exprs.register(spark)
+    e.tests(0).createOrReplaceTempView(view)
+    return rounded(spark.sql(f"SELECT pollutant, a, b, n, dm, CASE WHEN dm = 0 THEN 1.0D ELSE least(1.0D, 2 * student_tail(abs(dm), CAST(n - 1 AS DOUBLE))) END AS p FROM {view}"))
+
+
+@_on
+def ridge_of_two_features(e):
+    """Ridge of each series on the value at the origin (gaps filled by the median) and the lead, which SQL can solve too."""
+    rows = lambda o: forecast.features(e.panel, e.series, o, e.protocol.horizon, False).select(*origins.KEY, "phase", "origin_pos", "lead", "target_pos", "y0", "y")
+    found = series_models.each_series(rows(origins.train_origins(e.series, e.protocol)), rows(e.origins("test")), series_models.ridge, "ridge_two")
+    return rounded(found.drop("ms", "phase"))
+
+
 @_on
 def drift_forecast(e):
     """A forecaster that plugs in: its model is loaded once a worker and gets batches of contexts with the wind, and gives quantiles too."""
-    P = e.protocol
     rows = origins.contexts(e.series, e.origins("test"), P.context).join(origins.covariates(e.panel, e.origins("test"), P.context, P.horizon, ["ws10"]), [*origins.KEY, "origin_pos"])
     return rounded(forecast.batched(rows, forecast.Drift, P.horizon, "drift", covariates=["ws10"], quantiles=[0.1, 0.5, 0.9], batch=16).drop("ms", "phase"))
 

@@ -11,7 +11,7 @@ from aeropanel.plans import oracles, queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-SOME = ["hourly_grid_reindex", "json_column_unpack", "ffill_bfill_covariates", "direct_features_oracle", "test_origins", "tail_metrics", "leaderboard_cells", "eda_ventilation_deciles", "eda_log_hist", "bootstrap_tail_ci", "bootstrap_dmae_ci", "dm_statistic_lag1", "bh_qvalues", "mmcp4d_fit", "mmcp4d_apply", "episode_regime", "coverage_by_method", "paired_coverage_bootstrap", "dm_bootstrap_agreement", "tail_replication", "covariate_slices", "origins_by_horizon", "losses_round_trip", "predictions_round_trip", "trained_counts", "cache_by_content", "error_totals", "refined_quantiles", "pooled_q90", "mmcp_edges", "episode_cuts", "stream_sliding_windows", "stream_sessions", "stream_filled_means", "drift_forecast", "resumed_cells", "manifest_append", "results_round_trip"]
+SOME = ["hourly_grid_reindex", "json_column_unpack", "ffill_bfill_covariates", "direct_features_oracle", "test_origins", "tail_metrics", "leaderboard_cells", "eda_ventilation_deciles", "eda_log_hist", "bootstrap_tail_ci", "bootstrap_dmae_ci", "dm_statistic_lag1", "bh_qvalues", "mmcp4d_fit", "mmcp4d_apply", "episode_regime", "coverage_by_method", "paired_coverage_bootstrap", "dm_bootstrap_agreement", "tail_replication", "covariate_slices", "origins_by_horizon", "losses_round_trip", "predictions_round_trip", "trained_counts", "cache_by_content", "error_totals", "refined_quantiles", "pooled_q90", "mmcp_edges", "episode_cuts", "stream_sliding_windows", "stream_sessions", "stream_filled_means", "drift_forecast", "resumed_cells", "manifest_append", "results_round_trip", "metrics_round_trip", "kept_columns", "site_coordinates", "registered_series", "sql_functions", "ridge_of_two_features"]
 
 
 def canon(x):
