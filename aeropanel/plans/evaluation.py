@@ -13,7 +13,8 @@ from ..operators import bootstrap, compare, conformal, forecast, metrics, origin
 from ..operators.grid import series
 from ..schema import EVENTS, Protocol
 from ..sources import events
-from ..sources.shared import materialize
+from ..sources.shared import discard
+from ..sources.shared import materialize as written
 
 PERIODS = [24, 72]
 MODELS = ["persistence", "seasonal_naive_24", "seasonal_naive_72"]
@@ -31,7 +32,19 @@ class Evaluation:
     @classmethod
     def of_events(cls, spark: SparkSession, sf_dir: str) -> Evaluation:
         """The panel (stations times steps, whatever the events' number) is written, so the events are scanned once."""
-        return cls(materialize(events.panel(spark, sf_dir), "panel"))
+        return cls(written(events.panel(spark, sf_dir), "panel"))
+
+    def __post_init__(self) -> None:
+        self._written = [self.panel] if hasattr(self.panel, "written_to") else []
+
+    def _kept(self, df: DataFrame, tag: str) -> DataFrame:
+        self._written.append(written(df, tag))
+        return self._written[-1]
+
+    def close(self) -> None:
+        """Deletes the tables that were written for this evaluation; nothing it gave may be run afterwards."""
+        while self._written:
+            discard(self._written.pop())
 
     @property
     def series(self) -> DataFrame:
@@ -61,7 +74,7 @@ class Evaluation:
 
     @cached_property
     def _units(self) -> DataFrame:
-        return materialize(bootstrap.numbered_units(self.origins("test"), ["pollutant"], ["station", "origin_pos"]), "units")
+        return self._kept(bootstrap.numbered_units(self.origins("test"), ["pollutant"], ["station", "origin_pos"]), "units")
 
     def units(self) -> DataFrame:
         return self._units
@@ -97,11 +110,11 @@ class Evaluation:
 
     @cached_property
     def means(self) -> DataFrame:
-        return materialize(conformal.lookback(self.panel, self.series), "means")
+        return self._kept(conformal.lookback(self.panel, self.series), "means")
 
     @cached_property
     def _cuts(self) -> DataFrame:
-        return materialize(conformal.episode_cuts(self.panel, self.means, self.origins("cal")), "cuts")
+        return self._kept(conformal.episode_cuts(self.panel, self.means, self.origins("cal")), "cuts")
 
     def cuts(self) -> DataFrame:
         return self._cuts
@@ -111,9 +124,9 @@ class Evaluation:
 
     @cached_property
     def _calibration(self) -> tuple[DataFrame, DataFrame]:
-        rows = materialize(self.strata("cal"), "strata")
-        edges = materialize(conformal.terciles(rows, ALPHA_KEYS), "edges")
-        return materialize(conformal.binned(rows, edges, ALPHA_KEYS), "calibration"), edges
+        rows = self._kept(self.strata("cal"), "strata")
+        edges = self._kept(conformal.terciles(rows, ALPHA_KEYS), "edges")
+        return self._kept(conformal.binned(rows, edges, ALPHA_KEYS), "calibration"), edges
 
     def calibration(self) -> tuple[DataFrame, DataFrame]:
         """(binned calibration rows, edges), written once."""
@@ -125,11 +138,11 @@ class Evaluation:
     @cached_property
     def _intervals(self) -> DataFrame:
         rows = conformal.binned(self.strata("test"), self.calibration()[1], ALPHA_KEYS)
-        three, four = (materialize(self.fitted(levels), "fitted") for levels in (conformal.LEVELS_3D, conformal.LEVELS_4D))  # hundreds of rows
+        three, four = (self._kept(self.fitted(levels), "fitted") for levels in (conformal.LEVELS_3D, conformal.LEVELS_4D))  # hundreds of rows
         for model, levels, name in ((three, conformal.LEVELS_3D, "q3"), (four, conformal.LEVELS_4D, "q4")):
-            rows = conformal.apply(rows, materialize(conformal.resolve(model, ALPHA_KEYS, levels, name), "cells"), ALPHA_KEYS, levels)
+            rows = conformal.apply(rows, self._kept(conformal.resolve(model, ALPHA_KEYS, levels, name), "cells"), ALPHA_KEYS, levels)
         whole = three.where("level = 'global'").select(*ALPHA_KEYS, F.col("q").alias("q1"))
-        return materialize(rows.join(F.broadcast(whole), ALPHA_KEYS), "intervals")
+        return self._kept(rows.join(F.broadcast(whole), ALPHA_KEYS), "intervals")
 
     def intervals(self) -> DataFrame:
         """Test targets with the half-widths of split (q1), three-way (q3) and regime-aware (q4) intervals, written once."""
@@ -153,7 +166,7 @@ class Evaluation:
     @cached_property
     def _all_trained(self) -> DataFrame:
         parts = [self.trained(kind, wx) for kind in ("ridge", "gbt") for wx in (True, False)]
-        return materialize(reduce(DataFrame.unionByName, parts), "trained")
+        return self._kept(reduce(DataFrame.unionByName, parts), "trained")
 
     def trained_errors(self) -> DataFrame:
         """Errors of the baselines and of the trained models, with and without the weather ahead, their tail, and what a forecast took.
@@ -161,7 +174,7 @@ class Evaluation:
         Baselines are joins: the time to write them all is shared out among their forecasts.
         """
         began = time.perf_counter()
-        baselines = materialize(self.predictions("test"), "baselines")
+        baselines = self._kept(self.predictions("test"), "baselines")
         n = baselines.select(*origins.KEY, "model", "origin_pos").distinct().count()
         baselines = baselines.withColumn("ms", F.lit((time.perf_counter() - began) * 1000 / max(1, n)))
         rows = metrics.errors(self._all_trained.unionByName(baselines), self.actuals("test"))
@@ -172,7 +185,7 @@ class Evaluation:
         rows = self.tail_errors().where(F.col("is_tail") & (F.col("pollutant") == pollutant))
         units = bootstrap.numbered_units(rows, ["pollutant"], ["station", "origin_pos"])
         pairs = self.comparisons().where((F.col("pollutant") == pollutant) & (F.col("a") == "persistence"))
-        return bootstrap.mae_differences(rows, materialize(units, "tail-units"), pairs, self.protocol.n_boot)
+        return bootstrap.mae_differences(rows, self._kept(units, "tail-units"), pairs, self.protocol.n_boot)
 
 
 def forecast_names(periods: tuple[int, ...]) -> list[str]:
