@@ -42,42 +42,49 @@ def hot_safe_rank(df: DataFrame, keys: list[str], h: str, rows_in_bucket: int =
     return ranked, before
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, keys: int = 1024) -> DataFrame:
-    """``rows``, a written table, joined with ``table(key, n, ...)``, one row a key, ``n`` the rows that have it (or about).
-
-    A key of over 1/``keys`` of all rows is cut into salts of that share: at most ``keys`` keys, so their table is
-    broadcast, whatever the input's size. Salts follow the rows' places in the written table, so that equal rows part
-    and a task that runs again gives the same. No task gets a whole hot key, at any setting of adaptive execution.
+def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], keys: int = 1024, by: str | None = None, total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``table(key, n, ...)``, one row a key, ``n`` the rows that have it (or about).
+
+    A key of over 1/``keys`` of all rows (``total``; by default the sum of n) is cut into salts of that share: at most
+    ``keys`` keys, so their table is broadcast, whatever the input's size. Salts follow the hash of the column ``by``,
+    which has to tell a key's rows apart; without it the rows' places, so that equal rows part too, for which ``rows`` has
+    to be a written table: a task that runs again then gives the same. No task gets a whole hot key, at any setting of
+    adaptive execution.
     """
-    share = max(1, (table.agg(F.sum("n")).first()[0] or 0) // keys)
+    on = [key] if isinstance(key, str) else key
+    share = max(1, (table.agg(F.sum("n")).first()[0] or 0 if total is None else total) // keys)
     salts, salt = "_salts", "_salt"  # ``rows`` and ``table`` are the operators' own
-    hot = F.broadcast(table.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("long").alias(salts)))
-    place = rows.withColumn(salt, F.monotonically_increasing_id())
-    left = place.join(hot, key, "left").withColumn(salt, F.coalesce(F.pmod(F.col(salt), F.col(salts)), F.lit(0))).drop(salts)
+    hot = F.broadcast(table.where(F.col("n") > share).select(*on, F.ceil(F.col("n") / share).cast("long").alias(salts)))
+    place = rows.withColumn(salt, F.monotonically_increasing_id() if by is None else F.xxhash64(by))
+    left = place.join(hot, on, "left").withColumn(salt, F.coalesce(F.pmod(F.col(salt), F.col(salts)), F.lit(0))).drop(salts)
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(salts) - 1, F.lit(0))))
-    right = table.join(hot, key, "left").withColumn(salt, each).drop(salts)
-    return left.join(right.hint("merge"), [key, salt]).drop(salt)
+    right = table.join(hot, on, "left").withColumn(salt, each).drop(salts)
+    return left.join(right.hint("merge"), [*on, salt]).drop(salt)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of ``edges(a, b)``, BIGINT and not null.
 
     Minimum labels go over the edges and jump to their label's label; every round is a written table, deleted after the
-    next one. An empty table gives an empty one.
+    next one. Hubs and the labels of large components are salted in both joins. An empty table gives an empty one.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = written = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    labels = written = materialize(first.select("node", F.least("node", "m").alias("label"), "n"), "labels")
+    n_edges, n_nodes = both.count(), labels.count()
     for _ in range(max_rounds):
-        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        lower = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = materialize(lower.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
+        seen = join_hot(both, labels.select(F.col("node").alias("b"), "label", "n"), "b", by="a", total=n_edges).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        lower = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"), F.col("n").alias("degree"))
+        sizes = lower.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        jump = sizes.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
+        jumped = join_hot(lower, jump, "label", by="node", total=n_nodes)  # a label is a node, so none lacks
+        new = materialize(jumped.select("node", "was", F.least("label", "next").alias("label"), F.col("degree").alias("n")), "labels")
         discard(written)
         written, moved = new, new.where("label <> was").limit(1).count()
-        labels = new.select("node", "label")
+        labels = new.select("node", "label", "n")
         if not moved:
             discard(both)
-            return labels
+            return labels.select("node", "label")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
@@ -98,7 +105,9 @@ def components_of_blocks(keyed: DataFrame, sig: DataFrame, alike: Alike, cross:
     members = materialize(join_hot(keyed, heads, "block").select("block", "node", "head", "loose"), f"{tag}-members")
     discard(heads)
     pairs = members.where("node <> head").select("node", "head").distinct()
-    both = pairs.join(sig, "node").join(sig.select(F.col("node").alias("head"), F.col("sig").alias("other")), "head").select("node", "head", "sig", "other")
+    pairs = materialize(pairs, f"{tag}-pairs")
+    at_head = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("n")).join(sig.select(F.col("node").alias("head"), F.col("sig").alias("other")), "head")
+    both = join_hot(pairs.join(sig, "node"), at_head, "head", by="node", total=pairs.count()).select("node", "head", "sig", "other")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,6 +115,7 @@ def components_of_blocks(keyed: DataFrame, sig: DataFrame, alike: Alike, cross:
             yield pa.RecordBatch.from_arrays([found.column(0), found.column(1)], ["a", "b"])
 
     edges = materialize(both.mapInArrow(match, "a long, b long"), f"{tag}-alike")
+    discard(pairs)
     labels = components(edges)
     more = across(members.where("loose").select("block", "node"), labels, sig, cross, rows)
     discard(members)

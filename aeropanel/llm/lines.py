@@ -52,7 +52,7 @@ def parse_lines(raw: bytes, depth: int = 2) -> tuple[np.ndarray, ...]:
 
     Tokens lie between ASCII white space; those with a digit, an at sign or "://" are variable fields, which hash alike.
     The leaf is the number of tokens with the ``depth`` leading ones, or all of fewer than three. A template is two
-    constant tokens at least, and half of the line: others join as raw text, in a leaf a text.
+    constant tokens at least: lines of fewer join as raw text, in a leaf a text.
     """
     data = np.frombuffer(raw + b"\n", np.uint8)
     edges = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data])).astype(np.int8)))
@@ -66,7 +66,7 @@ def parse_lines(raw: bytes, depth: int = 2) -> tuple[np.ndarray, ...]:
     bounds = np.searchsorted(starts, np.concatenate(([0], np.flatnonzero(data == 10) + 1)))
     n = np.diff(bounds)
     fields = np.diff(np.concatenate(([0], np.cumsum(field)))[bounds])
-    plain = (fields > 0) & (n - fields < np.maximum(2, n / 2))
+    plain = (fields > 0) & (n - fields < 2)
     of = np.repeat(np.arange(len(n)), n)
     token = np.where(field & ~plain[of], np.uint64(FIELD), token)
     leading = np.where((n < 3) | plain, n, np.minimum(n, depth))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 LEAST, MOST = 512, 8192
 _GEAR = np.random.default_rng(2048).integers(0, 1 << 16, 256).astype(np.uint16)
@@ -208,9 +208,10 @@ def read_back(media: DataFrame, chunk_store: DataFrame) -> DataFrame:
 
     alone = media.where(~some).select("doc_id", "n_bytes", "media_id", "header", "recipe", "pack").mapInArrow(own, f"doc_id long, n_bytes long, {_READ}")
     mixed = media.where(some)
-    each = mixed.groupBy("media_id").agg(F.first(F.struct("header", "recipe", "pack")).alias("m"))
-    refs = mixed.select("media_id", F.explode("recipe").alias("c")).where("c.loose").select("media_id", "c.digest").distinct()
-    found = refs.join(chunk_store, "digest").groupBy("media_id").agg(F.collect_list(F.struct("digest", "bytes")).alias("chunks"))
+    each = mixed.groupBy("media_id").agg(F.first(F.struct("header", "recipe", "pack")).alias("m"), F.count(F.lit(1)).alias("n"))
+    refs = materialize(each.select("media_id", F.explode("m.recipe").alias("c")).where("c.loose").select("media_id", "c.digest").distinct(), "chunk-refs")
+    wanted = materialize(refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "wanted-chunks")  # a boilerplate chunk is one of many media
+    found = join_hot(refs, wanted.join(chunk_store, "digest"), "digest", by="media_id", total=refs.count()).groupBy("media_id").agg(F.collect_list(F.struct("digest", "bytes")).alias("chunks"))
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +219,9 @@ def read_back(media: DataFrame, chunk_store: DataFrame) -> DataFrame:
             yield _batch(rows, _READ_NAMES, _READ_TYPES)
 
     facts = each.join(found, "media_id").select("media_id", "m", "chunks").mapInArrow(rebuilt, _READ)
-    return alone.unionByName(mixed.select("doc_id", "n_bytes", "media_id").join(facts, "media_id"))
+    facts = materialize(facts.join(each.select("media_id", "n"), "media_id"), "media-facts")
+    rows = materialize(mixed.select("doc_id", "n_bytes", "media_id"), "media-rows")
+    return alone.unionByName(join_hot(rows, facts, "media_id").drop("n"))
 
 
 def media_columns(docs: DataFrame) -> DataFrame:

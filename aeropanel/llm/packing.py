@@ -29,6 +29,19 @@ def default_tokenizer() -> str:
 _SIMPLE = re.compile(rb"((?:[A-Za-z]|[\xc3-\xc8][\x80-\xbf])+)([!-&(-/:-@\[-`{-~]*)")  # letters below U+0240, then ASCII signs but the apostrophe
 
 
+# The normalizer and splitter under which a word of letters is one piece; with any others all words go through the tokenizer.
+_SHORTCUT = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class _Words(dict):
     """Bytes of a word's ids (unsigned 32-bit, little endian) by the word's bytes; emptied when ``most`` are kept.
 
@@ -43,8 +56,7 @@ class _Words(dict):
         self.most, self.tokenizer = most, Tokenizer.from_file(path)
         self.model, self.byte_level = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         spec = json.loads(self.tokenizer.to_str())
-        kinds = [[x["type"] for x in (spec[k] or {}).get(k.replace("_", "") + "s", [])] for k in ("normalizer", "pre_tokenizer")]
-        self.simple = kinds == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and not spec["model"].get("dropout")
+        self.simple = {k: spec[k] for k in ("normalizer", "pre_tokenizer")} == _SHORTCUT and not spec["model"].get("dropout") and spec["model"]["type"] == "BPE"
 
     def __missing__(self, word: bytes) -> bytes:
         m = _SIMPLE.fullmatch(word) if self.simple else None

@@ -278,9 +278,13 @@ def near_duplicates(docs: DataFrame, reach: int = 4, width: int = 4, **settings)
     """
     own = materialize(fingerprints(docs, width), "fingerprints")
     nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "nodes")
-    labels = components(materialize(near_links(nodes.select("fp"), reach, **settings), "links"))
-    of = nodes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("label"))
-    named = of.join(of.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("fp", "n", "component_id")
+    links = materialize(near_links(nodes.select("fp"), reach, **settings), "links")
+    labels = components(links)
+    discard(links)
+    of = nodes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "first", F.col("n").alias("rows"), F.coalesce("label", "fp").alias("label"))
+    of = materialize(of, "labelled")
+    smallest = materialize(of.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n")), "smallest")
+    named = join_hot(of, smallest, "label", by="fp").select("fp", F.col("rows").alias("n"), "component_id")
     return join_hot(own, materialize(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 

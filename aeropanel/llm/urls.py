@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import join_hot, materialize, unused
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -42,7 +42,8 @@ def as_of(captures: DataFrame, intervals: DataFrame) -> DataFrame:
 
     Blocked if an entry for one of the URL's keys held at ``fetched`` (a null time or a URL without host: not); of
     several the most exact key names the match. Distinct (key, time) pairs meet the intervals in one equi-join with
-    the time as a condition, so a host with many captures comes once a time; rows find their verdict by (url, time).
+    the time as a condition, so a host with many captures comes once a time; the URLs of a busy host and time are salted
+    when they take it up; rows find their verdict by (url, time).
     Repeated rows get a verdict each; no rows give no rows, no intervals block nothing; a very long URL is a key like
     others. Columns of ``captures`` stay: where one has a result's name, the result's gets underscores before it.
     """
@@ -53,9 +54,10 @@ def as_of(captures: DataFrame, intervals: DataFrame) -> DataFrame:
     url = captures.where("url is not null and fetched is not null").select("url", "fetched").distinct()
     host, path = url_parts(F.col("url"))
     keys = url.withColumn(h, host).withColumn(p, path).where(F.col(h).isNotNull()).select("url", "fetched", F.explode(list_keys(F.col(h), F.col(p))).alias("k")).select("url", "fetched", "k.key", "k.rank")
-    times = keys.select("key", "fetched").distinct()
-    hits = times.join(intervals, "key").where("since <= fetched and (until is null or fetched < until)").select("key", "fetched", "since")
-    best = keys.join(hits, ["key", "fetched"]).groupBy("url", "fetched").agg(F.max(F.struct("rank", "key", "since")).alias("best"))
+    times = keys.groupBy("key", "fetched").agg(F.count(F.lit(1)).alias("n"))
+    hits = times.join(intervals, "key").where("since <= fetched and (until is null or fetched < until)").select("key", "fetched", "since", "n")
+    hits = materialize(hits, "hits")  # one interval a key and time at most
+    best = join_hot(keys, hits, ["key", "fetched"], by="url").groupBy("url", "fetched").agg(F.max(F.struct("rank", "key", "since")).alias("best"))
     verdict = best.select(F.col("url").alias(u), F.col("fetched").alias(t), F.col("best.key").alias(result[1]), F.col("best.since").alias(result[2]))
     found = captures.join(verdict, (F.col("url") == F.col(u)) & (F.col("fetched") == F.col(t)), "left")
     return found.select(*[F.col(f"`{c}`") for c in captures.columns], F.col(result[1]).isNotNull().alias(result[0]), result[1], result[2])

@@ -197,3 +197,25 @@ def test_comparisons_a_row_do_not_grow(spark):
         groups = simhash.piece_pairs(frame, 4, 5, most, 16_384).groupBy("shard", "one", "two").agg(F.count(F.lit(1)).alias("n"))
         seen.append(groups.agg(F.sum(F.col("n") * F.col("n")) / n).first()[0])
     assert max(seen) < 30 * most and seen[1] < 2 * seen[0]
+
+
+def test_hubs_are_salted(spark):
+    """A hub of 40,000 edges, adaptive execution off: no task of a round's joins gets a twentieth of the rows."""
+    from pyspark.sql import functions as F
+
+    from aeropanel.llm import common
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        edges = common.materialize(spark.range(1, 40_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).union(spark.range(50_000, 50_010).selectExpr("id AS a", "id + 1 AS b")), "hub")
+        both = common.materialize(edges.union(edges.select("b", "a")), "both")
+        degree = common.materialize(both.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "degree")
+        joined = common.join_hot(both, degree, "b", by="a", total=both.count()).withColumn("task", F.spark_partition_id())
+        most = joined.groupBy("task").count().agg(F.max("count")).first()[0]
+        assert joined.count() == both.count() and most < both.count() / 20
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    labels = {r["node"]: r["label"] for r in common.components(edges).collect()}
+    assert len(labels) == 40_001 + 11 and set(labels.values()) == {0, 50_000}
