@@ -42,8 +42,8 @@ def hot_safe_rank(df: DataFrame, keys: list[str], h: str, rows_in_bucket: int =
     return ranked, before
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], keys: int = 1024, by: str | None = None, total: int | None = None) -> DataFrame:
-    """``rows`` joined with ``table(key, n, ...)``, one row a key, ``n`` the rows that have it (or about).
+def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], keys: int = 1024, by: str | None = None, total: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``table(key, n, ...)``, one row a key, ``n`` the rows that have it (or about); or ``sizes(key, n)`` has n.
 
     A key of over 1/``keys`` of all rows (``total``; by default the sum of n) is cut into salts of that share: at most
     ``keys`` keys, so their table is broadcast, whatever the input's size. Salts follow the hash of the column ``by``,
@@ -52,9 +52,10 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], keys: int
     adaptive execution.
     """
     on = [key] if isinstance(key, str) else key
-    share = max(1, (table.agg(F.sum("n")).first()[0] or 0 if total is None else total) // keys)
+    sizes = table if sizes is None else sizes
+    share = max(1, (sizes.agg(F.sum("n")).first()[0] or 0 if total is None else total) // keys)
     salts, salt = "_salts", "_salt"  # ``rows`` and ``table`` are the operators' own
-    hot = F.broadcast(table.where(F.col("n") > share).select(*on, F.ceil(F.col("n") / share).cast("long").alias(salts)))
+    hot = F.broadcast(sizes.where(F.col("n") > share).select(*on, F.ceil(F.col("n") / share).cast("long").alias(salts)))
     place = rows.withColumn(salt, F.monotonically_increasing_id() if by is None else F.xxhash64(by))
     left = place.join(hot, on, "left").withColumn(salt, F.coalesce(F.pmod(F.col(salt), F.col(salts)), F.lit(0))).drop(salts)
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(salts) - 1, F.lit(0))))

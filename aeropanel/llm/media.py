@@ -20,7 +20,7 @@ _GEAR = np.random.default_rng(2048).integers(0, 1 << 16, 256).astype(np.uint16)
 _MASK = np.uint16(0x7FF << 5)  # 11 bits: a cut every 2048 bytes beyond the least, on average
 
 _RECIPE = "array<struct<digest binary, length int, loose boolean>>"
-_STORED = f"doc_id long, n_bytes long, media_id binary, header binary, recipe {_RECIPE}, pack binary, loose array<struct<digest binary, bytes binary>>"
+_STORED = f"doc_id long, n_bytes long, media_id binary, header binary, recipe {_RECIPE}, pack binary"
 _READ = "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -93,18 +93,30 @@ _READ_TYPES = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.
 _READ_NAMES = [x.split()[0] for x in _READ.split(", ")]
 
 
+_PARTS = range(0, 20, 5)  # of a digest, each a place in the filter
+
+
 def _bits(shared: DataFrame, most_bits: int) -> np.ndarray:
-    """A Bloom filter (one hash of the digest's first 8 bytes) of the shared digests: at most ``most_bits`` bits."""
+    """A Bloom filter of the shared digests, a place by each quarter of their bytes: 16 bits a digest, at most ``most_bits`` bits.
+
+    A digest that isn't shared passes once in 400 times below that size. By one place it was once in 16 to 32, so most
+    media of many chunks had one that passed, and their packs were shuffled.
+    """
     n = shared.count()
     size = 1 << min(int(math.log2(most_bits)), max(13, math.ceil(math.log2(16 * max(n, 1)))))
-    place = F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long").bitwiseAND(F.lit(size - 1))
-    words = shared.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect()
+    places = F.array(*[F.conv(F.hex(F.substring("digest", 1 + i, 5)), 16, 10).cast("long").bitwiseAND(F.lit(size - 1)) for i in _PARTS])
+    words = shared.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect()
     out = np.zeros(size // 64, np.uint64)
     for w, bits in words:
         out[w] = np.uint64(bits & (1 << 64) - 1)
     return out
 
 
+def may_be_shared(digest: bytes, bits: np.ndarray) -> bool:
+    last = len(bits) * 64 - 1
+    return all(int(bits[p >> 6]) >> (p & 63) & 1 for p in (int.from_bytes(digest[i : i + 5], "big") & last for i in _PARTS))
+
+
 def store(docs: DataFrame, earlier: tuple[DataFrame, DataFrame] | None = None, most_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
     """Write the payloads of all texts as media; (media table, chunk store).
 
@@ -112,6 +124,7 @@ def store(docs: DataFrame, earlier: tuple[DataFrame, DataFrame] | None = None, m
     occur more often (a Bloom filter says so, its errors only move more bytes), or that the batches stored ``earlier``
     have, goes to the chunk store, once over all batches. So only such chunks are shuffled. Every media has its
     ordered list of chunk digests, and ``all_chunks`` finds any chunk, packed or not, by its digest.
+    ``docs`` is read three times and has to give the same rows each time.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
@@ -132,33 +145,36 @@ def store(docs: DataFrame, earlier: tuple[DataFrame, DataFrame] | None = None, m
         there = known.select("digest", F.lit(True).alias("there"))
         shared = found.join(there, "digest", "left").where("count > 1 or there").select("digest")
     bits = _bits(materialize(shared, "shared"), most_bits)
-    last = len(bits) * 64 - 1
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_id", pa.binary()), ("header", pa.binary()), ("recipe", pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("loose", pa.bool_())]))), ("pack", pa.binary()), ("loose", pa.list_(pa.struct([("digest", pa.binary()), ("bytes", pa.binary())])))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_id", pa.binary()), ("header", pa.binary()), ("recipe", pa.list_(pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("loose", pa.bool_())]))), ("pack", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part, rows = batch.slice(at, 1000), []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     n, payload, parts = chunks(text)
-                    header, recipe, pack, loose = wav_header(len(payload)), [], [], []
+                    header, recipe, pack = wav_header(len(payload)), [], []
                     for c in parts:
                         d = digest_of(c)
-                        p = int.from_bytes(d[:7], "big") & last
-                        some = bool(int(bits[p >> 6]) >> (p & 63) & 1)
+                        some = may_be_shared(d, bits)
                         recipe.append({"digest": d, "length": len(c), "loose": some})
-                        if some:
-                            loose.append({"digest": d, "bytes": c})
-                        else:
+                        if not some:
                             pack.append(c)
-                    rows.append((doc_id, n, hashlib.sha256(header + payload).digest(), header, recipe, b"".join(pack), loose))
+                    rows.append((doc_id, n, hashlib.sha256(header + payload).digest(), header, recipe, b"".join(pack)))
                 yield _batch(rows, schema.names, schema.types)
 
+    def loose_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                own = {d: c for t in batch.column(1).slice(at, 1000) for c in chunks(t)[2] if may_be_shared(d := digest_of(c), bits)}
+                yield _batch(list(own.items()), ["digest", "bytes"], [pa.binary(), pa.binary()])
+
     media = materialize(texts.mapInArrow(write, _STORED), "media")
-    loose = media.where(F.size("loose") > 0).select(F.explode("loose").alias("c")).select("c.digest", "c.bytes").groupBy("digest").agg(F.first("bytes").alias("bytes"))
+    # cut again, as a copy of all occurrences beside the media would be their whole size on disk
+    loose = texts.mapInArrow(loose_chunks, "digest binary, bytes binary").groupBy("digest").agg(F.first("bytes").alias("bytes"))
     if known is not None:
         loose = loose.join(known.select("digest"), "digest", "left_anti")
-    return media.drop("loose"), materialize(loose, "chunks")
+    return media, materialize(loose, "chunks")
 
 
 def all_chunks(media: DataFrame, chunk_store: DataFrame) -> DataFrame:
@@ -208,18 +224,17 @@ def read_back(media: DataFrame, chunk_store: DataFrame) -> DataFrame:
 
     alone = media.where(~some).select("doc_id", "n_bytes", "media_id", "header", "recipe", "pack").mapInArrow(own, f"doc_id long, n_bytes long, {_READ}")
     mixed = media.where(some)
-    each = mixed.groupBy("media_id").agg(F.first(F.struct("header", "recipe", "pack")).alias("m"), F.count(F.lit(1)).alias("n"))
-    refs = materialize(each.select("media_id", F.explode("m.recipe").alias("c")).where("c.loose").select("media_id", "c.digest").distinct(), "chunk-refs")
+    refs = materialize(mixed.select("media_id", F.explode("recipe").alias("c")).where("c.loose").select("media_id", "c.digest").distinct(), "chunk-refs")
     wanted = materialize(refs.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "wanted-chunks")  # a boilerplate chunk is one of many media
-    found = join_hot(refs, wanted.join(chunk_store, "digest"), "digest", by="media_id", total=refs.count()).groupBy("media_id").agg(F.collect_list(F.struct("digest", "bytes")).alias("chunks"))
+    found = join_hot(refs, chunk_store.select("digest", "bytes"), "digest", by="media_id", sizes=wanted).groupBy("media_id").agg(F.collect_list(F.struct("digest", "bytes")).alias("chunks"))
+    each = mixed.groupBy("media_id").agg(F.first(F.struct("header", "recipe", "pack")).alias("m"), F.count(F.lit(1)).alias("n"))
 
     def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_facts(i, rebuild(m["header"], m["recipe"], m["pack"], {c["digest"]: c["bytes"] for c in chunks})) for i, m, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield _batch(rows, _READ_NAMES, _READ_TYPES)
+            rows = [(*_facts(i, rebuild(m["header"], m["recipe"], m["pack"], {c["digest"]: c["bytes"] for c in chunks})), n) for i, m, n, chunks in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield _batch(rows, [*_READ_NAMES, "n"], [*_READ_TYPES, pa.int64()])
 
-    facts = each.join(found, "media_id").select("media_id", "m", "chunks").mapInArrow(rebuilt, _READ)
-    facts = materialize(facts.join(each.select("media_id", "n"), "media_id"), "media-facts")
+    facts = materialize(each.join(found, "media_id").select("media_id", "m", "n", "chunks").mapInArrow(rebuilt, f"{_READ}, n long"), "media-facts")
     rows = materialize(mixed.select("doc_id", "n_bytes", "media_id"), "media-rows")
     return alone.unionByName(join_hot(rows, facts, "media_id").drop("n"))
 

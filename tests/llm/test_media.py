@@ -88,3 +88,12 @@ def test_every_media_follows_its_chunk_list(spark):
 
 def test_empty(spark):
     assert media.op10(frame(spark, [])).collect() == []
+
+
+def test_media_of_many_chunks_of_their_own_stay_packed(spark):
+    texts = [random.Random(i).randbytes(100_000).hex() for i in range(12)]
+    copied = [random.Random(100 + i).randbytes(150).hex() for i in range(500)]
+    rows = [(i, t, "en", "a", 1, "x", "y", "z") for i, t in enumerate(texts + copied + copied)]
+    table, chunks = media.store(frame(spark, rows))
+    assert chunks.count() <= 510 and "loose" not in table.columns
+    assert table.where("doc_id < 12 and exists(recipe, c -> c.loose)").count() <= 6
