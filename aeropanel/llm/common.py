@@ -121,36 +121,64 @@ def components_of_blocks(keyed: DataFrame, sig: DataFrame, alike: Alike, cross:
     more = across(members.where("loose").select("block", "node"), labels, sig, cross, rows)
     discard(members)
     discard(edges)
-    if not more.isEmpty():
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more))
-    return labels
+    return labels if more.isEmpty() else joined_labels(labels, more, tag)
+
+
+def joined_labels(labels: DataFrame, more: DataFrame, tag: str) -> DataFrame:
+    """``labels(node, label)`` under the further links ``more(a, b)`` between labels or nodes that lack there; only these links take part in rounds."""
+    joined = components(more)
+    own = materialize(labels.union(joined.select("node", F.col("node").alias("label"))).distinct(), f"{tag}-own")  # a label's own row is in both
+    sizes = own.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    to = sizes.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("label", "n", F.coalesce("to", "label").alias("to"))
+    to = materialize(to, f"{tag}-to")
+    return materialize(join_hot(own, to, "label", by="node").select("node", F.col("to").alias("label")), f"{tag}-labels")
 
 
 def across(members: DataFrame, labels: DataFrame, sig: DataFrame, cross: Cross, rows: int = 2048) -> DataFrame:
-    """(a, b), a written table: labels joined by alike nodes of one block; blocks of over ``rows`` nodes are cut, and each pair of pieces is a group of its own."""
+    """(a, b), a written table: labels joined by alike nodes of one block; blocks of over ``rows`` nodes are cut, and each pair of pieces is a group of its own; smaller ones go in bundles."""
     own = materialize(members.join(labels, "node", "left").select("block", "node", F.coalesce("label", "node").alias("label")), "labelled")
     mixed = own.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("block", "n")
     mixed = materialize(mixed.withColumn("pieces", F.ceil(F.col("n") / rows).cast("int")), "mixed")
     piece = F.pmod(F.xxhash64("node"), F.col("pieces").cast("long")).cast("int")
-    cut = join_hot(own, mixed, "block").join(sig, "node").withColumn("piece", piece)
+    cut = in_bundles(join_hot(own, mixed, "block").join(sig, "node").withColumn("piece", piece), mixed, rows // 16)
+
+    def found_in(one: bool, left: np.ndarray, right: np.ndarray, label: np.ndarray, sigs: list[bytes]) -> set[tuple[int, int]]:
+        names, n = np.unique(label[left] if one else label[np.concatenate((left, right))], return_counts=True)
+        most, found = names[n.argmax()], set()  # nodes of the commonest label need not meet each other
+        sides = [(left[label[left] != most], right)]
+        if not one:
+            sides.append((left[label[left] == most], right[label[right] != most]))
+        for a, b in sides:
+            if len(a) and len(b):
+                found |= cross([sigs[i] for i in a.tolist()], label[a], [sigs[i] for i in b.tolist()], label[b])
+        return found
 
     def search(table: pa.Table) -> pa.Table:
-        piece, one, two, label = (table.column(c).to_numpy() for c in ("piece", "one", "two", "label"))
+        block, piece, one, two, label = (table.column(c).to_numpy() for c in ("block", "piece", "one", "two", "label"))
         sigs, found = table.column("sig").to_pylist(), set()
-        left, right = np.flatnonzero(piece == one), np.flatnonzero(piece == two)
-        names, n = np.unique(label, return_counts=True)
-        most = names[n.argmax()]  # nodes of the commonest label need not meet each other
-        for a, b in ((left[label[left] != most], right), (left[label[left] == most], right[label[right] != most])):
-            if len(a) and len(b):
-                found |= cross([sigs[i] for i in a.tolist()], label[a], [sigs[i] for i in b.tolist()], label[b])
+        order = np.argsort(block, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+            left = rows[piece[rows] == one[rows]]
+            right = left if (own := one[rows[0]] == two[rows[0]]) else rows[piece[rows] == two[rows]]
+            found |= found_in(own, left, right, label, sigs)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    found = materialize(in_piece_pairs(cut.select("block", "label", "sig", "piece", "pieces")).groupBy("block", "one", "two").applyInArrow(search, "a long, b long"), "across")
+    found = materialize(in_piece_pairs(cut.select("bundle", "block", "label", "sig", "piece", "pieces")).groupBy("bundle", "one", "two").applyInArrow(search, "a long, b long"), "across")
     discard(own)
     discard(mixed)
     return found
 
 
+def in_bundles(cut: DataFrame, blocks: DataFrame, rows: int) -> DataFrame:
+    """``cut(block, n, ...)`` with ``bundle``: blocks of ``rows`` rows at most together, about as many, others by themselves.
+
+    A group costs a worker far more than a few rows, and most blocks have a few. ``blocks(block, n, pieces)`` has their sizes.
+    """
+    small = blocks.where(F.col("n") <= rows).agg(F.sum("n")).first()[0] or 0
+    together = F.pmod(F.xxhash64("block"), F.lit(max(1, math.ceil(small / rows))))
+    return cut.withColumn("bundle", F.when(F.col("n") <= rows, together).otherwise(F.col("block")))
+
+
 def in_piece_pairs(cut: DataFrame) -> DataFrame:
     """Rows with ``piece`` of ``pieces``, once for each pair of pieces (one <= two) that theirs is in."""
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))

@@ -128,11 +128,16 @@ def alike_lines(least: float) -> tuple[Alike, Cross]:
         for size in np.intersect1d(size_a, size_b).tolist():  # one, but for colliding hashes
             left, right = np.flatnonzero(size_a == size), np.flatnonzero(size_b == size)
             x, y = (np.frombuffer(b"".join(sigs[i] for i in own.tolist()), "<u2").reshape(len(own), -1) for sigs, own in ((a, left), (b, right)))
-            y, step = np.ascontiguousarray(y.T), max(1, cells // len(right))
+            by_place, step = np.ascontiguousarray(y.T), max(1, cells // len(right))
             for at in range(0, len(left), step):
-                same = np.zeros((len(x[at : at + step]), len(right)), np.uint8 if size < 500 else np.uint32)
-                for place, tokens in enumerate(y):
-                    same += (x[at : at + step, place, None] == tokens).view(np.uint8)
+                own = x[at : at + step]
+                same = np.zeros((len(own), len(right)), np.uint8 if size < 500 else np.uint32)
+                if len(own) < x.shape[1]:  # a few long lines: by line
+                    for line, to in zip(own, same, strict=True):
+                        np.sum(line == y, axis=1, dtype=same.dtype, out=to)
+                else:
+                    for place, tokens in enumerate(by_place):
+                        same += (own[:, place, None] == tokens).view(np.uint8)
                 i, j = np.nonzero((same >= least * x.shape[1] - 1e-9) & (label_a[left[at : at + step], None] != label_b[right]))
                 found |= label_pairs(label_a[left[at + i]], label_b[right[j]])
         return found

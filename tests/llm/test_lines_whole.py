@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from aeropanel.llm import common, lines
 
 from .fixtures import frame
@@ -103,3 +105,35 @@ def test_join_hot_keeps_every_row(spark):
     for keys in (2, 64, 100_000):
         out = common.join_hot(rows, table, "k", keys)
         assert out.columns == ["k", "id", "n"] and out.count() == 5000 and out.select("id").distinct().count() == 5000
+
+
+def test_small_blocks_go_in_bundles_and_lose_no_link(spark):
+    """3,000 blocks of three lines and one of 300: few groups, the links of brute force; labels under these links are whole."""
+    rng = random.Random(8)
+    texts, members = {}, []
+    for block in range(3000):
+        base = [rng.randint(0, 60_000) for _ in range(10)]
+        for k in range(3):
+            line = [*base[:9], base[9] + 1 + k] if k < 2 else [rng.randint(0, 60_000) for _ in range(10)]
+            texts[3 * block + k] = np.array(line, "<u2").tobytes()
+            members.append((block, 3 * block + k))
+    for node in range(9000, 9300):
+        texts[node] = np.array([rng.randint(0, 1) for _ in range(10)], "<u2").tobytes()
+        members.append((3000, node))
+    rows = spark.createDataFrame(members, "block long, node long")
+    sig = spark.createDataFrame(list(texts.items()), "node long, sig binary")
+    labels = spark.createDataFrame([(0, 0)], "node long, label long")
+    alike, cross = lines.alike_lines(0.8)
+    links = common.across(rows, labels, sig, cross, 128)
+    assert {(r["a"], r["b"]) for r in links.where("a < 9000").collect()} == {(3 * b, 3 * b + 1) for b in range(3000)}
+    own = list(range(9000, 9300))
+    want = {(a, b) for i, a in enumerate(own) for b in own[i + 1 :] if alike([texts[a]], [texts[b]])[0]}
+    assert {(r["a"], r["b"]) for r in links.where("a >= 9000").collect()} == want
+    blocks = common.materialize(rows.groupBy("block").count().selectExpr("block", "count AS n", "cast(ceil(count / 128) AS int) AS pieces"), "test-blocks")
+    bundled = common.in_bundles(rows.join(blocks, "block"), blocks, 128)
+    assert bundled.select("bundle").distinct().count() <= 73
+    assert bundled.where("block = 3000").select("bundle").distinct().count() == 1
+    assert bundled.groupBy("bundle").count().where("bundle <> 3000").agg({"count": "max"}).first()[0] < 3 * 128
+    linked = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (9, 9)], "node long, label long")
+    more = spark.createDataFrame([(5, 7), (1, 7), (10, 11)], "a long, b long")
+    assert {tuple(r) for r in common.joined_labels(linked, more, "test").collect()} == {(1, 1), (2, 1), (5, 1), (6, 1), (7, 1), (9, 9), (10, 10), (11, 10)}
