@@ -310,6 +310,38 @@ def reach_for(similarity: float, bits: int = 512) -> int:
     return int(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
 
 
+def tree_leaves(x: np.ndarray, y: np.ndarray, reach: int, least: int = 1 << 14, tries: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of ``x``, rows of ``y``) of the leaves of a vantage-point tree over wide fingerprints [n, words].
+
+    A row of ``y`` is in one leaf. At a vantage point and radius the rows of ``x`` go inside up to ``reach`` beyond the
+    radius and outside down to ``reach`` within it, so a row in the overlap goes both ways: by the triangle inequality
+    any pair within ``reach`` meets in one leaf, once. Of ``tries`` vantage points and all radii that one is taken which
+    leaves the fewest comparisons; a node of under ``least``, or where none saves twice what the tries cost, is a leaf.
+    """
+    bits, rng = 64 * x.shape[1], np.random.default_rng(7)
+    stack = [(np.arange(len(x)), np.arange(len(y)))]
+    while stack:
+        i, j = stack.pop()
+        if not len(i) or not len(j):
+            continue
+        best = (len(i) * len(j) - 2 * tries * (len(i) + len(j)), 0, None, None)
+        for point in rng.choice(j, min(tries, len(j)), replace=False).tolist() if len(i) * len(j) > least else []:
+            from_x, from_y = (np.bitwise_count(rows ^ y[point]).sum(axis=1, dtype=np.int64) for rows in (x[i], y[j]))
+            up_to_x, up_to_y = (np.bincount(d, minlength=bits + 1).cumsum() for d in (from_x, from_y))
+            radius = np.arange(bits)
+            near_x = up_to_x[np.minimum(radius + reach, bits)]
+            far_x = len(i) - np.where(radius < reach, 0, up_to_x[np.maximum(radius - reach, 0)])
+            work = near_x * up_to_y[:-1] + far_x * (len(j) - up_to_y[:-1])
+            if work.min() < best[0]:
+                best = (int(work.min()), int(work.argmin()), from_x, from_y)
+        _, radius, from_x, from_y = best
+        if from_x is None:
+            yield i, j
+            continue
+        stack.append((i[from_x <= radius + reach], j[from_y <= radius]))
+        stack.append((i[from_x > radius - reach], j[from_y > radius]))
+
+
 def alike_within(reach: int) -> tuple[Alike, Cross]:
     """The tests of ``components_of_blocks`` for binary fingerprints of equal length."""
 
@@ -320,13 +352,16 @@ def alike_within(reach: int) -> tuple[Alike, Cross]:
         return np.bitwise_count(words(a) ^ words(b)).sum(axis=1) <= reach if a else np.zeros(0, bool)
 
     def cross(a: list[bytes], label_a: np.ndarray, b: list[bytes], label_b: np.ndarray) -> set[tuple[int, int]]:
-        found, x, y = set(), words(a), np.ascontiguousarray(words(b).T)
-        for at in range(0, len(x), 512):
-            differ = np.zeros((len(x[at : at + 512]), y.shape[1]), np.uint16)
-            for i, own in enumerate(y):
-                differ += np.bitwise_count(x[at : at + 512, i, None] ^ own)
-            i, j = np.nonzero((differ <= reach) & (label_a[at : at + 512, None] != label_b))
-            found |= label_pairs(label_a[at + i], label_b[j])
+        found, x, y = set(), words(a), words(b)
+        for i, j in tree_leaves(x, y, reach):
+            across, of = np.ascontiguousarray(y[j].T), label_b[j]
+            for at in range(0, len(i), 512):
+                rows = i[at : at + 512]
+                differ = np.zeros((len(rows), len(j)), np.uint16)
+                for word, own in enumerate(across):
+                    differ += np.bitwise_count(x[rows, word, None] ^ own)
+                k, m = np.nonzero((differ <= reach) & (label_a[rows, None] != of))
+                found |= label_pairs(label_a[rows[k]], of[m])
         return found
 
     return alike, cross
@@ -335,11 +370,12 @@ def alike_within(reach: int) -> tuple[Alike, Cross]:
 def similar_groups(rows: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """(the columns of ``rows`` but text, group BIGINT): texts of ``similarity`` or more, by Jaccard, over shingles of ``width`` words share a group.
 
-    At this similarity fingerprints of 64 bits differ in 10 bits and more, and no vantage point divides them: random
-    ones lie within a few bits of the same distance, so a boundary's copies are the whole shard. Hence the fingerprint
-    has 512 bits, of which such texts differ in ``reach_for``, and those meet that share the smallest shingle hash of
-    one of 8 orders, by which a linked pair is missed once in (1 - similarity)^-8, 400,000 times. Common hashes are
-    searched in pieces (``components_of_blocks``).
+    At this similarity fingerprints of 64 bits differ in 10 bits and more, and no vantage point divides a whole corpus of
+    them: random ones lie within a few bits of the same distance, so a boundary's copies are the whole shard. Hence the
+    fingerprint has 512 bits, of which such texts differ in ``reach_for``, and shards are dealt by the smallest shingle
+    hash of one of 8 orders, by which a linked pair is missed once in (1 - similarity)^-8, 400,000 times. Common hashes
+    are cut into pieces (``components_of_blocks``). Within a shard, or pair of pieces, a tree of vantage points whose
+    boundaries overlap by that reach finds the links (``tree_leaves``); texts of one shingle do have clusters that it divides.
     """
     others = [c for c in rows.columns if c != "text"]
     schema = StructType([*rows.select(*others).schema.fields, StructField("sig", BinaryType()), StructField("least", ArrayType(LongType()))])

@@ -219,3 +219,34 @@ def test_hubs_are_salted(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     labels = {r["node"]: r["label"] for r in common.components(edges).collect()}
     assert len(labels) == 40_001 + 11 and set(labels.values()) == {0, 50_000}
+
+
+def test_near_dedup_searches_shards_by_a_tree_of_vantage_points(monkeypatch):
+    """Clusters of wide fingerprints: the links of brute force, by a fraction of its comparisons; the boundaries overlap by the whole reach."""
+    rng, reach = np.random.default_rng(4), simhash.reach_for(0.8)
+
+    def flipped(base, n, most):
+        bits = np.unpackbits(np.tile(base, (n, 1)), axis=1)
+        for row in bits:
+            row[rng.choice(512, rng.integers(0, most + 1), replace=False)] ^= 1
+        return np.packbits(bits, axis=1)
+
+    rows = np.concatenate([flipped(rng.integers(0, 256, 64, np.uint8), 60, most) for most in (20, 40, 60, 100, 130, 160) * 4])
+    rows = np.concatenate((rows, rng.integers(0, 256, (200, 64), np.uint8)))[rng.permutation(1640)]
+    words = rows.view(np.uint64)
+    near = np.bitwise_count(words[:, None] ^ words[None]).sum(axis=2) <= reach
+    seen, compared = np.zeros(near.shape, np.int64), 0
+    for i, j in simhash.tree_leaves(words, words, reach):
+        seen[np.ix_(i, j)] += 1
+        compared += len(i) * len(j)
+    assert (seen[near] == 1).all() and seen.max() == 1 and compared == seen.sum() < near.size / 3
+    sigs, label = [r.tobytes() for r in rows], np.arange(len(rows))
+    calls, leaves = [], simhash.tree_leaves
+    monkeypatch.setattr(simhash, "tree_leaves", lambda *a: calls.append(a) or leaves(*a))
+    got = simhash.alike_within(reach)[1](sigs[:800], label[:800], sigs[800:], label[800:])
+    i, j = np.nonzero(near[:800, 800:])
+    assert got == set(zip(i.tolist(), (j + 800).tolist(), strict=True)) and calls
+    for a, b in ((words[:0], words), (words, words[:0])):
+        assert not list(simhash.tree_leaves(a, b, reach))
+    same = np.tile(words[:1], (300, 1))
+    assert sum(len(i) * len(j) for i, j in simhash.tree_leaves(same, same, reach)) == 300 * 300
