@@ -42,44 +42,53 @@ def hot_safe_rank(df: DataFrame, keys: list[str], h: str, rows_in_bucket: int =
     return ranked, before
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], keys: int = 1024, by: str | None = None, total: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str | list[str], keys: int = 1024, by: str | None = None, total: int | None = None, most: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``table(key, n, ...)``, one row a key, ``n`` the rows that have it (or about); or ``sizes(key, n)`` has n.
 
     A key of over 1/``keys`` of all rows (``total``; by default the sum of n) is cut into salts of that share: at most
-    ``keys`` keys, so their table is broadcast, whatever the input's size. Salts follow the hash of the column ``by``,
+    ``keys`` keys, so their table is broadcast, whatever the input's size; where no key has over a share (``most``: the
+    largest n, read with the total), nothing is salted or broadcast. Salts follow the hash of the column ``by``,
     which has to tell a key's rows apart; without it the rows' places, so that equal rows part too, for which ``rows`` has
     to be a written table: a task that runs again then gives the same. No task gets a whole hot key, at any setting of
     adaptive execution.
     """
     on = [key] if isinstance(key, str) else key
-    sizes = table if sizes is None else sizes
-    share = max(1, (sizes.agg(F.sum("n")).first()[0] or 0 if total is None else total) // keys)
+    counted = table if sizes is None else sizes
+    if total is None:
+        total, most = counted.agg(F.sum("n"), F.max("n")).first()
+    share = max(1, (total or 0) // keys)
+    if not total or (most is not None and most <= share):
+        return rows.join(table.hint("merge"), on)
     salts, salt = "_salts", "_salt"  # ``rows`` and ``table`` are the operators' own
-    hot = F.broadcast(sizes.where(F.col("n") > share).select(*on, F.ceil(F.col("n") / share).cast("long").alias(salts)))
+    hot = F.broadcast(counted.where(F.col("n") > share).select(*on, F.ceil(F.col("n") / share).cast("long").alias(salts)))
     place = rows.withColumn(salt, F.monotonically_increasing_id() if by is None else F.xxhash64(by))
     left = place.join(hot, on, "left").withColumn(salt, F.coalesce(F.pmod(F.col(salt), F.col(salts)), F.lit(0))).drop(salts)
+    # a table that has n itself needs no join for its salts
+    own = table.withColumn(salts, F.when(F.col("n") > share, F.ceil(F.col("n") / share).cast("long"))) if "n" in table.columns else table.join(hot, on, "left")
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(salts) - 1, F.lit(0))))
-    right = table.join(hot, on, "left").withColumn(salt, each).drop(salts)
+    right = own.withColumn(salt, each).drop(salts)
     return left.join(right.hint("merge"), [*on, salt]).drop(salt)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of ``edges(a, b)``, BIGINT and not null.
 
-    Minimum labels go over the edges and jump to their label's label; every round is a written table, deleted after the
-    next one. Hubs and the labels of large components are salted in both joins. An empty table gives an empty one.
+    Minimum labels go over the edges and jump to their label's label; both halves of a round are written tables, so that a
+    plan holds one of its joins, deleted once read. Hubs and the labels of large components are salted in both joins. An
+    empty table gives an empty one.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
     labels = written = materialize(first.select("node", F.least("node", "m").alias("label"), "n"), "labels")
-    n_edges, n_nodes = both.count(), labels.count()
+    n_edges, hub, n_nodes = labels.agg(F.sum("n"), F.max("n"), F.count(F.lit(1))).first()
     for _ in range(max_rounds):
-        seen = join_hot(both, labels.select(F.col("node").alias("b"), "label", "n"), "b", by="a", total=n_edges).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        lower = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"), F.col("n").alias("degree"))
+        seen = join_hot(both, labels.select(F.col("node").alias("b"), "label", "n"), "b", by="a", total=n_edges or 0, most=hub).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        lower = materialize(labels.join(seen.hint("merge"), "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"), F.col("n").alias("degree")), "lower")
         sizes = lower.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        jump = sizes.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
-        jumped = join_hot(lower, jump, "label", by="node", total=n_nodes)  # a label is a node, so none lacks
+        jump = sizes.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")).hint("merge"), "label")
+        jumped = join_hot(lower, jump, "label", by="node", total=n_nodes, sizes=sizes)  # a label is a node, so none lacks
         new = materialize(jumped.select("node", "was", F.least("label", "next").alias("label"), F.col("degree").alias("n")), "labels")
+        discard(lower)
         discard(written)
         written, moved = new, new.where("label <> was").limit(1).count()
         labels = new.select("node", "label", "n")
@@ -107,8 +116,10 @@ def components_of_blocks(keyed: DataFrame, sig: DataFrame, alike: Alike, cross:
     discard(heads)
     pairs = members.where("node <> head").select("node", "head").distinct()
     pairs = materialize(pairs, f"{tag}-pairs")
-    at_head = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("n")).join(sig.select(F.col("node").alias("head"), F.col("sig").alias("other")), "head")
-    both = join_hot(pairs.join(sig, "node"), at_head, "head", by="node", total=pairs.count()).select("node", "head", "sig", "other")
+    sizes = pairs.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    at_head = sizes.join(sig.select(F.col("node").alias("head"), F.col("sig").alias("other")).hint("merge"), "head")
+    both = join_hot(pairs.join(sig.hint("merge"), "node"), at_head, "head", by="node", total=total or 0, most=most).select("node", "head", "sig", "other")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,18 +140,18 @@ def joined_labels(labels: DataFrame, more: DataFrame, tag: str) -> DataFrame:
     joined = components(more)
     own = materialize(labels.union(joined.select("node", F.col("node").alias("label"))).distinct(), f"{tag}-own")  # a label's own row is in both
     sizes = own.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    to = sizes.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("label", "n", F.coalesce("to", "label").alias("to"))
+    to = sizes.join(joined.select(F.col("node").alias("label"), F.col("label").alias("to")).hint("merge"), "label", "left").select("label", "n", F.coalesce("to", "label").alias("to"))
     to = materialize(to, f"{tag}-to")
     return materialize(join_hot(own, to, "label", by="node").select("node", F.col("to").alias("label")), f"{tag}-labels")
 
 
 def across(members: DataFrame, labels: DataFrame, sig: DataFrame, cross: Cross, rows: int = 2048) -> DataFrame:
     """(a, b), a written table: labels joined by alike nodes of one block; blocks of over ``rows`` nodes are cut, and each pair of pieces is a group of its own; smaller ones go in bundles."""
-    own = materialize(members.join(labels, "node", "left").select("block", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    own = materialize(members.join(labels.hint("merge"), "node", "left").select("block", "node", F.coalesce("label", "node").alias("label")), "labelled")
     mixed = own.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("block", "n")
     mixed = materialize(mixed.withColumn("pieces", F.ceil(F.col("n") / rows).cast("int")), "mixed")
     piece = F.pmod(F.xxhash64("node"), F.col("pieces").cast("long")).cast("int")
-    cut = in_bundles(join_hot(own, mixed, "block").join(sig, "node").withColumn("piece", piece), mixed, rows // 16)
+    cut = in_bundles(join_hot(own, mixed, "block").join(sig.hint("merge"), "node").withColumn("piece", piece), mixed, rows // 16)
 
     def found_in(one: bool, left: np.ndarray, right: np.ndarray, label: np.ndarray, sigs: list[bytes]) -> set[tuple[int, int]]:
         names, n = np.unique(label[left] if one else label[np.concatenate((left, right))], return_counts=True)

@@ -392,7 +392,7 @@ def similar_groups(rows: DataFrame, similarity: float = 0.8, width: int = 5) ->
     keyed = materialize(keyed, "wide-blocks")
     labels = components_of_blocks(keyed, sig.select("node", "sig"), *alike_within(reach_for(similarity)), "wide")
     discard(keyed)
-    of = sig.select("node", "n").join(labels, "node", "left").select("node", "n", F.coalesce("label", "node").alias("group"))
+    of = sig.select("node", "n").join(labels.hint("merge"), "node", "left").select("node", "n", F.coalesce("label", "node").alias("group"))
     return join_hot(own.drop("sig", "least"), materialize(of, "wide-groups"), "node").select(*others, "group")
 
 

@@ -221,6 +221,31 @@ def test_hubs_are_salted(spark):
     assert len(labels) == 40_001 + 11 and set(labels.values()) == {0, 50_000}
 
 
+def test_a_round_of_components_is_a_small_plan(spark, monkeypatch):
+    """A hub with chains: what a round writes holds three joins at most, one of them broadcast; without a hot key a join broadcasts nothing."""
+    from pyspark.sql import functions as F
+
+    from aeropanel.llm import common
+
+    def joins(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return plan.count("SortMergeJoin"), plan.count("BroadcastHashJoin")
+
+    seen, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, tag: (seen.append(joins(df)), write(df, tag))[1])
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5009)] + [(9001, 9000), (9002, 9001)]
+    labels = {r["node"]: r["label"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert labels == {i: 0 for i in range(3000)} | {i: 5000 for i in range(5000, 5010)} | {i: 9000 for i in range(9000, 9003)}
+    assert len(seen) > 4 and all(a <= 2 and b <= 1 for a, b in seen)
+
+    rows = write(spark.range(20_000).select((F.col("id") % 5000).alias("k"), "id"), "rows")
+    for hot, broadcast in ((False, 0), (True, 1)):
+        own = write(rows.withColumn("k", F.when(F.col("id") < 9000, 7).otherwise(F.col("k")).cast("long")), "hot") if hot else rows
+        out = common.join_hot(own, write(own.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "sizes"), "k")
+        assert joins(out) == (1, broadcast)
+        assert out.columns == ["k", "id", "n"] and out.count() == out.select("id").distinct().count() == 20_000
+
+
 def test_near_dedup_searches_shards_by_a_tree_of_vantage_points(monkeypatch):
     """Clusters of wide fingerprints: the links of brute force, by a fraction of its comparisons; the boundaries overlap by the whole reach."""
     rng, reach = np.random.default_rng(4), simhash.reach_for(0.8)
